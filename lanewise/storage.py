@@ -21,13 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session without that setting gets a temporary folder, which is
     then kept for the life of the session.
     """
-    folder = spark.conf.get(SETTING, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(SETTING, None) or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(f"set {SETTING} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="lanewise-")
-        spark.conf.set(SETTING, folder)
-    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lanewise-"))
+        folder = context.getCheckpointDir()
+    return f"{folder.rstrip('/')}/{context.applicationId}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
