@@ -38,14 +38,10 @@ def coerce_types(df: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
     return df.withColumns(typed)
 
 
-def _has_quantity(measures: Sequence[Column]) -> Column:
-    tests = [F.coalesce(m, F.lit(0)) != 0 for m in measures]
-    return tests[0] | tests[1] | tests[2]
-
-
 def _usable(df: DataFrame) -> Column:
-    quantity = _has_quantity([_number(df, name) for name in MEASURES])
-    return F.col("zc_from").isNotNull() & F.col("zc_to").isNotNull() & quantity
+    """True for usable rows, false or null for the others."""
+    kg, ldm, m3 = (_number(df, name) != 0 for name in MEASURES)
+    return F.col("zc_from").isNotNull() & F.col("zc_to").isNotNull() & (kg | ldm | m3)
 
 
 def normalise_zone(zone: str | Column) -> Column:
@@ -84,7 +80,7 @@ def clean_shipments(raw: DataFrame, date_formats: Sequence[str] = ()) -> DataFra
 
 def rejected_rows(raw: DataFrame) -> DataFrame:
     """The raw rows that :func:`clean_shipments` leaves out, unchanged."""
-    return raw.filter(~_usable(raw))
+    return raw.filter(~F.coalesce(_usable(raw), F.lit(False)))
 
 
 def rejected_count(raw: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ def direction(origin: Column, destination: Column, home: str) -> Column:
     """Exp, Imp, Dom or X-trade as seen from ``home`` (GB is spelt UK in zones)."""
     home = "UK" if home == "GB" else home
     leaves, arrives = origin == home, destination == home
-    return (
-        F.when(leaves & ~arrives, "Exp").when(arrives & ~leaves, "Imp").when(leaves & arrives, "Dom").otherwise("X-trade")
+    return F.when(leaves, F.when(arrives, "Dom").otherwise("Exp")).otherwise(
+        F.when(arrives, "Imp").otherwise("X-trade")
     )
 
 
@@ -34,6 +34,13 @@ def pay_weight(params: Params) -> Column:
     return F.when(F.col("kg").isNotNull(), heaviest)
 
 
+def _at_most(weight: Column, limit: Number) -> Column:
+    """``weight <= limit``; for a whole limit on whole numbers, which are quicker to compare than decimals."""
+    if int(limit) == limit:
+        return F.ceil(weight).cast("bigint") <= int(limit)
+    return weight <= _exact(limit)
+
+
 def bracket_of(weight: str | Column) -> Column:
     """Upper bound of the weight bracket.
 
@@ -41,19 +48,20 @@ def bracket_of(weight: str | Column) -> Column:
     bracket, as users of the reports are used to.
     """
     weight = F.col(weight) if isinstance(weight, str) else weight
+    positive = F.ceil(weight).cast("bigint") > 0
     first, second, *others, last = BRACKETS
-    chain = F.when((weight > 0) & (weight <= first), first).when((weight > first) & (weight <= second), second)
+    chain = F.when(positive & _at_most(weight, first), first).when(positive & _at_most(weight, second), second)
     for bound in others:
-        chain = chain.when(weight <= bound, bound)
+        chain = chain.when(_at_most(weight, bound), bound)
     return chain.otherwise(last)
 
 
 def product_of(weight: str | Column, params: Params) -> Column:
     weight = F.col(weight) if isinstance(weight, str) else weight
     return (
-        F.when(weight <= _exact(params.parcel), "Parcel")
-        .when(weight <= _exact(params.grp), "GRP")
-        .when(weight <= _exact(params.ltl), "LTL")
+        F.when(_at_most(weight, params.parcel), "Parcel")
+        .when(_at_most(weight, params.grp), "GRP")
+        .when(_at_most(weight, params.ltl), "LTL")
         .otherwise("FTL")
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lanewise.operators import answers, bids, clean, collection, enrich, facets, profile, regions, regularity, summary
 from lanewise.plans.tables import Tables
 from lanewise.schema import MEASURES, SHIPMENT_HEADERS, Params
+from lanewise.session import configure
 from lanewise.sources import files, sinks
 from lanewise.storage import shared_folder
 
@@ -369,6 +370,6 @@ REPORTS["token_chunks"] = lambda t: answers.token_chunks(t.read("documents"), "d
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def run(build: Report) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, folder: build(Tables(spark, folder))
+        return lambda spark, folder: build(Tables(configure(spark), folder))
 
     return {name: run(build) for name, build in REPORTS.items()}

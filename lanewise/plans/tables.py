@@ -6,6 +6,7 @@ definitions as SQL for the check in another engine.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import cached_property, lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,10 @@ def _two_digits(number: Column) -> Column:
     return F.lpad(number.cast("string"), 2, "0")
 
 
+def _zone(nation: str, number: str) -> Column:
+    return F.concat_ws(" ", _code(nation), _two_digits(F.col(number) % 100))
+
+
 def _decimal(value) -> Column:
     return (value if isinstance(value, Column) else F.lit(value)).cast("decimal(18,3)")
 
@@ -62,28 +67,26 @@ class Tables:
         part, line = F.col("l_partkey"), F.col("l_linenumber")
         empty = part % 13 == 0
         quantity = F.col("l_quantity").cast("int") * line * line * line
-        metres = F.when(line >= 5, (part % 155).cast("decimal(18,3)") / 10)
-        metres = metres.otherwise((part % 12).cast("decimal(18,3)") / 10)
+        metres = F.when(line >= 5, part % 155).otherwise(part % 12) * F.lit(Decimal("0.1"))
+        # The zone of a customer or supplier is put together once, not per line item.
+        origins = self.read("supplier").select("s_suppkey", _zone("s_nationkey", "s_suppkey").alias("origin"))
+        targets = self.read("customer").select("c_custkey", _zone("c_nationkey", "c_custkey").alias("target"))
         joined = (
             self.read("lineitem")
             .join(self.read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
-            .join(self.read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(targets, F.col("o_custkey") == F.col("c_custkey"))
+            .join(origins, F.col("l_suppkey") == F.col("s_suppkey"))
         )
         return joined.select(
-            F.when(key % 97 != 0, F.concat_ws(" ", _code("s_nationkey"), _two_digits(F.col("s_suppkey") % 100))).alias(
-                "zc_from"
-            ),
-            F.when(key % 89 != 0, F.concat_ws(" ", _code("c_nationkey"), _two_digits(F.col("c_custkey") % 100))).alias(
-                "zc_to"
-            ),
+            F.when(key % 97 != 0, F.col("origin")).alias("zc_from"),
+            F.when(key % 89 != 0, F.col("target")).alias("zc_to"),
             F.when(part % 101 != 0, F.col("l_shipdate").cast("date")).alias("ship_date"),
             F.when((line == 7) & (part % 3 == 0), F.lit(None).cast("decimal(18,3)"))
             .when(empty, _decimal(0))
             .otherwise(_decimal(quantity))
             .alias("kg"),
             F.when(empty & (F.col("l_suppkey") % 2 == 0), _decimal(0)).otherwise(_decimal(metres)).alias("ldm"),
-            F.when(empty, _decimal(0)).otherwise(_decimal(_decimal(F.col("l_orderkey") % 40) / 20)).alias("m3"),
+            F.when(empty, _decimal(0)).otherwise(_decimal(F.col("l_orderkey") % 40 * F.lit(Decimal("0.05")))).alias("m3"),
             F.when(part % 17 != 0, F.col("o_orderpriority")).alias("branch"),
             F.col("l_returnflag").alias("category1"),
             F.col("l_linestatus").alias("category2"),
@@ -180,7 +183,7 @@ class Tables:
             (number % 20 + 40).cast("double").alias("lat"),
             (number % 30 - 5).cast("double").alias("lon"),
             F.col("s_name").alias("office_name"),
-            F.concat_ws(" ", code, _two_digits(number % 100)).alias("zone"),
+            _zone("s_nationkey", "s_suppkey").alias("zone"),
             F.concat(F.lit("+00 "), F.lpad(number.cast("string"), 6, "0")).alias("phone"),
             F.lit("08:00-18:00").alias("opening_hours"),
         )
