@@ -54,12 +54,17 @@ def close_spellings(text: Column) -> Column:
 
     Two texts within an edit distance of 2 always have one of these in common.
     """
+    nowhere = F.array().cast("array<int>")
+    size = F.length(text)
 
-    def without_one(word: Column) -> Column:
-        places = F.when(F.length(word) > 0, F.sequence(F.lit(1), F.length(word))).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            places, lambda i: F.concat(word.substr(F.lit(1), i - 1), word.substr(i + 1, F.length(word)))
-        )
+    def without(word: Column, place: Column) -> Column:
+        return F.concat(word.substr(F.lit(1), place - 1), word.substr(place + 1, F.length(word)))
 
-    once = without_one(text)
-    return F.array_distinct(F.concat(F.array(text), once, F.flatten(F.transform(once, without_one))))
+    def with_second(place: Column) -> Column:
+        """Without the character at ``place``, and without one more from there on."""
+        once = without(text, place)
+        later = F.when(place < size, F.sequence(place, size - 1)).otherwise(nowhere)
+        return F.concat(F.array(once), F.transform(later, lambda other: without(once, other)))
+
+    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(nowhere)
+    return F.array_distinct(F.concat(F.array(text), F.flatten(F.transform(places, with_second))))

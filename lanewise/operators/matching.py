@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.functions.text import PREFIX_SCORE, close_spellings, closeness, comparable, similarity, sorted_tokens
-from lanewise.storage import SALTS
+from lanewise.storage import stored
 
 # Texts up to this length are looked up by close spellings; their number grows
 # with the square of the length.
@@ -83,6 +83,11 @@ def _probes_of_text(longest_choice: Column) -> Column:
     return F.when(size <= SPELLING_LIMIT, F.array_union(beginnings, spellings)).otherwise(beginnings)
 
 
+def _parallelism(df: DataFrame) -> int:
+    """Tasks for steps that compute much per row, however few bytes the rows have."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _chunks(choices: DataFrame, salts: int) -> DataFrame:
     """The reference list as arrays of about CHUNK entries of one block and length."""
     sized = choices.withColumn("c_len", F.length("c_text"))
@@ -94,15 +99,19 @@ def _chunks(choices: DataFrame, salts: int) -> DataFrame:
     return packed.select("block", "c_len", "entries", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
 
 
-def best_match(keys: DataFrame, choices: DataFrame, block: str = "block", salts: int = SALTS) -> DataFrame:
+def best_match(keys: DataFrame, choices: DataFrame, block: str = "block", salts: int | None = None) -> DataFrame:
     """Best reference entry for each text.
 
     ``keys`` holds distinct ``block`` and ``text``; ``choices`` holds ``block``,
     ``text`` and ``ord``, a whole number below 2**48 that is unique within the
     block. Returns ``block``, ``text``, ``score`` and ``ord``. Texts whose block
-    has no entry come back with nulls.
+    has no entry come back with nulls. One block may hold most of the texts:
+    it is compared by ``salts`` tasks, a quarter of all unless given. The
+    prepared reference list is stored, as every step reads it.
     """
-    entries = _choices(choices, block)
+    tasks = _parallelism(keys)
+    salts = salts or max(1, tasks // 4)
+    entries = stored(_choices(choices, block), "entries")
     text = comparable(F.col("text"))
     texts = keys.select(F.col(block).alias("block"), "text", text.alias("k_text")).withColumn(
         "k_sorted", sorted_tokens(F.col("k_text"))
@@ -124,6 +133,8 @@ def best_match(keys: DataFrame, choices: DataFrame, block: str = "block", salts:
 
     longest_choice = entries.agg(F.max(F.length("c_text"))).scalar()
     started = started.withColumn("longest_choice", longest_choice)
+    # Partitioned anew, and by number, because small partitions would be merged.
+    started = started.repartition(tasks, F.xxhash64("block", "text"))
     no_probe = F.array().cast("array<string>")
     probing = started.withColumn(
         "probe", F.explode_outer(F.when(settled, no_probe).otherwise(_probes_of_text(F.col("longest_choice"))))
@@ -140,7 +151,11 @@ def best_match(keys: DataFrame, choices: DataFrame, block: str = "block", salts:
     edits = F.when(size <= SPELLING_LIMIT, _unseen_limit(size, 2)).otherwise(_unseen_limit(size, 0))
     proven = F.coalesce(_score(F.col("rank")) > edits, F.lit(False))
     salt = F.pmod(F.xxhash64("k_text"), F.lit(salts)).cast("int")
-    open_texts = near.withColumns({"proven": proven, "salt": salt}).withColumnRenamed("block", "k_block")
+    open_texts = (
+        near.withColumns({"proven": proven, "salt": salt})
+        .withColumnRenamed("block", "k_block")
+        .repartition(tasks, "k_block", "salt")
+    )
     chunks = _chunks(entries, salts).withColumnRenamed("salt", "c_salt").hint("merge")
     short, long = F.least(size, F.col("c_len")), F.greatest(size, F.col("c_len"))
     reachable = closeness((long - short).cast("bigint"), long) >= F.coalesce(_score(F.col("rank")), F.lit(0))
@@ -149,12 +164,19 @@ def best_match(keys: DataFrame, choices: DataFrame, block: str = "block", salts:
         (F.col("k_block") == F.col("block")) & (F.col("salt") == F.col("c_salt")) & ~F.col("proven") & reachable,
         "left",
     )
-    scanned = F.array_min(
+    # All entries of a chunk have one length, so the nearest one is the best.
+    # Shared beginnings have been met before and need no second look.
+    nearest = F.array_min(
         F.transform(
             "entries",
-            lambda e: _rank(similarity(F.col("k_text"), F.col("k_sorted"), e["c_text"], e["c_sorted"]), e["ord"]),
+            lambda e: F.least(
+                F.levenshtein(F.col("k_text"), e["c_text"]), F.levenshtein(F.col("k_sorted"), e["c_sorted"])
+            ).cast("bigint")
+            * F.lit(ORD_SPACE)
+            + e["ord"],
         )
     )
+    scanned = _rank(closeness(F.shiftright(nearest, 48), long), F.pmod(nearest, F.lit(ORD_SPACE)))
     best = compared.groupBy(F.col("k_block").alias("block"), "text").agg(F.min(F.least("rank", scanned)).alias("rank"))
     return best.select(
         F.col("block").alias(block),
