@@ -15,7 +15,8 @@ def counts_by_value(column: str | Column, names: Mapping, counted: str) -> list[
     this way; ``groupBy().pivot()`` would first shuffle on keys plus value.
     """
     key = F.col(column) if isinstance(column, str) else column
-    return [F.count(F.when(key == F.lit(value), F.col(counted))).alias(name) for value, name in names.items()]
+    present = F.col(counted).isNotNull()
+    return [F.count_if((key == F.lit(value)) & present).alias(name) for value, name in names.items()]
 
 
 def rows_from(df: DataFrame, rows: Sequence[Column]) -> DataFrame:

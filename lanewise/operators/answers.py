@@ -63,8 +63,8 @@ def token_chunks(df: DataFrame, key: str, text: str = "text", size: int = 1500)
 
     Each row is cut where it is; no words are moved between tasks.
     """
-    words = F.split(strip(F.col(text)), r"\s+")
-    spaced = df.filter(strip(F.col(text)) != "").select(key, words.alias("words"))
+    words = F.regexp_extract_all(F.col(text), F.lit(r"\S+"), F.lit(0))
+    spaced = df.filter(F.rlike(F.col(text), F.lit(r"\S"))).select(key, words.alias("words"))
     starts = F.sequence(F.lit(1), F.size("words"), F.lit(size))
     pieces = F.transform(starts, lambda s: F.slice(F.col("words"), s, F.lit(size)))
     cut = spaced.select(key, F.posexplode(pieces).alias("chunk_no", "piece"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.functions.numbers import percent, total
+from lanewise.functions.numbers import percent
 from lanewise.functions.shapes import counts_by_value, rows_from
+from lanewise.operators.enrich import country_of
 from lanewise.schema import BRACKET_COLUMNS
 
 LANE = ("cntry_from", "zc_from", "cntry_to", "zc_to")
@@ -14,13 +15,17 @@ COLUMNS = tuple(BRACKET_COLUMNS.values())
 
 
 def _lanes(df: DataFrame) -> DataFrame:
-    """Bracket counts per lane; a single shuffle on the lane."""
+    """Bracket counts per lane; a single shuffle on the two zones.
+
+    The countries are the beginnings of the zones, so they need no place among
+    the group keys.
+    """
     keyed = df.filter(F.col("zc_from").isNotNull() & F.col("zc_to").isNotNull())
-    return (
-        keyed.groupBy(*LANE)
-        .agg(*counts_by_value("bracket", BRACKET_COLUMNS, "pay_weight"), F.count("pay_weight").alias("total"))
-        .filter("total > 0")
+    counted = keyed.groupBy("zc_from", "zc_to").agg(
+        *counts_by_value("bracket", BRACKET_COLUMNS, "pay_weight"), F.count("pay_weight").alias("total")
     )
+    named = counted.withColumns({"cntry_from": country_of("zc_from"), "cntry_to": country_of("zc_to")})
+    return named.filter("total > 0").select(*LANE, *COLUMNS, "total")
 
 
 def _counted(df: DataFrame) -> DataFrame:
@@ -30,9 +35,15 @@ def _counted(df: DataFrame) -> DataFrame:
 
 
 def lane_profile(df: DataFrame) -> DataFrame:
-    """Lane x bracket counts with each lane's share of all shipments."""
-    everything = _counted(df).select("total").scalar()
-    return _lanes(df).withColumn("share", percent(F.col("total"), everything))
+    """Lane x bracket counts with each lane's share of all shipments.
+
+    The grand total is asked for together with all bracket totals: both then
+    need the very same lane counts, and Spark shuffles the shipments only once.
+    """
+    lanes = _lanes(df)
+    sums = lanes.agg(F.struct(*[F.sum(c).alias(c) for c in (*COLUMNS, "total")])).scalar()
+    shared = lanes.withColumn("sums", sums)
+    return shared.withColumn("share", percent(F.col("total"), F.col("sums.total"))).drop("sums")
 
 
 def profile_totals(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from lanewise.functions.numbers import percent, total, total_double
 from lanewise.functions.shapes import counts_by_value, rows_from
 from lanewise.operators.enrich import lane_key
 from lanewise.schema import BRACKETS, PRODUCTS, WAYS
+from lanewise.storage import salted_lookup
 
 TOP = 10
 
@@ -131,7 +132,8 @@ def lane_pareto(df: DataFrame) -> DataFrame:
         F.sum("level").over(running).alias("reached"),
         F.sum("level").over(Window.partitionBy()).alias("all"),
     )
-    return lanes.join(levels, "shipments").select(
+    # Lanes with few shipments share their level with a large part of all lanes.
+    return salted_lookup(lanes, levels, ["shipments"]).select(
         "zc_from",
         "zc_to",
         "shipments",

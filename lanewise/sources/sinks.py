@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> str:
-    """Write one table with as many files as it has partitions."""
+def write_table(
+    df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", partition_by: Sequence[str] = ()
+) -> str:
+    """Write one table with as many files as it has partitions.
+
+    A table partitioned by month, say, is read for a date range without
+    touching the other months.
+    """
     writer = df.write.format(fmt).mode(mode)
     if fmt == "csv":
         writer = writer.option("header", True)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
     writer.save(path)
     return path
 
