@@ -58,7 +58,7 @@ def _(t: Tables) -> DataFrame:
     return _doubles(files.select_shipments(t.raw.drop("ship_date", "category2")), *MEASURES)
 
 
-REPORTS["region_vertices"] = lambda t: files.region_vertices(t.features, "NUTS_ID").withColumn("part", F.col("part"))
+REPORTS["region_vertices"] = lambda t: files.region_vertices(t.features, "NUTS_ID")
 REPORTS["branch_points"] = lambda t: files.branch_points(t.branches)
 REPORTS["branch_countries"] = lambda t: files.branch_countries(t.branches)
 REPORTS["bid_source"] = lambda t: files.trim_headers(t.bid.withColumnRenamed("Goods", "Goods "))
@@ -252,9 +252,9 @@ REPORTS["top_zones_by_shipments"] = lambda t: regions.top_zones_by_variable(t.sh
 REPORTS["marker_radius"] = lambda t: _rounded(
     regions.marker_radius(regions.region_collection(t.shipments, t.bridge)), "value", "radius"
 )
-REPORTS["region_centroid"] = lambda t: _rounded(regions.region_centroid(t.vertices), "lon", "lat")
-REPORTS["zone_anchor"] = lambda t: regions.zone_anchor(t.bridge)
-REPORTS["zone_centroid"] = lambda t: _rounded(regions.zone_centroid(t.bridge, t.vertices), "lon", "lat")
+REPORTS["region_centroid"] = lambda t: _rounded(regions.region_centroid(t.outlines), "lon", "lat")
+REPORTS["zone_anchor"] = lambda t: regions.zone_anchor(t.catchments)
+REPORTS["zone_centroid"] = lambda t: _rounded(regions.zone_centroid(t.catchments, t.outlines), "lon", "lat")
 
 # Regularity
 
@@ -287,7 +287,7 @@ REPORTS["column_roles"] = lambda t: bids.column_roles(bids.column_profile(_bid_c
 REPORTS["bid_feasible"] = lambda t: bids.bid_feasible(
     bids.column_roles(bids.column_profile(_bid_cells(t), _names(t), keep=["row_id"]))
 )
-REPORTS["country_names_long"] = _names
+REPORTS["country_names_long"] = lambda t: bids.country_names(t.name_table)
 
 
 @report("fuzzy_country")

@@ -62,13 +62,6 @@ FROM (SELECT 0 AS lvl, nuts0 AS region_id FROM fx_zone_region
 WHERE substr(region_id, 1, 2) <> 'PL'
 """
 
-VIEWS["fx_region_vertices"] = """
-SELECT region_id, 0 AS part, 0 AS ring, seq, lon + dx AS lon, lat + dy AS lat
-FROM fx_region_attrs
-CROSS JOIN (VALUES (0, 0.0e0, 0.0e0), (1, 1.0e0, 0.0e0), (2, 1.0e0, 1.0e0), (3, 0.0e0, 1.0e0), (4, 0.0e0, 0.0e0)) AS c(seq, dx, dy)
-WHERE lvl = 3 AND NOT (substr(region_id, 3, 1) = '1' AND seq = 3)
-"""
-
 VIEWS["fx_branches"] = """
 SELECT substr('FRDEESITPLGBBENLSENODKFIATCZPTIEHUROUARUBAMEBYADXK', s_nationkey*2+1, 2) AS country,
        cast(40 + s_suppkey % 20 AS double) AS lat, cast(s_suppkey % 30 - 5 AS double) AS lon,
@@ -126,6 +119,31 @@ SELECT p_partkey AS answer_id,
 FROM part
 """
 
+VIEWS["fx_outlines"] = """
+SELECT 'R' || lpad(cast(c_custkey AS varchar), 9, '0') AS region_id, part, ring, seq,
+       cast(c_custkey % 360 - 180 AS double) + dx AS lon, cast(c_custkey % 140 - 70 AS double) + dy AS lat
+FROM customer CROSS JOIN (VALUES
+  (0, 0, 0, 0.0e0, 0.0e0), (0, 0, 1, 2.0e0, 0.0e0), (0, 0, 2, 2.0e0, 2.0e0), (0, 0, 3, 0.0e0, 2.0e0), (0, 0, 4, 0.0e0, 0.0e0),
+  (0, 1, 0, 0.5e0, 0.5e0), (0, 1, 1, 1.0e0, 0.5e0), (0, 1, 2, 1.0e0, 1.0e0), (0, 1, 3, 0.5e0, 1.0e0), (0, 1, 4, 0.5e0, 0.5e0),
+  (1, 0, 0, 5.0e0, 5.0e0), (1, 0, 1, 6.0e0, 5.0e0), (1, 0, 2, 6.0e0, 6.0e0), (1, 0, 3, 5.0e0, 6.0e0), (1, 0, 4, 5.0e0, 5.0e0)) AS c(part, ring, seq, dx, dy)
+WHERE NOT (part = 0 AND ring = 0 AND seq = 3 AND c_custkey % 3 = 0)
+  AND (ring = 0 OR c_custkey % 3 = 2) AND (part = 0 OR c_custkey % 4 = 1)
+"""
+
+VIEWS["fx_catchments"] = """
+SELECT substr('FRDEESITPLGBBENLSENODKFIATCZPTIEHUROUARUBAMEBYADXK', c_nationkey*2+1, 2)
+         || ' ' || lpad(cast(c_custkey AS varchar), 9, '0') AS zone,
+       'R' || lpad(cast(greatest(c_custkey - back, 0) AS varchar), 9, '0') AS nuts3,
+       cast(c_custkey % 3 - back AS int) AS seq
+FROM customer JOIN (VALUES (0), (1), (2)) AS b(back) ON back <= c_custkey % 3
+"""
+
+VIEWS["fx_name_table"] = """
+SELECT c_custkey AS ord, iso2, country_1, lower(c_name) AS country_2,
+       CASE WHEN c_custkey % 2 = 0 THEN 'republic of ' || country_1 END AS country_3, cast(NULL AS varchar) AS country_4
+FROM customer JOIN fx_country_names n ON c_nationkey = n.ord
+"""
+
 VIEWS["usable"] = """
 SELECT *, zc_from IS NOT NULL AND zc_to IS NOT NULL
           AND (coalesce(kg, 0) <> 0 OR coalesce(ldm, 0) <> 0 OR coalesce(m3, 0) <> 0) AS ok
@@ -203,7 +221,7 @@ SELECT zc_from, zc_to, cast(NULL AS date) AS ship_date, cast(kg AS double) AS kg
 QUERIES["region_vertices"] = """
 SELECT region_id, part, ring, cast(row_number() OVER (PARTITION BY region_id, part, ring ORDER BY seq) - 1 AS int) AS seq,
        lon, lat
-FROM fx_region_vertices
+FROM fx_outlines
 """
 QUERIES["branch_points"] = "SELECT office_name, zone, phone, opening_hours, lat, lon FROM fx_branches"
 QUERIES["branch_countries"] = "SELECT DISTINCT country FROM fx_branches"
@@ -491,19 +509,22 @@ QUERIES["marker_radius"] = f"""
 SELECT region_id, value, round(coalesce(CASE WHEN hi <> lo THEN (value - lo) / (hi - lo) * 15 + 5 END, 10), 6) AS radius
 FROM (SELECT *, min(value) OVER () AS lo, max(value) OVER () AS hi FROM ({split('zc_from', 0)}) t) m
 """
-VIEWS["centroids"] = """
-SELECT region_id, CASE WHEN sum(c) = 0 THEN avg(lon) ELSE sum((lon + nlon) * c) / (3 * sum(c)) END AS lon,
-       CASE WHEN sum(c) = 0 THEN avg(lat) ELSE sum((lat + nlat) * c) / (3 * sum(c)) END AS lat
+VIEWS["rings"] = """
+SELECT region_id, ring, sum(c) AS a, sum((lon + nlon) * c) AS mx, sum((lat + nlat) * c) AS my
 FROM (SELECT *, lon * nlat - nlon * lat AS c
-      FROM (SELECT *, lead(lon, 1, lon) OVER w AS nlon, lead(lat, 1, lat) OVER w AS nlat FROM fx_region_vertices
+      FROM (SELECT *, lead(lon, 1, lon) OVER w AS nlon, lead(lat, 1, lat) OVER w AS nlat FROM fx_outlines
             WINDOW w AS (PARTITION BY region_id, part, ring ORDER BY seq)) e) x
-GROUP BY region_id
+GROUP BY region_id, part, ring
+"""
+VIEWS["centroids"] = """
+SELECT region_id, sum(s * mx) / (3 * sum(s * a)) AS lon, sum(s * my) / (3 * sum(s * a)) AS lat
+FROM (SELECT *, sign(a) * CASE WHEN ring = 0 THEN 1 ELSE -1 END AS s FROM rings) r GROUP BY region_id
 """
 QUERIES["region_centroid"] = "SELECT region_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM centroids"
-QUERIES["zone_anchor"] = "SELECT zone, arg_min(nuts3, seq) AS region_id FROM fx_zone_region GROUP BY zone"
+QUERIES["zone_anchor"] = "SELECT zone, arg_min(nuts3, seq) AS region_id FROM fx_catchments GROUP BY zone"
 QUERIES["zone_centroid"] = """
 SELECT zone, a.region_id, round(lon, 6) AS lon, round(lat, 6) AS lat
-FROM (SELECT zone, arg_min(nuts3, seq) AS region_id FROM fx_zone_region GROUP BY zone) a
+FROM (SELECT zone, arg_min(nuts3, seq) AS region_id FROM fx_catchments GROUP BY zone) a
 JOIN centroids c ON c.region_id = a.region_id
 """
 
@@ -547,16 +568,20 @@ VIEWS["bid_cells"] = f"""
 SELECT * FROM (SELECT row_id, {', '.join(cell(c) for c in _CELLS)} FROM fx_bid_raw) c
 WHERE {' OR '.join(f'"{c}" <> ' + "''" for c in _CELLS)}
 """
-VIEWS["names"] = """
+def names_of(table: str) -> str:
+    return f"""
 SELECT country, arg_min(iso2, place) AS iso2, cast(min(place) AS bigint) AS ord
-FROM (SELECT country_1 AS country, iso2, ord + 0 * 4294967296 AS place FROM fx_country_names
-      UNION ALL SELECT country_2, iso2, ord + 1 * 4294967296 FROM fx_country_names
-      UNION ALL SELECT country_3, iso2, ord + 2 * 4294967296 FROM fx_country_names
-      UNION ALL SELECT country_4, iso2, ord + 3 * 4294967296 FROM fx_country_names) n
+FROM (SELECT country_1 AS country, iso2, ord + 0 * 4294967296 AS place FROM {table}
+      UNION ALL SELECT country_2, iso2, ord + 1 * 4294967296 FROM {table}
+      UNION ALL SELECT country_3, iso2, ord + 2 * 4294967296 FROM {table}
+      UNION ALL SELECT country_4, iso2, ord + 3 * 4294967296 FROM {table}) n
 WHERE country IS NOT NULL GROUP BY country
 """
 
 
+VIEWS["names"] = names_of("fx_country_names")
+
+
 def plain(text: str) -> str:
     return f"trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
@@ -681,7 +706,7 @@ QUERIES["bid_feasible"] = """
 SELECT count(CASE WHEN role LIKE '%cntry' THEN 1 END) > 0 AND count(CASE WHEN role LIKE '%zipcode' THEN 1 END) > 0
          AS has_country_and_zip, count(DISTINCT role) = 4 AS has_both_ends FROM roles
 """
-QUERIES["country_names_long"] = "SELECT country, iso2, ord FROM names"
+QUERIES["country_names_long"] = names_of("fx_name_table")
 QUERIES["fuzzy_country"] = "SELECT * FROM origin_country UNION SELECT * FROM destination_country"
 QUERIES["clean_zip"] = f"""
 SELECT row_id, iso, zip, {zip_of('zip', 'iso')} AS cleaned

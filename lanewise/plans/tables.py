@@ -28,6 +28,14 @@ COUNTRIES = (
 )
 
 
+# Part, ring, position and offset of the corners of an outline.
+CORNERS = (
+    (0, 0, 0, 0.0, 0.0), (0, 0, 1, 2.0, 0.0), (0, 0, 2, 2.0, 2.0), (0, 0, 3, 0.0, 2.0), (0, 0, 4, 0.0, 0.0),
+    (0, 1, 0, 0.5, 0.5), (0, 1, 1, 1.0, 0.5), (0, 1, 2, 1.0, 1.0), (0, 1, 3, 0.5, 1.0), (0, 1, 4, 0.5, 0.5),
+    (1, 0, 0, 5.0, 5.0), (1, 0, 1, 6.0, 5.0), (1, 0, 2, 6.0, 6.0), (1, 0, 3, 5.0, 6.0), (1, 0, 4, 5.0, 5.0),
+)
+
+
 @lru_cache(maxsize=None)
 def _read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
@@ -45,6 +53,19 @@ def _zone(nation: str, number: str) -> Column:
     return F.concat_ws(" ", _code(nation), _two_digits(F.col(number) % 100))
 
 
+def _nine_digits(number: Column) -> Column:
+    return F.lpad(number.cast("string"), 9, "0")
+
+
+def _region(number: Column) -> Column:
+    return F.concat(F.lit("R"), _nine_digits(number))
+
+
+def _in_order(entry: Column, field: str) -> Column:
+    """The field of all entries, sorted by the entries' first field."""
+    return F.transform(F.array_sort(F.collect_list(entry)), lambda e: e[field])
+
+
 def _decimal(value) -> Column:
     return (value if isinstance(value, Column) else F.lit(value)).cast("decimal(18,3)")
 
@@ -142,30 +163,39 @@ class Tables:
         )
 
     @cached_property
-    def vertices(self) -> DataFrame:
-        """One closed ring per level-3 region: a unit square or a triangle."""
-        corners = [(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 1.0, 1.0), (3, 0.0, 1.0), (4, 0.0, 0.0)]
-        corner = [F.struct(F.lit(s).alias("seq"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for s, x, y in corners]
-        outlines = self.regions.filter("lvl = 3").select("region_id", "lon", "lat", F.inline(F.array(*corner)))
-        triangle = F.substring("region_id", 3, 1) == "1"
-        return outlines.filter(~(triangle & (F.col("seq") == 3))).select(
-            "region_id",
-            F.lit(0).alias("part"),
-            F.lit(0).alias("ring"),
+    def outlines(self) -> DataFrame:
+        """The catchment of each customer: a square, a triangle, a square with a hole, or two parts."""
+        key = F.col("c_custkey")
+        corner = [
+            F.struct(*[F.lit(v).alias(n) for n, v in zip(("part", "ring", "seq", "dx", "dy"), c)]) for c in CORNERS
+        ]
+        listed = self.read("customer").select("c_custkey", F.inline(F.array(*corner)))
+        outer = (F.col("part") == 0) & (F.col("ring") == 0)
+        kept = listed.filter(
+            ~(outer & (F.col("seq") == 3) & (key % 3 == 0))
+            & ((F.col("ring") == 0) | (key % 3 == 2))
+            & ((F.col("part") == 0) | (key % 4 == 1))
+        )
+        return kept.select(
+            _region(key).alias("region_id"),
+            "part",
+            "ring",
             "seq",
-            (F.col("lon") + F.col("dx")).alias("lon"),
-            (F.col("lat") + F.col("dy")).alias("lat"),
+            ((key % 360 - 180).cast("double") + F.col("dx")).alias("lon"),
+            ((key % 140 - 70).cast("double") + F.col("dy")).alias("lat"),
         )
 
     @cached_property
     def features(self) -> DataFrame:
-        """The regions as GeoJSON features, each region listed twice."""
-        ring = F.transform(
-            F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))), lambda p: F.array(p["lon"], p["lat"])
-        )
-        outlines = self.vertices.groupBy("region_id").agg(ring.alias("ring"))
+        """The outlines as GeoJSON features, each region listed twice."""
+        point = F.struct("seq", F.array("lon", "lat").alias("at"))
+        rings = self.outlines.groupBy("region_id", "part", "ring").agg(_in_order(point, "at").alias("points"))
+        parts = rings.groupBy("region_id", "part").agg(_in_order(F.struct("ring", "points"), "points").alias("rings"))
+        whole = parts.groupBy("region_id").agg(_in_order(F.struct("part", "rings"), "rings").alias("parts"))
+        single = F.size("parts") == 1
         geometry = F.struct(
-            F.lit("Polygon").alias("type"), F.to_json(F.array("ring")).alias("coordinates")
+            F.when(single, "Polygon").otherwise("MultiPolygon").alias("type"),
+            F.when(single, F.to_json(F.col("parts")[0])).otherwise(F.to_json("parts")).alias("coordinates"),
         )
         again = F.struct(F.lit("Polygon").alias("type"), F.lit("[[[0.0,0.0]]]").alias("coordinates"))
         listed = F.array(
@@ -173,7 +203,34 @@ class Tables:
             F.struct(F.lit(1).alias("seq"), again.alias("geometry")),
         )
         properties = F.create_map(F.lit("NUTS_ID"), F.col("region_id"))
-        return outlines.select(properties.alias("properties"), F.inline(listed)).select("properties", "geometry", "seq")
+        return whole.select(properties.alias("properties"), F.inline(listed)).select("properties", "geometry", "seq")
+
+    @cached_property
+    def catchments(self) -> DataFrame:
+        """The zone of each customer with one to three regions, the last one listed first."""
+        key = F.col("c_custkey")
+        listed = self.read("customer").select(
+            "c_custkey", "c_nationkey", F.explode(F.sequence(F.lit(0).cast("bigint"), key % 3)).alias("back")
+        )
+        return listed.select(
+            F.concat_ws(" ", _code("c_nationkey"), _nine_digits(key)).alias("zone"),
+            _region(F.greatest(key - F.col("back"), F.lit(0).cast("bigint"))).alias("nuts3"),
+            (key % 3 - F.col("back")).cast("int").alias("seq"),
+        )
+
+    @cached_property
+    def name_table(self) -> DataFrame:
+        """One row of names per customer; the country's own name comes back again and again."""
+        named = self.country_table.select(F.col("ord").alias("nation"), "iso2", "country_1")
+        joined = self.read("customer").join(named, F.col("c_nationkey") == F.col("nation"))
+        return joined.select(
+            F.col("c_custkey").alias("ord"),
+            "iso2",
+            "country_1",
+            F.lower("c_name").alias("country_2"),
+            F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("republic of "), "country_1")).alias("country_3"),
+            F.lit(None).cast("string").alias("country_4"),
+        )
 
     @cached_property
     def branches(self) -> DataFrame:
