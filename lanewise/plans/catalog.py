@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -368,8 +369,14 @@ def _(t: Tables) -> DataFrame:
 REPORTS["token_chunks"] = lambda t: answers.token_chunks(t.read("documents"), "doc_id")
 
 
+@lru_cache(maxsize=None)
+def tables(spark: SparkSession, folder: str) -> Tables:
+    """The same lazy tables for all reports of a session: plans are shared, data is not."""
+    return Tables(configure(spark), folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def run(build: Report) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, folder: build(Tables(configure(spark), folder))
+        return lambda spark, folder: build(tables(spark, folder))
 
     return {name: run(build) for name, build in REPORTS.items()}

@@ -92,10 +92,12 @@ class Tables:
         # The zone of a customer or supplier is put together once, not per line item.
         origins = self.read("supplier").select("s_suppkey", _zone("s_nationkey", "s_suppkey").alias("origin"))
         targets = self.read("customer").select("c_custkey", _zone("c_nationkey", "c_custkey").alias("target"))
+        # Orders meet their customers first, so that the line items are only
+        # shuffled by order and supplier.
+        placed = self.read("orders").join(targets, F.col("o_custkey") == F.col("c_custkey"))
         joined = (
             self.read("lineitem")
-            .join(self.read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(targets, F.col("o_custkey") == F.col("c_custkey"))
+            .join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(origins, F.col("l_suppkey") == F.col("s_suppkey"))
         )
         return joined.select(

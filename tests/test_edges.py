@@ -3,6 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from lanewise import storage
 from lanewise.functions.text import comparable, similarity, sorted_tokens
 from lanewise.operators import bids, clean, collection, enrich, facets, matching, regions, regularity
 
@@ -90,3 +91,33 @@ def test_best_match_equals_brute_force(spark):
         if old is None or (-r.score, r.ord) < (-old[0], old[1]):
             want[(r.block, r.text)] = (r.score, r.ord)
     assert got == want
+
+
+def test_lookup_of_a_hot_key(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    lookup = storage.stored(rows.filter("id % 2 = 0").groupBy("k").agg(F.max("id").alias("v")), "lookup")
+    plain = rows.join(lookup, "k", "left").orderBy("id").collect()
+    for small in (True, False):
+        assert storage.stored_lookup(rows, lookup, ["k"], small).select("k", "id", "v").orderBy("id").collect() == plain
+    assert storage.fits_broadcast(lookup) and not storage.fits_broadcast(lookup, limit=1000)
+
+
+def test_one_block_holds_most_texts(spark):
+    choices = spark.range(500).select(F.lit("FR").alias("block"), F.format_string("FR %05d", F.col("id") * 199).alias("text"), F.col("id").alias("ord"))
+    keys = spark.range(400).select(F.lit("FR").alias("block"), F.format_string("FR %05d", F.col("id") * 233).alias("text"))
+    one, many = (matching.best_match(keys, choices, salts=n).orderBy("text").collect() for n in (1, 7))
+    assert one == many and len(one) == 400 and all(r.score is not None for r in one)
+
+
+def test_legacy_score_leaves_out_the_destination_country(spark):
+    df = spark.createDataFrame([(50, 50, 100, 0), (50, 50, 0, 100)], "origin_score int, destination_score int, origin_country_score int, destination_country_score int")
+    assert {r.match_score for r in bids.match_score(df).collect()} == {1.0}
+    assert {r.match_score for r in bids.match_score(df, legacy_score=True).collect()} == {0.1, 1.0}
+
+
+def test_facets_need_both_categories(spark):
+    df = spark.createDataFrame([("b", "x", None)], "branch string, category1 string, category2 string")
+    assert facets.facets_of(df)[:3] == ["branch", "category1", "category2"]
+    assert "category1" not in facets.facets_of(df.drop("category2"))
+    assert facets.facet_filter(df, facets=["branch", "category1", "category2"]).count() == 0
+    assert facets.facet_filter(df, {"branch": ["b"]}, facets=["branch", "category1"]).count() == 1
