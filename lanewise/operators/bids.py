@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.functions.numbers import half_up_ratio
+from lanewise.functions.numbers import half_up_ratio, total
 from lanewise.functions.text import comparable, strip
 from lanewise.operators.matching import best_match
 from lanewise.storage import fits_broadcast, salted_lookup, stored, stored_lookup
@@ -138,19 +138,17 @@ def fuzzy_zone(zones: DataFrame, postal: DataFrame) -> DataFrame:
 def prefix_zone(zones: DataFrame, postal: DataFrame) -> DataFrame:
     """Longest reference zone each text starts with, else the best fuzzy match.
 
-    Beginnings longer than the longest reference zone cannot match and are not
+    Only beginnings as long as some reference zone can match, so only those are
     produced.
     """
     keys = zones.filter("country is not null and text is not null").select("country", "text").distinct()
     listed = postal.groupBy(F.col("zc").alias("prefix")).agg(F.min("ord").alias("first_ord"))
-    longest = postal.agg(F.max(F.length("zc"))).scalar()
-    lengths = F.sequence(F.lit(1), F.least(F.length("text"), F.col("longest")))
-    pieces = F.transform(lengths, lambda n: F.substring(F.col("text"), F.lit(1), n))
-    limited = keys.filter("text <> ''").withColumn("longest", longest).filter("longest > 0")
-    exploded = limited.select("country", "text", F.explode(pieces).alias("prefix"))
-    starts = exploded.join(listed, "prefix").groupBy("country", "text").agg(
-        F.max_by("prefix", F.length("prefix")).alias("prefix")
-    )
+    lengths = postal.agg(F.collect_set(F.length("zc"))).scalar()
+    fitting = F.filter("lengths", lambda n: n <= F.length("text"))
+    pieces = F.transform(fitting, lambda n: F.substring(F.col("text"), F.lit(1), n))
+    exploded = keys.withColumn("lengths", lengths).select("country", "text", F.explode(pieces).alias("prefix"))
+    found = salted_lookup(exploded, listed, ["prefix"]).filter(F.col("first_ord").isNotNull())
+    starts = found.groupBy("country", "text").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
     with_start = keys.join(starts, ["country", "text"], "left")
     rest = fuzzy_zone(with_start.filter(F.col("prefix").isNull()), postal)
     return (
@@ -198,15 +196,21 @@ def column_profile(bid: DataFrame, names: DataFrame, keep: Sequence[str] = ()) -
     filled = long.filter("cell <> ''").withColumn("name", comparable(F.col("cell")))
     spelt = names.select(comparable(F.col("country")).alias("name"))
     codes = names.select(comparable(F.col("iso2")).alias("name"))
-    known = spelt.unionByName(codes).distinct().withColumn("known", F.lit(1))
+    known = stored(spelt.unionByName(codes).distinct().withColumn("known", F.lit(1)), "known")
+    # A long list is joined with the different cells instead, each once with its number.
+    filled = filled.withColumn("times", F.lit(1).cast("bigint"))
+    if fits_broadcast(known):
+        known = F.broadcast(known)
+    else:
+        filled = filled.groupBy("column", "cell", "name").agg(F.sum("times").alias("times"))
     looks_like_zip = F.rlike("cell", F.lit("^[A-Za-z0-9][A-Za-z0-9 -]{1,9}$")) & F.rlike("cell", F.lit("[0-9]"))
     shares = (
         filled.join(known, "name", "left")
         .groupBy("column")
         .agg(
-            F.count(F.lit(1)).alias("cells"),
-            F.count("known").alias("country_cells"),
-            F.count_if(looks_like_zip).alias("zip_cells"),
+            F.sum("times").alias("cells"),
+            total(F.when(F.col("known") == 1, F.col("times"))).alias("country_cells"),
+            total(F.when(looks_like_zip, F.col("times"))).alias("zip_cells"),
         )
     )
     words = F.split(comparable(F.col("column")), " ")

@@ -66,21 +66,33 @@ def _beginnings(choices: DataFrame) -> DataFrame:
     return listed.groupBy("block", "k_text").agg(F.min("ord").alias("longer_ord"))
 
 
-def _probes_of_choices(choices: DataFrame) -> DataFrame:
-    """Where a text can meet an entry: the entry itself and, if short, its close spellings."""
+def _as_beginning(text: Column, salt: Column) -> Column:
+    """Probe for a whole entry that a longer text may start with.
+
+    Very many texts may start with one short entry, so they meet it under
+    ``salts`` different names.
+    """
+    return F.concat(salt.cast("string"), F.lit(">"), text)
+
+
+def _probes_of_choices(choices: DataFrame, salts: int) -> DataFrame:
+    """Where a text can meet an entry: as its beginning and, if short, on a close spelling."""
     both = F.array_union(close_spellings(F.col("c_text")), close_spellings(F.col("c_sorted")))
-    spellings = F.when(F.length("c_text") <= SPELLING_LIMIT + 2, both).otherwise(F.array("c_text"))
-    return choices.select("block", "c_text", "c_sorted", "ord", F.explode(spellings).alias("probe"))
+    spellings = F.when(F.length("c_text") <= SPELLING_LIMIT + 2, both).otherwise(F.array().cast("array<string>"))
+    numbers = F.sequence(F.lit(0), F.lit(salts - 1))
+    beginnings = F.transform(numbers, lambda n: _as_beginning(F.col("c_text"), n))
+    probes = F.explode(F.concat(beginnings, spellings)).alias("probe")
+    return choices.select("block", "c_text", "c_sorted", "ord", probes)
 
 
-def _probes_of_text(longest_choice: Column) -> Column:
+def _probes_of_text(lengths: Column, salts: int) -> Column:
+    """Close spellings of a short text, and those of its beginnings that are as long as some entry."""
     size = F.length("k_text")
-    last = F.least(F.floor(size * 2 / 3), longest_choice).cast("int")
-    first = F.greatest(F.lit(1), F.ceil(size / 8)).cast("int")
-    lengths = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    beginnings = F.transform(lengths, lambda n: F.substring(F.col("k_text"), F.lit(1), n))
+    fitting = F.filter(lengths, lambda n: (n * 3 <= size * 2) & (n * 8 >= size))
+    salt = F.pmod(F.xxhash64("k_text"), F.lit(salts))
+    beginnings = F.transform(fitting, lambda n: _as_beginning(F.substring(F.col("k_text"), F.lit(1), n), salt))
     spellings = F.array_union(close_spellings(F.col("k_text")), close_spellings(F.col("k_sorted")))
-    return F.when(size <= SPELLING_LIMIT, F.array_union(beginnings, spellings)).otherwise(beginnings)
+    return F.when(size <= SPELLING_LIMIT, F.concat(beginnings, spellings)).otherwise(beginnings)
 
 
 def _parallelism(df: DataFrame) -> int:
@@ -131,17 +143,17 @@ def best_match(keys: DataFrame, choices: DataFrame, block: str = "block", salts:
     limit = F.greatest(_unseen_limit(size, 0), F.lit(PREFIX_SCORE).cast("bigint"))
     settled = F.coalesce(_score(F.col("rank")) > limit, F.lit(False))
 
-    longest_choice = entries.agg(F.max(F.length("c_text"))).scalar()
-    started = started.withColumn("longest_choice", longest_choice)
+    lengths = entries.agg(F.collect_set(F.length("c_text"))).scalar()
+    started = started.withColumn("lengths", lengths)
     # Partitioned anew, and by number, because small partitions would be merged.
     started = started.repartition(tasks, F.xxhash64("block", "text"))
     no_probe = F.array().cast("array<string>")
     probing = started.withColumn(
-        "probe", F.explode_outer(F.when(settled, no_probe).otherwise(_probes_of_text(F.col("longest_choice"))))
+        "probe", F.explode_outer(F.when(settled, no_probe).otherwise(_probes_of_text(F.col("lengths"), salts)))
     )
     # The spellings outgrow the list they come from, so the planner's estimate
     # of their size is no ground for a broadcast.
-    met = probing.join(_probes_of_choices(entries).hint("merge"), ["block", "probe"], "left")
+    met = probing.join(_probes_of_choices(entries, salts).hint("merge"), ["block", "probe"], "left")
     met_score = similarity(F.col("k_text"), F.col("k_sorted"), F.col("c_text"), F.col("c_sorted"))
     key_columns = ("block", "text", "k_text", "k_sorted")
     near = met.groupBy(*key_columns).agg(

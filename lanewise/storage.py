@@ -45,11 +45,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def salted_lookup(rows: DataFrame, lookup: DataFrame, on: Sequence[str], salts: int = SALTS) -> DataFrame:
     """Left join of many rows with a table that has one row per key.
 
-    A key that holds a large part of the rows is spread over ``salts`` tasks.
-    The salt depends on the contents of the row only, so a task that runs again
-    sends every row the same way.
+    A key that holds a large part of the rows is spread over ``salts`` tasks,
+    and so are copies of one row. The salt depends only on the contents of the
+    row and the partition it comes from, so a task that runs again sends every
+    row the same way.
     """
-    number = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
+    contents = [F.col(f"`{c}`") for c in rows.columns]
+    number = F.pmod(F.xxhash64(*contents, F.spark_partition_id()), F.lit(salts)).cast("int")
     spread = rows.withColumn("_salt", number)
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*on, "_salt"], "left").drop("_salt")
