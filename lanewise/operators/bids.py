@@ -316,7 +316,8 @@ def bid_zone_pairs(
     """A messy tender file as clean zone pairs with a score per row."""
     cells = normalise_bid(bid, keep)
     names = country_names(iso)
-    chosen = roles if roles is not None else column_roles(column_profile(cells, names, keep))
+    # The roles are stored, or every later pass over the rows would profile all cells again.
+    chosen = roles if roles is not None else stored(column_roles(column_profile(cells, names, keep)), "roles")
     df = apply_roles(cells, chosen, keep)
     ends = stored(matched_ends(df, names, postal), "matched")
     small = fits_broadcast(ends)

@@ -82,15 +82,34 @@ def test_best_match_equals_brute_force(spark):
     keys = [("FR", t) for t in texts] + [("GB", "GB SW1A2AA"), ("GB", "FR 75"), ("XK", "XK 1")]
     keys = spark.createDataFrame(keys, "block string, text string")
     got = {(r.block, r.text): (r.score, r.ord) for r in matching.best_match(keys, choices).collect()}
-    pairs = keys.join(choices.withColumnRenamed("text", "c"), "block")
+    assert got == {**brute_force(keys, choices), ("XK", "XK 1"): (None, None)}
+
+
+def brute_force(keys, choices):
+    """Every text with every entry of its block: the best score, then the lowest ord."""
     k, c = comparable(F.col("text")), comparable(F.col("c"))
-    scored = pairs.withColumn("score", similarity(k, sorted_tokens(k), c, sorted_tokens(c))).collect()
-    want = {("XK", "XK 1"): (None, None)}
-    for r in scored:
-        old = want.get((r.block, r.text))
-        if old is None or (-r.score, r.ord) < (-old[0], old[1]):
-            want[(r.block, r.text)] = (r.score, r.ord)
-    assert got == want
+    scored = keys.join(choices.withColumnRenamed("text", "c"), "block").withColumn(
+        "score", similarity(k, sorted_tokens(k), c, sorted_tokens(c))
+    )
+    best = scored.groupBy("block", "text").agg(F.min(F.struct(-F.col("score"), "ord")).alias("best"))
+    return {(r.block, r.text): (-r.best[0], r.best[1]) for r in best.collect()}
+
+
+def test_best_match_of_random_texts(spark):
+    import random
+
+    rng = random.Random(7)
+
+    def text():
+        words = ["".join(rng.choice("abc") for _ in range(rng.choice((1, 2, 3, 5, 9)))) for _ in range(rng.choice((1, 1, 2, 3, 5)))]
+        return rng.choice((" ", " ", "-")).join(words)
+
+    entries = [(b, t, i) for i, (b, t) in enumerate((rng.choice("XXY"), text()) for _ in range(250))]
+    choices = spark.createDataFrame(entries, "block string, text string, ord long")
+    texts = {(rng.choice("XXY"), text()) for _ in range(400)} | {("X", ""), ("X", "--"), ("Y", "zz top")}
+    keys = spark.createDataFrame(sorted(texts), "block string, text string")
+    got = {(r.block, r.text): (r.score, r.ord) for r in matching.best_match(keys, choices).collect()}
+    assert got == brute_force(keys, choices)
 
 
 def test_lookup_of_a_hot_key(spark):

@@ -7,7 +7,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.operators import clean, enrich, facets, profile, regularity, summary
+from lanewise.operators import clean, collection, enrich, facets, profile, regions, regularity, summary
 from lanewise.plans import catalog
 from lanewise.plans.tables import Tables
 from lanewise.schema import MEASURES, SHIPMENT_SCHEMA
@@ -90,6 +90,21 @@ def test_parts_add_up(spark):
     assert lanes[0] == sum(lanes[1:]) == tables.shipments.filter("pay_weight is not null").count()
 
 
+def test_regions_and_unmapped_zones_add_up(spark):
+    tables = Tables(spark, FOLDER)
+    zones = regions.zone_values(tables.shipments, "zc_to")
+    split = regions.split_over_regions(zones, tables.bridge, 3).agg(F.sum("value")).first()[0]
+    unmapped = zones.join(tables.bridge, "zone", "left_anti").agg(F.sum("value")).first()[0]
+    assert split + unmapped == zones.agg(F.sum("value")).first()[0] and unmapped > 0
+
+
+def test_weekdays_and_days_add_up(spark):
+    ships = Tables(spark, FOLDER).shipments
+    week = collection.weekday_totals(ships).agg(F.sum("shipments"), F.sum("kg"), F.sum("collections")).first()
+    days = collection.daily_totals(ships).agg(F.sum("shipments"), F.sum("kg"), F.count("ship_date")).first()
+    assert tuple(week) == tuple(days)
+
+
 def test_measures_of_any_type(spark):
     doubles = Tables(spark, FOLDER).raw.withColumns({m: F.col(m).cast("double") for m in MEASURES})
     text = doubles.withColumns({m: F.col(m).cast("string") for m in MEASURES})
