@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.llm import token_counts
+from lanewise.llm import exact_dedup, language_id, near_dedup, token_counts
 
 WORDS = "word_bpe_49k.json"
 
@@ -20,9 +20,21 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path(WORDS))
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.language_id(table(spark, folder, "documents"))
+
+
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, folder, "documents"), words=3, percent=85)
+
+
+def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts,)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op4_near_dedup, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_exact_dedup": exact_dedup.ORACLE_SQL}
