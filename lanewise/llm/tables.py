@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.llm import exact_dedup, language_id, near_dedup, token_counts
+from lanewise.llm import exact_dedup, language_id, near_dedup, quality_rules, token_counts
 
 WORDS = "word_bpe_49k.json"
 
@@ -32,8 +32,12 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op4_near_dedup, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op4_near_dedup, op9_exact_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
