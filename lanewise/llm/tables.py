@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.llm import exact_dedup, language_id, near_dedup, quality_rules, token_counts
+from lanewise.llm import exact_dedup, language_id, near_dedup, packing, quality_rules, token_counts
 
 WORDS = "word_bpe_49k.json"
 
@@ -28,6 +28,10 @@ def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, folder, "documents"), words=3, percent=85)
 
 
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(WORDS))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
@@ -37,7 +41,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op4_near_dedup, op9_exact_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op4_near_dedup, op6_packing, op9_exact_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
