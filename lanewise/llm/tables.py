@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.llm import exact_dedup, language_id, near_dedup, packing, quality_rules, token_counts, warc
+from lanewise.llm import exact_dedup, html_extraction, language_id, near_dedup, packing, quality_rules, token_counts, warc
 
 WORDS = "word_bpe_49k.json"
 
@@ -32,6 +32,10 @@ def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, folder, "documents"), words=3, percent=85)
 
 
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extraction.extract(table(spark, folder, "pages"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(WORDS))
 
@@ -45,7 +49,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_warc, op4_near_dedup, op6_packing, op9_exact_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_warc, op4_near_dedup, op5_html_extraction, op6_packing, op9_exact_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
