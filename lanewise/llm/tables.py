@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.llm import exact_dedup, html_extraction, language_id, near_dedup, packing, quality_rules, token_counts, warc
+from lanewise.llm import exact_dedup, html_extraction, language_id, licenses, near_dedup, packing, piece_codec, quality_rules, token_counts, warc
 
 WORDS = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,6 +41,14 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(WORDS))
 
 
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+def op8_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_codec.code_table(table(spark, folder, "documents"), public_tokenizers.path(PIECES))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
@@ -49,7 +58,19 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_warc, op4_near_dedup, op5_html_extraction, op6_packing, op9_exact_dedup, op10_quality_rules)}
+    every = (
+        op1_token_counts,
+        op2_language_id,
+        op3_warc,
+        op4_near_dedup,
+        op5_html_extraction,
+        op6_packing,
+        op7_licenses,
+        op8_piece_codec,
+        op9_exact_dedup,
+        op10_quality_rules,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
