@@ -40,7 +40,7 @@ from lanewise.storage import stored
 
 SIZE = 128
 MISSED = 1e-6
-BLOCK = 256
+BLOCK = 1024
 BATCH_BYTES = 4 << 20
 SIGMAS = 6
 
@@ -157,11 +157,14 @@ def _compare(percent: int, n_bands: int, rows: int):
         sizes = np.array([len(s) for s in sets])
         drawn = np.stack([np.frombuffer(s, "<u4") for s in group["sketch"].to_pylist()])
         together, found = Groups(group["component"].to_pylist()), []
+        known = np.array(together.up)
         for i in range(len(reps)):
-            others = np.arange(i + 1, len(reps))
+            others = i + 1 + np.flatnonzero(known[i + 1 :] != known[i])
             if lo != hi:
                 others = others[block[others] != block[i]]
             others = others[100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])]
+            if not len(others):
+                continue
             same = drawn[others] == drawn[i]
             share = same.mean(axis=1)
             whole = same[:, : n_bands * rows].reshape(len(others), n_bands, rows).all(axis=2)
