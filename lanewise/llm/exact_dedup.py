@@ -40,12 +40,13 @@ def identifier(chunk: Column, bits: int) -> Column:
 
 
 def recipes(docs: DataFrame, key: str, text: str, bits: int = 64) -> DataFrame:
-    """One row per document: ``row``, ``id``, ``points``, ``text_sha256``, ``ids`` and ``digests``."""
+    """One row per document: ``row``, ``id``, ``points``, ``raw_hash``, ``text_sha256``, ``ids`` and ``digests``."""
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     bare = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(f"`{key}`").alias("id"),
         F.length(whole).cast("bigint").alias("points"),
+        F.xxhash64(whole).alias("raw_hash"),
         F.translate(whole, SPACES, "").alias("bare"),
     )
     cut = bare.withColumn("chunks", chunks(F.col("bare")))
@@ -53,6 +54,7 @@ def recipes(docs: DataFrame, key: str, text: str, bits: int = 64) -> DataFrame:
         "row",
         "id",
         "points",
+        "raw_hash",
         F.sha2("bare", 256).alias("text_sha256"),
         F.transform("chunks", lambda c: identifier(c, bits)).alias("ids"),
         F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256))).alias("digests"),
@@ -78,7 +80,8 @@ def verified(found: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 64) -> DataFrame:
-    """One row per row of ``docs``: its key, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+    """One row per row of ``docs``: its key, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``
+    and ``raw_hash`` of the text as it is.
 
     Texts are equal if they are identical without the characters ``SPACES``;
     null counts as empty. The row with the most code points stays, then the
@@ -99,6 +102,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bits:
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
         F.when(alone, F.lit(True)).otherwise(F.col("row") == F.col("best.row")).alias("kept"),
         "text_sha256",
+        "raw_hash",
     )
 
 

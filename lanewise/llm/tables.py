@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.llm import exact_dedup, html_extraction, language_id, licenses, near_dedup, packing, piece_codec, quality_rules, token_counts, warc
+from lanewise.llm import (
+    exact_dedup,
+    html_extraction,
+    language_id,
+    licenses,
+    near_dedup,
+    packing,
+    piece_codec,
+    quality_rules,
+    token_counts,
+    warc,
+)
 
 WORDS = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -50,7 +61,7 @@ def op8_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, folder, "documents"))
+    return exact_dedup.exact_dedup(table(spark, folder, "documents")).drop("raw_hash")
 
 
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
