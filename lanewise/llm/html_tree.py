@@ -15,6 +15,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z](?:[a-z]+|[A-Z]*(?![a-z]))")
 SPACE = re.compile(r"\s+")
+DEEPEST = 100  # what is nested deeper is taken as siblings
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small"
@@ -122,7 +123,7 @@ def parse(html: str) -> Element:
                     break
             element = Element(tag, token["attrs"])
             stack[-1].kids.append(element)
-            if tag not in VOID and not token["attrs"].endswith("/"):
+            if tag not in VOID and not token["attrs"].endswith("/") and len(stack) < DEEPEST:
                 stack.append(element)
     settle()
     return root
