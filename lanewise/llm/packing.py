@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -27,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.workers import importable, runs
+from lanewise.llm.transducer import PIECES, normal
+from lanewise.llm.workers import Recent, importable, runs
 from lanewise.storage import stored
 
 CAPACITY = 2048
 NODES = 12_000
 WIDTH = 6  # completions tried at a node
 BATCH_BYTES = 2 << 20
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 400_000  # and as many older ones
 
 
 class Pattern(NamedTuple):
@@ -231,30 +234,42 @@ def _place(table: Slots):
     return F.arrow_udf(place, "struct<sequence_id:bigint,offset:bigint>")
 
 
-class Ids(dict):
-    """Token ids of words without white space in ASCII, as little-endian numbers of 4 bytes.
+class Ids:
+    """Token ids of texts by the library, as little-endian numbers of 4 bytes.
 
     White space in ASCII borders on no token and composes with nothing, so a
-    text's ids are those of its words. Words are forgotten when there are many.
+    text's ids are those of its words, and a word's are those of the pieces its
+    pre-tokenizer finds. The library encodes each new piece; a word in which a
+    special token may lie is encoded as a whole.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.pieces = Recent(KNOWN_WORDS), Recent(KNOWN_WORDS)
+
+    def learn(self, known: Recent, texts: set[str]) -> None:
+        new = known.missing(texts)
+        found = self.tokenizer.encode_batch(new, add_special_tokens=False)
+        known.young.update((t, array("I", e.ids).tobytes()) for t, e in zip(new, found))
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = set().union(*split).difference(self)
-        if len(self) + len(new) > KNOWN_WORDS:
-            self.clear()
-            new = set().union(*split)
-        new = list(new)
-        encoded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        pieces: dict[bytes, list[str]] = {}
+        for word in self.words.missing(set().union(*split)):
+            text = word.decode("utf-8", "replace")
+            if "<|" in text:
+                pieces[word] = [text]
+            elif text.isalpha() and text.isascii():
+                pieces[word] = [text.lower()]
+            else:
+                pieces[word] = PIECES.findall(normal(text))
+        self.learn(self.pieces, set(chain.from_iterable(pieces.values())))
+        words, known = self.words.young, self.pieces.young
+        words.update((w, b"".join([known[p] for p in parts])) for w, parts in pieces.items())
+        return [b"".join(map(words.__getitem__, found)) for found in split]
 
 
 @lru_cache(maxsize=2)

@@ -74,7 +74,7 @@ class Transducer:
         self.beginnings = {t[:n] for t in (t.rstrip(END) for t in self.ids) for n in range(len(t))}
         self.edges: dict[str, tuple | None] = {}
         self.states: dict[str, State] = {}
-        self.pieces = Known(lambda text: self.piece(text.encode().decode("latin-1")), 200_000)
+        self.pieces = Known(lambda text: self.piece(text.encode().decode("latin-1")), 150_000)
         self.start = self.states[""] = State(self, "", {}, (0,))
 
     def sides(self, token: str) -> tuple | None:
@@ -205,18 +205,18 @@ def normal(text: str) -> str:
 
 
 class Known(dict):
-    """Results for the texts a worker has met; forgotten as a whole when there are many.
-
-    Long texts are not kept.
-    """
+    """Results for texts met lately, and for as many before them; long texts are not kept."""
 
     def __init__(self, compute, most: int):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.old = compute, most, {}
 
     def __missing__(self, text):
-        result = self.compute(text)
+        result = self.old.get(text)
+        if result is None:
+            result = self.compute(text)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         if len(text) <= 64:
             self[text] = result
@@ -232,4 +232,4 @@ def machine(path: str) -> Transducer:
 def counts(path: str) -> Known:
     """Word in UTF-8, without white space in ASCII, to the number of its tokens."""
     word = machine(path).word
-    return Known(lambda text: len(word(text)) // 4, 400_000)
+    return Known(lambda text: len(word(text)) // 4, 300_000)

@@ -29,3 +29,29 @@ def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         total += size
     if first < len(sizes):
         yield first, len(sizes)
+
+
+class Recent:
+    """Results for keys met lately: the younger ones, and an older generation to take from.
+
+    When there are ``most`` young ones they become the older generation, so keys
+    that come again and again are never lost and the number is bounded.
+    """
+
+    def __init__(self, most: int):
+        self.young: dict = {}
+        self.old: dict = {}
+        self.most = most
+
+    def missing(self, keys: set) -> list:
+        """The keys without a result; all others are among the young afterwards."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        out, old, young = [], self.old, self.young
+        for key in keys.difference(young):
+            result = old.get(key)
+            if result is None:
+                out.append(key)
+            else:
+                young[key] = result
+        return out
