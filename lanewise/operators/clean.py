@@ -10,29 +10,43 @@ from pyspark.sql import types as T
 
 from lanewise.schema import COLLAPSED_COUNTRIES, MEASURES
 
+# A cast alone would also take suffixes like 12d and words like Infinity.
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+#: Tried after ISO dates and the caller's own formats. With slashes the month
+#: comes first if both readings are dates; with points and hyphens the day does.
+DATE_FORMATS = ("M/d/yyyy", "d/M/yyyy", "d.M.yyyy", "d-M-yyyy")
+
+
+def _finite(value: Column) -> Column:
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
+
 
 def _number(df: DataFrame, name: str) -> Column:
-    """The measure as a number; text that is no number and NaN become null."""
+    """The measure as a number; text that is no number and values that are not finite become null."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
-        value = F.col(name).try_cast("double")
-        return F.when(~F.isnan(value), value)
+        return _finite(F.when(F.rlike(F.col(name), F.lit(NUMBER)), F.trim(F.col(name)).try_cast("double")))
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(name), F.col(name))
+        return _finite(F.col(name))
     return F.col(name)
 
 
 def _date(df: DataFrame, name: str, formats: Sequence[str]) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
-        tries = [F.try_to_timestamp(F.col(name))]
-        tries += [F.try_to_timestamp(F.col(name), F.lit(f)) for f in formats]
+        text = F.trim(F.col(name))
+        tries = [F.try_to_timestamp(text)]
+        tries += [F.try_to_timestamp(text, F.lit(f)) for f in (*formats, *DATE_FORMATS)]
         return F.to_date(F.coalesce(*tries))
     return F.col(name).cast("date")
 
 
 def coerce_types(df: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
-    """Measures to numbers and ``ship_date`` to a date; bad values become null."""
+    """Measures to numbers and ``ship_date`` to a date; bad values become null.
+
+    Dates are ISO, in one of ``date_formats``, or in one of ``DATE_FORMATS``.
+    """
     typed = {name: _number(df, name) for name in MEASURES}
     typed["ship_date"] = _date(df, "ship_date", date_formats)
     return df.withColumns(typed)
@@ -58,13 +72,14 @@ def normalise_zone(zone: str | Column) -> Column:
 def clean_shipments(raw: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
     """Keep usable rows, fill gaps and normalise zones and types.
 
-    A missing measure counts as 0, while text that is no number stays null:
-    such a row keeps its place as long as another measure is there.
+    A missing measure (null or NaN) counts as 0, while text that is no number
+    and infinite values become null: such a row keeps its place as long as
+    another measure is there.
     """
     filled = {name: F.when(F.col(name).isNull(), F.lit(0)).otherwise(_number(raw, name)) for name in MEASURES}
     for name in MEASURES:
         if isinstance(raw.schema[name].dataType, (T.DoubleType, T.FloatType)):
-            filled[name] = F.nanvl(F.coalesce(F.col(name), F.lit(0.0)), F.lit(0.0))
+            filled[name] = _finite(F.nanvl(F.coalesce(F.col(name), F.lit(0.0)), F.lit(0.0)))
         elif isinstance(raw.schema[name].dataType, T.DecimalType):
             filled[name] = F.coalesce(F.col(name), F.lit(0)).cast(raw.schema[name].dataType)
     return raw.filter(_usable(raw)).withColumns(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from lanewise.operators import answers, bids, clean, collection, enrich, facets, profile, regions, regularity, summary
 from lanewise.plans.tables import Tables
 from lanewise.schema import MEASURES, SHIPMENT_HEADERS, Params
-from lanewise.session import configure
 from lanewise.sources import files, sinks
 from lanewise.storage import shared_folder
 
@@ -23,6 +22,7 @@ ENRICHED = ("zc_from", "zc_to", "cntry_from", "cntry_to", "way", "pay_weight", "
 ORIGIN = "FR 20"
 DESTINATION = "DE 01"
 PERIOD = (date(1996, 1, 1), date(1998, 12, 31))
+UNREADABLE = ("12 kg", "12d", "12f", "Infinity", "-Infinity", "1e400", "  ", "NaN", "0x1F", "1.2.3")
 
 
 def report(name: str) -> Callable[[Report], Report]:
@@ -68,10 +68,9 @@ REPORTS["bid_head_csv"] = lambda t: bids.bid_head_csv(_bid_cells(t), "row_id", k
 
 @report("export_table")
 def _(t: Tables) -> DataFrame:
-    path = f"{shared_folder(t.spark)}/rejected"
-    sinks.write_table(clean.rejected_rows(t.raw), path, mode="overwrite")
-    written = files.read_table(t.spark, path)
-    return written.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kg").cast("double")).alias("kg"))
+    path = f"{shared_folder(t.spark)}/rejected-{uuid.uuid4().hex}"
+    sinks.write_table(clean.rejected_rows(t.raw), path)
+    return _doubles(files.read_table(t.spark, path), *MEASURES)
 
 
 @report("export_tables")
@@ -83,7 +82,7 @@ def _(t: Tables) -> DataFrame:
         "branches": files.branch_points(t.branches),
         "months": summary.seasonality(t.summary),
     }
-    paths = sinks.write_tables(sheets, f"{shared_folder(t.spark)}/sheets", mode="overwrite")
+    paths = sinks.write_tables(sheets, f"{shared_folder(t.spark)}/sheets-{uuid.uuid4().hex}")
     counts = [
         files.read_table(t.spark, path).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
         for name, path in paths.items()
@@ -97,7 +96,7 @@ def _(t: Tables) -> DataFrame:
 # Cleaning and enrichment
 
 REPORTS["clean_shipments"] = lambda t: _doubles(t.clean, *MEASURES)
-REPORTS["rejected_rows"] = lambda t: _doubles(clean.rejected_rows(t.raw), *MEASURES).drop("category1", "category2")
+REPORTS["rejected_rows"] = lambda t: _doubles(clean.rejected_rows(t.raw), *MEASURES)
 REPORTS["rejected_count"] = lambda t: clean.rejected_count(t.raw)
 
 
@@ -111,16 +110,28 @@ def _(t: Tables) -> DataFrame:
 @report("coerce_types")
 def _(t: Tables) -> DataFrame:
     """Line items with their numbers and dates as text, some of them unreadable."""
-    line = F.col("l_linenumber")
+    line, part, ship = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_shipdate")
+    odd = F.element_at(F.array(*[F.lit(x) for x in UNREADABLE]), (part % len(UNREADABLE) + 1).cast("int"))
+    quantity = F.col("l_quantity").cast("string")
+    # With slashes the day comes first where only that reading is a date.
+    slashes = F.when(F.dayofmonth(ship) > 12, F.date_format(ship, "dd/MM/yyyy")).otherwise(F.date_format(ship, "M/d/yyyy"))
+    dates = (
+        F.when(line == 2, "soon")
+        .when(part % 5 == 0, F.date_format(ship, "dd.MM.yyyy"))
+        .when(part % 5 == 1, slashes)
+        .when(part % 5 == 2, F.date_format(ship, "MM/dd/yyyy"))
+        .when(part % 5 == 3, F.date_format(ship, " d-M-yyyy "))
+        .otherwise(F.date_format(ship, "yyyy-MM-dd"))
+    )
     text = t.read("lineitem").select(
         "l_orderkey",
         "l_linenumber",
-        F.when(line == 3, "12 kg").otherwise(F.col("l_quantity").cast("string")).alias("kg"),
+        F.when(line == 3, odd).when(line == 1, F.concat(F.lit(" "), quantity, F.lit("e1 "))).otherwise(quantity).alias("kg"),
         F.col("l_discount").cast("string").alias("ldm"),
         F.when(line == 4, "NaN").otherwise(F.col("l_tax").cast("string")).alias("m3"),
-        F.when(line == 2, "soon").otherwise(F.date_format("l_shipdate", "dd.MM.yyyy")).alias("ship_date"),
+        dates.alias("ship_date"),
     )
-    return clean.coerce_types(text, date_formats=["dd.MM.yyyy"])
+    return clean.coerce_types(text)
 
 
 REPORTS["enrich_shipments"] = lambda t: _enriched(t.shipments)
@@ -176,6 +187,15 @@ REPORTS["facet_options"] = lambda t: facets.facet_options(
 REPORTS["map_filter"] = lambda t: _enriched(
     facets.map_filter(t.shipments, {"product": ["LTL", "FTL"], "branch": ["3-MEDIUM"]}, PERIOD)
 )
+REPORTS["map_filter_dates"] = lambda t: _enriched(
+    facets.map_filter(t.dated, {"product": ["LTL", "FTL"], "branch": ["3-MEDIUM"]}, PERIOD), "ship_date"
+)
+REPORTS["facet_filter_dates"] = lambda t: _enriched(
+    facets.facet_filter(t.dated.drop("category2"), {"product": ["GRP", "LTL"]}, dates=PERIOD), "ship_date"
+)
+REPORTS["facet_filter_dates_off"] = lambda t: _enriched(
+    facets.facet_filter(t.shipments.drop("category2"), {"product": ["GRP", "LTL"]}, dates=PERIOD)
+)
 REPORTS["zone_list"] = lambda t: facets.zone_list(t.shipments)
 
 # Summary
@@ -226,7 +246,7 @@ def _by_level(level: int) -> Report:
     )
 
 
-REPORTS["region_join"] = _by_level(0)
+REPORTS["region_join"] = lambda t: _by_level(0)(t).filter("name is null")
 for _level in range(4):
     REPORTS[f"region_by_level_{_level}"] = _by_level(_level)
 
@@ -314,8 +334,13 @@ REPORTS["short_zone"] = lambda t: _coded_bid(t).select(
 
 @report("pad_zip")
 def _(t: Tables) -> DataFrame:
-    short = _coded_bid(t).select("row_id", "iso2", (F.col("row_id") * 7 % 9000).cast("string").alias("zip"))
-    return short.select("row_id", "zip", bids.pad_zip(F.col("iso2"), F.col("zip")).alias("padded"))
+    """Postal codes of both ends, without the zeros that a spreadsheet takes off."""
+    ends = F.array(F.struct(F.lit("from").alias("end"), F.col("Collection zipcode").alias("text")),
+                   F.struct(F.lit("to").alias("end"), F.col("Delivery zipcode").alias("text")))
+    cells = _coded_bid(t).select("row_id", "iso2", F.inline(ends))
+    code = F.regexp_replace(bids.clean_zip(F.col("text"), F.col("iso2")), "^0+", "")
+    short = cells.withColumn("zip", code)
+    return short.select("row_id", "end", "zip", bids.pad_zip(F.col("iso2"), F.col("zip")).alias("padded"))
 
 
 MAPPING = {
@@ -354,8 +379,8 @@ def _(t: Tables) -> DataFrame:
 
 # Answers
 
-REPORTS["answer_lines"] = lambda t: answers.answer_lines(t.answers, "answer_id", lines=5)
-REPORTS["fuel_lines"] = lambda t: answers.fuel_lines(t.answers, "answer_id", after=3)
+REPORTS["answer_lines"] = lambda t: answers.answer_lines(t.answers, "answer_id")
+REPORTS["fuel_lines"] = lambda t: answers.fuel_lines(t.answers, "answer_id")
 REPORTS["verdict_line"] = lambda t: answers.verdict_line(t.answers, "answer_id")
 REPORTS["summary_split"] = lambda t: answers.summary_split(t.answers, "answer_id")
 
@@ -369,14 +394,8 @@ def _(t: Tables) -> DataFrame:
 REPORTS["token_chunks"] = lambda t: answers.token_chunks(t.read("documents"), "doc_id")
 
 
-@lru_cache(maxsize=None)
-def tables(spark: SparkSession, folder: str) -> Tables:
-    """The same lazy tables for all reports of a session: plans are shared, data is not."""
-    return Tables(configure(spark), folder)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def run(build: Report) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, folder: build(tables(spark, folder))
+        return lambda spark, folder: build(Tables(spark, folder))
 
     return {name: run(build) for name, build in REPORTS.items()}

@@ -13,10 +13,10 @@ QUERIES: dict[str, str] = {}
 
 VIEWS["fx_shipments_raw"] = """
 SELECT
-  CASE WHEN (l_orderkey + l_partkey) % 97 = 0 THEN NULL
+  CASE WHEN (l_orderkey + l_partkey) % 97 = 0 THEN NULL WHEN l_suppkey % 7 = 3 THEN 'FR 20'
        ELSE substr('FRDEESITPLGBBENLSENODKFIATCZPTIEHUROUARUBAMEBYADXK', s_nationkey*2+1, 2)
             || ' ' || lpad(cast(s_suppkey % 100 AS string), 2, '0') END AS zc_from,
-  CASE WHEN (l_orderkey + l_partkey) % 89 = 0 THEN NULL
+  CASE WHEN (l_orderkey + l_partkey) % 89 = 0 THEN NULL WHEN o_custkey % 11 = 5 THEN 'DE 01'
        ELSE substr('FRDEESITPLGBBENLSENODKFIATCZPTIEHUROUARUBAMEBYADXK', c_nationkey*2+1, 2)
             || ' ' || lpad(cast(c_custkey % 100 AS string), 2, '0') END AS zc_to,
   CASE WHEN l_partkey % 101 = 0 THEN NULL ELSE cast(l_shipdate AS date) END AS ship_date,
@@ -115,7 +115,8 @@ VIEWS["fx_answers"] = """
 SELECT p_partkey AS answer_id,
   'Summary of ' || p_name || chr(10) || chr(10) || '- Customer name: ' || p_brand || chr(10)
   || '- Sector: ' || p_type || ': size ' || cast(p_size AS string) || chr(10) || '- no colon here' || chr(10)
-  || '- Go/NoGo: ' || CASE WHEN p_size % 2 = 0 THEN 'Go: none' ELSE 'NoGo: penalties' END AS text
+  || array_to_string(list_transform(range(1, 25 + p_size), lambda i: '- Item ' || cast(i AS varchar) || ': ' || p_brand
+       || ': no. ' || cast(i * p_size AS varchar)), chr(10)) || chr(10) || '- Go/NoGo: ' || CASE WHEN p_size % 2 = 0 THEN 'Go: none' ELSE 'NoGo: penalties' END AS text
 FROM part
 """
 
@@ -232,7 +233,11 @@ UNION ALL
 SELECT concat_ws(',', "Collection country", "Collection zipcode", "Delivery country", "Delivery zipcode", "Goods")
 FROM (SELECT * FROM bid_cells ORDER BY row_id LIMIT 5) h
 """
-QUERIES["export_table"] = "SELECT count(*) AS n, sum(cast(kg AS double)) AS kg FROM usable WHERE NOT ok"
+_REJECTED = """
+SELECT zc_from, zc_to, ship_date, cast(kg AS double) AS kg, cast(ldm AS double) AS ldm, cast(m3 AS double) AS m3,
+       branch, category1, category2 FROM usable WHERE NOT ok
+"""
+QUERIES["export_table"] = _REJECTED
 QUERIES["export_tables"] = """
 SELECT 'rejected' AS name, count(*) AS n FROM usable WHERE NOT ok
 UNION ALL SELECT 'ways', count(*) FROM (VALUES (1), (2), (3), (4)) w
@@ -247,10 +252,7 @@ QUERIES["clean_shipments"] = """
 SELECT zc_from, zc_to, ship_date, cast(kg AS double) AS kg, cast(ldm AS double) AS ldm, cast(m3 AS double) AS m3,
        branch, category1, category2 FROM clean
 """
-QUERIES["rejected_rows"] = """
-SELECT zc_from, zc_to, ship_date, cast(kg AS double) AS kg, cast(ldm AS double) AS ldm, cast(m3 AS double) AS m3,
-       branch FROM usable WHERE NOT ok
-"""
+QUERIES["rejected_rows"] = _REJECTED
 QUERIES["rejected_count"] = "SELECT count(*) AS rejected FROM usable WHERE NOT ok"
 QUERIES["zone_normalise"] = """
 SELECT zone, CASE WHEN substr(zone, 1, 2) IN ('AD','ME','RU','XK','UA','BY','BA') THEN substr(zone, 1, 2)
@@ -260,7 +262,8 @@ FROM (SELECT zc_from AS zone FROM fx_shipments_raw UNION ALL SELECT zc_to FROM f
 GROUP BY zone
 """
 QUERIES["coerce_types"] = """
-SELECT l_orderkey, l_linenumber, cast(CASE WHEN l_linenumber <> 3 THEN l_quantity END AS double) AS kg,
+SELECT l_orderkey, l_linenumber,
+       cast(CASE WHEN l_linenumber = 1 THEN l_quantity * 10 WHEN l_linenumber <> 3 THEN l_quantity END AS double) AS kg,
        cast(l_discount AS double) AS ldm, cast(CASE WHEN l_linenumber <> 4 THEN l_tax END AS double) AS m3,
        CASE WHEN l_linenumber <> 2 THEN cast(l_shipdate AS date) END AS ship_date
 FROM lineitem
@@ -313,6 +316,17 @@ SELECT DISTINCT facet_no, facet, value FROM (
 QUERIES["map_filter"] = f"""
 SELECT {_ENRICHED_COLUMNS} FROM ship WHERE product IN ('LTL', 'FTL') AND branch IN ('3-MEDIUM')
 """
+QUERIES["map_filter_dates"] = f"""
+SELECT {_ENRICHED_COLUMNS}, ship_date FROM ship WHERE product IN ('LTL', 'FTL') AND branch IN ('3-MEDIUM')
+  AND ship_date BETWEEN date '1996-01-01' AND date '1998-12-31'
+"""
+QUERIES["facet_filter_dates"] = f"""
+SELECT {_ENRICHED_COLUMNS}, ship_date FROM ship
+WHERE product IN ('GRP', 'LTL') AND branch IS NOT NULL AND ship_date BETWEEN date '1996-01-01' AND date '1998-12-31'
+"""
+QUERIES["facet_filter_dates_off"] = f"""
+SELECT {_ENRICHED_COLUMNS} FROM ship WHERE product IN ('GRP', 'LTL') AND branch IS NOT NULL
+"""
 QUERIES["zone_list"] = "SELECT DISTINCT zc_from AS zone FROM ship"
 
 # ---------------------------------------------------------------- summary
@@ -489,7 +503,7 @@ FROM ({totals}) t LEFT JOIN fx_region_attrs a ON a.region_id = t.region_id AND a
 
 QUERIES["region_delivery"] = split("zc_to", 0)
 QUERIES["region_collection"] = split("zc_from", 0)
-QUERIES["region_join"] = named(split("zc_to", 0), 0)
+QUERIES["region_join"] = named(split("zc_to", 0), 0) + "WHERE a.name IS NULL"
 for _level in range(4):
     QUERIES[f"region_by_level_{_level}"] = named(split("zc_to", _level), _level)
 for _variable in ("pay_weight", "kg", "ldm", "m3"):
@@ -721,10 +735,13 @@ QUERIES["short_zone"] = """
 SELECT row_id, CASE WHEN iso2 <> '' AND "Delivery zipcode" <> '' THEN iso2 || ' ' || substr("Delivery zipcode", 1, 2) END AS zone
 FROM fx_bid_raw JOIN fx_country_names ON ord = row_id % 25
 """
-QUERIES["pad_zip"] = """
-SELECT row_id, zip, CASE WHEN length(zip) = 2 OR n IS NULL OR length(zip) >= n THEN zip ELSE lpad(zip, n, '0') END AS padded
-FROM (SELECT row_id, cast((row_id * 7) % 9000 AS varchar) AS zip, n
-      FROM fx_bid_raw JOIN fx_country_names ON ord = row_id % 25
+QUERIES["pad_zip"] = f"""
+SELECT row_id, "end", zip,
+       CASE WHEN length(zip) = 2 OR n IS NULL OR length(zip) >= n THEN zip ELSE lpad(zip, n, '0') END AS padded
+FROM (SELECT row_id, "end", regexp_replace({zip_of('text', 'iso2')}, '^0+', '') AS zip, n
+      FROM (SELECT row_id, 'from' AS "end", "Collection zipcode" AS text FROM fx_bid_raw
+            UNION ALL SELECT row_id, 'to', "Delivery zipcode" FROM fx_bid_raw) b
+      JOIN fx_country_names ON ord = row_id % 25
       LEFT JOIN (VALUES ('AT', 4), ('BA', 5), ('BE', 4), ('CZ', 5), ('DE', 5), ('DK', 4), ('ES', 5), ('FI', 5), ('FR', 5),
                         ('HU', 4), ('IT', 5), ('ME', 5), ('NL', 4), ('NO', 4), ('PL', 5), ('PT', 7), ('RO', 6), ('SE', 5),
                         ('XK', 5)) l(c, n) ON c = iso2) z
@@ -761,7 +778,8 @@ LEFT JOIN fx_postal_ref p ON p.country = b.block AND p.ord = b.ord
 
 VIEWS["answer_parts"] = """
 SELECT answer_id, i - 1 AS line_no, len(l) AS n, substr(l[i], 2) AS line
-FROM (SELECT answer_id, string_split(text, chr(10)) AS l FROM fx_answers) a, generate_series(1, 6) g(i) WHERE i <= len(l)
+FROM (SELECT answer_id, l, unnest(range(1, len(l) + 1)) AS i
+      FROM (SELECT answer_id, string_split(text, chr(10)) AS l FROM fx_answers) a) g
 """
 _FIRST = "split_part(line, ': ', 1)"
 _AFTER_FIRST = "substr(line, strpos(line, ': ') + 2)"
@@ -771,11 +789,11 @@ _THREE = (
 )
 QUERIES["answer_lines"] = f"""
 SELECT answer_id, cast(line_no AS int) AS line_no, {_THREE.format('answer', 'description')} FROM answer_parts
-WHERE line_no < 5 AND contains(line, ': ')
+WHERE line_no < 33 AND contains(line, ': ')
 """
 QUERIES["fuel_lines"] = f"""
-SELECT answer_id, cast(line_no - 3 AS int) AS line_no, {_FIRST} AS question, {_AFTER_FIRST} AS answer FROM answer_parts
-WHERE line_no >= 3 AND line_no < n - 1 AND contains(line, ': ')
+SELECT answer_id, cast(line_no - 33 AS int) AS line_no, {_FIRST} AS question, {_AFTER_FIRST} AS answer FROM answer_parts
+WHERE line_no >= 33 AND line_no < n - 1 AND contains(line, ': ')
 """
 QUERIES["verdict_line"] = f"""
 SELECT answer_id, {_THREE.format('verdict', 'reason')} FROM answer_parts WHERE line_no = n - 1 AND contains(line, ': ')

@@ -7,7 +7,7 @@ definitions as SQL for the check in another engine.
 from __future__ import annotations
 
 from decimal import Decimal
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +36,6 @@ CORNERS = (
 )
 
 
-@lru_cache(maxsize=None)
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def _code(nation: str) -> Column:
     return F.substring(F.lit(CODES), F.col(nation) * 2 + 1, F.lit(2))
 
@@ -79,7 +74,7 @@ class Tables:
         self.params = params
 
     def read(self, name: str) -> DataFrame:
-        return _read(self.spark, f"{self.folder}/{name}.parquet")
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -101,8 +96,8 @@ class Tables:
             .join(origins, F.col("l_suppkey") == F.col("s_suppkey"))
         )
         return joined.select(
-            F.when(key % 97 != 0, F.col("origin")).alias("zc_from"),
-            F.when(key % 89 != 0, F.col("target")).alias("zc_to"),
+            F.when(key % 97 != 0, F.when(F.col("l_suppkey") % 7 == 3, "FR 20").otherwise(F.col("origin"))).alias("zc_from"),
+            F.when(key % 89 != 0, F.when(F.col("o_custkey") % 11 == 5, "DE 01").otherwise(F.col("target"))).alias("zc_to"),
             F.when(part % 101 != 0, F.col("l_shipdate").cast("date")).alias("ship_date"),
             F.when((line == 7) & (part % 3 == 0), F.lit(None).cast("decimal(18,3)"))
             .when(empty, _decimal(0))
@@ -123,6 +118,10 @@ class Tables:
     def shipments(self) -> DataFrame:
         return enrich_shipments(self.clean, self.params)
 
+    @cached_property
+    def dated(self) -> DataFrame:
+        return self.shipments.filter("ship_date is not null")
+
     @cached_property
     def summary(self) -> DataFrame:
         return summary_rows(self.shipments)
@@ -318,7 +317,12 @@ class Tables:
 
     @cached_property
     def answers(self) -> DataFrame:
+        """Answers with 31 to 80 lines, so most are longer than the block of questions."""
         size = F.col("p_size")
+        items = F.transform(
+            F.sequence(F.lit(1), size + 24),
+            lambda i: F.concat(F.lit("- Item "), i.cast("string"), F.lit(": "), F.col("p_brand"), F.lit(": no. "), (i * size).cast("string")),
+        )
         verdict = F.when(size % 2 == 0, "Go: none").otherwise("NoGo: penalties")
         lines = [
             F.concat(F.lit("Summary of "), "p_name"),
@@ -326,6 +330,7 @@ class Tables:
             F.concat(F.lit("- Customer name: "), "p_brand"),
             F.concat(F.lit("- Sector: "), "p_type", F.lit(": size "), size.cast("string")),
             F.lit("- no colon here"),
+            F.array_join(items, "\n"),
             F.concat(F.lit("- Go/NoGo: "), verdict),
         ]
         return self.read("part").select(F.col("p_partkey").alias("answer_id"), F.concat_ws("\n", *lines).alias("text"))

@@ -34,8 +34,8 @@ def _plain(value):
     return value
 
 
-def differences(df, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
-    """What is not equal: columns, types, number of rows, values."""
+def differences(df, con: duckdb.DuckDBPyConnection, sql: str, some: bool = False) -> list[str]:
+    """What is not equal: columns, types, number of rows, values; ``some`` asks for rows."""
     problems = []
     con.execute(sql)
     theirs = {d[0]: i for i, d in enumerate(con.description)}
@@ -52,6 +52,8 @@ def differences(df, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
     other = Counter(tuple(_plain(r[theirs[n]]) for n in names) for r in rows)
     if sum(mine.values()) != sum(other.values()):
         problems.append(f"rows {sum(mine.values())} and {sum(other.values())}")
+    if some and not mine:
+        problems.append("no rows")
     if mine != other:
         left, right = list((mine - other).items()), list((other - mine).items())
         problems.append(f"{len(left)} rows differ; ours {left[:2]}, theirs {right[:2]}")

@@ -2,8 +2,8 @@ import os
 
 import pytest
 
-import __spark_entry__ as entry
 import compare
+from lanewise.plans import catalog, oracle
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -14,10 +14,11 @@ def duck():
 
 
 def test_every_report_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(oracle.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.REPORTS))
 def test_report_matches_sql(spark, duck, name):
-    report = entry.queries()[name](spark, FOLDER)
-    assert compare.differences(report, duck, entry.oracle_sql()[name]) == []
+    """Equal rows, and some of them."""
+    report = catalog.queries()[name](spark, FOLDER)
+    assert compare.differences(report, duck, oracle.oracle_sql()[name], some=True) == []
