@@ -11,19 +11,21 @@ are searched one by one and remembered.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.workers import importable
+from lanewise.llm.workers import Recent, importable, runs
 
 MARK = "▁"
 PENALTY = 10.0  # of a character without a piece, below the lowest score
-KNOWN_PARTS = 400_000
+MARKED = MARK.encode()
+KNOWN_PARTS = 400_000  # and as many older ones
+BATCH_BYTES = 2 << 20
 
 
 class Trie:
@@ -95,6 +97,7 @@ class Codec:
         plain = [i for i in every if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         pieces = {i: model.id_to_piece(i) for i in plain}
         self.scores = {i: model.get_score(i) for i in plain}
+        self.points = list(self.scores.values())
         self.unknown = min(self.scores.values()) - PENALTY
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in every if model.is_byte(i)}
         self.ids = list(pieces)
@@ -106,52 +109,62 @@ class Codec:
             raise ValueError("a piece holds the marker after another character")
         lines = any("\n" in p for p in pieces.values())
         self.parts = re.compile(rb" +[^ ]*" if lines else rb" +[^ \n]*|\n|[^ \n]+")
-        self.known: dict[bytes, tuple[int, ...]] = {}
-
-    def search(self, part: bytes) -> tuple[int, ...]:
-        """Ids of the best segmentation of a part; of equal ones, the one with the shorter last pieces."""
-        text = part.replace(b" ", MARK.encode())
-        n = len(text)
-        best: list[float] = [-float("inf")] * (n + 1)
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        self.known = Recent(KNOWN_PARTS)
+
+    def search(self, part: bytes) -> bytes:
+        """Ids of the best segmentation of a part, as little-endian numbers of 4 bytes.
+
+        Of equal ones, the one with the shorter last pieces.
+        """
+        text = part.replace(b" ", MARKED)
+        base, check, value, points = self.trie.base, self.trie.check, self.trie.value, self.points
+        n, unknown, low = len(text), self.unknown, -float("inf")
+        best, back, piece = [low] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         for at in range(n):
             here = best[at]
-            if here == -float("inf"):
+            if here == low:
                 continue
-            width = 1 if text[at] < 0x80 else 2 if text[at] < 0xE0 else 3 if text[at] < 0xF0 else 4
-            alone = min(n, at + width)
-            if here + self.unknown > best[alone]:
-                best[alone], back[alone] = here + self.unknown, (at, -1)
-            for end, number in self.trie.prefixes(text, at):
-                piece = self.ids[number]
-                if here + self.scores[piece] >= best[end]:
-                    best[end], back[end] = here + self.scores[piece], (at, piece)
+            byte = text[at]
+            alone = at + (1 if byte < 0x80 else 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4)
+            if alone <= n and here + unknown > best[alone]:
+                best[alone], back[alone], piece[alone] = here + unknown, at, -1
+            state, end = 0, at
+            for byte in text[at:]:
+                after = base[state] + byte + 1
+                if check[after] != state:
+                    break
+                state, end = after, end + 1
+                number = value[state]
+                if number >= 0:
+                    score = here + points[number]
+                    if score >= best[end]:
+                        best[end], back[end], piece[end] = score, at, number
         out: list[int] = []
         while n:
-            at, piece = back[n]
-            if piece >= 0:
-                out.append(piece)
+            if piece[n] >= 0:
+                out.append(self.ids[piece[n]])
             else:
-                out += [self.bytes.get(b, self.missing) for b in reversed(text[at:n])]
-            n = at
-        return tuple(reversed(out))
-
-    def encode(self, text: bytes) -> list[int]:
-        if not text:
-            return []
-        known, parts = self.known, self.parts.findall(b" " + text.replace(MARK.encode(), b" "))
-        for part in set(parts).difference(known):
-            if len(known) >= KNOWN_PARTS:
-                known.clear()
-            known[part] = self.search(part)
-        if len(known) < KNOWN_PARTS:
-            return list(chain.from_iterable(map(known.__getitem__, parts)))
-        return list(chain.from_iterable(known[p] if p in known else self.search(p) for p in parts))
+                out += [self.bytes.get(b, self.missing) for b in reversed(text[back[n] : n])]
+            n = back[n]
+        return array("I", reversed(out)).tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text."""
+        split = [self.parts.findall(b" " + t.replace(MARKED, b" ")) if t else [] for t in texts]
+        known = self.known
+        for part in known.missing(set().union(*split)):
+            known.young[part] = self.search(part)
+        found = known.young.__getitem__
+        return [b"".join(map(found, parts)) for parts in split]
 
     def decode(self, ids: list[int]) -> bytes:
-        """The text, without the space that the first marker stands for."""
-        text = b"".join([self.written.get(i, b"") for i in ids])
+        """The text, without the space that the first marker stands for. Ids that no piece has are left out."""
+        written = self.written
+        try:
+            text = b"".join([written[i] for i in ids])
+        except KeyError:
+            text = b"".join([written.get(i, b"") for i in ids])
         return text[1:] if text[:1] == b" " else text
 
 
@@ -164,11 +177,11 @@ def encoded(text: Column, path: str) -> Column:
     """Array of piece ids; empty for null and empty texts."""
 
     def encode(texts: pa.Array) -> pa.Array:
-        know = codec(path)
-        rows = [know.encode(t or b"") for t in texts.to_pylist()]
-        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-        flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        know, rows, all_texts = codec(path), [], [t or b"" for t in texts.to_pylist()]
+        for first, end in runs([len(t) for t in all_texts], BATCH_BYTES):
+            rows += know.encode(all_texts[first:end])
+        ends = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), "<i4")))
 
     encode.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(encode, "array<int>")(text.cast("binary"))
