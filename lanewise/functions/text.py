@@ -47,24 +47,3 @@ def similarity(a: Column, a_sorted: Column, b: Column, b_sorted: Column) -> Colu
     nearest = F.least(F.levenshtein(a, b), F.levenshtein(a_sorted, b_sorted))
     prefix = F.when(is_prefix_pair(a, b), F.lit(PREFIX_SCORE)).otherwise(F.lit(0)).cast("bigint")
     return F.greatest(closeness(nearest, longest), prefix)
-
-
-def close_spellings(text: Column) -> Column:
-    """The text and all its spellings with one or two characters left out.
-
-    Two texts within an edit distance of 2 always have one of these in common.
-    """
-    nowhere = F.array().cast("array<int>")
-    size = F.length(text)
-
-    def without(word: Column, place: Column) -> Column:
-        return F.concat(word.substr(F.lit(1), place - 1), word.substr(place + 1, F.length(word)))
-
-    def with_second(place: Column) -> Column:
-        """Without the character at ``place``, and without one more from there on."""
-        once = without(text, place)
-        later = F.when(place < size, F.sequence(place, size - 1)).otherwise(nowhere)
-        return F.concat(F.array(once), F.transform(later, lambda other: without(once, other)))
-
-    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(nowhere)
-    return F.array_distinct(F.concat(F.array(text), F.flatten(F.transform(places, with_second))))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lanewise.functions.numbers import half_up_ratio, total
 from lanewise.functions.text import comparable, strip
-from lanewise.operators.matching import best_match
-from lanewise.storage import fits_broadcast, salted_lookup, stored, stored_lookup
+from lanewise.operators.matching import best_match, checked_ord
+from lanewise.storage import stored
 
 ROLES = ("origin_cntry", "origin_zipcode", "destination_cntry", "destination_zipcode")
 SIDES = ("origin", "destination")
@@ -18,6 +18,10 @@ SIDES = ("origin", "destination")
 # Header words that tell the two ends of a shipment apart.
 ORIGIN_WORDS = ("origin", "collection", "depart", "chargement", "from", "shipping", "consignor")
 DESTINATION_WORDS = ("destination", "arrivée", "to", "livraison", "consignee", "delivery")
+# Of these, the one that only counts where no other word names an end: goods are shipped to somewhere, too.
+LOOSE_WORDS = ("shipping",)
+# A name is numbered by its column and the place of its row, in so much room per column.
+NAME_SPACE = 1 << 40
 
 # Countries whose postal codes contain letters.
 LETTER_ZIP_COUNTRIES = ("GB", "IE")
@@ -74,11 +78,13 @@ def country_names(iso: DataFrame, order: str = "ord") -> DataFrame:
     """
     wide = [c for c in iso.columns if c.startswith("country_")]
     place = {name: number for number, name in enumerate(wide)}
+    if len(wide) > 256:
+        raise ValueError(f"{len(wide)} columns of names; there is room for 256")
     long = iso.unpivot([order, "iso2"], wide, "variable", "country").filter(F.col("country").isNotNull())
     number = F.lit(0).cast("bigint")
     for name, position in place.items():
         number = F.when(F.col("variable") == name, F.lit(position).cast("bigint")).otherwise(number)
-    ranked = long.withColumn("place", number * (1 << 32) + F.col(order))
+    ranked = long.withColumn("place", number * NAME_SPACE + checked_ord(F.col(order), NAME_SPACE))
     return ranked.groupBy("country").agg(F.min_by("iso2", "place").alias("iso2"), F.min("place").alias("ord"))
 
 
@@ -90,7 +96,7 @@ def fuzzy_country(texts: DataFrame, names: DataFrame, min_score: int | None = No
     keys = texts.select("text").filter("text is not null and text <> ''").distinct()
     everywhere = names.select(F.lit("").alias("block"), F.col("country").alias("text"), "ord")
     best = best_match(keys.withColumn("block", F.lit("")), everywhere).drop("block")
-    named = salted_lookup(best, names.select("ord", "country", "iso2"), ["ord"])
+    named = best.join(names.select("ord", "country", "iso2"), "ord", "left")
     if min_score is not None:
         named = named.filter(F.col("score") >= min_score)
     return named.select("text", F.col("country").alias("matched"), "score", "iso2")
@@ -132,7 +138,7 @@ def fuzzy_zone(zones: DataFrame, postal: DataFrame) -> DataFrame:
     choices = postal.select("country", F.col("full_zc").alias("text"), "ord")
     best = best_match(keys, choices, block="country")
     entries = postal.select("country", "ord", "full_zc", "zc")
-    return salted_lookup(best, entries, ["country", "ord"]).select("country", "text", "full_zc", "score", "zc")
+    return best.join(entries, ["country", "ord"], "left").select("country", "text", "full_zc", "score", "zc")
 
 
 def prefix_zone(zones: DataFrame, postal: DataFrame) -> DataFrame:
@@ -141,13 +147,13 @@ def prefix_zone(zones: DataFrame, postal: DataFrame) -> DataFrame:
     Only beginnings as long as some reference zone can match, so only those are
     produced.
     """
-    keys = zones.filter("country is not null and text is not null").select("country", "text").distinct()
-    listed = postal.groupBy(F.col("zc").alias("prefix")).agg(F.min("ord").alias("first_ord"))
+    keys = stored(zones.filter("country is not null and text is not null").select("country", "text").distinct(), "keys")
+    listed = postal.select(F.col("zc").alias("prefix")).distinct()
     lengths = postal.agg(F.collect_set(F.length("zc"))).scalar()
     fitting = F.filter("lengths", lambda n: n <= F.length("text"))
     pieces = F.transform(fitting, lambda n: F.substring(F.col("text"), F.lit(1), n))
     exploded = keys.withColumn("lengths", lengths).select("country", "text", F.explode(pieces).alias("prefix"))
-    found = salted_lookup(exploded, listed, ["prefix"]).filter(F.col("first_ord").isNotNull())
+    found = exploded.join(listed, "prefix")
     starts = found.groupBy("country", "text").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
     with_start = keys.join(starts, ["country", "text"], "left")
     rest = fuzzy_zone(with_start.filter(F.col("prefix").isNull()), postal)
@@ -166,8 +172,10 @@ def match_score(bid: DataFrame, legacy_score: bool = False) -> DataFrame:
     """Score of a row from 0.1 to 1 and whether somebody should look at it.
 
     The sum of the four scores is scaled between the lowest and the highest sum
-    of the table; with equal sums every row gets 1. ``legacy_score`` leaves out
-    the score of the destination country, as older reports did.
+    of the table; with equal sums every row gets 1, or 0.1 if there are no
+    scores. A row with an end that has no reference zone is always for review.
+    ``legacy_score`` leaves out the score of the destination country, as older
+    reports did.
     """
     parts = ["origin_score", "destination_score", "origin_country_score", "destination_country_score"]
     if legacy_score:
@@ -178,32 +186,36 @@ def match_score(bid: DataFrame, legacy_score: bool = False) -> DataFrame:
     low, high = F.col("ends.low"), F.col("ends.high")
     # 0.1 + 0.9 * x in hundredths, as a ratio of whole numbers.
     scaled = half_up_ratio(F.lit(10) * (high - low) + F.lit(90) * (points - low), (high - low) * 100, 2)
-    score = F.when(high == low, F.lit(1.0)).otherwise(scaled)
+    score = F.when(high > low, scaled).otherwise(F.when(high > 0, F.lit(1.0)).otherwise(F.lit(0.1)))
     review = score <= 0.9
+    for side in SIDES:
+        if f"{side}_zc" in bid.columns:
+            review = review | F.col(f"{side}_zc").isNull()
     return spread.withColumns(
         {"match_score": score, "needs_review": review, "review_flag": F.when(review, "oui").otherwise("non")}
     ).drop("ends")
 
 
+def header_words(column: Column) -> Column:
+    """The words of a header in lower case; a capital after a small letter starts a word."""
+    return F.split(comparable(F.regexp_replace(column, r"(\p{Ll})(\p{Lu})", "$1 $2")), " ")
+
+
 def column_profile(bid: DataFrame, names: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """How much each column looks like a country or postal code of either end.
 
     ``names`` is the result of :func:`country_names`. Shares are per thousand of
-    the filled cells.
+    the filled cells. ``position`` is the column's place in the file.
     """
     cells = [c for c in bid.columns if c not in keep]
     long = bid.select(*[_quoted(c) for c in cells]).unpivot([], [_quoted(c) for c in cells], "column", "cell")
-    filled = long.filter("cell <> ''").withColumn("name", comparable(F.col("cell")))
+    # Different cells meet the names once, with their number.
+    counted = long.filter("cell <> ''").groupBy("column", "cell").agg(F.count(F.lit(1)).alias("times"))
+    filled = counted.withColumn("name", comparable(F.col("cell")))
     spelt = names.select(comparable(F.col("country")).alias("name"))
     codes = names.select(comparable(F.col("iso2")).alias("name"))
     known = stored(spelt.unionByName(codes).distinct().withColumn("known", F.lit(1)), "known")
-    # A long list is joined with the different cells instead, each once with its number.
-    filled = filled.withColumn("times", F.lit(1).cast("bigint"))
-    if fits_broadcast(known):
-        known = F.broadcast(known)
-    else:
-        filled = filled.groupBy("column", "cell", "name").agg(F.sum("times").alias("times"))
-    looks_like_zip = F.rlike("cell", F.lit("^[A-Za-z0-9][A-Za-z0-9 -]{1,9}$")) & F.rlike("cell", F.lit("[0-9]"))
+    looks_like_zip = F.rlike("cell", F.lit("^[A-Za-z0-9][A-Za-z0-9 -]+$")) & F.rlike("cell", F.lit("[0-9]"))
     shares = (
         filled.join(known, "name", "left")
         .groupBy("column")
@@ -213,35 +225,44 @@ def column_profile(bid: DataFrame, names: DataFrame, keep: Sequence[str] = ()) -
             total(F.when(looks_like_zip, F.col("times"))).alias("zip_cells"),
         )
     )
-    words = F.split(comparable(F.col("column")), " ")
+    words = header_words(F.col("column"))
+
+    def among(listed: Sequence[str]) -> Column:
+        return F.arrays_overlap(words, F.array(*[F.lit(w) for w in listed]))
+
+    clear = [w for w in ORIGIN_WORDS if w not in LOOSE_WORDS]
+    to = among(DESTINATION_WORDS)
     return shares.select(
         "column",
+        (F.array_position(F.array(*[F.lit(c) for c in cells]), F.col("column")) - 1).alias("position"),
         "cells",
         half_up_ratio(F.col("country_cells"), F.col("cells"), 3).alias("country_share"),
         half_up_ratio(F.col("zip_cells"), F.col("cells"), 3).alias("zip_share"),
-        F.arrays_overlap(words, F.array(*[F.lit(w) for w in ORIGIN_WORDS])).alias("names_origin"),
-        F.arrays_overlap(words, F.array(*[F.lit(w) for w in DESTINATION_WORDS])).alias("names_destination"),
+        (among(clear) | (among(LOOSE_WORDS) & ~to)).alias("names_origin"),
+        to.alias("names_destination"),
     )
 
 
-def column_roles(profile: DataFrame, min_share: float = 0.3) -> DataFrame:
-    """The column that fills each role: header words name the end, contents decide.
+def column_roles(profile: DataFrame) -> DataFrame:
+    """The column that fills each role, and the share of its cells that look like it.
 
-    A role without a column whose header names its end, or whose contents fit
-    for at least ``min_share`` of the cells, is left open.
+    Header words name the end; a header that names both ends fills no role. Of
+    a column, the kind that more cells look like counts, so it fills one role at
+    most. Of several columns the one with the largest share is taken, then the
+    first in the file. A role is left open only if no column's header names its
+    end and has a cell of its kind.
     """
     candidates = []
-    for side in SIDES:
+    for side, opposite in (SIDES, SIDES[::-1]):
         for kind, suffix in (("country", "cntry"), ("zip", "zipcode")):
             other = "zip" if kind == "country" else "country"
             share = F.col(f"{kind}_share")
-            fits = F.col(f"names_{side}") & (share >= min_share) & (share > F.col(f"{other}_share"))
-            candidates.append(
-                F.when(fits, F.struct(F.lit(f"{side}_{suffix}").alias("role"), "column", share.alias("share")))
-            )
+            fits = F.col(f"names_{side}") & ~F.col(f"names_{opposite}") & (share > F.col(f"{other}_share"))
+            role = F.struct(F.lit(f"{side}_{suffix}").alias("role"), "column", "position", share.alias("share"))
+            candidates.append(F.when(fits, role))
     listed = profile.select(F.inline(F.array_compact(F.array(*candidates))))
-    best = F.min(F.struct((-F.col("share")).alias("order"), "column"))
-    return listed.groupBy("role").agg(best.alias("best")).select("role", F.col("best.column").alias("column"))
+    best = F.min(F.struct((-F.col("share")).alias("order"), "position", "column", "share"))
+    return listed.groupBy("role").agg(best.alias("best")).select("role", "best.column", "best.share")
 
 
 def bid_feasible(roles: DataFrame) -> DataFrame:
@@ -259,13 +280,20 @@ def bid_feasible(roles: DataFrame) -> DataFrame:
     return roles.agg((country & zipcode).alias("has_country_and_zip"), found(*ROLES).alias("has_both_ends"))
 
 
-def apply_roles(bid: DataFrame, roles: DataFrame | Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
+def apply_roles(
+    bid: DataFrame,
+    roles: DataFrame | Mapping[str, str],
+    keep: Sequence[str] = (),
+    given: Mapping[str, str] | None = None,
+) -> DataFrame:
     """Only the four role columns (and ``keep``), under their role names.
 
     ``roles`` is a mapping from role to column, or the result of
     :func:`column_roles`; the latter is looked up when the query runs, so
-    nothing is fetched beforehand. A role without a column becomes null.
+    nothing is fetched beforehand. The roles in ``given`` override it one by
+    one. A role without a column becomes null.
     """
+    given = given or {}
     if isinstance(roles, Mapping):
         chosen = [_quoted(roles[r]).alias(r) if r in roles else F.lit(None).cast("string").alias(r) for r in ROLES]
         return bid.select(*[_quoted(c) for c in keep], *chosen)
@@ -276,6 +304,8 @@ def apply_roles(bid: DataFrame, roles: DataFrame | Mapping[str, str], keep: Sequ
     with_roles = bid.withColumn("_roles", picked)
 
     def cell_of(role: str) -> Column:
+        if role in given:
+            return _quoted(given[role])
         return F.coalesce(*[F.when(F.col(f"_roles.{role}") == c, _quoted(c)) for c in cells])
 
     return with_roles.select(*[_quoted(c) for c in keep], *[cell_of(r).alias(r) for r in ROLES])
@@ -291,7 +321,7 @@ def coded_ends(bid: DataFrame, names: DataFrame) -> DataFrame:
     pairs = stored(bid.select(F.inline(F.array(*either))).distinct(), "ends")
     countries = stored(fuzzy_country(pairs.select(F.col("cntry").alias("text")), names), "countries")
     found = countries.select(F.col("text").alias("cntry"), F.col("score").alias("country_score"), "iso2")
-    coded = stored_lookup(pairs, found, ["cntry"], fits_broadcast(found))
+    coded = pairs.join(found, "cntry", "left")
     return coded.withColumn("zone", compose_zone(F.col("iso2"), clean_zip(F.col("zipcode"), F.col("iso2"))))
 
 
@@ -302,7 +332,7 @@ def matched_ends(bid: DataFrame, names: DataFrame, postal: DataFrame) -> DataFra
     found = zones.select(
         F.col("country").alias("iso2"), F.col("text").alias("zone"), F.col("full_zc").alias("match"), "score", "zc"
     )
-    return stored_lookup(coded, found, ["iso2", "zone"], fits_broadcast(found))
+    return coded.join(found, ["iso2", "zone"], "left")
 
 
 def bid_zone_pairs(
@@ -313,14 +343,20 @@ def bid_zone_pairs(
     keep: Sequence[str] = (),
     legacy_score: bool = False,
 ) -> DataFrame:
-    """A messy tender file as clean zone pairs with a score per row."""
+    """A messy tender file as clean zone pairs with a score per row.
+
+    ``roles`` overrides the found column of single roles. An end whose country
+    or postal code has no column cannot be built: its columns are null, and all
+    rows are for review. Tables are written while the result is being built.
+    """
     cells = normalise_bid(bid, keep)
     names = country_names(iso)
-    # The roles are stored, or every later pass over the rows would profile all cells again.
-    chosen = roles if roles is not None else stored(column_roles(column_profile(cells, names, keep)), "roles")
-    df = apply_roles(cells, chosen, keep)
+    if roles is not None and set(ROLES) <= set(roles):
+        df = apply_roles(cells, roles, keep)
+    else:
+        # The roles are stored, or every later pass over the rows would profile all cells again.
+        df = apply_roles(cells, stored(column_roles(column_profile(cells, names, keep)), "roles"), keep, roles)
     ends = stored(matched_ends(df, names, postal), "matched")
-    small = fits_broadcast(ends)
     for side in SIDES:
         lookup = ends.select(
             F.col("cntry").alias(f"{side}_cntry"),
@@ -332,5 +368,7 @@ def bid_zone_pairs(
             F.col("score").alias(f"{side}_score"),
             F.col("zc").alias(f"{side}_zc"),
         )
-        df = stored_lookup(df, lookup, [f"{side}_cntry", f"{side}_zipcode"], small)
-    return match_score(df, legacy_score)
+        met = [df[f"{side}_{part}"].eqNullSafe(lookup[f"{side}_{part}"]) for part in ("cntry", "zipcode")]
+        df = df.join(lookup, met, "left").drop(*[lookup[f"{side}_{part}"] for part in ("cntry", "zipcode")])
+    # Written once: the lowest and highest sum and the rows read the same lookups.
+    return match_score(stored(df, "scored"), legacy_score)

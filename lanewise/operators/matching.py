@@ -1,18 +1,18 @@
 """Best fuzzy match of many texts against a reference list, without pairing all with all.
 
 The result is exactly the best-scoring reference entry for every text (ties go
-to the lower ``ord``), reached in three steps that each shuffle on a selective
-key:
+to the lower ``ord``). Work is done once per different comparable text:
 
-1. equal word-sorted texts meet in an equi-join;
-2. texts within two edits meet on a spelling with up to two characters left
-   out, and abbreviated or extended texts meet on a shared beginning;
-3. a text whose best score so far could still be beaten by an entry it has not
+1. equal word-sorted texts meet in an equi-join, and so do a text and an entry
+   of which one is the beginning of the other;
+2. a text whose best score so far could still be beaten by an entry it has not
    met is compared with its block of the reference list, which travels as
-   arrays of some hundred entries, so no row per pair is ever produced.
+   arrays of some hundred entries of one length, so no row per pair is ever
+   produced. Lengths alone rule out most arrays, and an edit distance is given
+   up as soon as it cannot reach the best score so far.
 
-Step 2 proves most of its own answers: an entry three or more edits away from
-a text of ``k`` characters scores at most ``100 * k / (k + 3)``.
+A block is dealt out by the number of its comparisons, so one block may hold
+most of the texts.
 """
 
 from __future__ import annotations
@@ -20,15 +20,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.functions.text import PREFIX_SCORE, close_spellings, closeness, comparable, similarity, sorted_tokens
+from lanewise.functions.text import PREFIX_SCORE, closeness, comparable, sorted_tokens
 from lanewise.storage import stored
 
-# Texts up to this length are looked up by close spellings; their number grows
-# with the square of the length.
-SPELLING_LIMIT = 16
 CHUNK = 256
 # A rank is (100 - score) * ORD_SPACE + ord: the smallest rank is the best match.
 ORD_SPACE = 1 << 48
+# Edits that stand for "too many", beyond the length of any name.
+FAR = 1 << 13
+# Comparisons that one piece of a block may ask for.
+WORK = 2_000_000
+
+
+def checked_ord(ord_: Column, space: int = ORD_SPACE) -> Column:
+    """``ord`` as a number from 0 to below ``space``; anything else ends the job."""
+    whole = ord_.cast("bigint")
+    wrong = F.raise_error(F.concat(F.lit("ord is out of range: "), F.coalesce(whole.cast("string"), F.lit("null"))))
+    return F.when((whole >= 0) & (whole < space), whole).otherwise(wrong.cast("bigint"))
 
 
 def _rank(score: Column, ord_: Column) -> Column:
@@ -39,15 +47,10 @@ def _score(rank: Column) -> Column:
     return F.lit(100).cast("bigint") - F.shiftright(rank, 48)
 
 
-def _unseen_limit(length: Column, edits: int) -> Column:
-    """Highest score of an entry more than ``edits`` edits away."""
-    return closeness(F.lit(edits + 1).cast("bigint"), length + edits + 1)
-
-
 def _choices(choices: DataFrame, block: str) -> DataFrame:
     """One row per block and comparable text: the first entry of equal texts."""
-    text = comparable(F.col("text"))
-    first = choices.groupBy(F.col(block).alias("block"), text.alias("c_text")).agg(F.min("ord").alias("ord"))
+    listed = choices.select(F.col(block).alias("block"), comparable(F.col("text")).alias("c_text"), checked_ord(F.col("ord")).alias("ord"))
+    first = listed.groupBy("block", "c_text").agg(F.min("ord").alias("ord"))
     return first.withColumn("c_sorted", sorted_tokens(F.col("c_text")))
 
 
@@ -66,131 +69,87 @@ def _beginnings(choices: DataFrame) -> DataFrame:
     return listed.groupBy("block", "k_text").agg(F.min("ord").alias("longer_ord"))
 
 
-def _as_beginning(text: Column, salt: Column) -> Column:
-    """Probe for a whole entry that a longer text may start with.
-
-    Very many texts may start with one short entry, so they meet it under
-    ``salts`` different names.
-    """
-    return F.concat(salt.cast("string"), F.lit(">"), text)
-
-
-def _probes_of_choices(choices: DataFrame, salts: int) -> DataFrame:
-    """Where a text can meet an entry: as its beginning and, if short, on a close spelling."""
-    both = F.array_union(close_spellings(F.col("c_text")), close_spellings(F.col("c_sorted")))
-    spellings = F.when(F.length("c_text") <= SPELLING_LIMIT + 2, both).otherwise(F.array().cast("array<string>"))
-    numbers = F.sequence(F.lit(0), F.lit(salts - 1))
-    beginnings = F.transform(numbers, lambda n: _as_beginning(F.col("c_text"), n))
-    probes = F.explode(F.concat(beginnings, spellings)).alias("probe")
-    return choices.select("block", "c_text", "c_sorted", "ord", probes)
-
-
-def _probes_of_text(lengths: Column, salts: int) -> Column:
-    """Close spellings of a short text, and those of its beginnings that are as long as some entry."""
+def _begun(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """The first entry that is the beginning of each text, where one is."""
+    lengths = entries.agg(F.collect_set(F.length("c_text"))).scalar()
     size = F.length("k_text")
-    fitting = F.filter(lengths, lambda n: (n * 3 <= size * 2) & (n * 8 >= size))
-    salt = F.pmod(F.xxhash64("k_text"), F.lit(salts))
-    beginnings = F.transform(fitting, lambda n: _as_beginning(F.substring(F.col("k_text"), F.lit(1), n), salt))
-    spellings = F.array_union(close_spellings(F.col("k_text")), close_spellings(F.col("k_sorted")))
-    return F.when(size <= SPELLING_LIMIT, F.concat(beginnings, spellings)).otherwise(beginnings)
-
+    fitting = F.filter("lengths", lambda n: (n > 0) & (n * 3 <= size * 2) & (n * 8 >= size))
+    pieces = F.transform(fitting, lambda n: F.substring(F.col("k_text"), F.lit(1), n))
+    listed = texts.withColumn("lengths", lengths).select("block", "k_text", F.explode(pieces).alias("c_text"))
+    met = listed.join(entries.select("block", "c_text", "ord"), ["block", "c_text"])
+    return met.groupBy("block", "k_text").agg(F.min("ord").alias("shorter_ord"))
 
-def _parallelism(df: DataFrame) -> int:
-    """Tasks for steps that compute much per row, however few bytes the rows have."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-
-def _chunks(choices: DataFrame, salts: int) -> DataFrame:
-    """The reference list as arrays of about CHUNK entries of one block and length."""
+def _chunks(choices: DataFrame, pieces: DataFrame) -> DataFrame:
+    """The reference list as arrays of about CHUNK entries of one block and length, once per piece of the block."""
     sized = choices.withColumn("c_len", F.length("c_text"))
-    counts = sized.groupBy("block", "c_len").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("pieces"))
-    numbered = sized.join(counts, ["block", "c_len"]).withColumn("piece", F.pmod(F.xxhash64("c_text"), F.col("pieces")))
-    packed = numbered.groupBy("block", "c_len", "piece").agg(
+    counts = sized.groupBy("block", "c_len").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
+    numbered = sized.join(counts, ["block", "c_len"]).withColumn("part", F.pmod(F.xxhash64("c_text"), F.col("parts")))
+    packed = numbered.groupBy("block", "c_len", "part").agg(
         F.collect_list(F.struct("c_text", "c_sorted", "ord")).alias("entries")
     )
-    return packed.select("block", "c_len", "entries", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)
+    return packed.join(pieces, "block").select("block", "c_len", "entries", F.explode(numbers).alias("piece"))
 
 
-def best_match(keys: DataFrame, choices: DataFrame, block: str = "block", salts: int | None = None) -> DataFrame:
+def best_match(keys: DataFrame, choices: DataFrame, block: str = "block", work: int = WORK) -> DataFrame:
     """Best reference entry for each text.
 
     ``keys`` holds distinct ``block`` and ``text``; ``choices`` holds ``block``,
     ``text`` and ``ord``, a whole number below 2**48 that is unique within the
     block. Returns ``block``, ``text``, ``score`` and ``ord``. Texts whose block
-    has no entry come back with nulls. One block may hold most of the texts:
-    it is compared by ``salts`` tasks, a quarter of all unless given. The
-    prepared reference list is stored, as every step reads it.
+    has no entry come back with nulls. The prepared reference list and the
+    texts are stored, as later steps read them again.
     """
-    tasks = _parallelism(keys)
-    salts = salts or max(1, tasks // 4)
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = stored(_choices(choices, block), "entries")
-    text = comparable(F.col("text"))
-    texts = keys.select(F.col(block).alias("block"), "text", text.alias("k_text")).withColumn(
-        "k_sorted", sorted_tokens(F.col("k_text"))
-    )
+    named = keys.select(F.col(block).alias("block"), "text", comparable(F.col("text")).alias("k_text"))
+    texts = named.select("block", "k_text").distinct().withColumn("k_sorted", sorted_tokens(F.col("k_text")))
 
-    equal = texts.join(_equal(entries), ["block", "k_sorted"], "left").join(
-        _beginnings(entries), ["block", "k_text"], "left"
-    )
+    equal = texts.join(_equal(entries), ["block", "k_sorted"], "left").join(_beginnings(entries), ["block", "k_text"], "left")
+    started = equal.join(_begun(texts, entries), ["block", "k_text"], "left")
     size = F.length("k_text")
-    rank = F.least(
-        _rank(F.lit(100).cast("bigint"), F.col("equal_ord")),
-        _rank(F.lit(PREFIX_SCORE).cast("bigint"), F.col("longer_ord")),
-    )
-    started = equal.withColumn("rank", F.when(size > 0, rank)).drop("equal_ord", "longer_ord")
-    # Entries that a longer text starts with are still to come, so only more than
-    # their score settles a text here.
-    limit = F.greatest(_unseen_limit(size, 0), F.lit(PREFIX_SCORE).cast("bigint"))
-    settled = F.coalesce(_score(F.col("rank")) > limit, F.lit(False))
-
-    lengths = entries.agg(F.collect_set(F.length("c_text"))).scalar()
-    started = started.withColumn("lengths", lengths)
-    # Partitioned anew, and by number, because small partitions would be merged.
-    started = started.repartition(tasks, F.xxhash64("block", "text"))
-    no_probe = F.array().cast("array<string>")
-    probing = started.withColumn(
-        "probe", F.explode_outer(F.when(settled, no_probe).otherwise(_probes_of_text(F.col("lengths"), salts)))
-    )
-    # The spellings outgrow the list they come from, so the planner's estimate
-    # of their size is no ground for a broadcast.
-    met = probing.join(_probes_of_choices(entries, salts).hint("merge"), ["block", "probe"], "left")
-    met_score = similarity(F.col("k_text"), F.col("k_sorted"), F.col("c_text"), F.col("c_sorted"))
-    key_columns = ("block", "text", "k_text", "k_sorted")
-    near = met.groupBy(*key_columns).agg(
-        F.min(F.least("rank", _rank(met_score, F.col("ord")))).alias("rank")
-    )
+    near = F.least("longer_ord", "shorter_ord")
+    rank = F.least(_rank(F.lit(100).cast("bigint"), F.col("equal_ord")), _rank(F.lit(PREFIX_SCORE).cast("bigint"), near))
+    met = stored(started.select("block", "k_text", "k_sorted", F.when(size > 0, rank).alias("rank")), "met")
+
+    # An entry that is not equal is an edit away at least.
+    unseen = closeness(F.lit(1).cast("bigint"), size + 1)
+    open_texts = met.filter(~F.coalesce(_score(F.col("rank")) > unseen, F.lit(False)))
+    # Comparisons per block, from the texts and entries there are.
+    asked = open_texts.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    listed = entries.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
+    pieces = asked.join(listed, "block").select("block", F.ceil(F.col("n") * F.col("m") / work).alias("pieces"))
+    dealt = open_texts.join(pieces, "block").withColumn("piece", F.pmod(F.xxhash64("k_text"), F.col("pieces")))
+    # By number, because adaptive execution would merge what is small in bytes.
+    dealt = dealt.drop("pieces").repartition(tasks, "block", "piece")
 
-    edits = F.when(size <= SPELLING_LIMIT, _unseen_limit(size, 2)).otherwise(_unseen_limit(size, 0))
-    proven = F.coalesce(_score(F.col("rank")) > edits, F.lit(False))
-    salt = F.pmod(F.xxhash64("k_text"), F.lit(salts)).cast("int")
-    open_texts = (
-        near.withColumns({"proven": proven, "salt": salt})
-        .withColumnRenamed("block", "k_block")
-        .repartition(tasks, "k_block", "salt")
-    )
-    chunks = _chunks(entries, salts).withColumnRenamed("salt", "c_salt").hint("merge")
     short, long = F.least(size, F.col("c_len")), F.greatest(size, F.col("c_len"))
-    reachable = closeness((long - short).cast("bigint"), long) >= F.coalesce(_score(F.col("rank")), F.lit(0))
-    compared = open_texts.join(
-        chunks,
-        (F.col("k_block") == F.col("block")) & (F.col("salt") == F.col("c_salt")) & ~F.col("proven") & reachable,
-        "left",
-    )
+    least = F.coalesce(_score(F.col("rank")), F.lit(0).cast("bigint"))
+    reachable = closeness((long - short).cast("bigint"), long) >= least
+    compared = dealt.join(_chunks(entries, pieces).hint("merge"), ["block", "piece"]).filter(reachable)
+    # Most edits with which the score so far is reached.
+    most = F.floor(long * (F.lit(201) - least * 2) / 200).cast("int")
+
+    def edits(a: Column, b: Column) -> Column:
+        distance = F.call_function("levenshtein", a, b, most)
+        return F.when(distance < 0, F.lit(FAR)).otherwise(distance)
+
     # All entries of a chunk have one length, so the nearest one is the best.
-    # Shared beginnings have been met before and need no second look.
     nearest = F.array_min(
         F.transform(
             "entries",
-            lambda e: F.least(
-                F.levenshtein(F.col("k_text"), e["c_text"]), F.levenshtein(F.col("k_sorted"), e["c_sorted"])
-            ).cast("bigint")
+            lambda e: F.least(edits(F.col("k_text"), e["c_text"]), edits(F.col("k_sorted"), e["c_sorted"])).cast("bigint")
             * F.lit(ORD_SPACE)
             + e["ord"],
         )
     )
-    scanned = _rank(closeness(F.shiftright(nearest, 48), long), F.pmod(nearest, F.lit(ORD_SPACE)))
-    best = compared.groupBy(F.col("k_block").alias("block"), "text").agg(F.min(F.least("rank", scanned)).alias("rank"))
-    return best.select(
+    distance = F.shiftright(nearest, 48)
+    scanned = F.when(distance < FAR, _rank(closeness(distance, long), F.pmod(nearest, F.lit(ORD_SPACE))))
+    found = compared.groupBy("block", "k_text").agg(F.min(scanned).alias("scanned"))
+    best = met.join(found, ["block", "k_text"], "left").select("block", "k_text", F.least("rank", "scanned").alias("rank"))
+    # Texts without an entry of their own block keep nulls.
+    return named.join(best, ["block", "k_text"], "left").select(
         F.col("block").alias(block),
         "text",
         _score(F.col("rank")).alias("score"),

@@ -369,6 +369,30 @@ def _(t: Tables) -> DataFrame:
     return pairs.drop(*bids.ROLES)
 
 
+@report("bid_without_roles")
+def _(t: Tables) -> DataFrame:
+    """A file whose headers name no end: nothing can be matched, and every row says so."""
+    strange = t.bid.toDF("row_id", "LandVon", "PLZVon", "LandNach", "PLZNach", "Ware")
+    pairs = bids.bid_zone_pairs(strange, t.country_table, t.postal, keep=["row_id"])
+    return pairs.select("row_id", "origin_zc", "destination_zc", "match_score", "needs_review", "review_flag")
+
+
+@report("bid_part_mapping")
+def _(t: Tables) -> DataFrame:
+    """One header that names no end, given by the user."""
+    renamed = t.bid.withColumnRenamed("Collection zipcode", "PLZ 1")
+    given = {"origin_zipcode": "PLZ 1"}
+    pairs = bids.bid_zone_pairs(renamed, t.country_table, t.postal, given, keep=["row_id"])
+    return pairs.select("row_id", "origin_zc", "destination_zc", "match_score", "review_flag")
+
+
+@report("fuzzy_customer_zone")
+def _(t: Tables) -> DataFrame:
+    """Zones that lack a digit, against a list that grows with the customers."""
+    gapped = F.concat(F.substring("full_zc", 1, 6), F.expr("substring(full_zc, 8)"))
+    return bids.fuzzy_zone(t.customer_zones.select("country", gapped.alias("text")), t.customer_zones)
+
+
 @report("prefix_zone")
 def _(t: Tables) -> DataFrame:
     row, zipcode = F.col("row_id"), F.col("Delivery zipcode")

@@ -585,10 +585,10 @@ WHERE {' OR '.join(f'"{c}" <> ' + "''" for c in _CELLS)}
 def names_of(table: str) -> str:
     return f"""
 SELECT country, arg_min(iso2, place) AS iso2, cast(min(place) AS bigint) AS ord
-FROM (SELECT country_1 AS country, iso2, ord + 0 * 4294967296 AS place FROM {table}
-      UNION ALL SELECT country_2, iso2, ord + 1 * 4294967296 FROM {table}
-      UNION ALL SELECT country_3, iso2, ord + 2 * 4294967296 FROM {table}
-      UNION ALL SELECT country_4, iso2, ord + 3 * 4294967296 FROM {table}) n
+FROM (SELECT country_1 AS country, iso2, ord + 0 * 1099511627776 AS place FROM {table}
+      UNION ALL SELECT country_2, iso2, ord + 1 * 1099511627776 FROM {table}
+      UNION ALL SELECT country_3, iso2, ord + 2 * 1099511627776 FROM {table}
+      UNION ALL SELECT country_4, iso2, ord + 3 * 1099511627776 FROM {table}) n
 WHERE country IS NOT NULL GROUP BY country
 """
 
@@ -682,11 +682,12 @@ LEFT JOIN destination_match t ON t.country = z.iso_destination AND t.text = z.de
 
 def scored(points: str) -> str:
     return f"""
-SELECT *, match_score <= 0.9e0 AS needs_review, CASE WHEN match_score <= 0.9e0 THEN 'oui' ELSE 'non' END AS review_flag
-FROM (SELECT *, CASE WHEN hi = lo THEN 1.0e0
+SELECT *, CASE WHEN needs_review THEN 'oui' ELSE 'non' END AS review_flag
+FROM (SELECT *, match_score <= 0.9e0 OR origin_zc IS NULL OR destination_zc IS NULL AS needs_review
+FROM (SELECT *, CASE WHEN hi = lo AND hi = 0 THEN 0.1e0 WHEN hi = lo THEN 1.0e0
                ELSE cast((2 * (10 * (hi - lo) + 90 * ({points} - lo)) + (hi - lo)) // (2 * (hi - lo)) AS double) / 100.0e0
                END AS match_score
-      FROM (SELECT *, min({points}) OVER () AS lo, max({points}) OVER () AS hi FROM points) m) s
+      FROM (SELECT *, min({points}) OVER () AS lo, max({points}) OVER () AS hi FROM points) m) s) f
 """
 
 
@@ -694,28 +695,29 @@ QUERIES["bid_normalise"] = "SELECT * FROM bid_cells"
 VIEWS["profile"] = " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count(*) AS cells,
        cast((2000 * count(n.known) + count(*)) // (2 * count(*)) AS double) / 1000.0e0 AS country_share,
-       cast((2000 * count(CASE WHEN regexp_matches(cell, '^[A-Za-z0-9][A-Za-z0-9 -]{{1,9}}$')
+       cast((2000 * count(CASE WHEN regexp_matches(cell, '^[A-Za-z0-9][A-Za-z0-9 -]+$')
              AND regexp_matches(cell, '[0-9]') THEN 1 END) + count(*)) // (2 * count(*)) AS double) / 1000.0e0 AS zip_share,
-       {'true' if 'Collection' in c else 'false'} AS names_origin, {'true' if 'Delivery' in c else 'false'} AS names_destination
+       cast({i} AS bigint) AS position, {'true' if 'Collection' in c else 'false'} AS names_origin, {'true' if 'Delivery' in c else 'false'} AS names_destination
 FROM (SELECT "{c}" AS cell FROM bid_cells WHERE "{c}" <> '') v
 LEFT JOIN (SELECT DISTINCT x, 1 AS known FROM (SELECT {plain('country')} AS x FROM names
            UNION ALL SELECT {plain('iso2')} FROM names) u) n ON n.x = {plain('cell')}"""
-    for c in _CELLS
+    for i, c in enumerate(_CELLS)
 )
 QUERIES["column_role_profile"] = "SELECT * FROM profile"
 VIEWS["roles"] = """
-SELECT role, arg_min("column", printf('%.3f', 1 - share) || "column") AS "column" FROM (
-  SELECT 'origin_cntry' AS role, "column", country_share AS share FROM profile
-    WHERE names_origin AND country_share >= 0.3 AND country_share > zip_share
-  UNION ALL SELECT 'origin_zipcode', "column", zip_share FROM profile
-    WHERE names_origin AND zip_share >= 0.3 AND zip_share > country_share
-  UNION ALL SELECT 'destination_cntry', "column", country_share FROM profile
-    WHERE names_destination AND country_share >= 0.3 AND country_share > zip_share
-  UNION ALL SELECT 'destination_zipcode', "column", zip_share FROM profile
-    WHERE names_destination AND zip_share >= 0.3 AND zip_share > country_share) r
-GROUP BY role
-"""
-QUERIES["column_roles"] = 'SELECT role, "column" FROM roles'
+SELECT role, "column", share FROM (
+  SELECT *, row_number() OVER (PARTITION BY role ORDER BY share DESC, position) AS rn FROM (
+    SELECT 'origin_cntry' AS role, "column", position, country_share AS share FROM profile
+      WHERE names_origin AND country_share > zip_share
+    UNION ALL SELECT 'origin_zipcode', "column", position, zip_share FROM profile
+      WHERE names_origin AND zip_share > country_share
+    UNION ALL SELECT 'destination_cntry', "column", position, country_share FROM profile
+      WHERE names_destination AND country_share > zip_share
+    UNION ALL SELECT 'destination_zipcode', "column", position, zip_share FROM profile
+      WHERE names_destination AND zip_share > country_share) r) q
+WHERE rn = 1
+"""
+QUERIES["column_roles"] = 'SELECT role, "column", share FROM roles'
 QUERIES["bid_feasible"] = """
 SELECT count(CASE WHEN role LIKE '%cntry' THEN 1 END) > 0 AND count(CASE WHEN role LIKE '%zipcode' THEN 1 END) > 0
          AS has_country_and_zip, count(DISTINCT role) = 4 AS has_both_ends FROM roles
@@ -753,6 +755,26 @@ SELECT row_id, iso_origin, origin_zone, origin_match, origin_zc, origin_country_
        destination_zone, destination_match, destination_zc, destination_country_score, destination_score,
        match_score, needs_review, review_flag FROM ({scored('points')}) s
 """
+QUERIES["bid_without_roles"] = """
+SELECT row_id, cast(NULL AS varchar) AS origin_zc, cast(NULL AS varchar) AS destination_zc, 0.1e0 AS match_score,
+       true AS needs_review, 'oui' AS review_flag FROM bid_cells
+"""
+QUERIES["bid_part_mapping"] = f"SELECT row_id, origin_zc, destination_zc, match_score, review_flag FROM ({scored('points')}) s"
+VIEWS["fx_customer_zones"] = """
+SELECT substr('FRDEESITPLGBBENLSENODKFIATCZPTIEHUROUARUBAMEBYADXK', c_nationkey*2+1, 2) AS country,
+       substr('FRDEESITPLGBBENLSENODKFIATCZPTIEHUROUARUBAMEBYADXK', c_nationkey*2+1, 2)
+         || ' ' || lpad(cast(c_custkey AS varchar), 9, '0') AS full_zc, c_custkey AS ord
+FROM customer
+"""
+_CUSTOMERS = best(
+    "SELECT DISTINCT country AS block, substr(full_zc, 1, 6) || substr(full_zc, 8) AS text FROM fx_customer_zones",
+    "SELECT country AS block, full_zc AS text, ord FROM fx_customer_zones",
+    True,
+)
+QUERIES["fuzzy_customer_zone"] = f"""
+SELECT b.block AS country, b.text, p.full_zc, b.score, p.full_zc AS zc
+FROM ({_CUSTOMERS}) b JOIN fx_customer_zones p ON p.country = b.block AND p.ord = b.ord
+"""
 VIEWS["prefix_keys"] = """
 SELECT DISTINCT iso2 AS country, CASE WHEN row_id % 2 = 0 THEN iso2 || ' ' || "Delivery zipcode"
                                       ELSE iso2 || '-' || "Delivery zipcode" END AS text

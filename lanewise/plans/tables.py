@@ -271,6 +271,14 @@ class Tables:
             F.col("iso2").alias("country"), F.concat(zone, F.lit("000")).alias("full_zc"), zone.alias("zc"), "ord"
         )
 
+    @cached_property
+    def customer_zones(self) -> DataFrame:
+        """A reference zone of its own for each customer."""
+        zone = F.concat_ws(" ", _code("c_nationkey"), _nine_digits(F.col("c_custkey")))
+        return self.read("customer").select(
+            _code("c_nationkey").alias("country"), zone.alias("full_zc"), zone.alias("zc"), F.col("c_custkey").alias("ord")
+        )
+
     @cached_property
     def bid(self) -> DataFrame:
         """A messy tender file: one row per customer."""

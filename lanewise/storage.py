@@ -1,18 +1,12 @@
-"""Tables written once and read several times, and joins with them."""
+"""Tables written once and read several times."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SETTING = "spark.checkpoint.dir"
-BROADCAST_BYTES = 64 << 20
-SALTS = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,37 +34,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def salted_lookup(rows: DataFrame, lookup: DataFrame, on: Sequence[str], salts: int = SALTS) -> DataFrame:
-    """Left join of many rows with a table that has one row per key.
-
-    A key that holds a large part of the rows is spread over ``salts`` tasks,
-    and so are copies of one row. The salt depends only on the contents of the
-    row and the partition it comes from, so a task that runs again sends every
-    row the same way.
-    """
-    contents = [F.col(f"`{c}`") for c in rows.columns]
-    number = F.pmod(F.xxhash64(*contents, F.spark_partition_id()), F.lit(salts)).cast("int")
-    spread = rows.withColumn("_salt", number)
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [*on, "_salt"], "left").drop("_salt")
-
-
-def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a stored table is small enough to be sent to every executor."""
-    width = F.lit(0).cast("bigint")
-    for field in table.schema:
-        if isinstance(field.dataType, T.StringType):
-            width = width + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0)) + 16
-        else:
-            width = width + 16
-    size = table.agg(F.sum(width)).first()[0]
-    return (size or 0) <= limit
-
-
-def stored_lookup(rows: DataFrame, lookup: DataFrame, on: Sequence[str], small: bool) -> DataFrame:
-    """Left join with a stored table: sent to every executor if small, else salted."""
-    if small:
-        return rows.join(F.broadcast(lookup), list(on), "left")
-    return salted_lookup(rows, lookup, on)

@@ -3,9 +3,8 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise import storage
 from lanewise.functions.text import comparable, similarity, sorted_tokens
-from lanewise.operators import bids, clean, collection, enrich, facets, matching, regions, regularity
+from lanewise.operators import bids, clean, collection, enrich, facets, matching, regions, regularity, summary
 
 COLUMNS = "zc_from string, zc_to string, ship_date string, kg string, ldm string, m3 string, branch string"
 
@@ -17,6 +16,75 @@ def test_text_in_a_measure_keeps_the_row(spark):
     assert (row.pay_weight, row.bracket, row["product"], row.zc_to) == (None, 25500, "FTL", "UK 02")
 
 
+@pytest.mark.parametrize("bad", ["12d", "12f", "12 kg", "Infinity", "-Infinity", "1e400", " ", "NaN", "0x1F", "1.2.3"])
+def test_what_is_no_number_is_null(spark, bad):
+    raw = spark.createDataFrame([("FR 01", "DE 02", None, bad, "2", " 7e1 ", "b")], COLUMNS)
+    row = clean.coerce_types(raw).first()
+    assert (row.kg, row.ldm, row.m3) == (None, 2.0, 70.0)
+    ships = summary.summary_rows(enrich.enrich_shipments(clean.clean_shipments(raw)))
+    assert summary.product_matrix(ships).count() == 4
+
+
+def test_infinite_measures_do_not_end_a_job(spark):
+    rows = [("FR 01", "DE 02", None, x, 1.0, 1.0, "b") for x in (float("inf"), float("-inf"), float("nan"), 1e300, 5.0)]
+    raw = spark.createDataFrame(rows, "zc_from string, zc_to string, ship_date date, kg double, ldm double, m3 double, branch string")
+    ships = summary.summary_rows(enrich.enrich_shipments(clean.clean_shipments(raw)))
+    assert [r.kg for r in ships.orderBy("kg").collect()] == [0.0, 5.0]
+    assert summary.way_product(ships).first().total == 2
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [("2024-03-05", (3, 5)), ("15/01/2024", (1, 15)), ("03/05/2024", (3, 5)), ("5.3.2024", (3, 5)), ("05-03-2024", (3, 5)),
+     (" 2024-03-05 ", (3, 5)), ("31.02.2024", None), ("soon", None), ("", None)],
+)
+def test_dates_as_text(spark, text, expected):
+    raw = spark.createDataFrame([("FR 01", "DE 02", text, "1", "2", "3", "b")], COLUMNS)
+    day = clean.coerce_types(raw).first().ship_date
+    assert (day and (day.month, day.day)) == expected
+    own = clean.coerce_types(raw, ["dd/MM/yyyy"]).first().ship_date
+    assert own == (date(2024, 5, 3) if text == "03/05/2024" else day)
+
+
+def test_roles_of_ambiguous_headers(spark):
+    headers = ["Shipping to country", "Shipping to zip", "Zone pays de depart", "zip depart", "from/to zip", "OriginCountry"]
+    rows = [("France", "75008", "Spain", "28001", "1234", "Frnce"), ("Italy", "00100", "France", "69001", "1", "x")]
+    bid = spark.createDataFrame(rows, ", ".join(f"`{h}` string" for h in headers))
+    iso = spark.createDataFrame([(0, "FR", "France"), (1, "ES", "Spain"), (2, "IT", "Italy")], "ord int, iso2 string, country_1 string")
+    roles = {r.role: r.column for r in bids.column_roles(bids.column_profile(bid, bids.country_names(iso))).collect()}
+    assert roles == {
+        "destination_cntry": "Shipping to country", "destination_zipcode": "Shipping to zip",
+        "origin_cntry": "Zone pays de depart", "origin_zipcode": "zip depart",
+    }
+    only = bid.select("Shipping to country", "Shipping to zip")
+    found = bids.column_roles(bids.column_profile(only, bids.country_names(iso)))
+    assert {r.role for r in found.collect()} == {"destination_cntry", "destination_zipcode"}
+    assert not bids.bid_feasible(found).first().has_both_ends
+
+
+def test_a_misspelt_country_column_still_fills_its_role(spark):
+    rows = [("Frnce",), ("Spian",), ("Itlay",), ("Germny",), ("France",)]
+    bid = spark.createDataFrame(rows, "`Origin country` string")
+    iso = spark.createDataFrame([(0, "FR", "France")], "ord int, iso2 string, country_1 string")
+    roles = bids.column_roles(bids.column_profile(bid, bids.country_names(iso))).collect()
+    assert [(r.role, r.column, r.share) for r in roles] == [("origin_cntry", "Origin country", 0.2)]
+
+
+def test_ord_out_of_range_ends_the_job(spark):
+    keys = spark.createDataFrame([("X", "a")], "block string, text string")
+    for wrong in (-1, 1 << 48, None):
+        choices = spark.createDataFrame([("X", "b", wrong)], "block string, text string, ord long")
+        with pytest.raises(Exception, match="ord is out of range"):
+            matching.best_match(keys, choices).collect()
+
+
+def test_centroid_of_an_outline_without_area(spark):
+    rows = [("A", 0, 0, i, x, x) for i, x in enumerate((0.0, 2.0, 4.0, 0.0))]
+    vertices = spark.createDataFrame(rows, "region_id string, part int, ring int, seq int, lon double, lat double")
+    got = regions.region_centroid(vertices).first()
+    assert (got.lon, got.lat) == pytest.approx((1.5, 1.5)) or (got.lon, got.lat) == pytest.approx((2.0, 2.0))
+
+
 def test_rows_are_kept_or_rejected(spark):
     rows = [
         ("FR 01", "DE 02", None, "1", None, None, "b"),
@@ -112,19 +180,10 @@ def test_best_match_of_random_texts(spark):
     assert got == brute_force(keys, choices)
 
 
-def test_lookup_of_a_hot_key(spark):
-    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
-    lookup = storage.stored(rows.filter("id % 2 = 0").groupBy("k").agg(F.max("id").alias("v")), "lookup")
-    plain = rows.join(lookup, "k", "left").orderBy("id").collect()
-    for small in (True, False):
-        assert storage.stored_lookup(rows, lookup, ["k"], small).select("k", "id", "v").orderBy("id").collect() == plain
-    assert storage.fits_broadcast(lookup) and not storage.fits_broadcast(lookup, limit=1000)
-
-
 def test_one_block_holds_most_texts(spark):
     choices = spark.range(500).select(F.lit("FR").alias("block"), F.format_string("FR %05d", F.col("id") * 199).alias("text"), F.col("id").alias("ord"))
     keys = spark.range(400).select(F.lit("FR").alias("block"), F.format_string("FR %05d", F.col("id") * 233).alias("text"))
-    one, many = (matching.best_match(keys, choices, salts=n).orderBy("text").collect() for n in (1, 7))
+    one, many = (matching.best_match(keys, choices, work=n).orderBy("text").collect() for n in (10**9, 3_000))
     assert one == many and len(one) == 400 and all(r.score is not None for r in one)
 
 

@@ -1,16 +1,18 @@
-"""Tender reports give the same result when no match table may be broadcast."""
+"""Tender reports give the same result however Spark joins their match tables."""
 
 import pytest
 
-import __spark_entry__ as entry
 import compare
-from lanewise.operators import bids
+from lanewise.plans import catalog, oracle
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["column_role_profile", "fuzzy_zone", "bid_zone_pairs"])
-def test_without_broadcasts(spark, monkeypatch, name):
-    monkeypatch.setattr(bids, "fits_broadcast", lambda table: False)
-    report = entry.queries()[name](spark, FOLDER)
-    assert compare.differences(report, compare.connect(FOLDER), entry.oracle_sql()[name]) == []
+@pytest.mark.parametrize("name", ["column_role_profile", "fuzzy_zone", "bid_zone_pairs", "prefix_zone"])
+def test_without_broadcasts(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        report = catalog.queries()[name](spark, FOLDER)
+        assert compare.differences(report, compare.connect(FOLDER), oracle.oracle_sql()[name]) == []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -7,7 +7,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.operators import clean, collection, enrich, facets, profile, regions, regularity, summary
+from lanewise.operators import answers, clean, collection, enrich, facets, profile, regions, regularity, summary
 from lanewise.plans import catalog
 from lanewise.plans.tables import Tables
 from lanewise.schema import MEASURES, SHIPMENT_SCHEMA
@@ -16,6 +16,7 @@ from lanewise.sources import files, sinks
 FOLDER = "/root/testdata/sf0.001"
 # These build their result from tables they write first.
 WRITING = {"export_table", "export_tables", "fuzzy_country", "fuzzy_zone", "match_score", "bid_zone_pairs", "prefix_zone"}
+WRITING |= {"bid_without_roles", "bid_part_mapping", "fuzzy_customer_zone"}
 
 
 def plan_of(df) -> str:
@@ -70,6 +71,28 @@ def test_share_of_lanes_shuffles_once(spark):
     assert "ReusedExchange [zc_from" in plan_of(shares)
 
 
+def test_lanes_of_the_pareto_report_move_once(spark):
+    plan = plan_of(summary.lane_pareto(Tables(spark, FOLDER).summary))
+    assert plan.count("Exchange hashpartitioning(zc_from") <= 2 and "Exchange hashpartitioning(shipments" in plan
+    assert "SortMergeJoin [shipments" not in plan and "_salt" not in plan
+
+
+def test_answer_lines_are_split_once(spark):
+    """Of answers longer than the questions, every line with a colon comes out of one of the three tables."""
+    texts = Tables(spark, FOLDER).answers
+    parts = [answers.answer_lines, answers.fuel_lines, answers.verdict_line]
+    counts = [part(texts, "answer_id").groupBy("answer_id").agg(F.count(F.lit(1)).alias("n")) for part in parts]
+    found = {}
+    for count in counts:
+        for r in count.collect():
+            found[r.answer_id] = found.get(r.answer_id, 0) + r.n
+    for r in texts.collect():
+        lines = r.text.split("\n")
+        if len(lines) > answers.QUESTION_LINES:
+            assert found[r.answer_id] == sum(": " in line[1:] for line in lines)
+    assert counts[1].count() > 0
+
+
 def test_row_operators_take_a_stream(spark, stored_shipments, tmp_path):
     schema = files.read_table(spark, stored_shipments).schema
     stream = spark.readStream.schema(schema).parquet(stored_shipments)

@@ -62,7 +62,7 @@ def test_roles_by_mapping_and_by_contents(spark):
     )
     iso = spark.createDataFrame([(0, "FR", "France")], "ord int, iso2 string, country_1 string")
     roles = bids.column_roles(bids.column_profile(bid, bids.country_names(iso), keep=["id"]))
-    assert {tuple(r) for r in roles.collect()} == {("origin_cntry", "Country from"), ("origin_zipcode", "Zip from")}
+    assert {tuple(r) for r in roles.collect()} == {("origin_cntry", "Country from", 1.0), ("origin_zipcode", "Zip from", 1.0)}
     feasible = bids.bid_feasible(roles).first()
     assert (feasible.has_country_and_zip, feasible.has_both_ends) == (True, False)
     found = bids.apply_roles(bid, roles, keep=["id"]).orderBy("id").collect()
