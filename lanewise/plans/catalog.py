@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 
 from lanewise.operators import answers, bids, clean, collection, enrich, facets, profile, regions, regularity, summary
 from lanewise.plans.tables import Tables
-from lanewise.schema import MEASURES, SHIPMENT_HEADERS, Params
+from lanewise.schema import (
+    BRIDGE_HEADERS,
+    COUNTRY_PROPERTIES,
+    MEASURES,
+    NAME_HEADERS,
+    OFFICE_HEADERS,
+    POSTAL_HEADERS,
+    SHIPMENT_HEADERS,
+    Params,
+)
 from lanewise.sources import files, sinks
 from lanewise.storage import shared_folder
 
@@ -93,6 +102,50 @@ def _(t: Tables) -> DataFrame:
     return combined
 
 
+# Reference tables, from files with the headers they come with
+
+
+def _as_file(t: Tables, df: DataFrame, headers: dict[str, str], order: list[str]) -> str:
+    renamed = df.orderBy(*order).select(*[F.col(ours).alias(header) for header, ours in headers.items()])
+    path = f"{shared_folder(t.spark)}/reference-{uuid.uuid4().hex}"
+    return sinks.write_table(renamed.withColumn("remark", F.lit("x")), path, "csv")
+
+
+@report("read_bridge")
+def _(t: Tables) -> DataFrame:
+    bridge = files.read_bridge(t.spark, _as_file(t, t.bridge, BRIDGE_HEADERS, ["zone", "seq"]))
+    first = bridge.groupBy("zone").agg(F.min_by("nuts3", "seq").alias("first_nuts3"), F.count("nuts0").alias("rows"))
+    return first
+
+
+@report("read_offices")
+def _(t: Tables) -> DataFrame:
+    return files.read_offices(t.spark, _as_file(t, t.branches, OFFICE_HEADERS, ["office_name"]))
+
+
+@report("read_country_names")
+def _(t: Tables) -> DataFrame:
+    names = files.read_country_names(t.spark, _as_file(t, t.name_table, NAME_HEADERS, ["ord"]))
+    return bids.country_names(names).drop("ord")
+
+
+@report("read_postal")
+def _(t: Tables) -> DataFrame:
+    postal = files.read_postal(t.spark, _as_file(t, t.customer_zones, POSTAL_HEADERS, ["ord"]))
+    return postal.groupBy("country").agg(F.min_by("full_zc", "ord").alias("first"), F.count("zc").alias("zones"))
+
+
+@report("read_regions")
+def _(t: Tables) -> DataFrame:
+    id_, name, lat, lon = COUNTRY_PROPERTIES
+    properties = F.create_map(
+        F.lit(id_), "region_id", F.lit(name), "name", F.lit(lat), F.col("lat").cast("string"), F.lit(lon), F.col("lon").cast("string")
+    )
+    path = f"{shared_folder(t.spark)}/regions-{uuid.uuid4().hex}"
+    sinks.write_table(t.regions.filter("lvl = 0").select(properties.alias("properties")), path, "json")
+    return files.region_attributes(files.read_features(t.spark, path, lines=True), 0, id_, name, lat, lon)
+
+
 # Cleaning and enrichment
 
 REPORTS["clean_shipments"] = lambda t: _doubles(t.clean, *MEASURES)

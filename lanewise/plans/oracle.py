@@ -246,6 +246,15 @@ UNION ALL SELECT 'branches', count(*) FROM fx_branches
 UNION ALL SELECT 'months', count(DISTINCT strftime(ship_date, '%Y-%m')) FROM summ
 """
 
+QUERIES["read_bridge"] = """
+SELECT zone, arg_min(nuts3, seq) AS first_nuts3, count(nuts0) AS rows FROM fx_zone_region GROUP BY zone
+"""
+QUERIES["read_offices"] = "SELECT country, lat, lon, office_name, zone, phone, opening_hours FROM fx_branches"
+QUERIES["read_postal"] = """
+SELECT country, arg_min(full_zc, ord) AS first, count(*) AS zones FROM fx_customer_zones GROUP BY country
+"""
+QUERIES["read_regions"] = "SELECT lvl, region_id, name, lat, lon FROM fx_region_attrs WHERE lvl = 0"
+
 # ---------------------------------------------------------------- cleaning and enrichment
 
 QUERIES["clean_shipments"] = """
@@ -723,6 +732,7 @@ SELECT count(CASE WHEN role LIKE '%cntry' THEN 1 END) > 0 AND count(CASE WHEN ro
          AS has_country_and_zip, count(DISTINCT role) = 4 AS has_both_ends FROM roles
 """
 QUERIES["country_names_long"] = names_of("fx_name_table")
+QUERIES["read_country_names"] = f"SELECT country, iso2 FROM ({names_of('fx_name_table')}) n"
 QUERIES["fuzzy_country"] = "SELECT * FROM origin_country UNION SELECT * FROM destination_country"
 QUERIES["clean_zip"] = f"""
 SELECT row_id, iso, zip, {zip_of('zip', 'iso')} AS cleaned

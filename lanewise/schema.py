@@ -25,6 +25,29 @@ SHIPMENT_HEADERS = {
     "Category2": "category2",
 }
 
+# Headers of the reference tables and our column names.
+BRIDGE_HEADERS = {"ZC to": "zone", "nuts0": "nuts0", "nuts1": "nuts1", "nuts2": "nuts2", "NUTS3": "nuts3"}
+OFFICE_HEADERS = {
+    "Country": "country",
+    "lat": "lat",
+    "lon": "lon",
+    "Office Name": "office_name",
+    "ZC": "zone",
+    "Phone": "phone",
+    "Opening hours": "opening_hours",
+}
+NAME_HEADERS = {
+    "ISO2": "iso2",
+    "Country 1": "country_1",
+    "Country 2": "country_2",
+    "Country 3": "country_3",
+    "Country4": "country_4",
+}
+POSTAL_HEADERS = {"country": "country", "full_zc": "full_zc", "ZC": "zc"}
+# Properties of the polygons of countries and of the levels below.
+COUNTRY_PROPERTIES = ("ISO2", "NAME", "LAT", "LON")
+REGION_PROPERTIES = ("NUTS_ID", "NUTS_NAME", None, None)
+
 # Countries whose zones are reduced to the bare country code.
 COLLAPSED_COUNTRIES = ("AD", "ME", "RU", "XK", "UA", "BY", "BA")
 

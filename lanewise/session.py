@@ -1,4 +1,4 @@
-"""Session settings the reports work best with."""
+"""Session settings the reports work best with; no report sets them itself."""
 
 from __future__ import annotations
 

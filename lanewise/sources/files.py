@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanewise.schema import CATEGORIES, SHIPMENT_HEADERS
+from lanewise.schema import BRIDGE_HEADERS, CATEGORIES, NAME_HEADERS, OFFICE_HEADERS, POSTAL_HEADERS, SHIPMENT_HEADERS
 
 FORMATS = ("parquet", "orc", "csv", "json")
 
@@ -51,6 +53,42 @@ def read_bid(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return table.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in table.columns])
 
 
+def select_columns(table: DataFrame, headers: Mapping[str, str], order: str | None = None) -> DataFrame:
+    """The columns of a reference table under our names; a missing one is null.
+
+    ``order`` adds a column that numbers the rows in the order of the file, with
+    gaps between the parts that Spark reads.
+    """
+    named = {c.strip(): c for c in table.columns}
+    chosen = [
+        (F.col(f"`{named[h]}`") if h in named else F.lit(None).cast("string")).alias(name) for h, name in headers.items()
+    ]
+    if order:
+        chosen.append(F.monotonically_increasing_id().alias(order))
+    return table.select(*chosen)
+
+
+def read_bridge(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """Regions of all levels by zone; ``seq`` tells which row of a zone comes first."""
+    return select_columns(read_table(spark, path, fmt), BRIDGE_HEADERS, "seq")
+
+
+def read_offices(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """Branch offices, their position as numbers."""
+    offices = select_columns(read_table(spark, path, fmt), OFFICE_HEADERS)
+    return offices.withColumns({c: F.col(c).try_cast("double") for c in ("lat", "lon")})
+
+
+def read_country_names(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """The wide list of country names, in the order of the file."""
+    return select_columns(read_table(spark, path, fmt), NAME_HEADERS, "ord")
+
+
+def read_postal(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """The reference list of postal zones, in the order of the file."""
+    return select_columns(read_table(spark, path, fmt), POSTAL_HEADERS, "ord")
+
+
 _POINT = T.ArrayType(T.DoubleType())
 _RINGS = T.ArrayType(T.ArrayType(_POINT))
 
@@ -89,11 +127,11 @@ def _parts() -> Column:
 
 def region_vertices(features: DataFrame, id_property: str) -> DataFrame:
     """One row per polygon vertex; of regions listed twice the first one counts."""
-    keyed = features.select(
-        F.col("properties").getItem(id_property).alias("region_id"), F.struct("seq", _parts().alias("parts")).alias("f")
-    )
-    first = keyed.groupBy("region_id").agg(F.min_by("f.parts", "f.seq").alias("parts"))
-    rings = first.select("region_id", F.posexplode("parts").alias("part", "rings")).select(
+    keyed = features.select(F.col("properties").getItem(id_property).alias("region_id"), "geometry", "seq")
+    # The first geometry of each region is chosen as text, so that only it is parsed.
+    first = keyed.groupBy("region_id").agg(F.min_by("geometry", "seq").alias("geometry"))
+    parsed = first.select("region_id", _parts().alias("parts"))
+    rings = parsed.select("region_id", F.posexplode("parts").alias("part", "rings")).select(
         "region_id", "part", F.posexplode("rings").alias("ring", "points")
     )
     points = rings.select("region_id", "part", "ring", F.posexplode("points").alias("seq", "point"))
@@ -102,6 +140,24 @@ def region_vertices(features: DataFrame, id_property: str) -> DataFrame:
     )
 
 
+def region_attributes(
+    features: DataFrame, level: int, id_: str, name: str, lat: str | None = None, lon: str | None = None
+) -> DataFrame:
+    """Name and position of the regions of one level; of regions listed twice the first one counts."""
+    properties = F.col("properties")
+
+    def number(key: str | None) -> Column:
+        return properties.getItem(key).try_cast("double") if key else F.lit(None).cast("double")
+
+    listed = features.select(
+        properties.getItem(id_).alias("region_id"),
+        F.struct(properties.getItem(name).alias("name"), number(lat).alias("lat"), number(lon).alias("lon")).alias("a"),
+        "seq",
+    )
+    first = listed.groupBy("region_id").agg(F.min_by("a", "seq").alias("a"))
+    return first.select(F.lit(level).alias("lvl"), "region_id", "a.*")
+
+
 def branch_points(offices: DataFrame) -> DataFrame:
     """Position and contact of each branch office."""
     return offices.select("office_name", "zone", "phone", "opening_hours", "lat", "lon")
