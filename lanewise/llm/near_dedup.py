@@ -248,3 +248,26 @@ def near_dedup(
         component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
     )
+
+
+#: For three words and 85 percent; a document without shingles is a component of its own.
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+l AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1),
+                        lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS shingles
+  FROM t),
+s AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM l),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM l UNION SELECT r.doc_id, b.y FROM reached r JOIN both_ways b ON b.x = r.other)
+SELECT l.doc_id, len(shingles) AS n_shingles, min(other) AS component_id, min(other) = l.doc_id AS kept
+FROM l JOIN reached r ON r.doc_id = l.doc_id GROUP BY l.doc_id, shingles
+"""

@@ -85,4 +85,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.ORACLE_SQL}
+    """The queries that SQL can express; the others are tested against plain versions of them."""
+    return {
+        "op3_warc": warc.ORACLE_SQL,
+        "op4_near_dedup": near_dedup.ORACLE_SQL,
+        "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+    }

@@ -260,3 +260,17 @@ def round_trip(
         F.col("kind").alias("record_type"),
         F.col("refers_to").cast(kind).alias("refers_to"),
     )
+
+
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, strlen(html) AS payload_bytes, cast(cast(from_hex(sha1(html)) AS bit) AS varchar) AS bits,
+             max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * cast(bits[5 * i + 1] AS int) + 8 * cast(bits[5 * i + 2] AS int) + 4 * cast(bits[5 * i + 3] AS int)
+           + 2 * cast(bits[5 * i + 4] AS int) + cast(bits[5 * i + 5] AS int), 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM q
+"""

@@ -1,10 +1,13 @@
 from collections import Counter
 
+import compare
 import corpus_pipeline
 import public_tokenizers
+import pytest
 from rows import ENGLISH, FOLDER, ODD, base_counts, by_sequence, documents, near_components, odd_table
 
 import __spark_entry__
+from lanewise.llm import tables
 
 
 def test_stages_keep_what_they_should(spark):
@@ -69,6 +72,12 @@ def test_repeated_rows_and_null_keys_in_the_duplicate_stages(spark):
     assert None in {r.doc_id for r in near(spark, odd_table(spark), FOLDER).select("doc_id").collect()}
 
 
+@pytest.mark.parametrize("name", sorted(tables.oracle_sql()))
+def test_queries_match_their_sql(spark, name):
+    report = tables.queries()[name](spark, FOLDER)
+    assert compare.differences(report, compare.connect(FOLDER), tables.oracle_sql()[name], some=True) == []
+
+
 def test_registration():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
