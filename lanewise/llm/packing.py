@@ -36,7 +36,7 @@ from lanewise.storage import stored
 CAPACITY = 2048
 NODES = 12_000
 WIDTH = 6  # completions tried at a node
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 6 << 20
 KNOWN_WORDS = 400_000  # and as many older ones
 
 
@@ -259,13 +259,12 @@ class Ids:
         split = [t.split() for t in texts]
         pieces: dict[bytes, list[str]] = {}
         for word in self.words.missing(set().union(*split)):
-            text = word.decode("utf-8", "replace")
-            if "<|" in text:
-                pieces[word] = [text]
-            elif text.isalpha() and text.isascii():
-                pieces[word] = [text.lower()]
+            if word.isalpha():  # of bytes: letters in ASCII only
+                pieces[word] = [word.lower().decode()]
+            elif b"<|" in word:
+                pieces[word] = [word.decode("utf-8", "replace")]
             else:
-                pieces[word] = PIECES.findall(normal(text))
+                pieces[word] = PIECES.findall(normal(word.decode("utf-8", "replace")))
         self.learn(self.pieces, set(chain.from_iterable(pieces.values())))
         words, known = self.words.young, self.pieces.young
         words.update((w, b"".join([known[p] for p in parts])) for w, parts in pieces.items())
