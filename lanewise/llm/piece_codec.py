@@ -24,8 +24,8 @@ from lanewise.llm.workers import Recent, importable, runs
 MARK = "▁"
 PENALTY = 10.0  # of a character without a piece, below the lowest score
 MARKED = MARK.encode()
-KNOWN_PARTS = 400_000  # and as many older ones
-BATCH_BYTES = 2 << 20
+KNOWN_PARTS = 250_000  # and as many older ones
+BATCH_BYTES = 4 << 20
 
 
 class Trie:
@@ -177,11 +177,13 @@ def encoded(text: Column, path: str) -> Column:
     """Array of piece ids; empty for null and empty texts."""
 
     def encode(texts: pa.Array) -> pa.Array:
-        know, rows, all_texts = codec(path), [], [t or b"" for t in texts.to_pylist()]
-        for first, end in runs([len(t) for t in all_texts], BATCH_BYTES):
-            rows += know.encode(all_texts[first:end])
-        ends = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+        know, whole, parts = codec(path), texts.to_pylist(), []
+        for first, end in runs([len(t or b"") for t in whole], BATCH_BYTES):
+            rows = know.encode([t or b"" for t in whole[first:end]])
+            ends = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
+            ids = pa.array(np.frombuffer(b"".join(rows), "<i4"))
+            parts.append(pa.ListArray.from_arrays(pa.array(ends), ids))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     encode.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(encode, "array<int>")(text.cast("binary"))
@@ -191,8 +193,12 @@ def decoded(ids: Column, path: str) -> Column:
     """The text of an array of piece ids; null for null. Bytes that are no text become replacement characters."""
 
     def decode(rows: pa.Array) -> pa.Array:
-        know = codec(path)
-        texts = [None if r is None else know.decode(r).decode("utf-8", "replace") for r in rows.to_pylist()]
+        know, flat, ends = codec(path), rows.values.to_numpy(), rows.offsets.to_numpy()
+        texts = []
+        # Row by row: a batch's ids as Python numbers would take ten times their room.
+        for filled, first, end in zip(rows.is_valid().to_pylist(), ends.tolist(), ends[1:].tolist()):
+            found = know.decode(flat[first:end].tolist()) if filled else None
+            texts.append(None if found is None else found.decode("utf-8", "replace"))
         return pa.array(texts, pa.string())
 
     decode.__annotations__ = {"rows": pa.Array, "return": pa.Array}

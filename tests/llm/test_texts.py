@@ -195,4 +195,6 @@ def test_codec_of_odd_rows(spark):
     rows = piece_codec.encode_table(odd_table(spark), path)
     texts = Counter(tuple(r) for r in piece_codec.decode_table(rows, path).collect())
     assert texts == Counter((k, t or "") for k, t, _ in ODD)
+    strange = spark.createDataFrame([(1, None), (2, []), (3, [10**6, -1])], "doc_id long, ids array<int>")
+    assert {tuple(r) for r in piece_codec.decode_table(strange, path).collect()} == {(1, None), (2, ""), (3, "")}
     assert piece_codec.code_table(odd_table(spark).limit(0), path).count() == 0
