@@ -4,15 +4,18 @@ Pieces lie in a double-array trie over their bytes. A text's best segmentation
 has the largest sum of piece scores; a character that no piece covers costs
 more than any piece and is written as its bytes' pieces. Spaces become the
 whitespace marker, with one marker in front of the text. No piece holds a
-marker after another character, so the parts of a text from marker to marker
-are searched one by one and remembered.
+marker after another character, and none a line feed, so the parts of a text
+between them are searched one by one and remembered; so are parts that end
+before a sign no piece holds behind a letter.
 """
 
 from __future__ import annotations
 
 import re
+import string
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from lanewise.llm.workers import Recent, importable, runs
 MARK = "▁"
 PENALTY = 10.0  # of a character without a piece, below the lowest score
 MARKED = MARK.encode()
-KNOWN_PARTS = 250_000  # and as many older ones
+KNOWN_PARTS = 200_000  # and as many older ones
 BATCH_BYTES = 4 << 20
 
 
@@ -109,7 +112,11 @@ class Codec:
             raise ValueError("a piece holds the marker after another character")
         lines = any("\n" in p for p in pieces.values())
         self.parts = re.compile(rb" +[^ ]*" if lines else rb" +[^ \n]*|\n|[^ \n]+")
-        self.known = Recent(KNOWN_PARTS)
+        # Signs that no piece holds behind a letter or digit: between the two every segmentation has a border.
+        behind = {b for p in pieces.values() for a, b in zip(p, p[1:]) if a.isascii() and a.isalnum()}
+        signs = "".join(c for c in string.punctuation if c not in behind)
+        self.inner = re.compile(rf"(?<=[A-Za-z0-9])(?=[{re.escape(signs)}])".encode() if signs else rb"(?!)")
+        self.known, self.stems = Recent(KNOWN_PARTS), Recent(KNOWN_PARTS)
 
     def search(self, part: bytes) -> bytes:
         """Ids of the best segmentation of a part, as little-endian numbers of 4 bytes.
@@ -153,8 +160,11 @@ class Codec:
         """Ids of each text."""
         split = [self.parts.findall(b" " + t.replace(MARKED, b" ")) if t else [] for t in texts]
         known = self.known
-        for part in known.missing(set().union(*split)):
-            known.young[part] = self.search(part)
+        new = {part: self.inner.split(part) for part in known.missing(set().union(*split))}
+        for stem in self.stems.missing(set(chain.from_iterable(new.values()))):
+            self.stems.young[stem] = self.search(stem)
+        stems = self.stems.young
+        known.young.update((part, b"".join([stems[s] for s in parts])) for part, parts in new.items())
         found = known.young.__getitem__
         return [b"".join(map(found, parts)) for parts in split]
 
