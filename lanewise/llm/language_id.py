@@ -17,6 +17,7 @@ import functools
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -25,15 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.llm.hashing import mixed
-from lanewise.llm.workers import importable, runs
+from lanewise.llm.workers import importable, runs, slices
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
 PRICE = 1.0  # of one more language, in natural logarithms of the number of words
 ROUNDS = 12
 UNKNOWN = "und"
-WORDS_AT_ONCE = 400_000
-BATCH_BYTES = 2 << 20
+WORDS_AT_ONCE = 150_000  # in a memo
+WORDS_PER_RUN = 50_000
+BATCH_BYTES = 1 << 20
 
 
 class Model(NamedTuple):
@@ -66,17 +68,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settle() -> None:
         for lang, words in met.items():
-            for first, end in runs([1] * len(words), WORDS_AT_ONCE):
-                owner, bucket = trigrams(list(words)[first:end])
-                weight = np.fromiter(words.values(), np.int64, len(words))[first:end]
+            for first, end in runs([1] * len(words), WORDS_PER_RUN):
+                owner, bucket = trigrams(list(islice(words, first, end)))
+                weight = np.fromiter(islice(words.values(), first, end), np.int64, end - first)
                 counted = np.bincount(bucket, weight[owner], BUCKETS).astype(np.int64)
                 totals[lang] = totals.get(lang, 0) + counted
         met.clear()
 
     for batch in batches:
-        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-            met.setdefault(lang, Counter()).update(text.split())
-            if len(met[lang]) > WORDS_AT_ONCE:
+        for lang, text in zip(batch["lang"], batch["text"]):
+            met.setdefault(lang.as_py(), Counter()).update(text.as_py().split())
+            if sum(map(len, met.values())) > WORDS_AT_ONCE:
                 settle()
     settle()
     for lang, counts in totals.items():
@@ -210,9 +212,8 @@ def language(text: Column, model: Model) -> Column:
     def label(texts: pa.Array) -> pa.Array:
         if not kept:
             kept.append(Labeller(model))
-        texts, out = texts.to_pylist(), []
-        for first, end in runs([len(t or b"") for t in texts], BATCH_BYTES):
-            part = [t or b"" for t in texts[first:end]]
+        out = []
+        for part in slices(texts, BATCH_BYTES):
             for row in kept[0].shares(part) if model.languages else np.zeros((len(part), 1)):
                 chosen = [i for i in np.argsort(-row, kind="stable").tolist() if row[i] > 0]
                 shares = [{"lang": model.languages[i], "share": float(row[i])} for i in chosen]

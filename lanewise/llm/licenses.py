@@ -199,7 +199,7 @@ def found(text: Column, templates: dict[str, str], coverage: float) -> Column:
 
     def scan(texts: pa.Array) -> pa.Array:
         ready = _ready(given, coverage)
-        return pa.array([matches(t, ready, coverage) if t else [] for t in texts.to_pylist()], kind)
+        return pa.array([matches(t.as_py() or b"", ready, coverage) for t in texts], kind)
 
     scan.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     shape = "array<struct<license:string,coverage:double,first_word:bigint,end_word:bigint,n_places:bigint>>"

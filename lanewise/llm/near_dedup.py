@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lanewise.llm.components import components
 from lanewise.llm.hashing import mixed, step, windows, word_hashes
-from lanewise.llm.workers import importable, runs
+from lanewise.llm.workers import importable, slices
 from lanewise.storage import stored
 
 SIZE = 128
@@ -91,9 +91,9 @@ def _profile(words: int):
     kind = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary())])
 
     def profile(texts: pa.Array) -> pa.Array:
-        texts, out = texts.to_pylist(), []
-        for first, end in runs([len(t or b"") for t in texts], BATCH_BYTES):
-            sets = [shingle_set(t, words) for t in texts[first:end]]
+        out = []
+        for part in slices(texts, BATCH_BYTES):
+            sets = [shingle_set(t, words) for t in part]
             for s, row in zip(sets, sketches(sets)):
                 if len(s):
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -108,7 +108,7 @@ def _profile(words: int):
 
 def _full_set(words: int):
     def full(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t, words).tobytes() for t in texts.to_pylist()], pa.binary())
+        return pa.array([shingle_set(t.as_py(), words).tobytes() for t in texts], pa.binary())
 
     full.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(full, "binary")
@@ -125,8 +125,8 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _confirm(percent: int):
     def confirm(left: pa.Array, right: pa.Array) -> pa.Array:
-        pairs = zip(left.to_pylist(), right.to_pylist())
-        found = [_alike(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), percent) for a, b in pairs]
+        pairs = ((np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")) for a, b in zip(left, right))
+        found = [_alike(a, b, percent) for a, b in pairs]
         return pa.array(found, pa.bool_())
 
     confirm.__annotations__ = {"left": pa.Array, "right": pa.Array, "return": pa.Array}

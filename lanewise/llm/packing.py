@@ -30,14 +30,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.llm.transducer import PIECES, normal
-from lanewise.llm.workers import Recent, importable, runs
+from lanewise.llm.workers import Recent, importable, slices
 from lanewise.storage import stored
 
 CAPACITY = 2048
 NODES = 12_000
 WIDTH = 6  # completions tried at a node
-BATCH_BYTES = 6 << 20
-KNOWN_WORDS = 400_000  # and as many older ones
+BATCH_BYTES = 4 << 20
+KNOWN_WORDS = 150_000  # and as many older ones
 
 
 class Pattern(NamedTuple):
@@ -282,14 +282,14 @@ def pieces(text: Column, path: str, capacity: int, end: int) -> Column:
     kind, closing = pa.list_(pa.struct(fields)), np.array([end], "<u4").tobytes()
 
     def cut(texts: pa.Array) -> pa.Array:
-        texts, out, known = texts.to_pylist(), [], ids(path)
-        for first, last in runs([len(t or b"") for t in texts], BATCH_BYTES):
-            for found in known.of([t or b"" for t in texts[first:last]]):
+        out, known = [], ids(path)
+        for part in slices(texts, BATCH_BYTES):
+            for found in known.of(part):
                 found += closing
                 row = []
                 for i, at in enumerate(range(0, len(found), 4 * capacity)):
-                    part = found[at : at + 4 * capacity]
-                    row.append((i, at // 4, len(part) // 4, zlib.crc32(part)))
+                    cut_off = found[at : at + 4 * capacity]
+                    row.append((i, at // 4, len(cut_off) // 4, zlib.crc32(cut_off)))
                 out.append(row)
         flat = [pa.array([r[i] for row in out for r in row], f[1]) for i, f in enumerate(fields)]
         starts = np.cumsum([0, *map(len, out)]).astype(np.int32)

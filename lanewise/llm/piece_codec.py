@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.workers import Recent, importable, runs
+from lanewise.llm.workers import Recent, importable, slices
 
 MARK = "▁"
 PENALTY = 10.0  # of a character without a piece, below the lowest score
 MARKED = MARK.encode()
-KNOWN_PARTS = 200_000  # and as many older ones
+KNOWN_PARTS = 150_000  # and as many older ones
 BATCH_BYTES = 4 << 20
 
 
@@ -187,9 +187,9 @@ def encoded(text: Column, path: str) -> Column:
     """Array of piece ids; empty for null and empty texts."""
 
     def encode(texts: pa.Array) -> pa.Array:
-        know, whole, parts = codec(path), texts.to_pylist(), []
-        for first, end in runs([len(t or b"") for t in whole], BATCH_BYTES):
-            rows = know.encode([t or b"" for t in whole[first:end]])
+        know, parts = codec(path), []
+        for part in slices(texts, BATCH_BYTES):
+            rows = know.encode(part)
             ends = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
             ids = pa.array(np.frombuffer(b"".join(rows), "<i4"))
             parts.append(pa.ListArray.from_arrays(pa.array(ends), ids))

@@ -109,7 +109,7 @@ def counts(text: Column) -> Column:
     kind = pa.struct([(name, pa.int64()) for name in COUNTS])
 
     def count(texts: pa.Array, points: pa.Array) -> pa.Array:
-        rows = [text_counts(t or b"", p or 0) for t, p in zip(texts.to_pylist(), points.to_pylist())]
+        rows = [text_counts(t.as_py() or b"", p or 0) for t, p in zip(texts, points.to_pylist())]
         columns = zip(*rows) if rows else [()] * len(COUNTS)
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=list(kind))
 

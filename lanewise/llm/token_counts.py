@@ -93,7 +93,7 @@ def n_tokens(text: Column, path: str, chunk: int = CHUNK) -> Column:
     def count(texts: pa.Array) -> pa.Array:
         known = transducer.counts(path)
         word = known.__getitem__
-        return pa.array([Scan(t, word, chunk).total() if t else 0 for t in texts.to_pylist()], pa.int64())
+        return pa.array([Scan(t.as_py() or b"", word, chunk).total() for t in texts], pa.int64())
 
     count.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(count, "bigint")(text.cast("binary"))

@@ -6,6 +6,8 @@ import os
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -31,6 +33,13 @@ def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
+def slices(texts: pa.Array, most: int) -> Iterator[list[bytes]]:
+    """The values of a binary array in lists of about ``most`` bytes; null is empty."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for first, end in runs(sizes, most):
+        yield [t or b"" for t in texts.slice(first, end - first).to_pylist()]
+
+
 class Recent:
     """Results for keys met lately: the younger ones, and an older generation to take from.
 
