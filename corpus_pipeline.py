@@ -36,7 +36,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return only_once(docs, exact_dedup.exact_dedup(docs, KEY, TEXT).where("kept"), KEY, TEXT)
+    return only_once(docs, stored(exact_dedup.exact_dedup(docs, KEY, TEXT), "kept"), KEY, TEXT)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,9 +12,15 @@ def only(docs: DataFrame, kept: DataFrame, key: str) -> DataFrame:
     return docs.alias("d").join(kept.select(key).alias("k"), met, "left_semi")
 
 
-def only_once(docs: DataFrame, kept: DataFrame, key: str, text: str) -> DataFrame:
-    """Like ``only``, for ``kept`` with a ``raw_hash`` of the text; rows equal in both stay once."""
+def only_once(docs: DataFrame, decisions: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows that ``decisions`` (key, ``raw_hash`` of the text, ``kept``) keep; rows equal in both stay once.
+
+    Whether rows are repeated at all is asked of the decisions, which are small;
+    only then are the documents grouped.
+    """
+    rows = decisions.select(key, "raw_hash", "kept")
     whole = F.coalesce(F.col(f"d.`{text}`"), F.lit(""))
     met = F.expr(f"d.`{key}` <=> k.`{key}`") & (F.xxhash64(whole) == F.col("k.raw_hash"))
-    joined = docs.alias("d").join(kept.select(key, "raw_hash").alias("k"), met, "left_semi")
-    return joined.dropDuplicates([key, text])
+    joined = docs.alias("d").join(rows.where("kept").alias("k"), met, "left_semi")
+    repeated = rows.groupBy(key, "raw_hash").agg(F.count("*").alias("n")).where("n > 1")
+    return joined if repeated.isEmpty() else joined.dropDuplicates([key, text])
