@@ -196,7 +196,8 @@ def encoded(text: Column, path: str) -> Column:
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     encode.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(encode, "array<int>")(text.cast("binary"))
+    # Said to be not deterministic, so that it is not computed again for each use of its result.
+    return F.arrow_udf(encode, "array<int>").asNondeterministic()(text.cast("binary"))
 
 
 def decoded(ids: Column, path: str) -> Column:
