@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.llm.hashing import mixed
-from lanewise.llm.workers import importable, runs, slices
+from lanewise.llm.workers import held, importable, release, runs, slices
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
@@ -63,6 +64,7 @@ def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram counts per language of a partition."""
+    release()
     met: dict[str, Counter] = {}
     totals: dict[str, np.ndarray] = {}
 
@@ -207,14 +209,12 @@ def language(text: Column, model: Model) -> Column:
             ("shares", pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))),
         ]
     )
-    kept: list[Labeller] = []
+    name = f"languages of {uuid.uuid4()}"
 
     def label(texts: pa.Array) -> pa.Array:
-        if not kept:
-            kept.append(Labeller(model))
-        out = []
+        labeller, out = held(name, lambda: Labeller(model)), []
         for part in slices(texts, BATCH_BYTES):
-            for row in kept[0].shares(part) if model.languages else np.zeros((len(part), 1)):
+            for row in labeller.shares(part) if model.languages else np.zeros((len(part), 1)):
                 chosen = [i for i in np.argsort(-row, kind="stable").tolist() if row[i] > 0]
                 shares = [{"lang": model.languages[i], "share": float(row[i])} for i in chosen]
                 top = shares[0] if shares else {"lang": UNKNOWN, "share": 0.0}

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lanewise.llm.components import components
 from lanewise.llm.hashing import mixed, step, windows, word_hashes
-from lanewise.llm.workers import importable, slices
+from lanewise.llm.workers import importable, release, slices
 from lanewise.storage import stored
 
 SIZE = 128
@@ -91,6 +91,7 @@ def _profile(words: int):
     kind = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary())])
 
     def profile(texts: pa.Array) -> pa.Array:
+        release()
         out = []
         for part in slices(texts, BATCH_BYTES):
             sets = [shingle_set(t, words) for t in part]

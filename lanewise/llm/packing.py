@@ -20,7 +20,6 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 from typing import NamedTuple
 
@@ -30,13 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.llm.transducer import PIECES, normal
-from lanewise.llm.workers import Recent, importable, slices
+from lanewise.llm.workers import Recent, held, importable, slices
 from lanewise.storage import stored
 
 CAPACITY = 2048
 NODES = 12_000
 WIDTH = 6  # completions tried at a node
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 20
 KNOWN_WORDS = 150_000  # and as many older ones
 
 
@@ -271,18 +270,13 @@ class Ids:
         return [b"".join(map(words.__getitem__, found)) for found in split]
 
 
-@lru_cache(maxsize=2)
-def ids(path: str) -> Ids:
-    return Ids(path)
-
-
 def pieces(text: Column, path: str, capacity: int, end: int) -> Column:
     """Array of a text's pieces: ``piece``, ``start``, ``length`` and ``ids_crc32``."""
     fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     kind, closing = pa.list_(pa.struct(fields)), np.array([end], "<u4").tobytes()
 
     def cut(texts: pa.Array) -> pa.Array:
-        out, known = [], ids(path)
+        out, known = [], held(f"ids of {path}", lambda: Ids(path))
         for part in slices(texts, BATCH_BYTES):
             for found in known.of(part):
                 found += closing

@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 import string
 from array import array
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.workers import Recent, importable, slices
+from lanewise.llm.workers import Recent, held, importable, slices
 
 MARK = "▁"
 PENALTY = 10.0  # of a character without a piece, below the lowest score
@@ -178,9 +177,8 @@ class Codec:
         return text[1:] if text[:1] == b" " else text
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return held(f"pieces of {path}", lambda: Codec(path))
 
 
 def encoded(text: Column, path: str) -> Column:

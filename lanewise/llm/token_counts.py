@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.llm import transducer
-from lanewise.llm.workers import importable
+from lanewise.llm.workers import held, importable
 
 CHUNK = 1 << 16
 SPACES = b" \t\n\x0b\x0c\r"
@@ -91,8 +91,7 @@ def n_tokens(text: Column, path: str, chunk: int = CHUNK) -> Column:
     """Number of tokens of a text column; 0 for null and empty texts."""
 
     def count(texts: pa.Array) -> pa.Array:
-        known = transducer.counts(path)
-        word = known.__getitem__
+        word = held(f"token counts of {path}", lambda: transducer.counts(path)).__getitem__
         return pa.array([Scan(t.as_py() or b"", word, chunk).total() for t in texts], pa.int64())
 
     count.__annotations__ = {"texts": pa.Array, "return": pa.Array}

@@ -16,7 +16,6 @@ it names the state. States are made when a text first needs them.
 
 from __future__ import annotations
 
-import functools
 import json
 import unicodedata
 
@@ -223,13 +222,7 @@ class Known(dict):
         return result
 
 
-@functools.lru_cache(maxsize=2)
-def machine(path: str) -> Transducer:
-    return Transducer(path)
-
-
-@functools.lru_cache(maxsize=2)
 def counts(path: str) -> Known:
     """Word in UTF-8, without white space in ASCII, to the number of its tokens."""
-    word = machine(path).word
+    word = Transducer(path).word
     return Known(lambda text: len(word(text)) // 4, 300_000)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -40,6 +42,28 @@ def slices(texts: pa.Array, most: int) -> Iterator[list[bytes]]:
         yield [t or b"" for t in texts.slice(first, end - first).to_pylist()]
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What an operator keeps in a worker from task to task; that of any other operator is given up."""
+    if name not in _held:
+        release()
+        _held[name] = make()
+    return _held[name]
+
+
+def release() -> None:
+    """Give up what another operator has kept, and hand its memory back."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 class Recent:
     """Results for keys met lately: the younger ones, and an older generation to take from.
 
