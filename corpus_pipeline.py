@@ -19,6 +19,7 @@ KEY, TEXT = "doc_id", "text"
 LEAST_SHARE = 0.5  # of a document's main language
 WORDS, PERCENT = 5, 80
 TOKENIZER = "word_bpe_49k.json"
+MEMO = 50_000  # words; executors still hold what the stages before have left in their heap
 
 
 def one_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER), KEY, TEXT)
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), KEY, TEXT, memo=MEMO)
 
 
 STAGES = [

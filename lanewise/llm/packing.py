@@ -36,7 +36,7 @@ CAPACITY = 2048
 NODES = 12_000
 WIDTH = 6  # completions tried at a node
 BATCH_BYTES = 3 << 20
-KNOWN_WORDS = 150_000  # and as many older ones
+KNOWN_WORDS = 150_000  # in a worker, and as many older ones, and as many of their pieces
 
 
 class Pattern(NamedTuple):
@@ -242,12 +242,12 @@ class Ids:
     special token may lie is encoded as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.pieces = Recent(KNOWN_WORDS), Recent(KNOWN_WORDS)
+        self.words, self.pieces = Recent(memo), Recent(memo)
 
     def learn(self, known: Recent, texts: set[str]) -> None:
         new = known.missing(texts)
@@ -270,13 +270,13 @@ class Ids:
         return [b"".join(map(words.__getitem__, found)) for found in split]
 
 
-def pieces(text: Column, path: str, capacity: int, end: int) -> Column:
+def pieces(text: Column, path: str, capacity: int, end: int, memo: int = KNOWN_WORDS) -> Column:
     """Array of a text's pieces: ``piece``, ``start``, ``length`` and ``ids_crc32``."""
     fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     kind, closing = pa.list_(pa.struct(fields)), np.array([end], "<u4").tobytes()
 
     def cut(texts: pa.Array) -> pa.Array:
-        out, known = [], held(f"ids of {path}", lambda: Ids(path))
+        out, known = [], held(f"{memo} ids of {path}", lambda: Ids(path, memo))
         for part in slices(texts, BATCH_BYTES):
             for found in known.of(part):
                 found += closing
@@ -295,7 +295,13 @@ def pieces(text: Column, path: str, capacity: int, end: int) -> Column:
 
 
 def pack(
-    docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0
+    docs: DataFrame,
+    path: str,
+    key: str = "doc_id",
+    text: str = "text",
+    capacity: int = CAPACITY,
+    end: int = 0,
+    memo: int = KNOWN_WORDS,
 ) -> DataFrame:
     """One row per piece: its key, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
 
@@ -303,11 +309,12 @@ def pack(
     id alone. Longer documents are cut into pieces of ``capacity``. Repeated
     rows and null keys are packed like others; an empty table gives no rows.
     Other columns are left out, whatever their names. Pieces are written to the
-    shared folder before they are packed.
+    shared folder before they are packed. A larger ``memo`` of words costs memory
+    in each worker and saves encoding words again; results are the same.
     """
     spark = docs.sparkSession
     importable(spark)
-    cut = docs.select(F.col(f"`{key}`").alias("id"), F.explode(pieces(F.col(f"`{text}`"), path, capacity, end)).alias("p"))
+    cut = docs.select(F.col(f"`{key}`").alias("id"), F.explode(pieces(F.col(f"`{text}`"), path, capacity, end, memo)).alias("p"))
     found = stored(cut.select("id", "p.*"), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for row in found.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most ``capacity`` rows

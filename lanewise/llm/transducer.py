@@ -27,7 +27,6 @@ MOST_STATES = 200_000  # then they are made anew
 END = "Ā"  # marks the last character of a piece; characters are bytes as Latin-1
 # Fixed values of the vocabulary's pre-tokenizer.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
 def byte_letters() -> dict[str, str]:

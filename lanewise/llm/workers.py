@@ -48,20 +48,27 @@ _held: dict[str, object] = {}
 def held(name: str, make: Callable[[], object]) -> object:
     """What an operator keeps in a worker from task to task; that of any other operator is given up."""
     if name not in _held:
-        release()
+        _held.clear()
+        hand_back()
         _held[name] = make()
+        hand_back()
     return _held[name]
 
 
 def release() -> None:
-    """Give up what another operator has kept, and hand its memory back."""
+    """Give up what another operator has kept."""
     if _held:
         _held.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        hand_back()
+
+
+def hand_back() -> None:
+    """Return free memory to the system; a worker outlives the operators it runs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 class Recent:
