@@ -35,8 +35,8 @@ from lanewise.storage import stored
 CAPACITY = 2048
 NODES = 12_000
 WIDTH = 6  # completions tried at a node
-BATCH_BYTES = 3 << 20
-KNOWN_WORDS = 150_000  # in a worker, and as many older ones, and as many of their pieces
+BATCH_BYTES = 4 << 20
+KNOWN_WORDS = 500_000  # in a worker, and as many older ones, and as many of their pieces
 
 
 class Pattern(NamedTuple):
@@ -314,7 +314,8 @@ def pack(
     """
     spark = docs.sparkSession
     importable(spark)
-    cut = docs.select(F.col(f"`{key}`").alias("id"), F.explode(pieces(F.col(f"`{text}`"), path, capacity, end, memo)).alias("p"))
+    listed = pieces(F.col(f"`{text}`"), path, capacity, end, memo)
+    cut = docs.select(F.col(f"`{key}`").alias("id"), F.explode(listed).alias("p"))
     found = stored(cut.select("id", "p.*"), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for row in found.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most ``capacity`` rows
