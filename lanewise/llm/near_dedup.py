@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 
 from lanewise.llm.components import components
 from lanewise.llm.hashing import mixed, step, windows, word_hashes
-from lanewise.llm.workers import importable, release, slices
+from lanewise.llm.workers import hand_back, importable, release, slices
 from lanewise.storage import stored
 
 SIZE = 128
 MISSED = 1e-6
 BLOCK = 1024
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 SIGMAS = 6
 
 LOW = np.uint64(0xFFFFFFFF)
@@ -101,6 +101,7 @@ def _profile(words: int):
                     out.append({"n": len(s), "digest": digest, "sketch": row.tobytes()})
                 else:
                     out.append({"n": 0, "digest": None, "sketch": None})
+        hand_back()
         return pa.array(out, kind)
 
     profile.__annotations__ = {"texts": pa.Array, "return": pa.Array}
@@ -109,7 +110,12 @@ def _profile(words: int):
 
 def _full_set(words: int):
     def full(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t.as_py(), words).tobytes() for t in texts], pa.binary())
+        data, ends = bytearray(), [0]  # one buffer, as the sets of a batch are larger than its texts
+        for t in texts:
+            data += shingle_set(t.as_py(), words).tobytes()
+            ends.append(len(data))
+        places = pa.py_buffer(np.array(ends, np.int64))
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, places, pa.py_buffer(data)])
 
     full.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(full, "binary")

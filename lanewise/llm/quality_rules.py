@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.llm.hashing import windows, word_hashes
-from lanewise.llm.workers import importable, release
+from lanewise.llm.workers import hand_back, importable, release
 
 SYMBOLS = b"#*$%&|<>"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -112,6 +112,7 @@ def counts(text: Column) -> Column:
         release()
         rows = [text_counts(t.as_py() or b"", p or 0) for t, p in zip(texts, points.to_pylist())]
         columns = zip(*rows) if rows else [()] * len(COUNTS)
+        hand_back()
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=list(kind))
 
     count.__annotations__ = {"texts": pa.Array, "points": pa.Array, "return": pa.Array}
