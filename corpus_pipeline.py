@@ -19,7 +19,7 @@ KEY, TEXT = "doc_id", "text"
 LEAST_SHARE = 0.5  # of a document's main language
 WORDS, PERCENT = 5, 80
 TOKENIZER = "word_bpe_49k.json"
-MEMO = 50_000  # words; executors still hold what the stages before have left in their heap
+MEMO = 25_000  # words; executors still hold what the stages before have left in their heap
 
 
 def one_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

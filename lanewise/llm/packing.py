@@ -35,7 +35,7 @@ from lanewise.storage import stored
 CAPACITY = 2048
 NODES = 12_000
 WIDTH = 6  # completions tried at a node
-BATCH_BYTES = 4 << 20
+BYTES_PER_WORD = 8  # of text that is looked up at once, for each word of the memo
 KNOWN_WORDS = 500_000  # in a worker, and as many older ones, and as many of their pieces
 
 
@@ -277,7 +277,7 @@ def pieces(text: Column, path: str, capacity: int, end: int, memo: int = KNOWN_W
 
     def cut(texts: pa.Array) -> pa.Array:
         out, known = [], held(f"{memo} ids of {path}", lambda: Ids(path, memo))
-        for part in slices(texts, BATCH_BYTES):
+        for part in slices(texts, BYTES_PER_WORD * memo):
             for found in known.of(part):
                 found += closing
                 row = []
