@@ -9,8 +9,11 @@ optional, runs become repeated groups, and texts that differ become slots.
 
 Every task folds its own pages into one wrapper per host before anything is
 shuffled, so a host with a third of all pages costs one small row per task;
-those meet in two steps. Labels carry no digits, and an element keeps its
-``WIDEST`` most frequent kinds of children, which bounds a wrapper.
+those meet in two steps. Labels carry no digits. An element has at most
+``WIDEST`` kinds of children: of more, the rarest lose their words and, if the
+tags are too many as well, their tags. They meet in general parts, which bounds
+a wrapper and drops nothing; a page's element without a label of its own in the
+wrapper is looked up there.
 
 The wrapper then says which paths are the article and which are furniture, and
 the page's texts are taken by their paths.
@@ -19,7 +22,7 @@ the page's texts are taken by their paths.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Container, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -32,6 +35,7 @@ from lanewise.llm.workers import importable
 from lanewise.storage import stored
 
 WIDEST = 48
+GENERAL = 16  # of these, parts that stand for several labels
 HOSTS_AT_ONCE = 2000
 MERGERS = 32
 SURE = 4  # pages that must agree on a fixed text
@@ -88,17 +92,69 @@ def folded(parts: list) -> list:
     return bounded(out)
 
 
-def bounded(parts: list) -> list:
-    """Parts with equal labels meet if there are too many; then the rarest go."""
-    if len(parts) <= WIDEST:
-        return parts
+def general(label: str) -> str:
+    """The label without its words."""
+    return "!*" if label[0] == "!" else label if label.endswith("*") else label.partition(".")[0] + ".*"
+
+
+def met(parts: list) -> list:
+    """Parts with equal labels meet, wherever they are."""
     first: dict[str, list] = {}
     for part in parts:
         known = first.get(part[0])
         first[part[0]] = together(known, part, True) if known else part
-    kept = sorted(first.values(), key=lambda p: (-p[2 if not p[0] else 3], p[0]))[:WIDEST]
-    names = {p[0] for p in kept}
-    return [p for p in first.values() if p[0] in names]
+    return list(first.values())
+
+
+def pages_of(part: list) -> int:
+    return part[2 if not part[0] else 3]
+
+
+def relabelled(parts: list, labels: dict[str, str]) -> list:
+    """Parts under their new labels; pages add up where different ones meet."""
+    first: dict[str, list] = {}
+    for part in parts:
+        name = labels.get(part[0], part[0])
+        part = [name, 1, *part[2:]] if name != part[0] else part
+        known = first.get(name)
+        first[name] = together(known, part, False) if known else part
+    return list(first.values())
+
+
+def bounded(parts: list) -> list:
+    """Parts with equal labels meet if there are too many; then the rarest become general."""
+    if len(parts) <= WIDEST:
+        return parts
+    parts = met(parts)
+    if len(parts) <= WIDEST:
+        return parts
+    own = ranked(p for p in parts if p[0] and not p[0].endswith("*"))
+    keep = WIDEST - GENERAL - (len(own) < len([p for p in parts if not p[0].endswith("*")]))
+    parts = relabelled(parts, {label: general(label) for label in own[keep:]})
+    marked = [p[0] for p in parts if p[0] == "!*"]
+    wide = ranked(p for p in parts if p[0].endswith(".*"))
+    if len(marked) + len(wide) >= GENERAL:
+        parts = relabelled(parts, {label: "*" for label in wide[GENERAL - 1 - len(marked) :]})
+    return parts
+
+
+def ranked(parts: Iterable[list]) -> list[str]:
+    """Labels, those of most pages first."""
+    return [p[0] for p in sorted(parts, key=lambda p: (-pages_of(p), p[0]))]
+
+
+def settled(parts: list) -> list:
+    """Parts of too few pages to tell anything join the general ones, if there are any."""
+    names = {p[0] for p in parts if p[0].endswith("*")}
+    if not names:
+        return parts
+    few = [p[0] for p in parts if p[0] and p[0] not in names and pages_of(p) < SURE]
+    return relabelled(parts, {label: known(label, names) for label in few})
+
+
+def known(label: str, names: Container[str]) -> str:
+    """The label that stands for another among ``names``, its own if there is none."""
+    return next((name for name in (label, general(label), "*") if name in names), label)
 
 
 def optional(part: list) -> list:
@@ -174,11 +230,15 @@ def characters(parts: list) -> int:
 
 
 def profile(wrapper: list) -> dict:
-    """What extraction needs: paths of regions, best first, and fixed texts by path."""
+    """What extraction needs: paths of regions, best first, fixed texts by path, and labels where some are general."""
     regions: list[tuple] = []
     fixed: dict[str, str] = {}
+    labels: dict[str, set[str]] = {}
 
     def walk(parts: list, path: str, inside: bool) -> None:
+        parts = settled(parts)
+        if any(p[0].endswith("*") for p in parts):
+            labels[path] = {p[0] for p in parts}
         for part in parts:
             if not part[0]:
                 if part[1] is not None and part[2] >= SURE and not inside:
@@ -192,14 +252,15 @@ def profile(wrapper: list) -> dict:
             walk(part[4], here, inside or article)
 
     walk(wrapper, "", False)
-    return {"regions": [path for _, size, path in sorted(regions) if size], "fixed": fixed}
+    return {"regions": [path for _, size, path in sorted(regions) if size], "fixed": fixed, "labels": labels}
 
 
 class Blocks:
-    """Texts of a page by path."""
+    """Texts of a page by their path in the wrapper."""
 
-    def __init__(self, root: Element):
+    def __init__(self, root: Element, labels: dict[str, set[str]]):
         self.rows: list[tuple[str, bool, Text]] = []  # (path, inside an article, text)
+        self.labels = labels
         self.walk(root, "", False)
 
     def walk(self, element: Element, path: str, inside: bool) -> None:
@@ -207,12 +268,13 @@ class Blocks:
             if isinstance(kid, Text):
                 self.rows.append((path, inside, kid))
             elif not dropped(kid, inside):
-                self.walk(kid, f"{path}/{kid.label}", inside or kid.tag == "article")
+                label = known(kid.label, self.labels[path]) if path in self.labels else kid.label
+                self.walk(kid, f"{path}/{label}", inside or kid.tag == "article")
 
 
 def main_text(html: str, told: dict) -> str:
     """The texts of the first region of the wrapper that the page has; without one, all but lists of links."""
-    rows = Blocks(parse(html)).rows
+    rows = Blocks(parse(html), told["labels"]).rows
     for region in told["regions"]:
         found = [text.value for path, _, text in rows if path == region or path.startswith(region + "/")]
         if found:
@@ -264,7 +326,7 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
 
 @lru_cache(maxsize=4096)
 def _told(wrapper: str | None) -> dict:
-    return profile(json.loads(wrapper)) if wrapper else {"regions": [], "fixed": {}}
+    return profile(json.loads(wrapper)) if wrapper else profile([])
 
 
 def _extract(htmls: pa.Array, wrapper: pa.Array) -> pa.Array:

@@ -1,4 +1,5 @@
 import base64
+import functools
 import hashlib
 import html as entities
 import json
@@ -124,6 +125,19 @@ def test_expressions():
     assert len(wide) == html_extraction.WIDEST
 
 
+def test_pages_of_large_hosts_keep_their_regions():
+    page = '<html><body class="page %s"><div id="intro">By us</div><div><ul><li><a>x</a></ul></div><div id="content"><p>Text %s</p><p>More %s</p></div></body></html>'
+    words = [a + b + "x" for a in "abcdefghijklmnop" for b in "qrstuvwxyz"]
+    for n in (1, 3, 60, 160):
+        assert extracted(*[page.replace("%s", w) for w in words[:n]]) == [f"Text {w}\nMore {w}" for w in words[:n]]
+    slug = '<body><div id="%s"><div>All rights reserved</div><section>Text %s</section></div></body>'
+    assert extracted(*[slug.replace("%s", w) for w in words]) == [f"Text {w}" for w in words]
+    whole = [html_extraction.expression(parse(slug.replace("%s", w))) for w in words]
+    halves = [functools.reduce(html_extraction.aligned, half) for half in (whole[::2], whole[1::2])]
+    told = html_extraction.profile(html_extraction.aligned(*halves))
+    assert [html_extraction.main_text(slug.replace("%s", w), told) for w in words] == [f"Text {w}" for w in words]
+
+
 @pytest.mark.parametrize("text", ["", "<", "<p", "<!--", "<script>", "</p></p>", "<a <b> c", "&#x110000; &bogus; &am", "<p class='x>y'>t", "<table><li><td>" * 500])
 def test_broken_pages(text):
     assert isinstance(extracted(text)[0], str)
