@@ -7,8 +7,9 @@ between them are aligned in the same way, after equal words at their ends.
 
 A match that covers a share c of n words contains one of any
 floor((1 - c) n) + 1 of them. The longest are taken as seeds, and only places
-around seeds are aligned; no text without a seed can match. Texts are read once
-and nothing is shuffled.
+around seeds are aligned; no text without a seed can match. A place starts at a
+word of the template and is aligned alone, as copies side by side leave no word
+that occurs once. Texts are read once and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -139,26 +140,62 @@ def patience(text: list[bytes], template: list[bytes]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def places(hits: list[int], template: int, text: int) -> Iterator[tuple[int, int]]:
+def spans(hits: list[int], reach: int, text: int) -> Iterator[tuple[int, int]]:
     """Parts of the text that any match holding one of the ``hits`` lies in."""
-    reach = int(SLACK * template) + 1
     first = end = -1
-    spans = []
     for hit in hits:
         if hit - reach <= end:
             end = hit + reach
         else:
             if end >= 0:
-                spans.append((first, end))
+                yield max(0, first), min(text, end)
             first, end = hit - reach, hit + reach
     if end >= 0:
-        spans.append((first, end))
-    for first, end in spans:
-        first, end = max(0, first), min(text, end)
-        while end - first > 2 * reach:
-            yield first, first + 2 * reach
-            first += reach
-        yield first, end
+        yield max(0, first), min(text, end)
+
+
+class Place(NamedTuple):
+    covered: int  # words of the template
+    start: int
+    stop: int
+
+
+def place_at(words: list[bytes], first: int, end: int, template: list[bytes], least: float) -> Place | None:
+    """The match in a part of the text that is no longer than one."""
+    part = words[first:end]
+    if (Counter(part) & Counter(template)).total() < least:
+        return None
+    pairs = patience(part, template)
+    if len(pairs) < least:
+        return None
+    return Place(len(pairs), first + pairs[0][0], first + pairs[-1][0] + 1)
+
+
+def places(words: list[bytes], template: list[bytes], seeds: frozenset[bytes], least: float) -> Iterator[Place]:
+    """Matches of a template by their first words; they may lie over each other."""
+    n = len(template)
+    reach, wanted = int(SLACK * n) + 1, frozenset(template)
+    hits = [i for i, w in enumerate(words) if w in seeds]
+    for first, end in spans(hits, reach, len(words)):
+        starts = [i for i in range(first, end) if words[i] in wanted]
+        at, far, seed = 0, 0, bisect_left(hits, first)
+        while at < len(starts):
+            start = starts[at]
+            while seed < len(hits) and hits[seed] < start:
+                seed += 1
+            while far < len(starts) and starts[far] < start + reach:
+                far += 1
+            at += 1
+            if seed == len(hits) or hits[seed] >= start + reach or far - at + 1 < least:
+                continue
+            covered = 0
+            for size in (n, reach):  # as long as the template; then what has words in between
+                place = place_at(words, start, min(end, start + size), template, least) if covered < n else None
+                if place and place.covered > covered:
+                    yield place
+                    covered = place.covered
+                    if covered == place.stop - place.start == n:
+                        at = bisect_left(starts, place.stop)
 
 
 def matches(text: bytes, templates: list[Template], coverage: float) -> list[dict]:
@@ -170,20 +207,17 @@ def matches(text: bytes, templates: list[Template], coverage: float) -> list[dic
     words = WORD.findall(lower)
     out = []
     for name, wanted, seeds in likely:
-        hits = [i for i, w in enumerate(words) if w in seeds]
-        best, ends = None, []
-        for first, end in places(hits, len(wanted), len(words)):
-            pairs = patience(words[first:end], wanted)
-            if len(pairs) < coverage * len(wanted):
-                continue
-            start, stop = first + pairs[0][0], first + pairs[-1][0] + 1
-            if not ends or start >= ends[-1]:
-                ends.append(stop)
-            if best is None or len(pairs) > best[0]:
-                best = (len(pairs), start, stop)
+        found = list(places(words, wanted, seeds, coverage * len(wanted)))
+        best, last, number = None, -1, 0
+        for place in sorted(found, key=lambda p: (p.stop, -p.start)):
+            if place.start >= last:
+                last, number = place.stop, number + 1
+        for place in found:
+            if best is None or (place.covered, place.start - place.stop) > (best.covered, best.start - best.stop):
+                best = place
         if best:
-            share = best[0] / len(wanted)
-            out.append({"license": name, "coverage": share, "first_word": best[1], "end_word": best[2], "n_places": len(ends)})
+            share = best.covered / len(wanted)
+            out.append({"license": name, "coverage": share, "first_word": best.start, "end_word": best.stop, "n_places": number})
     return out
 
 

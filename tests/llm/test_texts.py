@@ -135,6 +135,38 @@ def test_planted_licenses_are_found():
     assert licenses.matches(b"a license is under the version of a work", ready, licenses.COVERAGE) == []
 
 
+def brute_places(words, template, least):
+    """Most matches side by side, by the longest common subsequence of every part of the text."""
+    reach, last, number = int(licenses.SLACK * len(template)) + 1, 0, 0
+    for stop in range(len(words) + 1):
+        if longest_common(words[max(last, stop - reach) : stop], template) >= least:
+            last, number = stop, number + 1
+    return number
+
+
+def test_copies_side_by_side():
+    ready = licenses.prepared({"mit": "Released under the MIT License", "long": licenses.TEMPLATES["ISC"]}, licenses.COVERAGE)
+    line = b"Released under the MIT License. "
+    assert [m["n_places"] for m in licenses.matches(line * 2, ready, licenses.COVERAGE)] == [2]
+    assert [m["n_places"] for m in licenses.matches(line * 100, ready, licenses.COVERAGE)] == [100]
+    got = licenses.matches(b"license under the license " + line * 3, ready, licenses.COVERAGE)[0]
+    assert (got["coverage"], got["first_word"], got["end_word"], got["n_places"]) == (1, 4, 9, 3)
+    pick = random.Random(12)
+    for _ in range(150):
+        template = pick.choice(ready)
+        words = []
+        for _ in range(pick.randint(1, 5)):
+            copy = list(template.words)
+            if pick.random() < 0.3:
+                copy[pick.randrange(len(copy))] = b"zz"
+            if pick.random() < 0.3:
+                copy.insert(pick.randrange(1, len(copy)), b"zz")
+            words += copy + pick.choices([b"license", b"under", b"xx", b"this"], k=pick.choice([0, 0, 1, 3]))
+        least = licenses.COVERAGE * len(template.words)
+        found = [m for m in licenses.matches(b" ".join(words), ready, licenses.COVERAGE) if m["license"] == template.name]
+        assert found[0]["n_places"] == brute_places(words, template.words, least), words
+
+
 def test_licenses_in_rows(spark):
     line = "Released under the MIT License."
     rows = [*ODD, (30, f"x\n{line}", "en"), (30, f"x\n{line}", "en"), (None, f"{line} {ENGLISH} {line}", "en")]
