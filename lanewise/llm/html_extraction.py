@@ -15,8 +15,8 @@ tags are too many as well, their tags. They meet in general parts, which bounds
 a wrapper and drops nothing; a page's element without a label of its own in the
 wrapper is looked up there.
 
-The wrapper then says which paths are the article and which are furniture, and
-the page's texts are taken by their paths.
+A page's text is that of all its articles, main and content elements. Where it
+has none, the wrapper says by paths which texts belong to the template.
 """
 
 from __future__ import annotations
@@ -218,68 +218,74 @@ def dropped(element: Element, inside: bool) -> bool:
     return is_furniture(element.label, inside) and not holds_article(element)
 
 
-def characters(parts: list) -> int:
-    """Characters of slots that are not furniture."""
-    total = 0
-    for part in parts:
-        if not part[0]:
-            total += part[3] if part[1] is None or part[2] < SURE else 0
-        else:
-            total += characters(part[4])
-    return total
-
-
 def profile(wrapper: list) -> dict:
-    """What extraction needs: paths of regions, best first, fixed texts by path, and labels where some are general."""
-    regions: list[tuple] = []
+    """What extraction needs: fixed texts by path, and labels where some are general."""
     fixed: dict[str, str] = {}
     labels: dict[str, set[str]] = {}
 
-    def walk(parts: list, path: str, inside: bool) -> None:
+    def walk(parts: list, path: str) -> None:
         parts = settled(parts)
         if any(p[0].endswith("*") for p in parts):
             labels[path] = {p[0] for p in parts}
         for part in parts:
-            if not part[0]:
-                if part[1] is not None and part[2] >= SURE and not inside:
-                    fixed[path] = part[1]
-                continue
-            tag, *words = part[0].split(".")
-            here, article = f"{path}/{part[0]}", tag == "article"
-            if article or tag == "main" or tag in ("div", "section", "td") and not REGIONS.isdisjoint(words):
-                kind = 0 if article else 1 if tag == "main" or "main" in words else 2
-                regions.append((kind, -characters(part[4]), here))
-            walk(part[4], here, inside or article)
+            if part[0]:
+                walk(part[4], f"{path}/{part[0]}")
+            elif part[1] is not None and part[2] >= SURE:
+                fixed[path] = part[1]
+
+    walk(wrapper, "")
+    return {"fixed": fixed, "labels": labels}
+
+
+@lru_cache(maxsize=1 << 16)
+def is_region(label: str) -> bool:
+    tag, *words = label.split(".")
+    return tag in ("article", "main") or tag in ("div", "section", "td") and not REGIONS.isdisjoint(words)
+
 
-    walk(wrapper, "", False)
-    return {"regions": [path for _, size, path in sorted(regions) if size], "fixed": fixed, "labels": labels}
+def in_prose(text: Text) -> bool:
+    return text.linked < LINKED * len(text.value)
 
 
 class Blocks:
-    """Texts of a page by their path in the wrapper."""
+    """Texts of a page by their path in the wrapper and the innermost region they are in, 0 if in none."""
 
     def __init__(self, root: Element, labels: dict[str, set[str]]):
-        self.rows: list[tuple[str, bool, Text]] = []  # (path, inside an article, text)
+        self.rows: list[tuple[str, int, Text]] = []  # (path, region, text)
+        self.above, self.article = [0], [False]  # by region: the one it is in, whether it is an article
         self.labels = labels
-        self.walk(root, "", False)
+        self.walk(root, "", 0, False)
 
-    def walk(self, element: Element, path: str, inside: bool) -> None:
+    def walk(self, element: Element, path: str, region: int, inside: bool) -> None:
         for kid in element.kids:
             if isinstance(kid, Text):
-                self.rows.append((path, inside, kid))
+                self.rows.append((path, region, kid))
             elif not dropped(kid, inside):
                 label = known(kid.label, self.labels[path]) if path in self.labels else kid.label
-                self.walk(kid, f"{path}/{label}", inside or kid.tag == "article")
+                inner = region
+                if is_region(kid.label):
+                    inner = len(self.above)
+                    self.above.append(region)
+                    self.article.append(kid.tag == "article")
+                self.walk(kid, f"{path}/{label}", inner, inside or kid.tag == "article")
+
+    def taken(self) -> list[Text]:
+        """Texts of all regions; one that adds only links to the regions inside it, or to others, does not count."""
+        prose = {region for _, region, text in self.rows if in_prose(text)}
+        whole = [False]
+        for region in range(1, len(self.above)):
+            whole.append(whole[self.above[region]] or self.article[region] or region in prose)
+        found = [text for _, region, text in self.rows if whole[region]]
+        return found or [text for _, region, text in self.rows if region]
 
 
 def main_text(html: str, told: dict) -> str:
-    """The texts of the first region of the wrapper that the page has; without one, all but lists of links."""
-    rows = Blocks(parse(html), told["labels"]).rows
-    for region in told["regions"]:
-        found = [text.value for path, _, text in rows if path == region or path.startswith(region + "/")]
-        if found:
-            return "\n".join(found)
-    loose = [(p, t) for p, inside, t in rows if inside or t.linked < LINKED * len(t.value)]
+    """The texts of the page's regions; without one, all but lists of links and fixed texts."""
+    blocks = Blocks(parse(html), told["labels"])
+    found = blocks.taken()
+    if found:
+        return "\n".join(t.value for t in found)
+    loose = [(p, t) for p, _, t in blocks.rows if in_prose(t)]
     own = [t.value for p, t in loose if told["fixed"].get(p) != value_of(t.value)]
     return "\n".join(own or [t.value for _, t in loose])
 

@@ -125,6 +125,25 @@ def test_expressions():
     assert len(wide) == html_extraction.WIDEST
 
 
+LAYOUTS = [
+    ("<main><h1>Head %s</h1><p>Lead %s</p><article><p>Text %s</p></article></main>", "Head %s\nLead %s\nText %s"),
+    ("<main><p>Text %s</p><p>More %s</p><article class='card'>Teaser</article></main>", "Text %s\nMore %s\nTeaser"),
+    ("<article class='card'>Teaser %s</article><main><p>Text %s</p></main><p>By us</p>", "Teaser %s\nText %s"),
+    ("<div class='article-intro'>Intro %s</div><p>x</p><div class='article-body'>Long text %s</div>", "Intro %s\nLong text %s"),
+    ("<article class='a'>One %s</article><article class='b'>Two %s</article>", "One %s\nTwo %s"),
+    ("<main><ul><li><a href=x>Elsewhere %s</a></ul><article><p>Text %s</p><p><a>all %s</a></p></article></main>", "Text %s\nall %s"),
+    ("<div class='post'><a href=x>Elsewhere</a></div><div class='story'>Text %s</div>", "Text %s"),
+    ("<p>x</p><main><a href=x>Only links %s</a></main>", "Only links %s"),
+]
+
+
+@pytest.mark.parametrize("page, text", LAYOUTS)
+def test_all_regions_count(page, text):
+    for n in (1, 3, 6):
+        names = ["abcdefgh"[i] for i in range(n)]
+        assert extracted(*[page.replace("%s", x) for x in names]) == [text.replace("%s", x) for x in names]
+
+
 def test_pages_of_large_hosts_keep_their_regions():
     page = '<html><body class="page %s"><div id="intro">By us</div><div><ul><li><a>x</a></ul></div><div id="content"><p>Text %s</p><p>More %s</p></div></body></html>'
     words = [a + b + "x" for a in "abcdefghijklmnop" for b in "qrstuvwxyz"]
