@@ -16,7 +16,10 @@ a wrapper and drops nothing; a page's element without a label of its own in the
 wrapper is looked up there.
 
 A page's text is that of all its articles, main and content elements. Where it
-has none, the wrapper says by paths which texts belong to the template.
+has none, the wrapper says by paths which texts belong to the template. Names
+alone make furniture outside regions, or where a name says nothing else; other
+names in a region count if the wrapper finds the same texts there on other pages,
+or if they hold links.
 """
 
 from __future__ import annotations
@@ -49,6 +52,19 @@ FURNITURE = frozenset(
 )
 STEMS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "footer", "navbar", "newsletter", "paginat", "related", "sidebar", "sponsor", "subscri")
 HEADS = frozenset("header topbar".split())
+#: Words that are also those of a text's subject, and words that say nothing.
+AMBIGUOUS = frozenset(
+    "banner banners promo promotion menu menus navigation notice notices notification overlay discussion replies reply"
+    " respond recommended recommendations sharing social search copyright complementary modal".split()
+)
+VAGUE = frozenset(
+    "area bar block blocks body bottom box col column container content footer head header holder inner item items left"
+    " link links list outer panel post posts right section side slot text thread title top unit wrap wrapper".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | {"p", "blockquote", "pre"}
+POSTS = frozenset("post entry story hentry".split())
+KEPT, NAMED, PLAIN, FURNISHED, UNSURE = range(5)
 COMMENTS = frozenset("comment comments reply replies discussion".split())
 REGIONS = frozenset("content article post entry story text body main".split())
 
@@ -59,19 +75,25 @@ def value_of(text: str) -> str:
     return xxhash.xxh3_64_hexdigest(text.encode("utf-8", "replace"))
 
 
-def expression(element: Element, inside: bool = False) -> list:
-    """The parts of an element, folded. Furniture is kept without what it holds."""
+def expression(element: Element, inside: int = 0) -> list:
+    """The parts of an element, folded. Furniture ("!") is kept without what it holds; "?" marks what may be such."""
     out = []
     for kid in element.kids:
         if isinstance(kid, Text):
             out.append(["", value_of(kid.value), 1, len(kid.value)])
-        elif dropped(kid, inside):
+            continue
+        says = judged(kid, inside)
+        if says == FURNISHED:
             out.append(["!" + kid.label, 0, 0, 1, []])
         else:
-            out.append([kid.label, 0, 0, 1, expression(kid, inside or kid.tag == "article")])
+            out.append([marked(kid.label, says), 0, 0, 1, expression(kid, level(kid.label, inside))])
     return folded(out)
 
 
+def marked(label: str, says: int) -> str:
+    return "?" + label if says == UNSURE else label
+
+
 def together(a: list, b: list, side_by_side: bool) -> list:
     """One part for two with equal labels, of one page (``side_by_side``) or of two."""
     pages = max(a[2 if not a[0] else 3], b[2 if not b[0] else 3]) if side_by_side else None
@@ -94,7 +116,7 @@ def folded(parts: list) -> list:
 
 def general(label: str) -> str:
     """The label without its words."""
-    return "!*" if label[0] == "!" else label if label.endswith("*") else label.partition(".")[0] + ".*"
+    return label[0] + "*" if label[0] in "!?" else label if label.endswith("*") else label.partition(".")[0] + ".*"
 
 
 def met(parts: list) -> list:
@@ -131,10 +153,10 @@ def bounded(parts: list) -> list:
     own = ranked(p for p in parts if p[0] and not p[0].endswith("*"))
     keep = WIDEST - GENERAL - (len(own) < len([p for p in parts if not p[0].endswith("*")]))
     parts = relabelled(parts, {label: general(label) for label in own[keep:]})
-    marked = [p[0] for p in parts if p[0] == "!*"]
+    signs = [p[0] for p in parts if p[0] in ("!*", "?*")]
     wide = ranked(p for p in parts if p[0].endswith(".*"))
-    if len(marked) + len(wide) >= GENERAL:
-        parts = relabelled(parts, {label: "*" for label in wide[GENERAL - 1 - len(marked) :]})
+    if len(signs) + len(wide) >= GENERAL:
+        parts = relabelled(parts, {label: "*" for label in wide[GENERAL - 1 - len(signs) :]})
     return parts
 
 
@@ -185,42 +207,87 @@ def aligned(a: list, b: list, side_by_side: bool = False) -> list:
 
 
 @lru_cache(maxsize=1 << 16)
-def is_furniture(label: str, inside: bool, holds: bool = False) -> bool:
-    """Whether an element's label says that it is no part of an article.
+def is_region(label: str) -> bool:
+    tag, *words = label.split(".")
+    return tag in ("article", "main") or tag in ("div", "section", "td") and not REGIONS.isdisjoint(words)
+
+
+def level(label: str, inside: int) -> int:
+    """What the children of an element are in: 0 no region, 1 a region, 2 an article."""
+    return max(inside, 2 if label.partition(".")[0] == "article" else int(is_region(label)))
+
+
+@lru_cache(maxsize=1 << 16)
+def named(label: str, inside: int) -> int:
+    """What an element's label says of it.
 
-    ``inside`` an article, heads may be part of it; what ``holds`` one is not
-    furniture by its words alone.
+    ``FURNISHED`` is no part of a text, ``PLAIN`` and ``NAMED`` are not unless
+    they hold an article, and of ``UNSURE`` the label does not say enough, nor of
+    ``NAMED`` if it holds a region.
     """
     tag, *words = label.split(".")
     if tag in ("html", "body", "main"):
-        return False
+        return KEPT
     if tag == "article":
-        return not COMMENTS.isdisjoint(words)
+        posted = {"open", "closed"}.intersection(words) or "comment" not in words and not POSTS.isdisjoint(words)
+        return KEPT if posted or COMMENTS.isdisjoint(words) else FURNISHED
     if tag in FURNITURE_TAGS:
-        return True
-    if not inside and (tag in HEADS or not HEADS.isdisjoint(words)):
-        return not holds
-    return not holds and (not FURNITURE.isdisjoint(words) or any(w.startswith(STEMS) for w in words))
-
-
-def holds_article(element: Element) -> bool:
+        return FURNISHED
+    if inside and tag in PROSE:
+        return KEPT
+    told = [w for w in words if w in FURNITURE or w.startswith(STEMS)]
+    clear = [w for w in told if w not in AMBIGUOUS and not w.startswith("related")]
+    if told and (clear or not inside) and all(w in told or w in VAGUE for w in words):
+        return PLAIN
+    if tag in HEADS or not HEADS.isdisjoint(words):
+        return KEPT if inside == 2 and not told else UNSURE if inside else NAMED
+    return KEPT if not told else UNSURE if inside else NAMED
+
+
+def holds(element: Element, tags: Container[str], regions: bool = False) -> bool:
+    """Whether an element that is no furniture by its name and has one of the tags, or is a region, is in an element."""
     return any(
         isinstance(kid, Element)
-        and (kid.tag == "main" or kid.tag == "article" and not is_furniture(kid.label, False) or holds_article(kid))
+        and ((kid.tag in tags or regions and is_region(kid.label)) and named(kid.label, 0) == KEPT or holds(kid, tags, regions))
         for kid in element.kids
     )
 
 
-def dropped(element: Element, inside: bool) -> bool:
-    """Whether an element of a page is left out: unseen or furniture."""
-    if element.unseen or is_furniture(element.label, inside, True):
-        return True
-    return is_furniture(element.label, inside) and not holds_article(element)
+def judged(element: Element, inside: int) -> int:
+    """``KEPT``, ``FURNISHED`` or ``UNSURE``: what an element is by itself."""
+    if element.unseen:
+        return FURNISHED
+    says = named(element.label, inside)
+    if says in (KEPT, FURNISHED):
+        return says
+    if holds(element, ("main", "article")) or says == PLAIN and is_region(element.label) and holds(element, ("h1",)):
+        return KEPT
+    return UNSURE if says == UNSURE or says == NAMED and holds(element, (), True) else FURNISHED
+
+
+def mostly_links(element: Element, inside: int) -> bool:
+    """Whether links make up what is neither furniture nor heading; all of it, if that holds a region."""
+    around, linked, size = [(element, inside)], 0, 0
+    while around:
+        parent, within = around.pop()
+        for kid in parent.kids:
+            if isinstance(kid, Element):
+                if kid.tag not in HEADINGS and judged(kid, within) != FURNISHED:
+                    around.append((kid, level(kid.label, within)))
+            else:
+                linked, size = linked + kid.linked, size + len(kid.value)
+    return size > 0 and linked >= (1 if holds(element, (), True) else LINKED) * size
+
+
+def repeats(parts: list) -> bool:
+    """Whether all texts are those of other pages."""
+    return all(repeats(p[4]) if p[0] else p[1] is not None and p[2] >= SURE for p in parts)
 
 
 def profile(wrapper: list) -> dict:
-    """What extraction needs: fixed texts by path, and labels where some are general."""
+    """What extraction needs: fixed texts and furniture by path, and labels where some are general."""
     fixed: dict[str, str] = {}
+    furniture: set[str] = set()
     labels: dict[str, set[str]] = {}
 
     def walk(parts: list, path: str) -> None:
@@ -230,17 +297,13 @@ def profile(wrapper: list) -> dict:
         for part in parts:
             if part[0]:
                 walk(part[4], f"{path}/{part[0]}")
+                if part[0][0] == "?" and part[0] != "?*" and repeats(part[4]):
+                    furniture.add(f"{path}/{part[0]}")
             elif part[1] is not None and part[2] >= SURE:
                 fixed[path] = part[1]
 
     walk(wrapper, "")
-    return {"fixed": fixed, "labels": labels}
-
-
-@lru_cache(maxsize=1 << 16)
-def is_region(label: str) -> bool:
-    tag, *words = label.split(".")
-    return tag in ("article", "main") or tag in ("div", "section", "td") and not REGIONS.isdisjoint(words)
+    return {"fixed": fixed, "furniture": furniture, "labels": labels}
 
 
 def in_prose(text: Text) -> bool:
@@ -250,24 +313,30 @@ def in_prose(text: Text) -> bool:
 class Blocks:
     """Texts of a page by their path in the wrapper and the innermost region they are in, 0 if in none."""
 
-    def __init__(self, root: Element, labels: dict[str, set[str]]):
+    def __init__(self, root: Element, told: dict):
         self.rows: list[tuple[str, int, Text]] = []  # (path, region, text)
         self.above, self.article = [0], [False]  # by region: the one it is in, whether it is an article
-        self.labels = labels
-        self.walk(root, "", 0, False)
+        self.labels, self.furniture = told["labels"], told["furniture"]
+        self.walk(root, "", 0, 0)
 
-    def walk(self, element: Element, path: str, region: int, inside: bool) -> None:
+    def walk(self, element: Element, path: str, region: int, inside: int) -> None:
         for kid in element.kids:
             if isinstance(kid, Text):
                 self.rows.append((path, region, kid))
-            elif not dropped(kid, inside):
-                label = known(kid.label, self.labels[path]) if path in self.labels else kid.label
-                inner = region
-                if is_region(kid.label):
-                    inner = len(self.above)
-                    self.above.append(region)
-                    self.article.append(kid.tag == "article")
-                self.walk(kid, f"{path}/{label}", inner, inside or kid.tag == "article")
+                continue
+            says = judged(kid, inside)
+            if says == FURNISHED:
+                continue
+            label = marked(kid.label, says)
+            label = known(label, self.labels[path]) if path in self.labels else label
+            here, inner = f"{path}/{label}", region
+            if says == UNSURE and (here in self.furniture or mostly_links(kid, inside)):
+                continue
+            if is_region(kid.label):
+                inner = len(self.above)
+                self.above.append(region)
+                self.article.append(kid.tag == "article")
+            self.walk(kid, here, inner, level(kid.label, inside))
 
     def taken(self) -> list[Text]:
         """Texts of all regions; one that adds only links to the regions inside it, or to others, does not count."""
@@ -281,7 +350,7 @@ class Blocks:
 
 def main_text(html: str, told: dict) -> str:
     """The texts of the page's regions; without one, all but lists of links and fixed texts."""
-    blocks = Blocks(parse(html), told["labels"])
+    blocks = Blocks(parse(html), told)
     found = blocks.taken()
     if found:
         return "\n".join(t.value for t in found)

@@ -137,6 +137,32 @@ LAYOUTS = [
 ]
 
 
+KEPT_NAMES = [
+    ("<article><section id='social-history'><h2 id='related-work'>H %s</h2><p class='notice'>N %s</p></section>T %s</article>", "H %s\nN %s\nT %s"),
+    ("<article><h2 id='search-methods'>Fixed head</h2><p>T %s</p><section id='discussion'>D %s</section></article>", "Fixed head\nT %s\nD %s"),
+    ("<div id='page' class='has-sidebar'><div id='content'>T %s</div><div class='sidebar'>x %s</div></div>", "T %s"),
+    ("<article class='post comments-open'>T %s</article><article class='comment post'>x %s</article>", "T %s"),
+    ("<main><header><h1>H %s</h1></header><p>T %s</p><div class='comment-list'><div class='comment-body'>x %s</div></div></main>", "H %s\nT %s"),
+    ("<article><p>T %s</p><div class='related-posts'><a href=x>x %s</a></div></article>", "T %s"),
+    ("<div class='sidebar'><div class='text'>x</div></div><p>y</p><div id='content'>T %s</div>", "T %s"),
+    ("<div id='cookie-banner'><div class='content'>x</div></div><div id='content' class='sidebar-right'><h1>H %s</h1>T %s</div>", "H %s\nT %s"),
+    ("<div class='has-sidebar'><nav><a href=x>A long list of links</a></nav><a>B</a><main><header><h1><a>H %s</a></h1></header>T</main></div>", "H %s\nT"),
+    ("<div class='no-sidebar'><ul><li><a>A long list of links</a></ul><div id='content'>T %s</div></div>", "T %s"),
+]
+
+
+@pytest.mark.parametrize("page, text", KEPT_NAMES)
+def test_names_inside_regions_need_evidence(page, text):
+    for n in (1, 3, 6):
+        names = ["abcdefgh"[i] for i in range(n)]
+        assert extracted(*[page.replace("%s", x) for x in names]) == [text.replace("%s", x) for x in names]
+
+
+def test_names_count_where_texts_repeat():
+    page = "<main><div class='topbar'>Our site</div><article><p>T %s</p><div class='social-notice'>Follow us</div></article></main>"
+    assert extracted(*[page.replace("%s", x) for x in "abcdef"]) == [f"T {x}" for x in "abcdef"]
+
+
 @pytest.mark.parametrize("page, text", LAYOUTS)
 def test_all_regions_count(page, text):
     for n in (1, 3, 6):
