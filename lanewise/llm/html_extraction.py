@@ -41,7 +41,7 @@ WIDEST = 48
 GENERAL = 16  # of these, parts that stand for several labels
 HOSTS_AT_ONCE = 2000
 MERGERS = 32
-SURE = 4  # pages that must agree on a fixed text
+SURE = 4  # pages with different texts that must agree on a fixed text
 LINKED = 0.8  # share of link characters that makes a list of links
 
 FURNITURE_TAGS = frozenset("head nav footer aside form button fieldset dialog menu menuitem datalist audio video canvas embed".split())
@@ -68,37 +68,57 @@ KEPT, NAMED, PLAIN, FURNISHED, UNSURE = range(5)
 COMMENTS = frozenset("comment comments reply replies discussion".split())
 REGIONS = frozenset("content article post entry story text body main".split())
 
-# An expression is a list of parts: elements [label, optional, repeated, pages, parts] and texts ["", value, pages, characters].
+# An expression is a list of parts: elements [label, optional, repeated, pages, parts] and texts ["", value, bodies]:
+# ``bodies`` tells up to SURE different articles that the text came with, as copies of a page say nothing about a template.
 
 
 def value_of(text: str) -> str:
     return xxhash.xxh3_64_hexdigest(text.encode("utf-8", "replace"))
 
 
-def expression(element: Element, inside: int = 0) -> list:
+def expression(element: Element, inside: int = 0, body: int | None = None) -> list:
     """The parts of an element, folded. Furniture ("!") is kept without what it holds; "?" marks what may be such."""
+    body = body_of(element) if body is None else body
     out = []
     for kid in element.kids:
         if isinstance(kid, Text):
-            out.append(["", value_of(kid.value), 1, len(kid.value)])
+            out.append(["", value_of(kid.value), [body]])
             continue
         says = judged(kid, inside)
         if says == FURNISHED:
             out.append(["!" + kid.label, 0, 0, 1, []])
         else:
-            out.append([marked(kid.label, says), 0, 0, 1, expression(kid, level(kid.label, inside))])
+            out.append([marked(kid.label, says), 0, 0, 1, expression(kid, level(kid.label, inside), body)])
     return folded(out)
 
 
+def body_of(root: Element) -> int:
+    """What tells a page from others with the same template: its longest text in a region, else all its texts."""
+    texts: list[tuple[int, int, str]] = []  # (region, and surely no furniture; characters; text)
+
+    def walk(element: Element, inside: int, sure: bool) -> None:
+        for kid in element.kids:
+            if isinstance(kid, Text):
+                texts.append((bool(inside) + (sure and bool(inside)), len(kid.value), kid.value))
+            elif (says := judged(kid, inside)) != FURNISHED:
+                walk(kid, level(kid.label, inside), sure and says == KEPT)
+
+    walk(root, 0, True)
+    first = max(texts, default=(0, 0, ""))
+    return xxhash.xxh3_64_intdigest((first[2] if first[0] else "\n".join(t for _, _, t in texts)).encode("utf-8", "replace"))
+
+
 def marked(label: str, says: int) -> str:
     return "?" + label if says == UNSURE else label
 
 
 def together(a: list, b: list, side_by_side: bool) -> list:
     """One part for two with equal labels, of one page (``side_by_side``) or of two."""
-    pages = max(a[2 if not a[0] else 3], b[2 if not b[0] else 3]) if side_by_side else None
     if not a[0]:
-        return ["", a[1] if a[1] == b[1] else None, pages or a[2] + b[2], a[3] + b[3]]
+        same = a[1] is not None and a[1] == b[1]
+        bodies = sorted({*a[2], *b[2]})[:SURE] if same else []
+        return ["", a[1] if same else None, bodies]
+    pages = max(a[3], b[3]) if side_by_side else None
     parts = aligned(a[4], b[4], side_by_side)
     return [a[0], a[1] & b[1] if side_by_side else a[1] | b[1], a[2] | b[2] | side_by_side, pages or a[3] + b[3], parts]
 
@@ -128,10 +148,6 @@ def met(parts: list) -> list:
     return list(first.values())
 
 
-def pages_of(part: list) -> int:
-    return part[2 if not part[0] else 3]
-
-
 def relabelled(parts: list, labels: dict[str, str]) -> list:
     """Parts under their new labels; pages add up where different ones meet."""
     first: dict[str, list] = {}
@@ -162,7 +178,7 @@ def bounded(parts: list) -> list:
 
 def ranked(parts: Iterable[list]) -> list[str]:
     """Labels, those of most pages first."""
-    return [p[0] for p in sorted(parts, key=lambda p: (-pages_of(p), p[0]))]
+    return [p[0] for p in sorted(parts, key=lambda p: (-p[3], p[0]))]
 
 
 def settled(parts: list) -> list:
@@ -170,7 +186,7 @@ def settled(parts: list) -> list:
     names = {p[0] for p in parts if p[0].endswith("*")}
     if not names:
         return parts
-    few = [p[0] for p in parts if p[0] and p[0] not in names and pages_of(p) < SURE]
+    few = [p[0] for p in parts if p[0] and p[0] not in names and p[3] < SURE]
     return relabelled(parts, {label: known(label, names) for label in few})
 
 
@@ -281,7 +297,7 @@ def mostly_links(element: Element, inside: int) -> bool:
 
 def repeats(parts: list) -> bool:
     """Whether all texts are those of other pages."""
-    return all(repeats(p[4]) if p[0] else p[1] is not None and p[2] >= SURE for p in parts)
+    return all(repeats(p[4]) if p[0] else p[1] is not None and len(p[2]) >= SURE for p in parts)
 
 
 def profile(wrapper: list) -> dict:
@@ -299,7 +315,7 @@ def profile(wrapper: list) -> dict:
                 walk(part[4], f"{path}/{part[0]}")
                 if part[0][0] == "?" and part[0] != "?*" and repeats(part[4]):
                     furniture.add(f"{path}/{part[0]}")
-            elif part[1] is not None and part[2] >= SURE:
+            elif part[1] is not None and len(part[2]) >= SURE:
                 fixed[path] = part[1]
 
     walk(wrapper, "")

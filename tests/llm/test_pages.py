@@ -183,6 +183,17 @@ def test_pages_of_large_hosts_keep_their_regions():
     assert [html_extraction.main_text(slug.replace("%s", w), told) for w in words] == [f"Text {w}" for w in words]
 
 
+def test_copies_of_a_page_are_no_template():
+    page = "<body><p>Views %s</p><div id='content'><h1>Head</h1><p>A short article.</p><section class='social-history'>All of it</section></div></body>"
+    copies = [page.replace("%s", x) for x in "abcdefgh"]
+    assert extracted(*copies) == ["Head\nA short article.\nAll of it"] * 8
+    assert extracted(*copies, *[page.replace("short", x + x) for x in "abcd"])[0] == "Head\nA short article."
+    plain = "<body><div><p>Text</p></div><div>Rights</div></body>"
+    assert extracted(*[plain] * 6) == ["Text\nRights"] * 6
+    others = [plain.replace("Text", x) for x in "abcd"]
+    assert extracted(*[plain] * 6, *others) == ["Text"] * 6 + list("abcd")
+
+
 @pytest.mark.parametrize("text", ["", "<", "<p", "<!--", "<script>", "</p></p>", "<a <b> c", "&#x110000; &bogus; &am", "<p class='x>y'>t", "<table><li><td>" * 500])
 def test_broken_pages(text):
     assert isinstance(extracted(text)[0], str)
