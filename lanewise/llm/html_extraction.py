@@ -39,6 +39,7 @@ from lanewise.storage import stored
 
 WIDEST = 48
 GENERAL = 16  # of these, parts that stand for several labels
+DEEPEST = 100  # in a wrapper, what is nested deeper is taken as siblings
 HOSTS_AT_ONCE = 2000
 MERGERS = 32
 SURE = 4  # pages with different texts that must agree on a fixed text
@@ -76,34 +77,43 @@ def value_of(text: str) -> str:
     return xxhash.xxh3_64_hexdigest(text.encode("utf-8", "replace"))
 
 
-def expression(element: Element, inside: int = 0, body: int | None = None) -> list:
+def expression(element: Element, inside: int = 0, body: int | None = None, depth: int = 1) -> list:
     """The parts of an element, folded. Furniture ("!") is kept without what it holds; "?" marks what may be such."""
     body = body_of(element) if body is None else body
-    out = []
-    for kid in element.kids:
-        if isinstance(kid, Text):
-            out.append(["", value_of(kid.value), [body]])
-            continue
-        says = judged(kid, inside)
-        if says == FURNISHED:
+    out: list = []
+    around = [(iter(element.kids), out, inside)]  # more than one only below DEEPEST
+    while around:
+        kids, texts, inside = around[-1]
+        kid = next(kids, None)
+        if kid is None:
+            around.pop()
+        elif isinstance(kid, Text):
+            texts.append(["", value_of(kid.value), [body]])
+        elif (says := judged(kid, inside)) == FURNISHED:
             out.append(["!" + kid.label, 0, 0, 1, []])
+        elif depth < DEEPEST:
+            out.append([marked(kid.label, says), 0, 0, 1, expression(kid, level(kid.label, inside), body, depth + 1)])
         else:
-            out.append([marked(kid.label, says), 0, 0, 1, expression(kid, level(kid.label, inside), body)])
+            out.append([kid.label, 0, 0, 1, []])
+            around.append((iter(kid.kids), out[-1][4], level(kid.label, inside)))
+    if depth == DEEPEST:
+        out = [[*p[:4], folded(p[4])] if p[0] else p for p in out]
     return folded(out)
 
 
 def body_of(root: Element) -> int:
     """What tells a page from others with the same template: its longest text in a region, else all its texts."""
     texts: list[tuple[int, int, str]] = []  # (region, and surely no furniture; characters; text)
-
-    def walk(element: Element, inside: int, sure: bool) -> None:
-        for kid in element.kids:
-            if isinstance(kid, Text):
-                texts.append((bool(inside) + (sure and bool(inside)), len(kid.value), kid.value))
-            elif (says := judged(kid, inside)) != FURNISHED:
-                walk(kid, level(kid.label, inside), sure and says == KEPT)
-
-    walk(root, 0, True)
+    around = [(iter(root.kids), 0, True)]
+    while around:
+        kids, inside, sure = around[-1]
+        kid = next(kids, None)
+        if kid is None:
+            around.pop()
+        elif isinstance(kid, Text):
+            texts.append((bool(inside) + (sure and bool(inside)), len(kid.value), kid.value))
+        elif (says := judged(kid, inside)) != FURNISHED:
+            around.append((iter(kid.kids), level(kid.label, inside), sure and says == KEPT))
     first = max(texts, default=(0, 0, ""))
     return xxhash.xxh3_64_intdigest((first[2] if first[0] else "\n".join(t for _, _, t in texts)).encode("utf-8", "replace"))
 
@@ -262,11 +272,14 @@ def named(label: str, inside: int) -> int:
 
 def holds(element: Element, tags: Container[str], regions: bool = False) -> bool:
     """Whether an element that is no furniture by its name and has one of the tags, or is a region, is in an element."""
-    return any(
-        isinstance(kid, Element)
-        and ((kid.tag in tags or regions and is_region(kid.label)) and named(kid.label, 0) == KEPT or holds(kid, tags, regions))
-        for kid in element.kids
-    )
+    around = [element]
+    while around:
+        for kid in around.pop().kids:
+            if isinstance(kid, Element):
+                if (kid.tag in tags or regions and is_region(kid.label)) and named(kid.label, 0) == KEPT:
+                    return True
+                around.append(kid)
+    return False
 
 
 def judged(element: Element, inside: int) -> int:
@@ -333,26 +346,36 @@ class Blocks:
         self.rows: list[tuple[str, int, Text]] = []  # (path, region, text)
         self.above, self.article = [0], [False]  # by region: the one it is in, whether it is an article
         self.labels, self.furniture = told["labels"], told["furniture"]
-        self.walk(root, "", 0, 0)
-
-    def walk(self, element: Element, path: str, region: int, inside: int) -> None:
-        for kid in element.kids:
+        self.walk(root)
+
+    def walk(self, root: Element) -> None:
+        around = [(iter(root.kids), "", 0, 0)]  # (children, path, region, level)
+        paths = [""]  # of the open elements that a wrapper has
+        while around:
+            kids, path, region, inside = around[-1]
+            kid = next(kids, None)
+            if kid is None:
+                around.pop()
+                del paths[len(around) :]
+                continue
             if isinstance(kid, Text):
                 self.rows.append((path, region, kid))
                 continue
             says = judged(kid, inside)
             if says == FURNISHED:
                 continue
-            label = marked(kid.label, says)
-            label = known(label, self.labels[path]) if path in self.labels else label
-            here, inner = f"{path}/{label}", region
+            above = paths[min(len(around), DEEPEST) - 1]
+            label = marked(kid.label, says) if len(around) < DEEPEST else kid.label
+            label = known(label, self.labels[above]) if above in self.labels else label
+            here, inner = f"{above}/{label}", region
             if says == UNSURE and (here in self.furniture or mostly_links(kid, inside)):
                 continue
             if is_region(kid.label):
                 inner = len(self.above)
                 self.above.append(region)
                 self.article.append(kid.tag == "article")
-            self.walk(kid, here, inner, level(kid.label, inside))
+            paths.append(here)
+            around.append((iter(kid.kids), here, inner, level(kid.label, inside)))
 
     def taken(self) -> list[Text]:
         """Texts of all regions; one that adds only links to the regions inside it, or to others, does not count."""

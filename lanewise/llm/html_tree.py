@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 TOKEN = re.compile(
@@ -15,7 +16,6 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z](?:[a-z]+|[A-Z]*(?![a-z]))")
 SPACE = re.compile(r"\s+")
-DEEPEST = 100  # what is nested deeper is taken as siblings
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small"
@@ -69,9 +69,14 @@ def parse(html: str) -> Element:
     """The root of a page. Inline elements are part of their block's text; a line break is white space."""
     root = Element("")
     stack, inline = [root], []
+    opened: Counter[str] = Counter()  # tags on the stack
     parts: list[str] = []
     linked = 0
 
+    def close(depth: int) -> None:
+        opened.subtract(e.tag for e in stack[depth:])
+        del stack[depth:]
+
     def settle() -> None:
         nonlocal linked
         if parts:
@@ -105,25 +110,25 @@ def parse(html: str) -> Element:
                 inline.reverse()
         elif token["end"]:
             settle()
-            names = [e.tag for e in stack]
-            if tag in names[1:]:
-                del stack[len(names) - 1 - names[::-1].index(tag) :]
+            if opened[tag]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             inline.clear()
         else:
             settle()
             inline.clear()
             ended = ENDS.get(tag, ())
             while stack[-1].tag == "p" or stack[-1].tag in ended:
-                stack.pop()
-            for depth in range(len(stack) - 1, 0, -1):
+                close(len(stack) - 1)
+            for depth in range(len(stack) - 1, 0, -1) if ended else ():
                 if stack[depth].tag in ended:
-                    del stack[depth:]
+                    close(depth)
                     break
                 if stack[depth].tag in FENCES:
                     break
             element = Element(tag, token["attrs"])
             stack[-1].kids.append(element)
-            if tag not in VOID and not token["attrs"].endswith("/") and len(stack) < DEEPEST:
+            if tag not in VOID and not token["attrs"].endswith("/"):
                 stack.append(element)
+                opened[tag] += 1
     settle()
     return root

@@ -194,6 +194,15 @@ def test_copies_of_a_page_are_no_template():
     assert extracted(*[plain] * 6, *others) == ["Text"] * 6 + list("abcd")
 
 
+@pytest.mark.parametrize("depth", [3, 97, 130, 3000])
+def test_deep_pages(depth):
+    page = "<body><div><article>" + "<div>" * depth + "In %s<nav>x<p>x</p></nav><aside><div>x</div></aside>" + "</div>" * depth
+    page += "<p>After %s</p></article></div><p>By us</p></body>"
+    assert extracted(*[page.replace("%s", x) for x in "abcde"]) == [f"In {x}\nAfter {x}" for x in "abcde"]
+    bare = "<div>" * depth + "<p>Text %s</p><h3>Rights</h3>" + "</div>" * depth
+    assert extracted(*[bare.replace("%s", x) for x in "abcde"]) == [f"Text {x}" for x in "abcde"]
+
+
 @pytest.mark.parametrize("text", ["", "<", "<p", "<!--", "<script>", "</p></p>", "<a <b> c", "&#x110000; &bogus; &am", "<p class='x>y'>t", "<table><li><td>" * 500])
 def test_broken_pages(text):
     assert isinstance(extracted(text)[0], str)
