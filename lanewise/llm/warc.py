@@ -2,8 +2,9 @@
 
 A payload is handled as rows of (record identifier, chunk number, chunk), and
 each chunk becomes one record of the archive: the first a ``response``, the
-others its ``continuation`` segments. Digests run along the chunks, so no task
-holds more than a chunk and a digest's state beyond the row it reads. Pages
+others its ``continuation`` segments. A writing task holds the batch of rows it
+has been given, whose payloads are cut in place, and at most 64 chunks of
+records; when read, digests run along the chunks. Pages
 whose payload equals that of a page with a larger key become ``revisit``
 records. Archives are written and read by Spark's text source, to and from any
 store it knows: every record starts with a line that holds an identifier drawn
@@ -50,7 +51,7 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def chunks(payload: bytes, most: int) -> Iterator[bytes]:
+def chunks(payload: bytes | memoryview, most: int) -> Iterator[bytes | memoryview]:
     """The payload in parts of at most ``most`` bytes that end between characters; one for no bytes."""
     at = 0
     while True:
@@ -63,22 +64,27 @@ def chunks(payload: bytes, most: int) -> Iterator[bytes]:
             return
 
 
-def record(archive: str, headers: list[tuple[str, str | None]], block: bytes) -> bytes:
+def record(archive: str, headers: list[tuple[str, str | None]], *block: bytes | memoryview) -> bytes:
     """A record without the last byte of its end, which the text source adds."""
     lines = [f"{name}: {value}\r\n" for name, value in headers if value is not None]
-    head = first_line(archive) + "".join(lines) + f"Content-Length: {len(block)}\r\n\r\n"
-    return head.encode() + block + b"\r\n\r"
+    head = first_line(archive) + "".join(lines) + f"Content-Length: {sum(map(len, block))}\r\n\r\n"
+    return b"".join((head.encode(), *block, b"\r\n\r"))
 
 
 def page_records(
-    archive: str, row: int, page: str | None, url: str | None, payload: bytes, of: str | None, most: int
+    archive: str,
+    row: int,
+    page: str | None,
+    url: str | None,
+    payload: bytes | memoryview,
+    of: str | None,
+    most: int,
+    sha: str | None = None,
 ) -> Iterator[bytes]:
     """The records of a page; ``of`` is the page that holds an equal payload, ``row`` tells copies of a row apart."""
     name = f"row {row}" if page is None else page
     identity = f"<urn:uuid:{uuid.uuid5(uuid.UUID(archive), name)}>"
-    digest, parts = hashlib.sha1(), list(chunks(payload, most)) if of is None else []
-    for part in parts or chunks(payload, most):
-        digest.update(part)
+    digest = bytes.fromhex(sha) if sha else hashlib.sha1(payload).digest()
     uri = None if url is None else quote(url, safe="!#$%&'()*+,/:;=?@[]-._~")
     common = [
         ("WARC-Type", "response" if of is None else "revisit"),
@@ -87,7 +93,7 @@ def page_records(
         ("WARC-Target-URI", uri),
         ("WARC-Page-ID", page),
         ("WARC-Row", str(row)),
-        ("WARC-Payload-Digest", "sha1:" + base32(digest.digest())),
+        ("WARC-Payload-Digest", "sha1:" + base32(digest)),
         ("WARC-Payload-Length", str(len(payload))),
     ]
     if of is not None:
@@ -95,9 +101,13 @@ def page_records(
         yield record(archive, [*common, *told, ("WARC-Refers-To-Page-ID", of)], b"")
         return
     kind = ("Content-Type", "application/http; msgtype=response")
-    split = [("WARC-Segment-Number", "1")] if len(parts) > 1 else []
-    yield record(archive, [*common, kind, *split], HTTP.encode() + parts[0])
-    for number, part in enumerate(parts[1:], 2):
+    done = 0
+    for number, part in enumerate(chunks(payload, most), 1):
+        done += len(part)
+        if number == 1:
+            split = [("WARC-Segment-Number", "1")] if done < len(payload) else []
+            yield record(archive, [*common, kind, *split], HTTP.encode(), part)
+            continue
         headers = [
             ("WARC-Type", "continuation"),
             ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.UUID(archive), f'{name}#{row}#{number}')}>"),
@@ -106,7 +116,7 @@ def page_records(
             ("WARC-Row", str(row)),
             ("WARC-Segment-Number", str(number)),
         ]
-        if number == len(parts):
+        if done == len(payload):
             headers.append(("WARC-Segment-Total-Length", str(len(HTTP) + len(payload))))
         yield record(archive, headers, part)
 
@@ -128,13 +138,14 @@ def write_archive(
     joined = rows.join(equal, ["sha", "size"], "left")
     of = F.when(~F.col("page").eqNullSafe(F.col("response")), F.col("response")).cast("string")
     row = F.monotonically_increasing_id().alias("row")
-    ready = joined.select(row, F.col("page").cast("string"), "url", "payload", of.alias("of"))
+    ready = joined.select(row, F.col("page").cast("string"), "url", "payload", of.alias("of"), "sha")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
-            for row in zip(*(batch[c].to_pylist() for c in ("row", "page", "url", "payload", "of"))):
-                for data in page_records(archive, *row, most):
+            told = zip(*(batch[c].to_pylist() for c in ("row", "page", "url", "of", "sha")))
+            for payload, (row, page, url, of, sha) in zip(batch["payload"], told):
+                for data in page_records(archive, row, page, url, memoryview(payload.as_buffer()), of, most, sha):
                     out.append(data.decode())
                     size += len(data)
                     if size > most << 6:

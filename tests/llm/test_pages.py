@@ -4,6 +4,7 @@ import hashlib
 import html as entities
 import json
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pytest
@@ -75,6 +76,20 @@ def test_chunks_end_between_characters():
             assert "".join(p.decode() for p in parts) == text
 
 
+def test_records_are_made_one_by_one():
+    payload, archive = memoryview(b"payload " * (1 << 20)), "12345678-1234-5678-1234-567812345678"
+    tracemalloc.start()
+    try:
+        sizes = [len(r) for r in warc.page_records(archive, 0, "1", "u", payload, None, 1 << 16)]
+        assert len(sizes) == 128 and tracemalloc.get_traced_memory()[1] < 1 << 20
+    finally:
+        tracemalloc.stop()
+    told = hashlib.sha1(payload).hexdigest()
+    assert list(warc.page_records(archive, 0, "1", "u", payload, None, 1 << 16, told)) == list(
+        warc.page_records(archive, 0, "1", "u", bytes(payload), None, 1 << 16)
+    )
+
+
 def test_a_changed_payload_is_noticed():
     row = next(warc.page_records("12345678-1234-5678-1234-567812345678", 0, "1", "u", b"payload", None, 100))
     line = warc.first_line("12345678-1234-5678-1234-567812345678").encode()
