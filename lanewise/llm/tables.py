@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from lanewise.llm import (
     exact_dedup,
     html_extraction,
+    importance_resampling,
     language_id,
     licenses,
     near_dedup,
     packing,
     piece_codec,
     quality_rules,
+    source_divergence,
     token_counts,
+    toxicity,
     warc,
 )
 
@@ -68,6 +71,18 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, folder, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("passages")
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_token_counts,
@@ -80,6 +95,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_piece_codec,
         op9_exact_dedup,
         op10_quality_rules,
+        op11_source_divergence,
+        op12_toxicity,
+        op13_importance_resampling,
     )
     return {f.__name__: f for f in every}
 
@@ -90,4 +108,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc": warc.ORACLE_SQL,
         "op4_near_dedup": near_dedup.ORACLE_SQL,
         "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op11_source_divergence": source_divergence.ORACLE_SQL,
     }
