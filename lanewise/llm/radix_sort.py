@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lanewise.storage import stored
 
 BITS = 11  # of a digit
-BLOCK = 1 << 16  # rows
+BLOCK = 1 << 12  # rows
 
 
 def _pass(rows: DataFrame, digit: Column, block: Column, order: Sequence[Column]) -> DataFrame:

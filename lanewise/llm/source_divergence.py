@@ -20,22 +20,23 @@ no row is made per term and pair.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.workers import importable
+from lanewise.llm.workers import hand_back, importable, slices
 from lanewise.storage import stored
 
 FIRST_LEVEL = 4  # bytes
 FILTER_BITS = 1 << 24
 BITMAP_BITS = 1 << 15  # fixed value: of one of Spark's bitmaps
-HELD = 100_000  # prefixes that a task adds up at once
+HELD = 1_500_000  # prefixes by source that a task holds at once
+SLICE = 4 << 20  # bytes of text whose words are held at once
 LEAST_DOCS = 30
 TOP_TERMS = 50
 TERM_BLOCK = 4096
@@ -44,64 +45,82 @@ SCALE, PRIOR = 1_000_000_000, 5
 #: Small letters and what is beyond ASCII stay, capitals become small, all else is a border.
 FOLDED = bytes(b | 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 LEVEL = "lang string, source string, prefix binary, complete boolean, docs long, times long"
+COLUMNS = ["lang", "source", "prefix", "complete", "docs", "times"]
 
 
-def filter_place(lang: str, prefix: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(prefix, xxhash.xxh32_intdigest(lang.encode("utf-8", "replace"))) % FILTER_BITS
+def hashed(texts: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
+
+
+def filter_places(langs: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
+    """Bits of the filter, from hashes of languages and of prefixes."""
+    return ((langs ^ prefixes) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def words_of(texts: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """All words of some texts, and the number of each word's text."""
+    folded = pa.array([t.translate(FOLDED) for t in texts], pa.binary())
+    # Seen as strings, whatever their bytes, as only those can be split.
+    split = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(folded), *folded.buffers()[1:]))
+    words, owners = split.flatten().cast(pa.binary()), pc.list_parent_indices(split)
+    real = pc.greater(pc.binary_length(words), 0)
+    return words.filter(real), owners.filter(real)
 
 
 class Partial:
-    """Documents and occurrences by (language, source, prefix, complete) of some texts of one task."""
+    """Documents and occurrences by (language, source, prefix, complete) of the texts of one task."""
+
+    KEYS = ["group", "prefix", "complete"]
 
     def __init__(self, length: int, parent: int, bits: np.ndarray | None):
         self.length, self.parent, self.bits = length, parent, bits
-        self.known: dict[tuple[str, bytes], bool] = {}
-        self.cells: dict[tuple[str, str], dict[tuple[bytes, bool], list[int]]] = {}
-        self.size = 0
-
-    def extends(self, lang: str, prefix: bytes) -> bool:
-        """Whether the prefix of the level before may have been kept."""
-        kept = self.known.get((lang, prefix))
-        if kept is None:
-            place = filter_place(lang, prefix)
-            kept = bool(self.bits[place >> 3] >> (place & 7) & 1)
-            if len(self.known) >= HELD:
-                self.known.clear()
-            self.known[lang, prefix] = kept
-        return kept
-
-    def add(self, lang: str, source: str, text: bytes) -> None:
-        cells = self.cells.setdefault((lang, source), {})
-        before, length, parent = len(cells), self.length, self.parent
-        found: dict[tuple[bytes, bool], int] = {}
-        for term, times in Counter(text.translate(FOLDED).split()).items():
-            if parent and (len(term) <= parent or not self.extends(lang, term[:parent])):
-                continue
-            cell = (term[:length], len(term) <= length)
-            found[cell] = found.get(cell, 0) + times
-        for cell, times in found.items():
-            sums = cells.get(cell)
-            if sums is None:
-                cells[cell] = [1, times]
-            else:
-                sums[0] += 1
-                sums[1] += times
-        self.size += len(cells) - before
+        self.groups: dict[tuple[str, str], int] = {}
+        self.cells: list[pa.Table] = []
+        self.size, self.full = 0, False
+
+    def extended(self, words: pa.Array, langs: np.ndarray) -> pa.Array:
+        """Whether a word is longer than the level before, and its beginning may have been kept there."""
+        before = pc.binary_slice(words, 0, self.parent).dictionary_encode()
+        places = filter_places(langs, hashed(before.dictionary.to_pylist())[before.indices.to_numpy()])
+        kept = (self.bits[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
+        return pc.and_(pa.array(kept), pc.greater(pc.binary_length(words), self.parent))
+
+    def add(self, langs: list[str], sources: list[str], texts: list[bytes]) -> None:
+        groups = np.array([self.groups.setdefault(pair, len(self.groups)) for pair in zip(langs, sources)], np.int64)
+        words, owners = words_of(texts)
+        if self.parent:
+            found = hashed([lang.encode("utf-8", "replace") for lang in langs])
+            longer = self.extended(words, found[owners.to_numpy()])
+            words, owners = words.filter(longer), owners.filter(longer)
+        complete = pc.less_equal(pc.binary_length(words), self.length)
+        table = pa.table({"owner": owners, "prefix": pc.binary_slice(words, 0, self.length), "complete": complete})
+        once = table.group_by(["owner", "prefix", "complete"], use_threads=False).aggregate([([], "count_all")])
+        columns = {"group": groups[once["owner"].to_numpy()], "prefix": once["prefix"], "complete": once["complete"]}
+        met = pa.table({**columns, "times": once["count_all"]}).group_by(self.KEYS, use_threads=False)
+        self.take(met.aggregate([([], "count_all"), ("times", "sum")]).rename_columns([*self.KEYS, "docs", "times"]))
+
+    def take(self, cells: pa.Table) -> None:
+        self.cells.append(cells)
+        self.size += cells.num_rows
+        if self.size > HELD:  # many of which are equal
+            met = pa.concat_tables(self.cells).group_by(self.KEYS, use_threads=False).aggregate([("docs", "sum"), ("times", "sum")])
+            self.cells = [met.rename_columns([*self.KEYS, "docs", "times"])]
+            self.size, self.full = met.num_rows, 2 * met.num_rows > HELD
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "source", "prefix", "complete", "docs", "times"]
-        for (lang, source), cells in self.cells.items():
-            n = len(cells)
-            if n:
-                prefixes, complete = zip(*cells)
-                docs, times = zip(*cells.values())
-                columns = [pa.array([lang] * n), pa.array([source] * n), pa.array(prefixes, pa.binary()), pa.array(complete)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(docs, pa.int64()), pa.array(times, pa.int64())], names)
-        self.cells, self.size = {}, 0
+        if not self.cells:
+            return
+        self.size = HELD + 1
+        self.take(self.cells.pop())
+        langs, sources = (pa.array([pair[i] for pair in self.groups], pa.string()) for i in (0, 1))
+        for batch in self.cells.pop().to_batches(max_chunksize=1 << 16):
+            group, *others = batch.columns
+            yield pa.RecordBatch.from_arrays([langs.take(group), sources.take(group), *others], COLUMNS)
+        self.size, self.full = 0, False
 
 
 def _level(texts: DataFrame, length: int, parent: int, bits: bytes | None) -> DataFrame:
-    """Cells of one level that lie in enough documents of their language, by source."""
+    """Cells of one level by source; all cells of a prefix are in one task."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,13 +128,18 @@ def _level(texts: DataFrame, length: int, parent: int, bits: bytes | None) -> Da
         partial = Partial(length, parent, None if held is None else np.frombuffer(held, np.uint8))
         for batch in batches:
             langs, sources = batch["lang"].to_pylist(), batch["source"].to_pylist()
-            for lang, source, text in zip(langs, sources, batch["text"]):
-                partial.add(lang, source, text.as_py())
-                if partial.size > HELD:
+            first = 0
+            for part in slices(batch["text"], SLICE):
+                end = first + len(part)
+                partial.add(langs[first:end], sources[first:end], part)
+                if partial.full:
                     yield from partial.rows()
+                first = end
         yield from partial.rows()
+        hand_back()
 
-    return texts.mapInArrow(count, LEVEL).groupBy("lang", "source", "prefix", "complete").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))
+    cells = texts.mapInArrow(count, LEVEL).repartition("lang", "prefix")
+    return cells.groupBy("lang", "source", "prefix", "complete").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))
 
 
 def _filter(prefixes: DataFrame) -> bytes:
@@ -123,8 +147,9 @@ def _filter(prefixes: DataFrame) -> bytes:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = map(filter_place, batch["lang"].to_pylist(), batch["prefix"].to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["place"])
+            langs = hashed([lang.encode("utf-8", "replace") for lang in batch["lang"].to_pylist()])
+            places = filter_places(langs, hashed(batch["prefix"].to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(places)], ["place"])
 
     rows = prefixes.select("lang", "prefix").mapInArrow(places, "place long")
     bucket, bit = F.floor(F.col("place") / BITMAP_BITS).cast("int"), (F.col("place") % BITMAP_BITS).cast("bigint")
