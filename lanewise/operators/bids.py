@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -265,6 +265,54 @@ def column_roles(profile: DataFrame) -> DataFrame:
     return listed.groupBy("role").agg(best.alias("best")).select("role", "best.column", "best.share")
 
 
+def _paired_with(zipcodes: Column) -> Callable[[Column], Column]:
+    """The pairs of a country's column with all columns of postal codes but itself; either may be null."""
+    last = F.lit(2**31 - 1)
+
+    def pair(country: Column, zipcode: Column) -> Column:
+        shares = F.coalesce(country["order"], F.lit(0.0)) + F.coalesce(zipcode["order"], F.lit(0.0))
+        places = [F.coalesce(c["position"], last).alias(name) for c, name in ((country, "first"), (zipcode, "second"))]
+        return F.struct(shares.cast("decimal(10,3)").alias("order"), *places, country.alias("c"), zipcode.alias("z"))
+
+    def pairs(country: Column) -> Column:
+        free = F.filter(zipcodes, lambda z: ~F.coalesce(z["column"] == country["column"], F.lit(False)))
+        return F.transform(free, lambda z: pair(country, z))
+
+    return pairs
+
+
+def column_assignment(profile: DataFrame) -> DataFrame:
+    """The columns that fill the roles best together, and the share of their cells that look like it.
+
+    Of all ways to give each role a column or none, and no column two roles, the
+    one with the largest sum of shares; of equal ones, that whose columns come
+    first in the file. Header words name the end; a header that names both ends
+    fills no role, nor does a column without a cell of the kind.
+
+    Only a country and a postal code of the same end can want the same column,
+    so the best two columns of each are enough to find the best pair.
+    """
+    columns = []
+    for side, opposite in (SIDES, SIDES[::-1]):
+        for kind, suffix in (("country", "cntry"), ("zip", "zipcode")):
+            share = F.col(f"{kind}_share")
+            fits = F.col(f"names_{side}") & ~F.col(f"names_{opposite}") & (share > 0)
+            found = F.when(fits, F.struct((-share).alias("order"), "position", "column"))
+            columns.append(F.slice(F.array_sort(F.collect_list(found)), 1, 2).alias(f"{side}_{suffix}"))
+    best_two = profile.agg(*columns)
+    nothing = F.lit(None).cast("struct<order:double,position:int,column:string>")
+    roles = []
+    for side in SIDES:
+        country, zipcode = (F.array_append(F.col(f"{side}_{suffix}"), nothing) for suffix in ("cntry", "zipcode"))
+
+        best = F.array_min(F.flatten(F.transform(country, _paired_with(zipcode))))
+        for suffix, part in (("cntry", "c"), ("zipcode", "z")):
+            chosen = best[part]
+            role = F.struct(F.lit(f"{side}_{suffix}").alias("role"), chosen["column"].alias("column"), (-chosen["order"]).alias("share"))
+            roles.append(F.when(chosen.isNotNull(), role))
+    return best_two.select(F.inline(F.array_compact(F.array(*roles))))
+
+
 def bid_feasible(roles: DataFrame) -> DataFrame:
     """Whether any country and postal code was found, and whether both ends were."""
 
@@ -355,7 +403,7 @@ def bid_zone_pairs(
         df = apply_roles(cells, roles, keep)
     else:
         # The roles are stored, or every later pass over the rows would profile all cells again.
-        df = apply_roles(cells, stored(column_roles(column_profile(cells, names, keep)), "roles"), keep, roles)
+        df = apply_roles(cells, stored(column_assignment(column_profile(cells, names, keep)), "roles"), keep, roles)
     ends = stored(matched_ends(df, names, postal), "matched")
     for side in SIDES:
         lookup = ends.select(
@@ -372,3 +420,26 @@ def bid_zone_pairs(
         df = df.join(lookup, met, "left").drop(*[lookup[f"{side}_{part}"] for part in ("cntry", "zipcode")])
     # Written once: the lowest and highest sum and the rows read the same lookups.
     return match_score(stored(df, "scored"), legacy_score)
+
+
+def apply_corrections(pairs: DataFrame, corrections: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Zone pairs after somebody has looked at them.
+
+    ``corrections`` has the row keys ``keep``, ``end`` ("origin" or "destination")
+    and the right ``zc``. A corrected zone replaces the found one. A row with a
+    correction has been looked at: it is for review only as long as an end has
+    no zone. Of several corrections of one end the smallest zone counts; those
+    without a zone, of unknown ends or of rows that are not there do nothing.
+    Null keys meet null keys.
+    """
+    given = corrections.where(F.col("zc").isNotNull() & F.col("end").isin(*SIDES))
+    one = given.groupBy(*keep).agg(*[F.min(F.when(F.col("end") == side, F.col("zc"))).alias(f"_{side}") for side in SIDES])
+    met = [pairs[k].eqNullSafe(one[k]) for k in keep]
+    joined = pairs.join(one, met, "left").drop(*[one[k] for k in keep])
+    seen = F.col("_origin").isNotNull() | F.col("_destination").isNotNull()
+    zones = {f"{side}_zc": F.coalesce(f"_{side}", f"{side}_zc") for side in SIDES}
+    missing = zones["origin_zc"].isNull() | zones["destination_zc"].isNull()
+    review = F.when(seen, missing).otherwise(F.col("needs_review"))
+    flag = F.when(review, "oui").otherwise("non")
+    columns = {**zones, "needs_review": review, "review_flag": flag, "corrected": seen}
+    return joined.withColumns(columns).drop("_origin", "_destination")

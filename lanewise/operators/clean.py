@@ -13,9 +13,10 @@ from lanewise.schema import COLLAPSED_COUNTRIES, MEASURES
 # A cast alone would also take suffixes like 12d and words like Infinity.
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
-#: Tried after ISO dates and the caller's own formats. With slashes the month
-#: comes first if both readings are dates; with points and hyphens the day does.
-DATE_FORMATS = ("M/d/yyyy", "d/M/yyyy", "d.M.yyyy", "d-M-yyyy")
+#: Tried after ISO dates and the caller's own formats; with points and hyphens the day comes first.
+DAY_FIRST_FORMATS = ("d.M.yyyy", "d-M-yyyy")
+#: With slashes either comes first.
+SLASH_FORMATS = ("M/d/yyyy", "d/M/yyyy")
 
 
 def _finite(value: Column) -> Column:
@@ -32,23 +33,42 @@ def _number(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
-def _date(df: DataFrame, name: str, formats: Sequence[str]) -> Column:
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        text = F.trim(F.col(name))
-        tries = [F.try_to_timestamp(text)]
-        tries += [F.try_to_timestamp(text, F.lit(f)) for f in (*formats, *DATE_FORMATS)]
-        return F.to_date(F.coalesce(*tries))
-    return F.col(name).cast("date")
+def day_comes_first(df: DataFrame, name: str) -> DataFrame:
+    """One row: whether a column's dates with slashes are to be read day first.
 
+    A vote of the whole column in one pass: texts that are a date only if the day
+    comes first against those that are one only if the month does. With equal
+    votes, or none, the month comes first.
+    """
+    text = F.trim(F.col(name))
+    month, day = (F.try_to_timestamp(text, F.lit(f)).isNotNull() for f in SLASH_FORMATS)
+    return df.agg((F.count_if(day & ~month) > F.count_if(month & ~day)).alias("day_first"))
 
-def coerce_types(df: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
+
+def _date(df: DataFrame, name: str, formats: Sequence[str], by_column: bool) -> Column:
+    kind = df.schema[name].dataType
+    if not isinstance(kind, T.StringType):
+        return F.col(name).cast("date")
+    text = F.trim(F.col(name))
+    month, day = (F.try_to_timestamp(text, F.lit(f)) for f in SLASH_FORMATS)
+    slashes = F.coalesce(month, day)
+    if by_column:
+        slashes = F.when(day_comes_first(df, name).scalar(), F.coalesce(day, month)).otherwise(slashes)
+    own, pointed = ([F.try_to_timestamp(text, F.lit(f)) for f in given] for given in (formats, DAY_FIRST_FORMATS))
+    return F.to_date(F.coalesce(F.try_to_timestamp(text), *own, slashes, *pointed))
+
+
+def coerce_types(df: DataFrame, date_formats: Sequence[str] = (), by_column: bool = True) -> DataFrame:
     """Measures to numbers and ``ship_date`` to a date; bad values become null.
 
-    Dates are ISO, in one of ``date_formats``, or in one of ``DATE_FORMATS``.
+    Dates are ISO, in one of ``date_formats``, with slashes, or in one of
+    ``DAY_FIRST_FORMATS``. With slashes the whole column is read in the order that
+    its unambiguous texts have (:func:`day_comes_first`, a pass of its own); a text
+    that is no date in that order is read in the other. ``by_column=False`` asks
+    each text alone, month first if both are dates, as streams have to.
     """
     typed = {name: _number(df, name) for name in MEASURES}
-    typed["ship_date"] = _date(df, "ship_date", date_formats)
+    typed["ship_date"] = _date(df, "ship_date", date_formats, by_column)
     return df.withColumns(typed)
 
 
@@ -69,8 +89,8 @@ def normalise_zone(zone: str | Column) -> Column:
     )
 
 
-def clean_shipments(raw: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
-    """Keep usable rows, fill gaps and normalise zones and types.
+def clean_shipments(raw: DataFrame, date_formats: Sequence[str] = (), by_column: bool = True) -> DataFrame:
+    """Keep usable rows, fill gaps and normalise zones and types; dates as in :func:`coerce_types`.
 
     A missing measure (null or NaN) counts as 0, while text that is no number
     and infinite values become null: such a row keeps its place as long as
@@ -85,7 +105,7 @@ def clean_shipments(raw: DataFrame, date_formats: Sequence[str] = ()) -> DataFra
     return raw.filter(_usable(raw)).withColumns(
         {
             **filled,
-            "ship_date": _date(raw, "ship_date", date_formats),
+            "ship_date": _date(raw, "ship_date", date_formats, by_column),
             "branch": F.coalesce("branch", F.lit("undefined")),
             "zc_from": normalise_zone("zc_from"),
             "zc_to": normalise_zone("zc_to"),

@@ -1,35 +1,32 @@
 """Best fuzzy match of many texts against a reference list, without pairing all with all.
 
 The result is exactly the best-scoring reference entry for every text (ties go
-to the lower ``ord``). Work is done once per different comparable text:
-
-1. equal word-sorted texts meet in an equi-join, and so do a text and an entry
-   of which one is the beginning of the other;
-2. a text whose best score so far could still be beaten by an entry it has not
-   met is compared with its block of the reference list, which travels as
-   arrays of some hundred entries of one length, so no row per pair is ever
-   produced. Lengths alone rule out most arrays, and an edit distance is given
-   up as soon as it cannot reach the best score so far.
+to the lower ``ord``). Work is done once per different comparable text. A task
+gets a part of a block's texts and the block's entries, which it searches as
+tries (see ``edit_search``); no row per pair is ever produced.
 
 A block is dealt out by the number of its comparisons, so one block may hold
-most of the texts.
+most of the texts, but into no more pieces than keep all tasks busy or a task's
+texts few: the list is sent once per piece, not once per so many comparisons.
+A long list is cut into parts, and the best of the parts counts.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.functions.text import PREFIX_SCORE, closeness, comparable, sorted_tokens
+from lanewise.functions.text import comparable, sorted_tokens
+from lanewise.operators.edit_search import ORD_SPACE, Entries
 from lanewise.storage import stored
+from lanewise.workers import importable
 
-CHUNK = 256
-# A rank is (100 - score) * ORD_SPACE + ord: the smallest rank is the best match.
-ORD_SPACE = 1 << 48
-# Edits that stand for "too many", beyond the length of any name.
-FAR = 1 << 13
-# Comparisons that one piece of a block may ask for.
-WORK = 2_000_000
+# Comparisons that are worth a piece of their own, pieces per task at most, and texts and entries that a task gets at once.
+WORK = 50_000
+PIECES_PER_TASK = 4
+MOST_TEXTS = 100_000
+MOST_ENTRIES = 100_000
 
 
 def checked_ord(ord_: Column, space: int = ORD_SPACE) -> Column:
@@ -39,14 +36,6 @@ def checked_ord(ord_: Column, space: int = ORD_SPACE) -> Column:
     return F.when((whole >= 0) & (whole < space), whole).otherwise(wrong.cast("bigint"))
 
 
-def _rank(score: Column, ord_: Column) -> Column:
-    return (F.lit(100).cast("bigint") - score) * F.lit(ORD_SPACE) + ord_
-
-
-def _score(rank: Column) -> Column:
-    return F.lit(100).cast("bigint") - F.shiftright(rank, 48)
-
-
 def _choices(choices: DataFrame, block: str) -> DataFrame:
     """One row per block and comparable text: the first entry of equal texts."""
     listed = choices.select(F.col(block).alias("block"), comparable(F.col("text")).alias("c_text"), checked_ord(F.col("ord")).alias("ord"))
@@ -54,104 +43,57 @@ def _choices(choices: DataFrame, block: str) -> DataFrame:
     return first.withColumn("c_sorted", sorted_tokens(F.col("c_text")))
 
 
-def _equal(choices: DataFrame) -> DataFrame:
-    return choices.groupBy("block", F.col("c_sorted").alias("k_sorted")).agg(F.min("ord").alias("equal_ord"))
-
-
-def _beginnings(choices: DataFrame) -> DataFrame:
-    """Beginnings of the reference texts that a shorter text may consist of."""
-    size = F.length("c_text")
-    shortest = F.greatest(F.lit(1), F.ceil(size / 8)).cast("int")
-    longest = F.floor(size * 2 / 3).cast("int")
-    lengths = F.when(longest >= shortest, F.sequence(shortest, longest)).otherwise(F.array().cast("array<int>"))
-    pieces = F.transform(lengths, lambda n: F.substring(F.col("c_text"), F.lit(1), n))
-    listed = choices.select("block", F.explode(pieces).alias("k_text"), "ord")
-    return listed.groupBy("block", "k_text").agg(F.min("ord").alias("longer_ord"))
+def _search(texts: pa.Table, entries: pa.Table) -> pa.Table:
+    """The best rank of each text of a piece among the entries of a part."""
+    ranks: list[int] = []
+    if texts.num_rows and entries.num_rows:
+        known = Entries(list(zip(*(entries[c].to_pylist() for c in ("c_text", "c_sorted", "ord")))))
+        ranks = known.best(list(zip(texts["k_text"].to_pylist(), texts["k_sorted"].to_pylist())))
+    return texts.select(["block", "k_text"]).slice(0, len(ranks)).append_column("rank", pa.array(ranks, pa.int64()))
 
 
-def _begun(texts: DataFrame, entries: DataFrame) -> DataFrame:
-    """The first entry that is the beginning of each text, where one is."""
-    lengths = entries.agg(F.collect_set(F.length("c_text"))).scalar()
-    size = F.length("k_text")
-    fitting = F.filter("lengths", lambda n: (n > 0) & (n * 3 <= size * 2) & (n * 8 >= size))
-    pieces = F.transform(fitting, lambda n: F.substring(F.col("k_text"), F.lit(1), n))
-    listed = texts.withColumn("lengths", lengths).select("block", "k_text", F.explode(pieces).alias("c_text"))
-    met = listed.join(entries.select("block", "c_text", "ord"), ["block", "c_text"])
-    return met.groupBy("block", "k_text").agg(F.min("ord").alias("shorter_ord"))
-
-
-def _chunks(choices: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The reference list as arrays of about CHUNK entries of one block and length, once per piece of the block."""
-    sized = choices.withColumn("c_len", F.length("c_text"))
-    counts = sized.groupBy("block", "c_len").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
-    numbered = sized.join(counts, ["block", "c_len"]).withColumn("part", F.pmod(F.xxhash64("c_text"), F.col("parts")))
-    packed = numbered.groupBy("block", "c_len", "part").agg(
-        F.collect_list(F.struct("c_text", "c_sorted", "ord")).alias("entries")
-    )
-    numbers = F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)
-    return packed.join(pieces, "block").select("block", "c_len", "entries", F.explode(numbers).alias("piece"))
-
-
-def best_match(keys: DataFrame, choices: DataFrame, block: str = "block", work: int = WORK) -> DataFrame:
+def best_match(keys: DataFrame, choices: DataFrame, block: str = "block", work: int = WORK, most_entries: int = MOST_ENTRIES) -> DataFrame:
     """Best reference entry for each text.
 
     ``keys`` holds distinct ``block`` and ``text``; ``choices`` holds ``block``,
     ``text`` and ``ord``, a whole number below 2**48 that is unique within the
     block. Returns ``block``, ``text``, ``score`` and ``ord``. Texts whose block
-    has no entry come back with nulls. The prepared reference list and the
-    texts are stored, as later steps read them again.
+    has no entry come back with nulls, as do texts without a block. A text is
+    compared whatever its length. The prepared reference list and the texts are
+    stored, as later steps read them again.
     """
+    importable(keys.sparkSession)
     tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = stored(_choices(choices, block), "entries")
-    named = keys.select(F.col(block).alias("block"), "text", comparable(F.col("text")).alias("k_text"))
-    texts = named.select("block", "k_text").distinct().withColumn("k_sorted", sorted_tokens(F.col("k_text")))
-
-    equal = texts.join(_equal(entries), ["block", "k_sorted"], "left").join(_beginnings(entries), ["block", "k_text"], "left")
-    started = equal.join(_begun(texts, entries), ["block", "k_text"], "left")
-    size = F.length("k_text")
-    near = F.least("longer_ord", "shorter_ord")
-    rank = F.least(_rank(F.lit(100).cast("bigint"), F.col("equal_ord")), _rank(F.lit(PREFIX_SCORE).cast("bigint"), near))
-    met = stored(started.select("block", "k_text", "k_sorted", F.when(size > 0, rank).alias("rank")), "met")
-
-    # An entry that is not equal is an edit away at least.
-    unseen = closeness(F.lit(1).cast("bigint"), size + 1)
-    open_texts = met.filter(~F.coalesce(_score(F.col("rank")) > unseen, F.lit(False)))
+    named = stored(keys.select(F.col(block).alias("block"), "text", comparable(F.col("text")).alias("k_text")), "texts")
+    texts = named.select("block", "k_text").dropna().distinct().withColumn("k_sorted", sorted_tokens(F.col("k_text")))
+
     # Comparisons per block, from the texts and entries there are.
-    asked = open_texts.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    asked = named.dropna().groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     listed = entries.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
-    pieces = asked.join(listed, "block").select("block", F.ceil(F.col("n") * F.col("m") / work).alias("pieces"))
-    dealt = open_texts.join(pieces, "block").withColumn("piece", F.pmod(F.xxhash64("k_text"), F.col("pieces")))
-    # By number, because adaptive execution would merge what is small in bytes.
-    dealt = dealt.drop("pieces").repartition(tasks, "block", "piece")
-
-    short, long = F.least(size, F.col("c_len")), F.greatest(size, F.col("c_len"))
-    least = F.coalesce(_score(F.col("rank")), F.lit(0).cast("bigint"))
-    reachable = closeness((long - short).cast("bigint"), long) >= least
-    compared = dealt.join(_chunks(entries, pieces).hint("merge"), ["block", "piece"]).filter(reachable)
-    # Most edits with which the score so far is reached.
-    most = F.floor(long * (F.lit(201) - least * 2) / 200).cast("int")
-
-    def edits(a: Column, b: Column) -> Column:
-        distance = F.call_function("levenshtein", a, b, most)
-        return F.when(distance < 0, F.lit(FAR)).otherwise(distance)
-
-    # All entries of a chunk have one length, so the nearest one is the best.
-    nearest = F.array_min(
-        F.transform(
-            "entries",
-            lambda e: F.least(edits(F.col("k_text"), e["c_text"]), edits(F.col("k_sorted"), e["c_sorted"])).cast("bigint")
-            * F.lit(ORD_SPACE)
-            + e["ord"],
-        )
+    busy = F.least(F.ceil(F.col("n") * F.col("m") / work), F.lit(PIECES_PER_TASK * tasks))
+    sizes = asked.join(listed, "block").select(
+        "block",
+        F.greatest(busy, F.ceil(F.col("n") / MOST_TEXTS)).cast("bigint").alias("pieces"),
+        F.ceil(F.col("m") / most_entries).cast("bigint").alias("parts"),
     )
-    distance = F.shiftright(nearest, 48)
-    scanned = F.when(distance < FAR, _rank(closeness(distance, long), F.pmod(nearest, F.lit(ORD_SPACE))))
-    found = compared.groupBy("block", "k_text").agg(F.min(scanned).alias("scanned"))
-    best = met.join(found, ["block", "k_text"], "left").select("block", "k_text", F.least("rank", "scanned").alias("rank"))
-    # Texts without an entry of their own block keep nulls.
+    sizes = stored(sizes, "pieces")
+
+    def all_of(name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(name) - 1))
+
+    dealt = texts.join(sizes, "block").withColumn("piece", F.pmod(F.xxhash64("k_text"), F.col("pieces")))
+    dealt = dealt.withColumn("part", all_of("parts")).select("block", "part", "piece", "k_text", "k_sorted")
+    sent = entries.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("c_text"), F.col("parts")))
+    sent = sent.withColumn("piece", all_of("pieces")).select("block", "part", "piece", "c_text", "c_sorted", "ord")
+    # As many tasks as told: adaptive execution would merge what is small in bytes, and Spark cannot split a group.
+    dealt, sent = (df.repartition(tasks, "block", "part", "piece") for df in (dealt, sent))
+    groups = [df.groupBy("block", "part", "piece") for df in (dealt, sent)]
+    found = groups[0].cogroup(groups[1]).applyInArrow(_search, "block string, k_text string, rank long")
+    best = found.groupBy("block", "k_text").agg(F.min("rank").alias("rank"))
     return named.join(best, ["block", "k_text"], "left").select(
         F.col("block").alias(block),
         "text",
-        _score(F.col("rank")).alias("score"),
+        (F.lit(100).cast("bigint") - F.shiftright(F.col("rank"), 48)).alias("score"),
         F.pmod(F.col("rank"), F.lit(ORD_SPACE)).alias("ord"),
     )

@@ -184,7 +184,19 @@ def _(t: Tables) -> DataFrame:
         F.when(line == 4, "NaN").otherwise(F.col("l_tax").cast("string")).alias("m3"),
         dates.alias("ship_date"),
     )
-    return clean.coerce_types(text)
+    return clean.coerce_types(text, by_column=False)
+
+
+def _dates_with_slashes(t: Tables, order: str) -> DataFrame:
+    """Ship dates as text in one order, some unreadable; most could be read in the other order as well, or not at all."""
+    ship = F.when(F.col("l_linenumber") == 2, "soon").otherwise(F.date_format("l_shipdate", order))
+    measures = [F.lit(1.0).alias(m) for m in MEASURES]
+    rows = t.read("lineitem").select("l_orderkey", "l_linenumber", ship.alias("ship_date"), *measures)
+    return clean.coerce_types(rows).select("l_orderkey", "l_linenumber", "ship_date")
+
+
+REPORTS["dates_day_first"] = lambda t: _dates_with_slashes(t, "d/M/yyyy")
+REPORTS["dates_month_first"] = lambda t: _dates_with_slashes(t, "MM/dd/yyyy")
 
 
 REPORTS["enrich_shipments"] = lambda t: _enriched(t.shipments)
@@ -422,6 +434,35 @@ def _(t: Tables) -> DataFrame:
     return pairs.drop(*bids.ROLES)
 
 
+@report("column_assignment")
+def _(t: Tables) -> DataFrame:
+    """One column looks like countries more than like postal codes, and is needed for the codes nevertheless."""
+    row, name = F.col("row_id"), _names(t).where("iso2 = 'FR'").agg(F.min("country")).scalar()
+    code = F.lpad(row.cast("string"), 5, "0")
+    file = t.bid.select(
+        "row_id",
+        F.when(row % 10 < 6, name).otherwise(code).alias("Collection 1"),
+        F.when(row % 20 < 11, name).otherwise("n/a").alias("Collection 2"),
+        F.when(row % 3 > 0, code).otherwise("n/a").alias("Delivery 1"),
+        F.when(row % 4 > 0, code).otherwise("n/a").alias("Delivery 2"),
+        name.alias("Delivery and collection"),
+    )
+    return bids.column_assignment(bids.column_profile(file, _names(t), keep=["row_id"]))
+
+
+@report("bid_corrected")
+def _(t: Tables) -> DataFrame:
+    """Every seventh row gets another zone at its origin, every fourteenth one at both ends."""
+    pairs = bids.bid_zone_pairs(t.bid, t.country_table, t.postal, keep=["row_id"])
+    rows = t.bid.select("row_id").where("row_id % 7 = 0")
+    origin = rows.select("row_id", F.lit("origin").alias("end"), F.lit("FR 99").alias("zc"))
+    destination = rows.where("row_id % 14 = 0").select("row_id", F.lit("destination").alias("end"), F.lit("DE 99").alias("zc"))
+    nothing = rows.select("row_id", F.lit("destination").alias("end"), F.lit(None).cast("string").alias("zc"))
+    corrections = origin.unionByName(destination).unionByName(nothing)
+    done = bids.apply_corrections(pairs, corrections, keep=["row_id"])
+    return done.select("row_id", "origin_zc", "destination_zc", "match_score", "needs_review", "review_flag", "corrected")
+
+
 @report("bid_without_roles")
 def _(t: Tables) -> DataFrame:
     """A file whose headers name no end: nothing can be matched, and every row says so."""

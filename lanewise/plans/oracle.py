@@ -277,6 +277,10 @@ SELECT l_orderkey, l_linenumber,
        CASE WHEN l_linenumber <> 2 THEN cast(l_shipdate AS date) END AS ship_date
 FROM lineitem
 """
+for _order in ("dates_day_first", "dates_month_first"):
+    QUERIES[_order] = """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 2 THEN cast(l_shipdate AS date) END AS ship_date FROM lineitem
+"""
 _ENRICHED_COLUMNS = """zc_from, zc_to, cntry_from, cntry_to, way, cast(pay_weight AS double) AS pay_weight,
        bracket, product"""
 QUERIES["enrich_shipments"] = f"SELECT {_ENRICHED_COLUMNS} FROM ship"
@@ -765,6 +769,21 @@ SELECT row_id, iso_origin, origin_zone, origin_match, origin_zc, origin_country_
        destination_zone, destination_match, destination_zc, destination_country_score, destination_score,
        match_score, needs_review, review_flag FROM ({scored('points')}) s
 """
+QUERIES["column_assignment"] = """
+SELECT r.role, r."column", ((2000 * r.part + s.n) // (2 * s.n)) / 1000e0 AS share
+FROM (SELECT count(*) AS n, count_if(row_id % 10 >= 6) AS codes, count_if(row_id % 20 < 11) AS names,
+             count_if(row_id % 4 > 0) AS last FROM fx_bid_raw) s,
+     LATERAL (VALUES ('origin_cntry', 'Collection 2', names), ('origin_zipcode', 'Collection 1', codes),
+                     ('destination_zipcode', 'Delivery 2', last)) r(role, "column", part)
+"""
+QUERIES["bid_corrected"] = f"""
+SELECT row_id, origin_zc, destination_zc, match_score, review AS needs_review, CASE WHEN review THEN 'oui' ELSE 'non' END AS review_flag,
+       row_id % 7 = 0 AS corrected
+FROM (SELECT row_id, match_score, CASE WHEN row_id % 7 = 0 THEN 'FR 99' ELSE origin_zc END AS origin_zc,
+             CASE WHEN row_id % 14 = 0 THEN 'DE 99' ELSE destination_zc END AS destination_zc,
+             CASE WHEN row_id % 7 <> 0 THEN needs_review ELSE row_id % 14 <> 0 AND destination_zc IS NULL END AS review
+      FROM ({scored('points')}) s) c
+"""
 QUERIES["bid_without_roles"] = """
 SELECT row_id, cast(NULL AS varchar) AS origin_zc, cast(NULL AS varchar) AS destination_zc, 0.1e0 AS match_score,
        true AS needs_review, 'oui' AS review_flag FROM bid_cells

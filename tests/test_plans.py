@@ -16,7 +16,7 @@ from lanewise.sources import files, sinks
 FOLDER = "/root/testdata/sf0.001"
 # These build their result from tables they write first.
 WRITING = {"export_table", "export_tables", "fuzzy_country", "fuzzy_zone", "match_score", "bid_zone_pairs", "prefix_zone"}
-WRITING |= {"read_bridge", "read_offices", "read_country_names", "read_postal", "read_regions", "bid_without_roles", "bid_part_mapping", "fuzzy_customer_zone"}
+WRITING |= {"read_bridge", "read_offices", "read_country_names", "read_postal", "read_regions", "bid_without_roles", "bid_part_mapping", "fuzzy_customer_zone", "bid_corrected"}
 
 
 def plan_of(df) -> str:
