@@ -17,6 +17,7 @@ at most 63 different lengths in a pattern, which bounds what is sent out.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,10 +26,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.transducer import PIECES, normal
 from lanewise.llm.workers import Recent, held, importable, slices
 from lanewise.storage import stored
 
@@ -37,6 +38,15 @@ NODES = 12_000
 WIDTH = 6  # completions tried at a node
 BYTES_PER_WORD = 8  # of text that is looked up at once, for each word of the memo
 KNOWN_WORDS = 500_000  # in a worker, and as many older ones, and as many of their pieces
+# Fixed values of the vocabulary's pre-tokenizer; whatever is cut here is encoded by the library.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+
+
+def normal(text: str) -> str:
+    """Composed form in lower case, each character by itself."""
+    if text.isascii():
+        return text.lower()
+    return "".join(map(str.lower, unicodedata.normalize("NFC", text)))
 
 
 class Pattern(NamedTuple):

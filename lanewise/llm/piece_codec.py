@@ -26,7 +26,7 @@ from lanewise.llm.workers import Recent, held, importable, slices
 MARK = "▁"
 PENALTY = 10.0  # of a character without a piece, below the lowest score
 MARKED = MARK.encode()
-KNOWN_PARTS = 150_000  # and as many older ones
+KNOWN_PARTS = 120_000  # and as many older ones
 BATCH_BYTES = 4 << 20
 
 
@@ -136,8 +136,8 @@ class Codec:
             if alone <= n and here + unknown > best[alone]:
                 best[alone], back[alone], piece[alone] = here + unknown, at, -1
             state, end = 0, at
-            for byte in text[at:]:
-                after = base[state] + byte + 1
+            while end < n:
+                after = base[state] + text[end] + 1
                 if check[after] != state:
                     break
                 state, end = after, end + 1
@@ -221,7 +221,7 @@ def encode_table(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
 
 def decode_table(rows: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """One row per row: its key and ``text``."""
+    """One row per row: its key and ``text``; null for null ids, empty for none. Repeated rows stay, other columns are left out."""
     importable(rows.sparkSession)
     return rows.select(F.col(f"`{key}`").alias("id"), decoded(F.col(f"`{ids}`"), path).alias("text")).withColumnRenamed("id", key)
 

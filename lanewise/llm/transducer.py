@@ -17,16 +17,14 @@ it names the state. States are made when a text first needs them.
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
 
 import numpy as np
-import regex
+from tokenizers import Tokenizer
 
 FAR = 1 << 30  # later than any merge
 MOST_STATES = 200_000  # then they are made anew
 END = "Ā"  # marks the last character of a piece; characters are bytes as Latin-1
-# Fixed values of the vocabulary's pre-tokenizer.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 
 
 def byte_letters() -> dict[str, str]:
@@ -69,10 +67,15 @@ class Transducer:
         self.ids = {plain(t): i for t, i in spec["model"]["vocab"].items()}
         self.ranks = {(plain(a), plain(b)): r for r, (a, b) in enumerate(spec["model"]["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.specials = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
+        # Letter case, character classes and composition are those of the library's own Unicode tables.
+        library = Tokenizer.from_file(path)
+        self.normal, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.latin = str.maketrans(letters)
         self.beginnings = {t[:n] for t in (t.rstrip(END) for t in self.ids) for n in range(len(t))}
         self.edges: dict[str, tuple | None] = {}
         self.states: dict[str, State] = {}
-        self.pieces = Known(lambda text: self.piece(text.encode().decode("latin-1")), 150_000)
+        self.pieces = Known(self.piece, 150_000)
         self.start = self.states[""] = State(self, "", {}, (0,))
 
     def sides(self, token: str) -> tuple | None:
@@ -162,44 +165,30 @@ class Transducer:
         if len(self.states) > MOST_STATES:
             self.states.clear()
             self.start = self.states[""] = State(self, "", {}, (0,))
-        state, ids = self.start, b""
+        state, ids = self.start, []
         for char in piece:
             state, emitted, out = state[char]
             if emitted:
-                ids += out
-        return ids + self.ending(state)[1]
+                ids.append(out)
+        ids.append(self.ending(state)[1])
+        return b"".join(ids)
 
     def word(self, word: bytes) -> bytes:
         """Ids of a text without white space in ASCII."""
         text = word.decode("utf-8", "replace")
         if text.isalpha() and text.isascii():
             return self.pieces[text.lower()]
-        ids = []
-        for part, number in self.parts(text):
-            if number is None:
-                ids += map(self.pieces.__getitem__, PIECES.findall(normal(part)))
-            else:
-                ids.append(np.array([number], "<u4").tobytes())
-        return b"".join(ids)
-
-    def parts(self, text: str) -> list[tuple[str, int | None]]:
-        """The text cut at special tokens, which match before anything else."""
-        out, rest = [], text
-        while rest:
-            found = [(rest.find(s), s) for s in self.special if s in rest]
-            if not found:
-                return [*out, (rest, None)]
-            at, name = min(found)
-            out += [(rest[:at], None), (name, self.special[name])]
-            rest = rest[at + len(name) :]
-        return out
-
-
-def normal(text: str) -> str:
-    """Composed form in lower case, each character by itself."""
-    if text.isascii():
-        return text.lower()
-    return "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+        ids, done = [], 0
+        # Special tokens match before anything else.
+        for found in self.specials.finditer(text):
+            ids += self.plain(text[done : found.start()])
+            ids.append(np.array([self.special[found[0]]], "<u4").tobytes())
+            done = found.end()
+        return b"".join(ids + self.plain(text[done:]))
+
+    def plain(self, text: str) -> list[bytes]:
+        """Ids of the pieces of a text without special tokens."""
+        return [self.pieces[piece.translate(self.latin)] for piece, _ in self.cut(self.normal(text))] if text else []
 
 
 class Known(dict):

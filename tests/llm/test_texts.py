@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -230,3 +231,13 @@ def test_codec_of_odd_rows(spark):
     strange = spark.createDataFrame([(1, None), (2, []), (3, [10**6, -1])], "doc_id long, ids array<int>")
     assert {tuple(r) for r in piece_codec.decode_table(strange, path).collect()} == {(1, None), (2, ""), (3, "")}
     assert piece_codec.code_table(odd_table(spark).limit(0), path).count() == 0
+
+
+def test_long_texts_without_white_space_are_searched_in_linear_time(codec):
+    pick = random.Random(5)
+    know = codec
+    for text in ("".join(chr(pick.randrange(0x4E00, 0x9000)) for _ in range(700_000)), "abcdefgh" * 250_000):
+        start = time.perf_counter()
+        ids = know.encode([text.encode()])[0]
+        assert time.perf_counter() - start < 20
+        assert know.decode(np.frombuffer(ids, "<u4").tolist()).decode() == text

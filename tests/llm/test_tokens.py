@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -137,3 +138,33 @@ def test_packing_of_documents(spark, library):
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     rows = packing.pack(docs, PATH).collect()
     assert check_packing(rows, texts, library, 2048) == -(-sum(r.length for r in rows) // 2048)
+
+
+def test_every_code_point_equals_the_library(library):
+    """Alone and inside a word; letter case and classes are those of the library's Unicode tables."""
+    machine = transducer.Transducer(PATH)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x20000 or c % 97 == 0)]
+    for first in range(0, len(points), 5000):
+        texts = [t for c in points[first : first + 5000] for t in (chr(c), f"a{chr(c)}b")]
+        for text, known in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+            ids = b"".join(map(machine.word, text.encode().split()))
+            assert np.frombuffer(ids, "<u4").tolist() == known.ids, hex(ord(text[-1]))
+
+
+@pytest.mark.parametrize(
+    ("kind", "seconds"),
+    [("chinese", 20), ("special", 10), ("letters", 30), ("signs", 10)],
+)
+def test_two_megabytes_without_white_space(library, kind, seconds):
+    pick = random.Random(3)
+    text = {
+        "chinese": lambda: "".join(chr(pick.randrange(0x4E00, 0x9000)) for _ in range(700_000)),
+        "special": lambda: "<|endoftext|>x" * 140_000,
+        "letters": lambda: "abcdefghij" * 200_000,
+        "signs": lambda: "=-" * 1_000_000,
+    }[kind]()
+    word = transducer.Transducer(PATH).word
+    start = time.perf_counter()
+    ids = word(text.encode())
+    assert time.perf_counter() - start < seconds
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
