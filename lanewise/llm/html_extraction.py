@@ -15,11 +15,18 @@ tags are too many as well, their tags. They meet in general parts, which bounds
 a wrapper and drops nothing; a page's element without a label of its own in the
 wrapper is looked up there.
 
+A text of the wrapper remembers the values that it had most often. One that came
+with several different articles, and on at least half of the pages that have its
+element, is part of the template wherever it stands, also between
+others of its kind and inside articles; there it is left out with the element
+that holds nothing else, but for headings and labels.
+
 A page's text is that of all its articles, main and content elements. Where it
-has none, the wrapper says by paths which texts belong to the template. Names
-alone make furniture outside regions, or where a name says nothing else; other
-names in a region count if the wrapper finds the same texts there on other pages,
-or if they hold links.
+has none, the wrapper says by paths where most of the changing text is: the way
+leads down into the one part that holds nearly all of it, and what the wrapper
+knows as fixed is left out. Names alone make furniture outside regions, or where
+a name says nothing else; other names in a region count if the wrapper finds the
+same texts there on other pages, or if they hold links.
 """
 
 from __future__ import annotations
@@ -44,6 +51,9 @@ HOSTS_AT_ONCE = 2000
 MERGERS = 32
 SURE = 4  # pages with different texts that must agree on a fixed text
 LINKED = 0.8  # share of link characters that makes a list of links
+TELLING = 3  # texts of a page that tell it from others; one of them may be the template's
+VALUES = 12  # of a text in a wrapper: those that came with most articles
+NEARLY_ALL = 0.75  # of the changing text, in the part that is the article
 
 FURNITURE_TAGS = frozenset("head nav footer aside form button fieldset dialog menu menuitem datalist audio video canvas embed".split())
 FURNITURE = frozenset(
@@ -63,14 +73,21 @@ VAGUE = frozenset(
     " link links list outer panel post posts right section side slot text thread title top unit wrap wrapper".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What is the same on many pages and belongs to the text nevertheless.
+LABELS = HEADINGS | {"th", "dt", "caption"}
+CONTAINERS = frozenset("html body div section main article center td tr table tbody form".split())
 PROSE = HEADINGS | {"p", "blockquote", "pre"}
 POSTS = frozenset("post entry story hentry".split())
 KEPT, NAMED, PLAIN, FURNISHED, UNSURE = range(5)
+NOTED = frozenset({"main", "article", "h1"})
+NOTHING: frozenset = frozenset()
 COMMENTS = frozenset("comment comments reply replies discussion".split())
 REGIONS = frozenset("content article post entry story text body main".split())
 
-# An expression is a list of parts: elements [label, optional, repeated, pages, parts] and texts ["", value, bodies]:
-# ``bodies`` tells up to SURE different articles that the text came with, as copies of a page say nothing about a template.
+# An expression is a list of parts: elements [label, optional, repeated, pages, parts] and texts
+# ["", value, bodies, values, mass]: ``bodies`` tells up to SURE different articles that the text came with, as copies of
+# a page say nothing about a template; ``values`` has [pages, bodies] of several values, and ``mass`` counts characters
+# outside links.
 
 
 def value_of(text: str) -> str:
@@ -88,7 +105,8 @@ def expression(element: Element, inside: int = 0, body: int | None = None, depth
         if kid is None:
             around.pop()
         elif isinstance(kid, Text):
-            texts.append(["", value_of(kid.value), [body]])
+            value = value_of(kid.value)
+            texts.append(["", value, [body], {value: [1, [body]]}, len(kid.value) - kid.linked])
         elif (says := judged(kid, inside)) == FURNISHED:
             out.append(["!" + kid.label, 0, 0, 1, []])
         elif depth < DEEPEST:
@@ -102,7 +120,7 @@ def expression(element: Element, inside: int = 0, body: int | None = None, depth
 
 
 def body_of(root: Element) -> int:
-    """What tells a page from others with the same template: its longest text in a region, else all its texts."""
+    """What tells a page from others with the same template: its longest texts in a region, else all its texts."""
     texts: list[tuple[int, int, str]] = []  # (region, and surely no furniture; characters; text)
     around = [(iter(root.kids), 0, True)]
     while around:
@@ -114,8 +132,9 @@ def body_of(root: Element) -> int:
             texts.append((bool(inside) + (sure and bool(inside)), len(kid.value), kid.value))
         elif (says := judged(kid, inside)) != FURNISHED:
             around.append((iter(kid.kids), level(kid.label, inside), sure and says == KEPT))
-    first = max(texts, default=(0, 0, ""))
-    return xxhash.xxh3_64_intdigest((first[2] if first[0] else "\n".join(t for _, _, t in texts)).encode("utf-8", "replace"))
+    longest = sorted(texts, reverse=True)[:TELLING]
+    told = [t for region, _, t in longest if region == longest[0][0]] if longest and longest[0][0] else [t for _, _, t in texts]
+    return xxhash.xxh3_64_intdigest("\n".join(told).encode("utf-8", "replace"))
 
 
 def marked(label: str, says: int) -> str:
@@ -127,12 +146,26 @@ def together(a: list, b: list, side_by_side: bool) -> list:
     if not a[0]:
         same = a[1] is not None and a[1] == b[1]
         bodies = sorted({*a[2], *b[2]})[:SURE] if same else []
-        return ["", a[1] if same else None, bodies]
+        return ["", a[1] if same else None, bodies, values_of_both(a[3], b[3], side_by_side), a[4] + b[4]]
     pages = max(a[3], b[3]) if side_by_side else None
     parts = aligned(a[4], b[4], side_by_side)
     return [a[0], a[1] & b[1] if side_by_side else a[1] | b[1], a[2] | b[2] | side_by_side, pages or a[3] + b[3], parts]
 
 
+def values_of_both(a: dict, b: dict, one_page: bool) -> dict:
+    """Values with their pages and articles; of too many, those of most articles and pages."""
+    out = dict(a)
+    for value, (pages, bodies) in b.items():
+        if value in out:
+            known, others = out[value]
+            out[value] = [max(known, pages) if one_page else known + pages, bodies if bodies == others else sorted({*others, *bodies})[:SURE]]
+        else:
+            out[value] = [pages, bodies]
+    if len(out) > VALUES:
+        out = dict(sorted(out.items(), key=lambda item: (-len(item[1][1]), -item[1][0], item[0]))[:VALUES])
+    return out
+
+
 def folded(parts: list) -> list:
     """Neighbours with equal labels become one repeated part."""
     out: list = []
@@ -270,16 +303,29 @@ def named(label: str, inside: int) -> int:
     return KEPT if not told else UNSURE if inside else NAMED
 
 
-def holds(element: Element, tags: Container[str], regions: bool = False) -> bool:
+def holds(element: Element, tags: Container[str] = (), regions: bool = False) -> bool:
     """Whether an element that is no furniture by its name and has one of the tags, or is a region, is in an element."""
-    around = [element]
+    if element.inside is None:
+        survey(element)
+    return regions and "" in element.inside or any(tag in element.inside for tag in tags)
+
+
+def survey(element: Element) -> None:
+    """Note for every element which of the tags that matter are in it, and "" for a region; children before parents."""
+    order, around = [], [element]
     while around:
-        for kid in around.pop().kids:
+        order.append(around.pop())
+        around += [kid for kid in order[-1].kids if isinstance(kid, Element) and kid.inside is None]
+    for parent in reversed(order):
+        found: frozenset = NOTHING
+        for kid in parent.kids:
             if isinstance(kid, Element):
-                if (kid.tag in tags or regions and is_region(kid.label)) and named(kid.label, 0) == KEPT:
-                    return True
-                around.append(kid)
-    return False
+                if named(kid.label, 0) == KEPT:
+                    own = {kid.tag} & NOTED | ({""} if is_region(kid.label) else set())
+                    found = found | own if own else found
+                if not kid.inside <= found:
+                    found = found | kid.inside
+        parent.inside = found
 
 
 def judged(element: Element, inside: int) -> int:
@@ -287,6 +333,8 @@ def judged(element: Element, inside: int) -> int:
     if element.unseen:
         return FURNISHED
     says = named(element.label, inside)
+    if element.tag == "form":  # some sites put the whole page into one
+        return KEPT if holds(element, ("main", "article", "h1"), True) else FURNISHED
     if says in (KEPT, FURNISHED):
         return says
     if holds(element, ("main", "article")) or says == PLAIN and is_region(element.label) and holds(element, ("h1",)):
@@ -294,17 +342,27 @@ def judged(element: Element, inside: int) -> int:
     return UNSURE if says == UNSURE or says == NAMED and holds(element, (), True) else FURNISHED
 
 
+def link_sums(element: Element, inside: int) -> tuple[int, int]:
+    """Characters in links and all characters of what is neither furniture nor heading; each element is asked once per level."""
+    around = [(element, inside, False)]
+    while around:
+        parent, within, done = around.pop()
+        if within in parent.sums:
+            continue
+        kids = [(k, level(k.label, within)) for k in parent.kids if isinstance(k, Element) and k.tag not in HEADINGS and judged(k, within) != FURNISHED]
+        if done:
+            texts = [k for k in parent.kids if isinstance(k, Text)]
+            parts = [k.sums[deeper] for k, deeper in kids]
+            parent.sums[within] = sum(t.linked for t in texts) + sum(p[0] for p in parts), sum(len(t.value) for t in texts) + sum(p[1] for p in parts)
+        else:
+            around.append((parent, within, True))
+            around += [(k, deeper, False) for k, deeper in kids]
+    return element.sums[inside]
+
+
 def mostly_links(element: Element, inside: int) -> bool:
     """Whether links make up what is neither furniture nor heading; all of it, if that holds a region."""
-    around, linked, size = [(element, inside)], 0, 0
-    while around:
-        parent, within = around.pop()
-        for kid in parent.kids:
-            if isinstance(kid, Element):
-                if kid.tag not in HEADINGS and judged(kid, within) != FURNISHED:
-                    around.append((kid, level(kid.label, within)))
-            else:
-                linked, size = linked + kid.linked, size + len(kid.value)
+    linked, size = link_sums(element, inside)
     return size > 0 and linked >= (1 if holds(element, (), True) else LINKED) * size
 
 
@@ -314,25 +372,32 @@ def repeats(parts: list) -> bool:
 
 
 def profile(wrapper: list) -> dict:
-    """What extraction needs: fixed texts and furniture by path, and labels where some are general."""
-    fixed: dict[str, str] = {}
+    """What extraction needs: fixed texts, changing text and furniture by path, and labels where some are general."""
+    fixed: dict[str, set[str]] = {}
+    mass: dict[str, int] = {}
+    bodies: set[int] = set()
     furniture: set[str] = set()
     labels: dict[str, set[str]] = {}
 
-    def walk(parts: list, path: str) -> None:
+    def walk(parts: list, path: str, pages: int) -> None:
         parts = settled(parts)
         if any(p[0].endswith("*") for p in parts):
             labels[path] = {p[0] for p in parts}
         for part in parts:
             if part[0]:
-                walk(part[4], f"{path}/{part[0]}")
+                walk(part[4], f"{path}/{part[0]}", part[3])
                 if part[0][0] == "?" and part[0] != "?*" and repeats(part[4]):
                     furniture.add(f"{path}/{part[0]}")
-            elif part[1] is not None and len(part[2]) >= SURE:
-                fixed[path] = part[1]
+                continue
+            known_fixed = {value for value, (times, of) in part[3].items() if len(of) >= SURE and 2 * times >= pages}
+            if known_fixed:
+                fixed.setdefault(path, set()).update(known_fixed)
+            for _, of in part[3].values():
+                bodies.update(of)
+            mass[path] = mass.get(path, 0) + part[4]
 
-    walk(wrapper, "")
-    return {"fixed": fixed, "furniture": furniture, "labels": labels}
+    walk(wrapper, "", max((part[3] for part in wrapper if part[0]), default=0))
+    return {"fixed": fixed, "furniture": furniture, "labels": labels, "mass": mass, "sure": len(bodies) >= SURE}
 
 
 def in_prose(text: Text) -> bool:
@@ -344,15 +409,18 @@ class Blocks:
 
     def __init__(self, root: Element, told: dict):
         self.rows: list[tuple[str, int, Text]] = []  # (path, region, text)
+        self.owner: list[int] = []  # of each row: its element
+        self.elements: list[tuple[int, str, bool]] = [(-1, "", True)]  # (the one it is in, tag, whether a region)
+        self.told = told
         self.above, self.article = [0], [False]  # by region: the one it is in, whether it is an article
         self.labels, self.furniture = told["labels"], told["furniture"]
         self.walk(root)
 
     def walk(self, root: Element) -> None:
-        around = [(iter(root.kids), "", 0, 0)]  # (children, path, region, level)
+        around = [(iter(root.kids), "", 0, 0, 0)]  # (children, path, region, level, element)
         paths = [""]  # of the open elements that a wrapper has
         while around:
-            kids, path, region, inside = around[-1]
+            kids, path, region, inside, element = around[-1]
             kid = next(kids, None)
             if kid is None:
                 around.pop()
@@ -360,6 +428,7 @@ class Blocks:
                 continue
             if isinstance(kid, Text):
                 self.rows.append((path, region, kid))
+                self.owner.append(element)
                 continue
             says = judged(kid, inside)
             if says == FURNISHED:
@@ -375,7 +444,8 @@ class Blocks:
                 self.above.append(region)
                 self.article.append(kid.tag == "article")
             paths.append(here)
-            around.append((iter(kid.kids), here, inner, level(kid.label, inside)))
+            self.elements.append((element, kid.tag, inner != region))
+            around.append((iter(kid.kids), here, inner, level(kid.label, inside), len(self.elements) - 1))
 
     def taken(self) -> list[Text]:
         """Texts of all regions; one that adds only links to the regions inside it, or to others, does not count."""
@@ -383,19 +453,83 @@ class Blocks:
         whole = [False]
         for region in range(1, len(self.above)):
             whole.append(whole[self.above[region]] or self.article[region] or region in prose)
-        found = [text for _, region, text in self.rows if whole[region]]
-        return found or [text for _, region, text in self.rows if region]
+        found = [i for i, (_, region, _) in enumerate(self.rows) if whole[region]]
+        found = found or [i for i, (_, region, _) in enumerate(self.rows) if region]
+        template = self.template()
+        own = [i for i in found if not template[i]]
+        return [self.rows[i][2] for i in own or found]
+
+    def sums(self, of: list[int]) -> list[int]:
+        """What the rows below each element add up to."""
+        total = [0] * len(self.elements)
+        for element, value in zip(self.owner, of):
+            total[element] += value
+        for element in range(len(total) - 1, 0, -1):
+            total[self.elements[element][0]] += total[element]
+        return total
+
+    def fixed(self) -> list[bool]:
+        fixed = self.told["fixed"]
+        return [path in fixed and value_of(text.value) in fixed[path] for path, _, text in self.rows]
+
+    def template(self) -> list[bool]:
+        """Whether a row is fixed, and so is all else in its element, which is no region, heading or label."""
+        fixed = self.fixed()
+        if not any(fixed):
+            return fixed
+        texts, same = self.sums([1] * len(fixed)), self.sums([int(f) for f in fixed])
+        rows = []
+        for element, is_fixed in zip(self.owner, fixed):
+            _, tag, region = self.elements[element]
+            rows.append(is_fixed and texts[element] == same[element] and not region and tag not in LABELS)
+        return rows
+
+    def heaviest(self) -> list[bool]:
+        """Whether a row is in the part that holds nearly all of the changing text of the host's pages.
+
+        An element weighs what the wrapper has at the different paths in it. The
+        way ends at headings, and where no single part is nearly all.
+        """
+        if not self.told["sure"]:
+            return [True] * len(self.rows)
+        mass, fixed = self.told["mass"], self.fixed()
+        met: set[tuple[int, str]] = set()
+        weights = [0] * len(self.elements)
+        for (path, _, text), element, is_fixed in zip(self.rows, self.owner, fixed):
+            while not is_fixed and in_prose(text) and element >= 0 and (element, path) not in met:
+                met.add((element, path))
+                weights[element] += mass.get(path, 0)
+                element = self.elements[element][0]
+        kids: dict[int, list[int]] = {}
+        for element in range(1, len(self.elements)):
+            kids.setdefault(self.elements[element][0], []).append(element)
+        here = 0
+        while True:
+            inner = kids.get(here, [])
+            best = max(inner, key=lambda e: (weights[e], -e), default=None)
+            if best is None or self.elements[best][1] not in CONTAINERS or weights[best] < NEARLY_ALL * weights[here]:
+                break
+            if any(self.elements[e][1] in HEADINGS and weights[e] for e in inner) or sum(weights[e] >= (1 - NEARLY_ALL) * weights[best] for e in inner) > 1:
+                break
+            here = best
+        inside = [here == 0] * len(self.elements)
+        for element in range(1, len(self.elements)):
+            inside[element] = inside[element] or element == here or inside[self.elements[element][0]]
+        return [inside[element] for element in self.owner]
 
 
 def main_text(html: str, told: dict) -> str:
-    """The texts of the page's regions; without one, all but lists of links and fixed texts."""
+    """The texts of the page's regions; without one, those of its heaviest part but lists of links and fixed texts."""
     blocks = Blocks(parse(html), told)
     found = blocks.taken()
     if found:
         return "\n".join(t.value for t in found)
-    loose = [(p, t) for p, _, t in blocks.rows if in_prose(t)]
-    own = [t.value for p, t in loose if told["fixed"].get(p) != value_of(t.value)]
-    return "\n".join(own or [t.value for _, t in loose])
+    part, fixed = blocks.heaviest(), blocks.fixed()
+    loose = [i for i, (_, _, t) in enumerate(blocks.rows) if part[i] and in_prose(t)]
+    # A fixed heading is kept with the text below it.
+    above = {i for i, below in zip(loose, loose[1:]) if blocks.elements[blocks.owner[i]][1] in HEADINGS and not fixed[below]}
+    own = [i for i in loose if not fixed[i] or i in above]
+    return "\n".join(blocks.rows[i][2].value for i in own or loose)
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

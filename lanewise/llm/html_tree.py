@@ -8,7 +8,7 @@ from html import unescape
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object|select)\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|object|select)\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -19,7 +19,9 @@ SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small"
-    " span strike strong sub sup time tt u var wbr img".split()
+    " span strike strong sub sup time tt u var wbr img"
+    " math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub"
+    " msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 #: What an opening tag ends, if it is open in the same list, table or section.
 ENDS = {
@@ -38,10 +40,11 @@ FENCES = frozenset("ul ol dl table tbody thead tfoot div section article main as
 class Element:
     """``label`` is the tag with the words of its class, identifier and role."""
 
-    __slots__ = ("tag", "label", "words", "kids", "unseen")
+    __slots__ = ("tag", "label", "words", "kids", "unseen", "inside", "sums")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.kids, self.unseen = tag, [], False
+        self.inside, self.sums = None, {}  # noted by those who ask
         words = set()
         if attributes:
             for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -68,7 +71,8 @@ class Text:
 def parse(html: str) -> Element:
     """The root of a page. Inline elements are part of their block's text; a line break is white space."""
     root = Element("")
-    stack, inline = [root], []
+    stack = [root]
+    inline: Counter[str] = Counter()  # open inline elements of the block
     opened: Counter[str] = Counter()  # tags on the stack
     parts: list[str] = []
     linked = 0
@@ -90,7 +94,7 @@ def parse(html: str) -> Element:
         text = token["text"]
         if text is not None:
             parts.append(text)
-            if "a" in inline:
+            if inline["a"]:
                 linked += len(text)
             continue
         tag = token["tag"]
@@ -103,11 +107,9 @@ def parse(html: str) -> Element:
             parts.append(" ")
         elif tag in INLINE:
             if not token["end"]:
-                inline.append(tag)
-            elif tag in inline:
-                inline.reverse()
-                inline.remove(tag)
-                inline.reverse()
+                inline[tag] += 1
+            elif inline[tag]:
+                inline[tag] -= 1
         elif token["end"]:
             settle()
             if opened[tag]:

@@ -3,7 +3,9 @@ import functools
 import hashlib
 import html as entities
 import json
+import random
 import re
+import time
 import tracemalloc
 from collections import Counter, defaultdict
 
@@ -237,3 +239,85 @@ def test_extraction_of_the_pages(spark):
         inside = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
         blocks = [re.sub(r"\s+", " ", entities.unescape(re.sub(r"<[^>]*>", " ", b))).strip() for b in re.split(r"</?(?:p|h1)>", inside)]
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+def without_names(html):
+    """The page with no names to go by."""
+    bare = re.sub(r"\s(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", html)
+    return re.sub(r"<(/?)(article|main)\b", r"<\1div", bare)
+
+
+def test_wrappers_find_the_text_without_names(spark):
+    """The given pages give the same texts when every class, id and role is gone and articles are divs; without wrappers they do not."""
+    by_host = defaultdict(list)
+    for r in spark.read.parquet(f"{FOLDER.replace('sf0.001', 'sf0.01')}/pages.parquet").collect():
+        by_host[re.sub(r"^\w+://|/.*$", "", r.url or "")].append(r.html or "")
+    seen = unlike = 0
+    for htmls in by_host.values():
+        if len(htmls) < 2 * html_extraction.SURE:
+            continue
+        bare = [without_names(h) for h in htmls]
+        texts = extracted(*bare)
+        assert texts == extracted(*htmls)
+        seen += len(htmls)
+        unlike += sum(extracted(b)[0] != t for b, t in zip(bare, texts))
+    assert seen and unlike > 0.9 * seen
+
+
+FRAMED = """<body><main><div class='site-msg'><p>We use cookies on this site.</p></div><div class='crumbs'><a href=/>Home</a> / <a href=/n>News</a>
+</div><h1>Head %s</h1><p>Body %s is here.</p><h2>History</h2><p>More %s</p><div class='x-foot'><p>All rights reserved by us.</p></div></main></body>"""
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_fixed_parts_inside_regions_are_left_out(named):
+    page = FRAMED if named else without_names(FRAMED)
+    names = ["abcdefghijkl"[i] * 3 for i in range(12)]
+    assert extracted(*[page.replace("%s", x) for x in names]) == [f"Head {x}\nBody {x} is here.\nHistory\nMore {x}" for x in names]
+
+
+def test_texts_of_few_pages_are_no_template():
+    """Five of twenty pages begin with the same sentence; it is text."""
+    page = "<body><div><p>Advert %s</p></div><div><h1>Head %s</h1><p>{}</p><p>Long text %s</p></div></body>"
+    pages = [page.format("The same" if i < 5 else f"Other {i}").replace("%s", str(i) * 9) for i in range(20)]
+    assert all(("The same" in t) == (i < 5) for i, t in enumerate(extracted(*pages)))
+
+
+def test_formulas_and_pages_inside_a_form():
+    page = "<body><form id=f><div class='nav menu'>x</div><main><h1>T</h1><p>E is <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> squared</p></main></form></body>"
+    assert extracted(page) == ["T\nE is mc2 squared"]
+    assert extracted("<main><p>Text</p><form><p>Subscribe</p><input></form></main>") == ["Text"]
+
+
+def brute_alignment(a, b):
+    """The most labels that two sequences have in common, in order, by trying all choices."""
+    best = 0
+    for chosen in range(1 << len(a)):
+        picked = [x for i, x in enumerate(a) if chosen >> i & 1]
+        rest = iter(b)
+        if len(picked) > best and all(any(x == y for y in rest) for x in picked):
+            best = len(picked)
+    return best
+
+
+def test_alignments_keep_as_much_as_can_be():
+    pick = random.Random(3)
+    for _ in range(200):
+        a, b = ([pick.choice("pqr") for _ in range(pick.randint(0, 7))] for _ in range(2))
+        a, b = ([x for x, y in zip(s, [None, *s]) if x != y] for s in (a, b))  # as folded
+        parts = [[[x, 0, 0, 1, []] for x in s] for s in (a, b)]
+        found = html_extraction.aligned(*parts)
+        kept = sum(not p[1] for p in found)
+        assert kept <= brute_alignment(a, b) and (kept == brute_alignment(a, b) or any(p[2] for p in found))
+        for s in (a, b):  # both fit: leaving out optional parts and repeating others
+            pattern = "".join(f"({p[0]}{'+' if p[2] else ''}){'?' if p[1] else ''}" for p in found)
+            assert re.fullmatch(pattern, "".join(s))
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<p>a b c ", "<li><a href=x>y</a>", "<table><tr><td>", "<main><div class=related>a", "x<i>"])
+def test_long_broken_pages_take_linear_time(piece):
+    times = []
+    for n in (5_000, 20_000):
+        start = time.perf_counter()
+        extracted(piece * n)
+        times.append(time.perf_counter() - start)
+    assert times[1] < 8 * times[0] + 1
