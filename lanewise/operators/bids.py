@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from lanewise.storage import stored
 
 ROLES = ("origin_cntry", "origin_zipcode", "destination_cntry", "destination_zipcode")
 SIDES = ("origin", "destination")
+MATCHED = ("cntry", "zipcode", "iso2", "country_score", "zone", "match", "score", "zc")
 
 # Header words that tell the two ends of a shipment apart.
 ORIGIN_WORDS = ("origin", "collection", "depart", "chargement", "from", "shipping", "consignor")
@@ -359,28 +362,75 @@ def apply_roles(
     return with_roles.select(*[_quoted(c) for c in keep], *[cell_of(r).alias(r) for r in ROLES])
 
 
+def different_ends(bid: DataFrame) -> DataFrame:
+    """Each different country and postal code of either end, stored; one pass over the rows."""
+    either = [F.struct(F.col(f"{s}_cntry").alias("cntry"), F.col(f"{s}_zipcode").alias("zipcode")) for s in SIDES]
+    return stored(bid.select(F.inline(F.array(*either))).distinct(), "ends")
+
+
+def _coded(ends: DataFrame, names: DataFrame) -> DataFrame:
+    countries = stored(fuzzy_country(ends.select(F.col("cntry").alias("text")), names), "countries")
+    found = countries.select(F.col("text").alias("cntry"), F.col("score").alias("country_score"), "iso2")
+    coded = ends.join(found, "cntry", "left")
+    return coded.withColumn("zone", compose_zone(F.col("iso2"), clean_zip(F.col("zipcode"), F.col("iso2"))))
+
+
 def coded_ends(bid: DataFrame, names: DataFrame) -> DataFrame:
     """Each different country and postal code of either end, with country code and zone.
 
-    One pass over the rows; everything after it works on different pairs only.
-    The pairs and the matches are stored, because both are used more than once.
+    Everything after the pass over the rows works on different pairs only. The
+    pairs and the matches are stored, because both are used more than once.
     """
-    either = [F.struct(F.col(f"{s}_cntry").alias("cntry"), F.col(f"{s}_zipcode").alias("zipcode")) for s in SIDES]
-    pairs = stored(bid.select(F.inline(F.array(*either))).distinct(), "ends")
-    countries = stored(fuzzy_country(pairs.select(F.col("cntry").alias("text")), names), "countries")
-    found = countries.select(F.col("text").alias("cntry"), F.col("score").alias("country_score"), "iso2")
-    coded = pairs.join(found, "cntry", "left")
-    return coded.withColumn("zone", compose_zone(F.col("iso2"), clean_zip(F.col("zipcode"), F.col("iso2"))))
+    return _coded(different_ends(bid), names)
 
 
-def matched_ends(bid: DataFrame, names: DataFrame, postal: DataFrame) -> DataFrame:
-    """The different ends of a tender file with their country and reference zone."""
-    coded = coded_ends(bid, names)
+def _matched(ends: DataFrame, names: DataFrame, postal: DataFrame) -> DataFrame:
+    coded = _coded(ends, names)
     zones = stored(fuzzy_zone(coded.select(F.col("iso2").alias("country"), F.col("zone").alias("text")), postal), "zones")
     found = zones.select(
         F.col("country").alias("iso2"), F.col("text").alias("zone"), F.col("full_zc").alias("match"), "score", "zc"
     )
-    return coded.join(found, ["iso2", "zone"], "left")
+    return coded.join(found, ["iso2", "zone"], "left").select(*MATCHED)
+
+
+def matched_ends(bid: DataFrame, names: DataFrame, postal: DataFrame) -> DataFrame:
+    """The different ends of a tender file with their country and reference zone."""
+    return _matched(different_ends(bid), names, postal)
+
+
+def _fingerprint(*tables: DataFrame) -> str:
+    """A name for reference lists; lists with other rows, or with another ``ord``, have another one."""
+    marks = []
+    for table in tables:
+        row = F.xxhash64(F.to_json(F.struct(*[_quoted(c) for c in sorted(table.columns)])))
+        sums = table.select(row.alias("row")).agg(F.count("row"), F.sum(F.col("row").cast("decimal(20,0)")))
+        marks.append("_".join(map(str, sums.first())))
+    return hashlib.sha256(" ".join(marks).encode()).hexdigest()
+
+
+def known_ends(bid: DataFrame, names: DataFrame, postal: DataFrame, dictionary: str) -> DataFrame:
+    """``matched_ends`` of a tender file, and of all files before it that met the same reference lists.
+
+    ``dictionary`` is a folder that all executors share; below it, what has been
+    matched is kept by a fingerprint of the reference lists. Only ends that it
+    does not hold are matched and added. Two files at the same time may both add
+    an end; the rows are equal and count once.
+    """
+    spark, ends = bid.sparkSession, different_ends(bid)
+    path = f"{dictionary.rstrip('/')}/{_fingerprint(names, postal)}"
+    try:
+        before = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        before = None
+    new = ends
+    if before is not None:
+        met = [ends[c].eqNullSafe(before[c]) for c in ("cntry", "zipcode")]
+        new = stored(ends.join(before, met, "left_anti"), "new-ends")
+    if before is None or not new.isEmpty():
+        _matched(new, names, postal).write.mode("append").parquet(path)
+    return spark.read.parquet(path).dropDuplicates(["cntry", "zipcode"])
 
 
 def bid_zone_pairs(
@@ -390,12 +440,15 @@ def bid_zone_pairs(
     roles: Mapping[str, str] | None = None,
     keep: Sequence[str] = (),
     legacy_score: bool = False,
+    dictionary: str | None = None,
 ) -> DataFrame:
     """A messy tender file as clean zone pairs with a score per row.
 
     ``roles`` overrides the found column of single roles. An end whose country
     or postal code has no column cannot be built: its columns are null, and all
-    rows are for review. Tables are written while the result is being built.
+    rows are for review. ``dictionary`` is a folder in which matches are kept
+    for the next file (see ``known_ends``). Tables are written while the result
+    is being built.
     """
     cells = normalise_bid(bid, keep)
     names = country_names(iso)
@@ -404,7 +457,15 @@ def bid_zone_pairs(
     else:
         # The roles are stored, or every later pass over the rows would profile all cells again.
         df = apply_roles(cells, stored(column_assignment(column_profile(cells, names, keep)), "roles"), keep, roles)
-    ends = stored(matched_ends(df, names, postal), "matched")
+    if dictionary:
+        ends = stored(known_ends(df, names, postal, dictionary), "matched")
+    else:
+        ends = stored(matched_ends(df, names, postal), "matched")
+    # Written once: the lowest and highest sum and the rows read the same lookups.
+    return match_score(stored(_with_ends(df, ends), "scored"), legacy_score)
+
+
+def _with_ends(df: DataFrame, ends: DataFrame) -> DataFrame:
     for side in SIDES:
         lookup = ends.select(
             F.col("cntry").alias(f"{side}_cntry"),
@@ -418,8 +479,7 @@ def bid_zone_pairs(
         )
         met = [df[f"{side}_{part}"].eqNullSafe(lookup[f"{side}_{part}"]) for part in ("cntry", "zipcode")]
         df = df.join(lookup, met, "left").drop(*[lookup[f"{side}_{part}"] for part in ("cntry", "zipcode")])
-    # Written once: the lowest and highest sum and the rows read the same lookups.
-    return match_score(stored(df, "scored"), legacy_score)
+    return df
 
 
 def apply_corrections(pairs: DataFrame, corrections: DataFrame, keep: Sequence[str]) -> DataFrame:

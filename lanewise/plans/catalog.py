@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewise.operators import answers, bids, clean, collection, enrich, facets, profile, regions, regularity, summary
@@ -91,15 +92,20 @@ def _(t: Tables) -> DataFrame:
         "branches": files.branch_points(t.branches),
         "months": summary.seasonality(t.summary),
     }
-    paths = sinks.write_tables(sheets, f"{shared_folder(t.spark)}/sheets-{uuid.uuid4().hex}")
-    counts = [
-        files.read_table(t.spark, path).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
-        for name, path in paths.items()
-    ]
-    combined = counts[0]
-    for count in counts[1:]:
-        combined = combined.unionAll(count)
-    return combined
+    path = f"{shared_folder(t.spark)}/sheets-{uuid.uuid4().hex}"
+    sinks.write_tables(sheets, path)
+    rows = [_cells(name, table) for name, table in files.read_tables(t.spark, path).items()]
+    return reduce(DataFrame.unionAll, rows)
+
+
+def _cells(name: str, table: DataFrame) -> DataFrame:
+    """Rows of a table as its texts and its numbers, each in the order of their columns' names."""
+    kinds = dict(sorted(table.dtypes))
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c, kind in kinds.items() if kind in ("string", "date")]
+    numbers = [F.col(c).cast("double") for c, kind in kinds.items() if kind not in ("string", "date")]
+    padded = [*numbers, *[F.lit(None).cast("double")] * (4 - len(numbers))]
+    columns = [n.alias(f"number{i}") for i, n in enumerate(padded, 1)]
+    return table.select(F.lit(name).alias("name"), F.concat_ws("|", *texts).alias("texts"), *columns)
 
 
 # Reference tables, from files with the headers they come with
@@ -131,8 +137,10 @@ def _(t: Tables) -> DataFrame:
 
 @report("read_postal")
 def _(t: Tables) -> DataFrame:
+    """All rows, each with its place among those of its country."""
     postal = files.read_postal(t.spark, _as_file(t, t.customer_zones, POSTAL_HEADERS, ["ord"]))
-    return postal.groupBy("country").agg(F.min_by("full_zc", "ord").alias("first"), F.count("zc").alias("zones"))
+    place = F.row_number().over(Window.partitionBy("country").orderBy("ord"))
+    return postal.select("country", "full_zc", "zc", place.alias("place"))
 
 
 @report("read_regions")
@@ -463,6 +471,16 @@ def _(t: Tables) -> DataFrame:
     return done.select("row_id", "origin_zc", "destination_zc", "match_score", "needs_review", "review_flag", "corrected")
 
 
+@report("bid_next_file")
+def _(t: Tables) -> DataFrame:
+    """A file whose ends are partly known from another one: the first ends come from the dictionary, the others are matched."""
+    known = f"{shared_folder(t.spark)}/ends-{uuid.uuid4().hex}"
+    cells, names = bids.apply_roles(_bid_cells(t), MAPPING, keep=["row_id"]), _names(t)
+    bids.known_ends(cells.withColumns({role: F.col(f"origin_{role.split('_')[1]}") for role in bids.ROLES}), names, t.postal, known)
+    pairs = bids.bid_zone_pairs(t.bid, t.country_table, t.postal, MAPPING, keep=["row_id"], dictionary=known)
+    return pairs.drop(*bids.ROLES)
+
+
 @report("bid_without_roles")
 def _(t: Tables) -> DataFrame:
     """A file whose headers name no end: nothing can be matched, and every row says so."""

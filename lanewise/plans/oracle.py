@@ -238,20 +238,13 @@ SELECT zc_from, zc_to, ship_date, cast(kg AS double) AS kg, cast(ldm AS double)
        branch, category1, category2 FROM usable WHERE NOT ok
 """
 QUERIES["export_table"] = _REJECTED
-QUERIES["export_tables"] = """
-SELECT 'rejected' AS name, count(*) AS n FROM usable WHERE NOT ok
-UNION ALL SELECT 'ways', count(*) FROM (VALUES (1), (2), (3), (4)) w
-UNION ALL SELECT 'brackets', count(DISTINCT bracket) FROM summ
-UNION ALL SELECT 'branches', count(*) FROM fx_branches
-UNION ALL SELECT 'months', count(DISTINCT strftime(ship_date, '%Y-%m')) FROM summ
-"""
-
 QUERIES["read_bridge"] = """
 SELECT zone, arg_min(nuts3, seq) AS first_nuts3, count(nuts0) AS rows FROM fx_zone_region GROUP BY zone
 """
 QUERIES["read_offices"] = "SELECT country, lat, lon, office_name, zone, phone, opening_hours FROM fx_branches"
 QUERIES["read_postal"] = """
-SELECT country, arg_min(full_zc, ord) AS first, count(*) AS zones FROM fx_customer_zones GROUP BY country
+SELECT country, full_zc, full_zc AS zc, cast(row_number() OVER (PARTITION BY country ORDER BY ord) AS int) AS place
+FROM fx_customer_zones
 """
 QUERIES["read_regions"] = "SELECT lvl, region_id, name, lat, lon FROM fx_region_attrs WHERE lvl = 0"
 
@@ -372,6 +365,24 @@ SELECT strftime(ship_date, '%Y-%m') AS month, count(ship_date) AS shipments, {d(
        {d('sum(ldm)')} AS ldm, {d('sum(pay_weight)')} AS pay_weight
 FROM summ WHERE ship_date IS NOT NULL GROUP BY 1
 """
+
+
+def _sheet(name: str, sql: str, texts: tuple[str, ...], *numbers: str) -> str:
+    text = " || '|' || ".join(f"coalesce(cast({c} AS varchar), 'null')" for c in texts)
+    padded = [*numbers, *["NULL"] * (4 - len(numbers))]
+    columns = ", ".join(f"cast({n} AS double) AS number{i}" for i, n in enumerate(padded, 1))
+    return f"SELECT '{name}' AS name, {text} AS texts, {columns} FROM ({sql}) q"
+
+
+QUERIES["export_tables"] = "\nUNION ALL ".join(
+    (
+        _sheet("rejected", _REJECTED, ("branch", "category1", "category2", "ship_date", "zc_from", "zc_to"), "kg", "ldm", "m3"),
+        _sheet("ways", QUERIES["summary_way"], ("way",), "shipments"),
+        _sheet("brackets", QUERIES["summary_bracket"], ("share_text",), "bracket", "share", "shipments"),
+        _sheet("branches", QUERIES["branch_points"], ("office_name", "opening_hours", "phone", "zone"), "lat", "lon"),
+        _sheet("months", QUERIES["seasonality"], ("month",), "kg", "ldm", "pay_weight", "shipments"),
+    )
+)
 _METRICS = {
     "Shipments": "count(zc_to)",
     "kg": "trunc(coalesce(sum(kg), 0))",
@@ -769,6 +780,7 @@ SELECT row_id, iso_origin, origin_zone, origin_match, origin_zc, origin_country_
        destination_zone, destination_match, destination_zc, destination_country_score, destination_score,
        match_score, needs_review, review_flag FROM ({scored('points')}) s
 """
+QUERIES["bid_next_file"] = QUERIES["bid_zone_pairs"]
 QUERIES["column_assignment"] = """
 SELECT r.role, r."column", ((2000 * r.part + s.n) // (2 * s.n)) / 1000e0 AS share
 FROM (SELECT count(*) AS n, count_if(row_id % 10 >= 6) AS codes, count_if(row_id % 20 < 11) AS names,

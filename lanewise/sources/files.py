@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +40,39 @@ def select_shipments(table: DataFrame) -> DataFrame:
     return df.select(*wanted)
 
 
+#: Of several tables written together: the folder that lists them, and its columns.
+LIST = "exports"
+EXPORTS = "number bigint, export string, name string, format string, path string"
+
+
+def _exports(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(EXPORTS).json(f"{path.rstrip('/')}/{LIST}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def latest_export(spark: SparkSession, path: str) -> int | None:
+    """The number of the last whole export below ``path``, null if there is none."""
+    found = _exports(spark, path)
+    return None if found is None else found.agg(F.max("number")).first()[0]
+
+
+def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the last whole export below ``path``, by name; none if there is no export.
+
+    Of two exports that were written at the same time, one counts.
+    """
+    found = _exports(spark, path)
+    if found is None:
+        return {}
+    last = found.agg(F.max(F.struct("number", "export")).alias("m")).select("m.*")
+    listed = found.join(last, ["number", "export"]).select("name", "format", "path").collect()  # a row per table
+    return {row["name"]: read_table(spark, row["path"], row["format"]) for row in listed}
+
+
 def read_shipments(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return select_shipments(read_table(spark, path, fmt))
 

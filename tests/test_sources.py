@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lanewise.operators import answers, bids
@@ -55,6 +56,55 @@ def test_round_trip_of_tables(spark, tmp_path):
     assert files.read_table(spark, paths["two"], "csv").filter("text = 'a,b'").count() == 5
 
 
+def test_a_failed_export_is_not_seen(spark, tmp_path):
+    path, df = str(tmp_path / "out"), spark.range(10)
+    wrong = df.select(F.raise_error(F.lit("no third sheet")).cast("string").alias("text"))
+    assert files.read_tables(spark, path) == {}
+    with pytest.raises(Exception, match="no third sheet"):
+        sinks.write_tables({"one": df, "two": df, "three": wrong}, path)
+    assert files.read_tables(spark, path) == {}
+    sinks.write_tables({"one": df, "two": df.filter("id > 4")}, path)
+    first = files.read_tables(spark, path)
+    assert {name: t.count() for name, t in first.items()} == {"one": 10, "two": 5}
+    with pytest.raises(ValueError, match="already"):
+        sinks.write_tables({"one": df}, path)
+    with pytest.raises(Exception, match="no third sheet"):
+        sinks.write_tables({"one": df.filter("id > 8"), "three": wrong}, path, mode="overwrite")
+    assert files.read_tables(spark, path)["one"].count() == 10
+    sinks.write_tables({"one": df.filter("id > 8")}, path, "csv", "overwrite")
+    assert {name: t.count() for name, t in files.read_tables(spark, path).items()} == {"one": 1}
+    assert first["two"].count() == 5
+
+
+def test_a_second_file_matches_new_ends_only(spark, tmp_path, monkeypatch):
+    iso = spark.createDataFrame([(0, "FR", "France"), (1, "DE", "Germany")], "ord int, iso2 string, country_1 string")
+    zones = [(0, "FR", "FR 75008", "FR 75"), (1, "FR", "FR 69001", "FR 69"), (2, "DE", "DE 80331", "DE 80")]
+    postal = spark.createDataFrame(zones, "ord int, country string, full_zc string, zc string")
+    rows = [("1", "France", "75008", "Germny", "80331"), ("2", "Frnce", "69002", None, None)]
+    shape = "id string, " + ", ".join(f"{role} string" for role in bids.ROLES)
+    roles, matched, asked = {role: role for role in bids.ROLES}, bids._matched, []
+
+    def counting(ends, names, postal):
+        asked.append(ends.count())
+        return matched(ends, names, postal)
+
+    monkeypatch.setattr(bids, "_matched", counting)
+
+    def pairs(rows, postal, dictionary=None):
+        done = bids.bid_zone_pairs(spark.createDataFrame(rows, shape), iso, postal, roles, ["id"], dictionary=dictionary)
+        return done.orderBy("id").collect()
+
+    plain, known = pairs(rows, postal), str(tmp_path / "known")
+    assert pairs(rows, postal, known) == plain
+    assert pairs(rows, postal, known) == plain
+    more = [*rows, ("3", "Deutschland", "80331", "France", "75008")]
+    assert pairs(more, postal, known) == pairs(more, postal)
+    other = postal.where("ord > 0")
+    assert pairs(rows, other, known) == pairs(rows, other)
+    # Without a dictionary all ends are matched, with it new ones, and all where a list has changed.
+    assert asked == [4, 4, 1, 5, 4, 4]
+
+
 def test_roles_by_mapping_and_by_contents(spark):
     bid = spark.createDataFrame(
         [("1", "France", "75008", "x"), ("2", "fr", "69001", "y")],
