@@ -52,12 +52,16 @@ def base32(digest: bytes) -> str:
 
 
 def chunks(payload: bytes | memoryview, most: int) -> Iterator[bytes | memoryview]:
-    """The payload in parts of at most ``most`` bytes that end between characters; one for no bytes."""
+    """The payload in parts of at most ``most`` bytes that end between characters; one for no bytes.
+
+    Where no character begins within a part, as in bytes that are not UTF-8, it is cut at ``most``.
+    """
     at = 0
     while True:
-        end = min(len(payload), at + most)
+        whole = end = min(len(payload), at + most)
         while at < end < len(payload) and payload[end] & 0xC0 == 0x80:
             end -= 1
+        end = end if end > at else whole
         yield payload[at:end]
         at = end
         if at >= len(payload):
@@ -75,7 +79,7 @@ def page_records(
     archive: str,
     row: int,
     page: str | None,
-    url: str | None,
+    url: bytes | None,
     payload: bytes | memoryview,
     of: str | None,
     most: int,
@@ -129,7 +133,7 @@ def write_archive(
     archive = str(uuid.uuid4())
     payload = F.coalesce(F.col(f"`{html}`"), F.lit("")).cast("binary")
     rows = pages.select(
-        F.col(f"`{key}`").alias("page"), F.col(f"`{url}`").cast("string").alias("url"), payload.alias("payload")
+        F.col(f"`{key}`").alias("page"), F.col(f"`{url}`").cast("string").cast("binary").alias("url"), payload.alias("payload")
     )
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     groups = rows.where(F.col("size") >= least).groupBy("sha", "size")
@@ -140,18 +144,22 @@ def write_archive(
     row = F.monotonically_increasing_id().alias("row")
     ready = joined.select(row, F.col("page").cast("string"), "url", "payload", of.alias("of"), "sha")
 
+    def lines(out: list[bytes]) -> pa.RecordBatch:
+        # Seen as text without a look at the bytes, which need not be UTF-8; Spark writes them as they are.
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).view(pa.string())], ["value"])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
             told = zip(*(batch[c].to_pylist() for c in ("row", "page", "url", "of", "sha")))
             for payload, (row, page, url, of, sha) in zip(batch["payload"], told):
                 for data in page_records(archive, row, page, url, memoryview(payload.as_buffer()), of, most, sha):
-                    out.append(data.decode())
+                    out.append(data)
                     size += len(data)
                     if size > most << 6:
-                        yield pa.RecordBatch.from_arrays([pa.array(out)], ["value"])
+                        yield lines(out)
                         out, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+            yield lines(out)
 
     ready.mapInArrow(write, "value string").write.option("lineSep", "\n").text(folder)
     return archive
@@ -251,7 +259,7 @@ def round_trip(
 
     One row per row of ``pages``: its key, ``payload_bytes``,
     ``payload_digest``, ``record_type`` and ``refers_to``. A null page is an
-    empty payload. Of equal payloads of at least ``least`` bytes, the page with
+    empty payload; bytes that are not UTF-8 are archived as they are. Of equal payloads of at least ``least`` bytes, the page with
     the largest key is the response and others revisit it; rows that repeat its
     key are responses too. Without any key in a group, all are responses. A
     null address is left out of the record. Other columns are left out,

@@ -78,22 +78,35 @@ def test_chunks_end_between_characters():
             assert "".join(p.decode() for p in parts) == text
 
 
+def test_bytes_that_are_no_text(spark):
+    """Parquet strings may hold any bytes, also a long run without the beginning of a character."""
+    run = b"\x80" * 1000
+    parts = list(warc.chunks(b"ab" + run, 400))
+    assert b"".join(parts) == b"ab" + run and all(0 < len(p) <= 400 for p in parts)
+    rows = [(1, b"u\xff", run), (2, b"u", b"a\xffb\n"), (3, None, b"a\xffb\n"), (4, b"", b"\xc3")]
+    table = spark.createDataFrame(rows, "page_id long, url binary, html binary")
+    table = table.selectExpr("page_id", "cast(url AS string) AS url", "cast(html AS string) AS html")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.round_trip(table, most=300).collect()}
+    want = {k: (len(h), warc.base32(hashlib.sha1(h).digest()), 3 if k == 2 else None) for k, _, h in rows}
+    assert got == want
+
+
 def test_records_are_made_one_by_one():
     payload, archive = memoryview(b"payload " * (1 << 20)), "12345678-1234-5678-1234-567812345678"
     tracemalloc.start()
     try:
-        sizes = [len(r) for r in warc.page_records(archive, 0, "1", "u", payload, None, 1 << 16)]
+        sizes = [len(r) for r in warc.page_records(archive, 0, "1", b"u", payload, None, 1 << 16)]
         assert len(sizes) == 128 and tracemalloc.get_traced_memory()[1] < 1 << 20
     finally:
         tracemalloc.stop()
     told = hashlib.sha1(payload).hexdigest()
-    assert list(warc.page_records(archive, 0, "1", "u", payload, None, 1 << 16, told)) == list(
-        warc.page_records(archive, 0, "1", "u", bytes(payload), None, 1 << 16)
+    assert list(warc.page_records(archive, 0, "1", b"u", payload, None, 1 << 16, told)) == list(
+        warc.page_records(archive, 0, "1", b"u", bytes(payload), None, 1 << 16)
     )
 
 
 def test_a_changed_payload_is_noticed():
-    row = next(warc.page_records("12345678-1234-5678-1234-567812345678", 0, "1", "u", b"payload", None, 100))
+    row = next(warc.page_records("12345678-1234-5678-1234-567812345678", 0, "1", b"u", b"payload", None, 100))
     line = warc.first_line("12345678-1234-5678-1234-567812345678").encode()
     assert warc.parsed(row[len(line) :] + b"\n")["payload_bytes"] == 7
     with pytest.raises(ValueError):
