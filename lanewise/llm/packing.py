@@ -3,10 +3,16 @@
 Only the number of pieces of each length matters to the packing, and that is a
 table of at most ``capacity`` rows whatever the data. On it, bin completion
 takes the largest length left and looks for undominated ways to complete its
-sequence, those without waste first; a completion is used as often as the
-counts allow at once. A branch is cut when its waste leaves no room to beat the
-incumbent, which starts as best-fit decreasing; the search ends at the lower
-bound, or after ``NODES`` nodes with the best packing found.
+sequence, those without waste first. A branch is cut when its waste leaves no
+room to beat the incumbent, which starts as best-fit decreasing, and where what
+is left has been met before with no more sequences in use. The search ends at
+the lower bound.
+
+It is done twice. First a node tries ``WIDTH`` different completions, each as
+often as the counts allow, which finds good packings of large tables soon. Then
+it tries all undominated ones, as often as can be and, after those, once; if
+this ends before ``NODES`` nodes, no packing has fewer sequences. Otherwise the
+best packing found is taken.
 
 The result is a list of patterns. Pieces are numbered within their length (in
 hashed parts, so that a frequent length is spread), and the number finds the
@@ -16,6 +22,7 @@ at most 63 different lengths in a pattern, which bounds what is sent out.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import unicodedata
 import zlib
@@ -35,7 +42,8 @@ from lanewise.storage import stored
 
 CAPACITY = 2048
 NODES = 12_000
-WIDTH = 6  # completions tried at a node
+WIDTH = 6  # completions tried at a node in the first search
+COMPARED = 64  # completions of a node that others are compared with; beyond, dominated ones may be tried, too
 BYTES_PER_WORD = 8  # of text that is looked up at once, for each word of the memo
 KNOWN_WORDS = 500_000  # in a worker, and as many older ones, and as many of their pieces
 # Fixed values of the vocabulary's pre-tokenizer; whatever is cut here is encoded by the library.
@@ -119,10 +127,9 @@ def _fits_into(small: tuple, large: tuple) -> bool:
     return True
 
 
-def completions(counts: np.ndarray, room: int) -> Iterator[tuple[tuple[int, int], ...]]:
-    """Undominated sets of items for ``room``, the fullest with the largest items first."""
-    sizes = np.flatnonzero(counts[: room + 1]).tolist()
-    reach, mask = [1], (1 << room + 1) - 1  # sums that the sizes so far can make, as bits
+def _reach(sizes: list[int], counts: np.ndarray, room: int) -> list[int]:
+    """For the first sizes, none to all of them: the sums up to ``room`` that their items can make, as bits."""
+    reach, mask = [1], (1 << room + 1) - 1
     for size in sizes:
         bits, left, step = reach[-1], min(int(counts[size]), room // size), 1
         while left:
@@ -130,6 +137,13 @@ def completions(counts: np.ndarray, room: int) -> Iterator[tuple[tuple[int, int]
             bits |= bits << take * size & mask
             left, step = left - take, step * 2
         reach.append(bits)
+    return reach
+
+
+def completions(counts: np.ndarray, room: int) -> Iterator[tuple[tuple[int, int], ...]]:
+    """Undominated sets of items for ``room``, the fullest with the largest items first."""
+    sizes = np.flatnonzero(counts[: room + 1]).tolist()
+    reach = _reach(sizes, counts, room)
 
     def filled(top: int, target: int) -> list[tuple[int, int]]:
         items = []
@@ -160,47 +174,101 @@ def completions(counts: np.ndarray, room: int) -> Iterator[tuple[tuple[int, int]
             given.append(other)
 
 
+def fillings(counts: np.ndarray, room: int, waste: int) -> Iterator[tuple[tuple[int, int], ...] | None]:
+    """All undominated sets of items for ``room`` that waste at most ``waste``, the fullest first, lazily; null for a dominated one."""
+    sizes = np.flatnonzero(counts[: room + 1]).tolist()
+    reach = _reach(sizes, counts, room)
+
+    def of_sum(top: int, target: int) -> Iterator[tuple[tuple[int, int], ...]]:
+        if not target:
+            yield ()
+        while target and top and reach[top] >> target & 1:
+            size, top = sizes[top - 1], top - 1
+            for k in range(min(int(counts[size]), target // size), 0, -1):
+                if reach[top] >> target - k * size & 1:
+                    for more in of_sum(top, target - k * size):
+                        yield ((size, k), *more)
+
+    given: list[tuple] = []
+    for total in range(room, max(room - waste, 0) - 1, -1):
+        if reach[-1] >> total & 1:
+            for found in of_sum(len(sizes), total):
+                if any(_fits_into(found, g) for g in given):
+                    yield None
+                    continue
+                yield found
+                if len(given) < COMPARED:
+                    given.append(found)
+
+
 def bin_completion(counts: np.ndarray, nodes: int = NODES) -> list[Pattern]:
     """Patterns that use up ``counts`` (by length, from 0 to the capacity) in few sequences."""
+    best = best_fit(counts)
+    for whole in (False, True):
+        if sum(p.times for p in best) == lower_bound(counts):
+            break
+        best = _search(counts, best, nodes, whole)
+    return best
+
+
+def _search(counts: np.ndarray, best: list[Pattern], nodes: int, whole: bool) -> list[Pattern]:
+    """The best packing within ``nodes`` nodes, ``best`` if none has fewer sequences; ``whole`` tries all completions."""
     capacity = len(counts) - 1
     total = int((counts * np.arange(capacity + 1)).sum())
-    least, best = lower_bound(counts), best_fit(counts)
-    fewest = sum(p.times for p in best)
+    least, fewest = lower_bound(counts), sum(p.times for p in best)
+    met: dict[bytes, int] = {}  # what is left: the fewest sequences in use; at most one for each node
 
-    def children(left: np.ndarray) -> Iterator[Pattern]:
+    def children(left: np.ndarray, waste: int) -> Iterator[Pattern | None]:
         size = int(np.flatnonzero(left)[-1])
-        rest = left.copy()
+        rest, again = left.copy(), []
         rest[size] -= 1
-        for more in completions(rest, capacity - size):
+        room = capacity - size
+        ways = fillings(rest, room, (fewest - 1) * capacity - total - waste) if whole else completions(rest, room)
+        for more in ways:
+            if more is None:
+                yield None
+                continue
             items: dict[int, int] = {size: 1}
             for s, k in more:
                 items[s] = items.get(s, 0) + k
-            yield Pattern(min(int(left[s]) // k for s, k in items.items()), tuple(items.items()))
-
-    if fewest == least:
-        return best
-    path: list[tuple[Pattern, int]] = []
-    stack = [(counts.copy(), children(counts), 0)]  # what is left, ways on, waste so far
+            pattern = Pattern(min(int(left[s]) // k for s, k in items.items()), tuple(items.items()))
+            yield pattern
+            if whole and pattern.times > 1:
+                again.append(pattern.items)
+        # Once, and then whatever comes: with the first way this covers every number of times.
+        for items in again:
+            yield Pattern(1, items)
+
+    path: list[Pattern] = []
+    stack = [(counts.copy(), children(counts, 0), 0, 0)]  # what is left, ways on, waste and sequences so far
     while stack and nodes and fewest > least:
-        left, ways, waste = stack[-1]
-        pattern = next(ways, None)
-        if pattern is None:
+        left, ways, waste, used = stack[-1]
+        try:
+            pattern = next(ways)
+        except StopIteration:
             stack.pop()
             if path:
                 path.pop()
             continue
         nodes -= 1
-        more = pattern.times * (capacity - sum(s * k for s, k in pattern.items))
+        if pattern is None:
+            continue
+        more = waste + pattern.times * (capacity - sum(s * k for s, k in pattern.items))
+        number = used + pattern.times
         after = left.copy()
         for s, k in pattern.items:
             after[s] -= pattern.times * k
         if not after.any():
-            number = sum(p.times for p, _ in path) + pattern.times
             if number < fewest:
-                fewest, best = number, [*(p for p, _ in path), pattern]
-        elif waste + more <= (fewest - 1) * capacity - total:
-            path.append((pattern, waste))
-            stack.append((after, children(after), waste + more))
+                fewest, best = number, [*path, pattern]
+        elif more <= (fewest - 1) * capacity - total:
+            if whole:
+                state = hashlib.blake2b(after.tobytes(), digest_size=16).digest()
+                if met.get(state, number + 1) <= number:
+                    continue
+                met[state] = number
+            path.append(pattern)
+            stack.append((after, children(after, more), more, number))
     return best
 
 

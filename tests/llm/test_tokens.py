@@ -2,6 +2,7 @@ import random
 import time
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -103,6 +104,57 @@ def test_bin_completion_is_optimal_on_small_tables():
         assert packing.lower_bound(counts) <= best == sum(p.times for p in patterns)
 
 
+def fewest(items, capacity, visits=60_000):
+    """As ``smallest`` for more items, by what is left in open bins; null if that takes too long."""
+    items, best, seen = sorted(items, reverse=True), [len(items)], set()
+    after = np.cumsum(items[::-1])[::-1].tolist() + [0]
+
+    def go(i, rooms):
+        if i == len(items):
+            best[0] = min(best[0], len(rooms))
+        needed = len(rooms) + max(0, -(-(after[i] - sum(rooms)) // capacity))
+        if i == len(items) or needed >= best[0] or (i, rooms) in seen or len(seen) > visits:
+            return
+        seen.add((i, rooms))
+        for room in sorted({r for r in rooms if r >= items[i]}):
+            rest = list(rooms)
+            rest.remove(room)
+            go(i + 1, tuple(sorted([*rest, room - items[i]])))
+        go(i + 1, tuple(sorted([*rooms, capacity - items[i]])))
+
+    go(0, ())
+    return best[0] if len(seen) <= visits else None
+
+
+def test_bin_completion_is_optimal_on_larger_tables():
+    pick, compared = random.Random(5), 0
+    for _ in range(500):
+        low, high = pick.choice([5, 10, 18, 20, 26]), pick.choice([45, 51, 60, 70])
+        items = [pick.randint(low, high) for _ in range(pick.randint(15, 24))]
+        counts = np.bincount(items, minlength=101).astype(np.int64)
+        number = sum(p.times for p in packing.bin_completion(counts))
+        if number > packing.lower_bound(counts):
+            best = fewest(items, 100)
+            assert best is None or number == best, items
+            compared += best is not None
+    assert compared > 20
+
+
+def test_fillings_are_all_that_nothing_dominates():
+    pick = random.Random(9)
+    for _ in range(60):
+        room, counts = pick.randint(5, 16), np.zeros(17, np.int64)
+        for _ in range(pick.randint(1, 7)):
+            counts[pick.randint(1, 9)] += 1
+        sizes = [s for s in range(1, room + 1) if counts[s]]
+        sets = {tuple((s, k) for s, k in zip(sizes[::-1], ks[::-1]) if k) for ks in product(*[range(int(counts[s]) + 1) for s in sizes])}
+        sets = {found for found in sets if sum(s * k for s, k in found) <= room}
+        got = [found for found in packing.fillings(counts, room, room) if found is not None]
+        assert len(got) == len(set(got)) and set(got) <= sets
+        # Every set is, or fits into, one that is given.
+        assert all(any(packing._fits_into(found, g) for g in got) for found in sets)
+
+
 def test_bin_completion_reaches_the_bound_on_many_pieces():
     sizes = np.clip(np.random.default_rng(1).lognormal(6.3, 1.0, 50_000).astype(int), 1, 2048)
     counts = np.bincount(sizes, minlength=2049).astype(np.int64)
