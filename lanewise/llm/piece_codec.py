@@ -181,16 +181,19 @@ def codec(path: str) -> Codec:
     return held(f"pieces of {path}", lambda: Codec(path))
 
 
+def lists(rows: list[bytes]) -> pa.Array:
+    """Little-endian numbers of 4 bytes as an array of lists."""
+    ends = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+
+
 def encoded(text: Column, path: str) -> Column:
     """Array of piece ids; empty for null and empty texts."""
 
     def encode(texts: pa.Array) -> pa.Array:
         know, parts = codec(path), []
         for part in slices(texts, BATCH_BYTES):
-            rows = know.encode(part)
-            ends = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
-            ids = pa.array(np.frombuffer(b"".join(rows), "<i4"))
-            parts.append(pa.ListArray.from_arrays(pa.array(ends), ids))
+            parts.append(lists(know.encode(part)))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     encode.__annotations__ = {"texts": pa.Array, "return": pa.Array}
@@ -226,6 +229,27 @@ def decode_table(rows: DataFrame, path: str, key: str = "doc_id", ids: str = "id
     return rows.select(F.col(f"`{key}`").alias("id"), decoded(F.col(f"`{ids}`"), path).alias("text")).withColumnRenamed("id", key)
 
 
+def coded(text: Column, path: str) -> Column:
+    """``ids`` of a text and whether they decode to it again (``same``), in one go: the text goes to a worker once."""
+
+    def code(texts: pa.Array) -> pa.Array:
+        know, parts = codec(path), []
+        for part in slices(texts, BATCH_BYTES):
+            rows = know.encode(part)
+            same = [
+                know.decode(np.frombuffer(ids, "<i4").tolist()).decode("utf-8", "replace").encode() == whole.replace(MARKED, b" ")
+                for ids, whole in zip(rows, part)
+            ]
+            parts.append(pa.StructArray.from_arrays([lists(rows), pa.array(same)], fields=list(CODED)))
+        return pa.concat_arrays(parts) if parts else pa.array([], CODED)
+
+    code.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(code, "ids array<int>, same boolean").asNondeterministic()(text.cast("binary"))
+
+
+CODED = pa.struct([("ids", pa.list_(pa.int32())), ("same", pa.bool_())])
+
+
 def code_table(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: its key, ``n_pieces``, ``n_byte_pieces``, ``ids_hash`` and ``round_trip``.
 
@@ -235,13 +259,12 @@ def code_table(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     importable(docs.sparkSession)
     know = codec(path)
     low, high = (min(know.bytes.values()), max(know.bytes.values())) if know.bytes else (-1, -2)
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{key}`").alias("id"), whole.alias("whole"), encoded(whole, path).alias("ids"))
-    rows = rows.withColumn("again", decoded(F.col("ids"), path))
+    rows = docs.select(F.col(f"`{key}`").alias("id"), coded(F.col(f"`{text}`"), path).alias("coded"))
+    ids = F.col("coded.ids")
     return rows.select(
         F.col("id").alias(key),
-        F.size("ids").cast("bigint").alias("n_pieces"),
-        F.size(F.filter("ids", lambda i: i.between(low, high))).cast("bigint").alias("n_byte_pieces"),
-        F.xxhash64("ids").alias("ids_hash"),
-        (F.col("again") == F.translate("whole", MARK, " ")).alias("round_trip"),
+        F.size(ids).cast("bigint").alias("n_pieces"),
+        F.size(F.filter(ids, lambda i: i.between(low, high))).cast("bigint").alias("n_byte_pieces"),
+        F.xxhash64(ids).alias("ids_hash"),
+        F.col("coded.same").alias("round_trip"),
     )
