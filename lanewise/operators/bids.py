@@ -144,31 +144,68 @@ def fuzzy_zone(zones: DataFrame, postal: DataFrame) -> DataFrame:
     return best.join(entries, ["country", "ord"], "left").select("country", "text", "full_zc", "score", "zc")
 
 
-def prefix_zone(zones: DataFrame, postal: DataFrame) -> DataFrame:
-    """Longest reference zone each text starts with, else the best fuzzy match.
+# Bytes of a reference list that tasks may hold as one array; a larger list is joined.
+LIST_BYTES = 16 << 20
 
-    Only beginnings as long as some reference zone can match, so only those are
-    produced.
-    """
-    keys = stored(zones.filter("country is not null and text is not null").select("country", "text").distinct(), "keys")
-    listed = postal.select(F.col("zc").alias("prefix")).distinct()
-    lengths = postal.agg(F.collect_set(F.length("zc"))).scalar()
+
+def _beginnings(texts: DataFrame, listed: DataFrame) -> DataFrame:
+    """Each ``text`` with the zones (``prefix``) it starts with, a row per pair, by a join on its beginnings."""
+    lengths = listed.agg(F.collect_set(F.length("prefix"))).scalar()
     fitting = F.filter("lengths", lambda n: n <= F.length("text"))
     pieces = F.transform(fitting, lambda n: F.substring(F.col("text"), F.lit(1), n))
-    exploded = keys.withColumn("lengths", lengths).select("country", "text", F.explode(pieces).alias("prefix"))
-    found = exploded.join(listed, "prefix")
-    starts = found.groupBy("country", "text").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
-    with_start = keys.join(starts, ["country", "text"], "left")
-    rest = fuzzy_zone(with_start.filter(F.col("prefix").isNull()), postal)
-    return (
-        with_start.join(rest.select("country", "text", "zc", "score"), ["country", "text"], "left")
-        .select(
-            "country",
-            "text",
-            F.coalesce("prefix", "zc").alias("zc"),
-            F.when(F.col("prefix").isNotNull(), F.lit(100).cast("bigint")).otherwise(F.col("score")).alias("score"),
-        )
+    exploded = texts.withColumn("lengths", lengths).withColumn("prefix", F.explode(pieces)).drop("lengths")
+    return exploded.join(listed, "prefix")
+
+
+def _with_searched_start(keys: DataFrame, zones: Column, number: int) -> DataFrame:
+    """``prefix``: the longest of ``number`` sorted zones that ``text`` starts with.
+
+    All zones with which the text begins are beginnings of the last zone that
+    does not come after the text, which is found by halving the steps. Each
+    column of zones is used once, so that none is made: the search refers to
+    the list itself.
+    """
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(number.bit_length()))))
+    place = F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when(F.get("sorted_zones", at + step - 1)["zone"] <= F.col("text"), at + step).otherwise(at),
+    )
+    starts = F.get("sorted_zones", F.col("place") - 1)["starts"]
+    placed = keys.withColumn("sorted_zones", zones).select(*keys.columns, place.alias("place"))
+    chosen = placed.withColumn("sorted_zones", zones).select(*keys.columns, starts.alias("starts"))
+    longest = F.get(F.filter("starts", lambda start: F.startswith(F.col("text"), start)), F.lit(0))
+    return chosen.select(*keys.columns, longest.alias("prefix"))
+
+
+def longest_start(keys: DataFrame, postal: DataFrame, list_bytes: int = LIST_BYTES) -> DataFrame:
+    """``keys`` (``country``, ``text``) with the longest reference zone each text starts with as ``prefix``, or null.
+
+    Every task searches the sorted list, so texts do not move. A list of more
+    than ``list_bytes`` is joined with the beginnings of the texts instead.
+    """
+    listed = postal.filter("zc is not null").select(F.col("zc").alias("prefix")).distinct()
+    nested = _beginnings(listed.select(F.col("prefix").alias("text")), listed)
+    starts = nested.groupBy(F.col("text").alias("zone")).agg(F.sort_array(F.collect_list("prefix"), asc=False).alias("starts"))
+    starts = stored(starts, "zones")
+    size = F.sum(F.octet_length("zone") * (1 + F.size("starts")) + 32)
+    number, held = starts.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    if held <= list_bytes:
+        zones = starts.agg(F.sort_array(F.collect_list(F.struct("zone", "starts")))).scalar()
+        return _with_searched_start(keys, zones, number)
+    found = _beginnings(keys, listed).groupBy("country", "text").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+    return keys.join(found, ["country", "text"], "left")
+
+
+def prefix_zone(zones: DataFrame, postal: DataFrame, list_bytes: int = LIST_BYTES) -> DataFrame:
+    """Longest reference zone each text starts with, else the best fuzzy match."""
+    keys = zones.filter("country is not null and text is not null").select("country", "text").distinct()
+    started = stored(longest_start(keys, postal, list_bytes), "starts")
+    found = started.filter("prefix is not null").select(
+        "country", "text", F.col("prefix").alias("zc"), F.lit(100).cast("bigint").alias("score")
     )
+    rest = fuzzy_zone(started.filter("prefix is null"), postal)
+    return found.unionByName(rest.select("country", "text", "zc", "score"))
 
 
 def match_score(bid: DataFrame, legacy_score: bool = False) -> DataFrame:

@@ -96,17 +96,20 @@ def date_bounds(df: DataFrame) -> DataFrame:
 def facet_options(df: DataFrame, selection: Selection | None = None) -> DataFrame:
     """Values each facet offers after the selections made in earlier facets.
 
-    One pass: a row offers its value to a facet when it fits all selections
-    before that facet, and duplicates fall away before the shuffle.
+    One pass: as selections add up from facet to facet, a row offers its values
+    up to the first facet whose selection it does not fit. That number is worked
+    out once, and duplicates fall away before the shuffle.
     """
     selection = selection or {}
-    offers, earlier = [], []
-    for number, facet in enumerate(facets_of(df)):
-        offer = F.struct(F.lit(number).alias("facet_no"), F.lit(facet).alias("facet"), F.col(facet).alias("value"))
-        offers.append(F.when(_all_of(earlier), offer))
+    names = facets_of(df)
+    reached = F
+    for number, facet in enumerate(names, 1):
         if facet in NARROWING and selection.get(facet):
-            earlier.append(_chosen(facet, selection))
-    return df.select(F.inline(F.array_compact(F.array(*offers)))).distinct()
+            reached = reached.when(~F.coalesce(_chosen(facet, selection), F.lit(False)), F.lit(number))
+    reached = F.lit(len(names)) if reached is F else reached.otherwise(F.lit(len(names)))
+    offered = F.slice(F.array(*names), F.lit(1), reached)
+    values = df.select(F.posexplode(offered).alias("facet_no", "value")).distinct()
+    return values.select("facet_no", F.get(F.array(*map(F.lit, names)), F.col("facet_no")).alias("facet"), "value")
 
 
 def zone_list(df: DataFrame, column: str = "zc_from") -> DataFrame:

@@ -2,11 +2,12 @@
 
 import itertools
 import random
+import re
 from datetime import date
 
 import pytest
 
-from lanewise.operators import bids, clean, edit_search, matching
+from lanewise.operators import bids, clean, edit_search, facets, matching
 from test_edges import brute_force
 from test_plans import plan_of
 
@@ -167,3 +168,42 @@ def test_dates_are_read_in_the_order_of_their_column(spark, texts, third):
     assert all((f is None) == (t in (None, "soon")) for f, t in zip(found, texts))
     alone = [r.ship_date for r in clean.coerce_types(rows, by_column=False).collect()]
     assert alone[0] == date(2024, 3, 4)
+
+
+@pytest.mark.parametrize("list_bytes", [1 << 24, 0])
+def test_longest_zone_equals_brute_force(spark, list_bytes):
+    rng = random.Random(list_bytes)
+    zones = {"".join(rng.choices("AB1", k=rng.randint(1, 6))) for _ in range(300)} | {"", "é", "éa"}
+    texts = {"".join(rng.choices("AB12é", k=rng.randint(0, 10))) for _ in range(500)} | {"", "C", "éab"}
+    postal = spark.createDataFrame([("X", z, z, i) for i, z in enumerate([*zones, None])], "country string, full_zc string, zc string, ord bigint")
+    keys = spark.createDataFrame([("X", t) for t in texts], "country string, text string")
+    got = {r.text: r.prefix for r in bids.longest_start(keys, postal, list_bytes).collect()}
+    assert got == {t: max((t[:k] for k in range(len(t) + 1) if t[:k] in zones), key=len, default=None) for t in texts}
+    assert bids.longest_start(keys, postal.limit(0), list_bytes).filter("prefix is null").count() == len(texts)
+
+
+def test_search_of_zones_moves_no_texts(spark, tmp_path):
+    postal = spark.createDataFrame([("X", "A1", "A", 1), ("X", "B1", "B", 2)], "country string, full_zc string, zc string, ord bigint")
+    spark.createDataFrame([("X", "A12")], "country string, text string").write.parquet(f"{tmp_path}/texts")
+    keys = spark.read.parquet(f"{tmp_path}/texts")
+    lines = plan_of(bids.longest_start(keys, postal)).splitlines()
+    # Subqueries hang on lines with a colon before the name of the operator.
+    texts = "\n".join(line for line in lines if ":" not in re.match("[^A-Za-z]*", line).group())
+    assert "Scan" in texts and not any(name in texts for name in ("Exchange", "Generate", "Join"))
+    # The list stays a subquery's value; no row carries it.
+    assert "sorted_zones" not in texts
+
+
+def test_facet_options_equal_plain_rules(spark):
+    rng = random.Random(7)
+    names = ["branch", "cntry_from", "zc_from", "cntry_to", "zc_to", "product", "way"]
+    rows = [tuple(rng.choice(["a", "b", "c", None]) for _ in names) for _ in range(200)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    for chosen in ({}, {"branch": ["a"], "cntry_to": ["b", "c"]}, {"cntry_from": ["c"], "zc_from": ["a"]}):
+        want = set()
+        for row in rows:
+            for number, (name, value) in enumerate(zip(names, row)):
+                want.add((number, name, value))
+                if name in facets.NARROWING and chosen.get(name) and value not in chosen[name]:
+                    break
+        assert {tuple(r) for r in facets.facet_options(df, chosen).collect()} == want
