@@ -2,8 +2,10 @@
 
 A payload is handled as rows of (record identifier, chunk number, chunk), and
 each chunk becomes one record of the archive: the first a ``response``, the
-others its ``continuation`` segments. A writing task holds the batch of rows it
-has been given, whose payloads are cut in place, and at most 64 chunks of
+others its ``continuation`` segments. Which page revisits which is
+worked out without payloads; a bit field of the revisits then lets pages be
+written where they are read, and what it stops by chance is joined exactly. A
+writing task holds the batch of rows it has been given, whose payloads are cut in place, and at most 64 chunks of
 records; when read, digests run along the chunks. Pages
 whose payload equals that of a page with a larger key become ``revisit``
 records. Archives are written and read by Spark's text source, to and from any
@@ -21,17 +23,21 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.llm.workers import importable
 from lanewise.storage import shared_folder, stored
 
 CHUNK = 1 << 16
+MOST_BITS = 1 << 28
+BITMAP_BITS = 1 << 15  # fixed value: of one of Spark's bitmaps
 DATE = "2000-01-01T00:00:00Z"
 VERSION = "WARC/1.1\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -84,8 +90,12 @@ def page_records(
     of: str | None,
     most: int,
     sha: str | None = None,
+    size: int | None = None,
 ) -> Iterator[bytes]:
-    """The records of a page; ``of`` is the page that holds an equal payload, ``row`` tells copies of a row apart."""
+    """The records of a page; ``of`` is the page that holds an equal payload, ``row`` tells copies of a row apart.
+
+    With ``sha`` and ``size`` known, a page with ``of`` needs no payload.
+    """
     name = f"row {row}" if page is None else page
     identity = f"<urn:uuid:{uuid.uuid5(uuid.UUID(archive), name)}>"
     digest = bytes.fromhex(sha) if sha else hashlib.sha1(payload).digest()
@@ -98,7 +108,7 @@ def page_records(
         ("WARC-Page-ID", page),
         ("WARC-Row", str(row)),
         ("WARC-Payload-Digest", "sha1:" + base32(digest)),
-        ("WARC-Payload-Length", str(len(payload))),
+        ("WARC-Payload-Length", str(len(payload) if size is None else size)),
     ]
     if of is not None:
         told = [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.UUID(archive), of)}>")]
@@ -125,6 +135,64 @@ def page_records(
         yield record(archive, headers, part)
 
 
+def places(marks: pa.Array, bits: int) -> np.ndarray:
+    """Two places of each mark in a field of ``bits`` bits, a power of two."""
+    seen = marks.to_numpy(zero_copy_only=False).view(np.uint64)
+    return np.stack([seen, seen >> np.uint64(32)]).astype(np.uint64) & np.uint64(bits - 1)
+
+
+def within(marks: pa.Array, field: bytes) -> np.ndarray:
+    """Whether a field may hold the marks; it never misses one it holds."""
+    at, seen = places(marks, 8 * len(field)), np.frombuffer(field, np.uint8)
+    return (seen[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=0)
+
+
+def passes(mark: Column, field: Broadcast) -> Column:
+    def inside(marks: pa.Array) -> pa.Array:
+        return pa.array(within(marks, field.value))
+
+    inside.__annotations__ = {"marks": pa.Array, "return": pa.Array}
+    return F.arrow_udf(inside, "boolean")(mark)
+
+
+def field_of(marks: DataFrame) -> Broadcast:
+    """The marks as a bit field of 32 bits for each, but at most ``MOST_BITS``, sent to all tasks."""
+    number = marks.count()
+    bits = min(MOST_BITS, max(BITMAP_BITS, 1 << (32 * number - 1).bit_length() if number else 0))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(places(batch["mark"], bits).ravel().astype(np.int64))], ["place"])
+
+    bucket, bit = F.floor(F.col("place") / BITMAP_BITS).cast("int"), F.col("place") % BITMAP_BITS
+    spots = marks.select("mark").mapInArrow(spread, "place bigint")
+    field = bytearray(bits // 8)
+    for at, part in spots.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits")).collect():
+        field[at * BITMAP_BITS // 8 : at * BITMAP_BITS // 8 + len(part)] = part
+    return marks.sparkSession.sparkContext.broadcast(bytes(field))
+
+
+def revisited(bare: DataFrame, least: int) -> tuple[DataFrame, DataFrame | None, Broadcast, Broadcast | None]:
+    """What to write, from pages without their payloads.
+
+    The revisits with their ``response``; the other pages whose mark the field
+    of the revisits' marks holds by chance (None without any); that field and a
+    field of these pages. Only pages in the second field are moved with their
+    payloads, to an exact join that tells them from revisits.
+    """
+    groups = bare.where(F.col("size") >= least).groupBy("sha", "size")
+    groups = groups.agg(F.count("*").alias("n"), F.max("page").alias("response")).where("n > 1 AND response IS NOT NULL")
+    joined = bare.join(groups.drop("n"), ["sha", "size"], "left")
+    decided = stored(joined.withColumn("again", F.col("response").isNotNull() & ~F.col("page").eqNullSafe(F.col("response"))), "decided-pages")
+    again, others = decided.where("again"), decided.where("NOT again")
+    known = field_of(again.select("mark"))
+    others = others.where(passes(F.col("mark"), known)).select("page", "sha", "size", "mark").distinct()
+    chance = stored(others, "chance-pages")
+    if chance.isEmpty():
+        return again, None, known, None
+    return again, chance, known, field_of(chance)
+
+
 def write_archive(
     pages: DataFrame, folder: str, key: str, url: str, html: str, least: int = 0, most: int = CHUNK
 ) -> str:
@@ -136,32 +204,51 @@ def write_archive(
         F.col(f"`{key}`").alias("page"), F.col(f"`{url}`").cast("string").cast("binary").alias("url"), payload.alias("payload")
     )
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    groups = rows.where(F.col("size") >= least).groupBy("sha", "size")
-    groups = groups.agg(F.count("*").alias("n"), F.max("page").alias("response")).where("n > 1")
-    equal = stored(groups.select("sha", "size", "response"), "equal-payloads")
-    joined = rows.join(equal, ["sha", "size"], "left")
-    of = F.when(~F.col("page").eqNullSafe(F.col("response")), F.col("response")).cast("string")
-    row = F.monotonically_increasing_id().alias("row")
-    ready = joined.select(row, F.col("page").cast("string"), "url", "payload", of.alias("of"), "sha")
+    rows = rows.withColumn("mark", F.xxhash64("page", "sha"))
+    bare = stored(rows.drop("payload"), "bare-pages")
+    again, chance, known, lucky = revisited(bare, least)
+    nothing = F.lit(None).cast("string").alias("of")
+    size = F.col("size").cast("bigint").alias("size")
+
+    def part(df: DataFrame, number: int, payload: Column, of: Column) -> DataFrame:
+        row = (F.monotonically_increasing_id() * 3 + number).alias("row")
+        return df.select(row, F.col("page").cast("string"), "url", payload, of, "sha", size, "mark")
+
+    empty = F.lit(b"").alias("payload")
+    # Most pages are written where they are read; those that the filter stops are revisits, or come by the way of `chance`.
+    parts = [(part(rows, 0, F.col("payload"), nothing), known)]
+    parts.append((part(again, 1, empty, F.col("response").cast("string").alias("of")), None))
+    if chance is not None:
+        met = rows.where(passes(F.col("mark"), lucky)).alias("a")
+        same = "a.mark = b.mark AND a.page <=> b.page AND a.sha = b.sha AND a.size = b.size"
+        stopped = met.join(chance.alias("b"), F.expr(same), "left_semi")
+        parts.append((part(stopped, 2, F.col("payload"), nothing), None))
 
     def lines(out: list[bytes]) -> pa.RecordBatch:
         # Seen as text without a look at the bytes, which need not be UTF-8; Spark writes them as they are.
         return pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).view(pa.string())], ["value"])
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, size = [], 0
-            told = zip(*(batch[c].to_pylist() for c in ("row", "page", "url", "of", "sha")))
-            for payload, (row, page, url, of, sha) in zip(batch["payload"], told):
-                for data in page_records(archive, row, page, url, memoryview(payload.as_buffer()), of, most, sha):
-                    out.append(data)
-                    size += len(data)
-                    if size > most << 6:
-                        yield lines(out)
-                        out, size = [], 0
-            yield lines(out)
-
-    ready.mapInArrow(write, "value string").write.option("lineSep", "\n").text(folder)
+    def writer(stops: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stopped = [False] * batch.num_rows if stops is None else within(batch["mark"], stops.value).tolist()
+                out, held = [], 0
+                told = zip(*(batch[c].to_pylist() for c in ("row", "page", "url", "of", "sha", "size")))
+                for stop, payload, (row, page, url, of, sha, size) in zip(stopped, batch["payload"], told):
+                    if stop:
+                        continue
+                    for data in page_records(archive, row, page, url, memoryview(payload.as_buffer()), of, most, sha, size):
+                        out.append(data)
+                        held += len(data)
+                        if held > most << 6:
+                            yield lines(out)
+                            out, held = [], 0
+                yield lines(out)
+
+        return write
+
+    for ready, stops in parts:
+        ready.mapInArrow(writer(stops), "value string").write.mode("append").option("lineSep", "\n").text(folder)
     return archive
 
 

@@ -10,6 +10,7 @@ import tracemalloc
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 from rows import FOLDER
 
 from lanewise.llm import html_extraction, warc
@@ -70,6 +71,36 @@ def test_small_payloads_are_not_revisited(spark):
     assert kinds == {1: ("response", None), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None)}
 
 
+@pytest.mark.parametrize("bits", [8, 1 << 10, 1 << 28])
+def test_full_fields_change_no_record(spark, monkeypatch, bits):
+    monkeypatch.setattr(warc, "BITMAP_BITS", min(bits, 1 << 15))
+    monkeypatch.setattr(warc, "MOST_BITS", bits)
+    if bits < 1 << 15:  # Spark's bitmaps have a fixed size: every place is taken in a field this small.
+        monkeypatch.setattr(warc, "field_of", lambda marks: marks.sparkSession.sparkContext.broadcast(b"\xff" * (bits // 8)))
+    rows = [(i, f"u{i}", "x" * (i % 40) if i % 3 else None) for i in range(300)] + [(5, "v", "x" * 5), (None, None, "xx"), (None, None, "é")]
+    table = spark.createDataFrame(rows, "page_id int, url string, html string")
+    assert Counter(tuple(r) for r in warc.round_trip(table, most=7).collect()) == plain_archive([(k, h) for k, _, h in rows])
+
+
+def test_payloads_of_pages_do_not_move(spark, monkeypatch, tmp_path):
+    plans = []
+    real = DataFrame.mapInArrow
+
+    def seen(df, *told, **more):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, *told, **more)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        monkeypatch.setattr(DataFrame, "mapInArrow", seen)
+        warc.write_archive(pages(spark), f"{tmp_path}/archive", "page_id", "url", "html")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plans = [plan for columns, plan in plans if "payload" in columns]
+    assert "html" in plans[0] and not any(name in plans[0] for name in ("Exchange", "Join"))
+    assert "html" not in plans[1]
+
+
 def test_chunks_end_between_characters():
     for text in ("", "a", "éé日本😀" * 30):
         for most in (4, 5, 7, 1000):
