@@ -4,7 +4,8 @@ Texts of one length walk the trie together, depth by depth, as arrays: a state i
 a text, a node and the row of the distance table between the text and the
 node's characters. A child's row follows from its parent's, so entries with a
 common beginning share its rows. A state is given up when no entry below its
-node can be near enough. The allowed distance grows from round to round until
+node can be near enough; a state without edits left only meets the children
+that go on as the text does, which are looked up. The allowed distance grows from round to round until
 the best entry found is better than anything farther away could be, so texts
 with a near entry never meet the rest of the list.
 """
@@ -18,6 +19,7 @@ import numpy as np
 ORD_SPACE = 1 << 48
 PREFIX_SCORE = 90
 CELLS = 1 << 21  # of rows that are extended at once
+CHAR_BITS = 21
 
 
 def closeness(distance, longest):
@@ -43,6 +45,7 @@ class Trie:
         self.first = [np.zeros(1, np.int64)]  # by depth and node: its first child, and how many
         self.children: list[np.ndarray] = []
         self.char = [np.full(1, -1, np.int32)]
+        self.edge = [np.zeros(1, np.int64)]  # by depth and node: its parent and character, ascending
         self.ord = [np.array([ords[0] if len(texts) and not lengths[0] else -1])]
         at = np.arange(len(texts))[lengths > 0]  # entries that reach the depth, sorted
         node = np.zeros(len(at), np.int64)
@@ -56,6 +59,7 @@ class Trie:
             self.children.append(counts)
             self.first[-1] = np.cumsum(counts) - counts
             self.char.append(char[heads])
+            self.edge.append(node[heads] << CHAR_BITS | char[heads])
             self.first.append(np.zeros(len(heads), np.int64))
             # Of equal beginnings the shortest entry is sorted first, so it ends in the node if one does.
             ends = lengths[at[heads]] == depth
@@ -66,8 +70,31 @@ class Trie:
             stay = lengths[at] > depth
             at, node = at[stay], node[stay]
         self.children.append(np.zeros(len(self.char[-1]), np.int64))
+        self.edge.append(np.zeros(0, np.int64))
         self.shortest, self.longest, self.depths = shortest, longest, depths
 
+    def step(self, depth: int, chars: np.ndarray, node: np.ndarray, rows: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The children that states of one depth may go on to: the number of the state and the child.
+
+        ``chars`` are the code points of each state's text. A row without edits
+        left stays within ``most`` only where the child has the next character.
+        """
+        counts = self.children[depth][node]
+        at_most = rows[:, :-1] == most[:, None]
+        led = (rows.min(axis=1) == most) & (at_most.sum(axis=1) < counts)
+        counts = np.where(led, 0, counts)
+        parent = np.repeat(np.arange(len(node)), counts)
+        child = self.first[depth][node][parent] + np.arange(len(parent)) - np.repeat(np.cumsum(counts) - counts, counts)
+        if not led.any():
+            return parent, child
+        state, place = (at_most & led[:, None]).nonzero()
+        pairs = np.unique(state << CHAR_BITS | chars[state, place])
+        state, char = pairs >> CHAR_BITS, pairs & (1 << CHAR_BITS) - 1
+        edge, known = node[state] << CHAR_BITS | char, self.edge[depth + 1]
+        found = np.searchsorted(known, edge)
+        there = known[np.minimum(found, len(known) - 1)] == edge
+        return np.concatenate([parent, state[there]]), np.concatenate([child, found[there]])
+
     def search(self, texts: np.ndarray, most: np.ndarray, best: np.ndarray) -> None:
         """Lower the ranks in ``best`` by the entries that are at most ``most`` edits away from texts of one length.
 
@@ -86,9 +113,7 @@ class Trie:
             if now < len(text):
                 waiting.append((depth, text[now:], node[now:], rows[now:]))
                 text, node, rows = text[:now], node[:now], rows[:now]
-            counts = self.children[depth][node]
-            parent = np.repeat(np.arange(now if now < len(counts) else len(counts)), counts)
-            child = self.first[depth][node][parent] + np.arange(len(parent)) - np.repeat(np.cumsum(counts) - counts, counts)
+            parent, child = self.step(depth, texts[text], node, rows, most[text])
             text, depth = text[parent], depth + 1
             if not len(text):
                 continue

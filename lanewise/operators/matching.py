@@ -5,9 +5,10 @@ to the lower ``ord``). Work is done once per different comparable text. A task
 gets a part of a block's texts and the block's entries, which it searches as
 tries (see ``edit_search``); no row per pair is ever produced.
 
-A block is dealt out by the number of its comparisons, so one block may hold
-most of the texts, but into no more pieces than keep all tasks busy or a task's
-texts few: the list is sent once per piece, not once per so many comparisons.
+A block is dealt out by its share of all comparisons, so one block may hold
+most of the texts, but all blocks together into no more pieces than keep the
+cores busy or a task's texts few: the list is sent and its tries are built once
+per piece, not once per so many comparisons.
 A long list is cut into parts, and the best of the parts counts.
 """
 
@@ -22,7 +23,7 @@ from lanewise.operators.edit_search import ORD_SPACE, Entries
 from lanewise.storage import stored
 from lanewise.workers import importable
 
-# Comparisons that are worth a piece of their own, pieces per task at most, and texts and entries that a task gets at once.
+# Comparisons that are worth a piece of their own, pieces per core in all blocks, and texts and entries that a task gets at once.
 WORK = 50_000
 PIECES_PER_TASK = 4
 MOST_TEXTS = 100_000
@@ -68,11 +69,14 @@ def best_match(keys: DataFrame, choices: DataFrame, block: str = "block", work:
     named = stored(keys.select(F.col(block).alias("block"), "text", comparable(F.col("text")).alias("k_text")), "texts")
     texts = named.select("block", "k_text").dropna().distinct().withColumn("k_sorted", sorted_tokens(F.col("k_text")))
 
-    # Comparisons per block, from the texts and entries there are.
+    # Comparisons per block, from the texts and entries there are. A core builds few tries, however many tasks there are.
+    cores = min(tasks, keys.sparkSession.sparkContext.defaultParallelism)
     asked = named.dropna().groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     listed = entries.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
-    busy = F.least(F.ceil(F.col("n") * F.col("m") / work), F.lit(PIECES_PER_TASK * tasks))
-    sizes = asked.join(listed, "block").select(
+    met = asked.join(listed, "block").withColumn("compared", F.col("n").cast("double") * F.col("m"))
+    share = F.col("compared") / met.agg(F.sum("compared")).scalar()
+    busy = F.least(F.ceil(F.col("compared") / work), F.ceil(share * (PIECES_PER_TASK * cores)))
+    sizes = met.select(
         "block",
         F.greatest(busy, F.ceil(F.col("n") / MOST_TEXTS)).cast("bigint").alias("pieces"),
         F.ceil(F.col("m") / most_entries).cast("bigint").alias("parts"),

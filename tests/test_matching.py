@@ -6,6 +6,7 @@ import re
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from lanewise.operators import bids, clean, edit_search, facets, matching
 from test_edges import brute_force
@@ -109,6 +110,40 @@ def test_a_list_is_sent_at_most_once_per_task_and_piece(spark):
     assert pieces.pieces <= matching.PIECES_PER_TASK * tasks and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_all_blocks_share_the_pieces(spark):
+    """Each piece gets the whole list of its block, so many blocks must not get as many pieces each as one would."""
+    number = F.expr("format_string('%05d', id)")
+    entries = spark.range(6000).select((F.col("id") % 20).cast("string").alias("block"), number.alias("text"), F.col("id").alias("ord"))
+    keys = spark.range(6000).select((F.col("id") % 20).cast("string").alias("block"), F.substring(number, 2, 4).alias("text")).distinct()
+    sizes = []
+    original, matching.stored = matching.stored, lambda df, name: sizes.append((name, original(df, name))) or sizes[-1][1]
+    try:
+        matching.best_match(keys, entries, work=1)
+    finally:
+        matching.stored = original
+    pieces = [r.pieces for r in dict(sizes)["pieces"].collect()]
+    cores = spark.sparkContext.defaultParallelism
+    assert len(pieces) == 20 and sum(pieces) <= matching.PIECES_PER_TASK * cores + 20
+
+
+def test_without_edits_left_only_the_next_character_is_tried(monkeypatch):
+    """Texts that lack a digit, in a list of all numbers: not all ten children of a node are compared."""
+    tried, original = 0, edit_search.Trie.step
+
+    def counted(self, *args):
+        nonlocal tried
+        parent, child = original(self, *args)
+        tried += len(child)
+        return parent, child
+
+    monkeypatch.setattr(edit_search.Trie, "step", counted)
+    known = edit_search.Entries([(f"{i:05d}", f"{i:05d}", i) for i in range(100_000)])
+    texts = sorted({f"{i:05d}"[:2] + f"{i:05d}"[3:] for i in range(0, 100_000, 997)})
+    lowest = [min(int(t[:at] + str(d) + t[at:]) for d in range(10) for at in range(5)) for t in texts]
+    assert known.best([(t, t) for t in texts]) == [20 * edit_search.ORD_SPACE + i for i in lowest]
+    assert tried < len(texts) * 250
+
+
 def test_column_assignment_equals_trying_all(spark):
     rng = random.Random(4)
     for _ in range(6):
