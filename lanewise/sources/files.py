@@ -90,16 +90,26 @@ def read_bid(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 def select_columns(table: DataFrame, headers: Mapping[str, str], order: str | None = None) -> DataFrame:
     """The columns of a reference table under our names; a missing one is null.
 
-    ``order`` adds a column that numbers the rows in the order of the file, with
-    gaps between the parts that Spark reads.
+    ``order`` adds a column that numbers the rows of a table just read in the
+    order of its file, with gaps, files in the order of their paths.
     """
     named = {c.strip(): c for c in table.columns}
     chosen = [
         (F.col(f"`{named[h]}`") if h in named else F.lit(None).cast("string")).alias(name) for h, name in headers.items()
     ]
-    if order:
-        chosen.append(F.monotonically_increasing_id().alias(order))
-    return table.select(*chosen)
+    if not order:
+        return table.select(*chosen)
+    placed = table.select(*chosen, _file_position(table).alias(order)).orderBy(order)
+    return placed.withColumn(order, F.monotonically_increasing_id())
+
+
+def _file_position(table: DataFrame) -> Column:
+    """Where a row of a table just read is in its files, to be compared only.
+
+    The number alone would not do: Spark reads the largest parts first.
+    """
+    part = table.metadataColumn("_metadata")
+    return F.struct(part["file_path"], part["file_block_start"], F.monotonically_increasing_id().alias("row"))
 
 
 def read_bridge(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -139,14 +149,14 @@ FEATURE = T.StructType(
 
 
 def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """GeoJSON features with their file position.
+    """GeoJSON features with their file position, of which the lower one comes first.
 
     ``lines=True`` reads one feature per line, which Spark can split; a plain
     GeoJSON file is one document and is parsed by one task.
     """
     if lines:
         features = spark.read.schema(FEATURE).json(path)
-        return features.withColumn("seq", F.monotonically_increasing_id())
+        return features.withColumn("seq", _file_position(features))
     document = T.StructType([T.StructField("features", T.ArrayType(FEATURE))])
     whole = spark.read.schema(document).option("multiLine", True).json(path)
     return whole.select(F.posexplode("features").alias("seq", "feature")).select("feature.*", "seq")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanewise.operators import answers, bids
+from lanewise.schema import POSTAL_HEADERS
 from lanewise.sources import files, sinks
 
 
@@ -49,6 +50,29 @@ def test_tender_file_is_text_with_trimmed_headers(spark, tmp_path):
     assert [tuple(r) for r in bids.normalise_bid(df).collect()] == [("France", "012")]
 
 
+def test_lists_in_many_files_keep_their_order(spark, tmp_path):
+    """Spark reads large files first; a list goes by the names of its files all the same."""
+    postal, regions = tmp_path / "postal", tmp_path / "regions"
+    postal.mkdir()
+    regions.mkdir()
+    header, zones = ",".join(POSTAL_HEADERS), [[f"Z{part}{row:05d}" for row in range(10 ** (part + 1))] for part in range(4)]
+    for part, listed in enumerate(zones):
+        (postal / f"part-{part}.csv").write_text("\n".join([header, *[",".join([z] * len(POSTAL_HEADERS)) for z in listed], ""]))
+        again = {"type": "Feature", "properties": {"NUTS_ID": "FR1", "name": "x" * 10**part, "part": part}}
+        (regions / f"part-{part}.json").write_text(json.dumps(again) + "\n")
+    block = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (block, "64KB"):  # of which the last file has several
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            read = files.read_postal(spark, str(postal))
+            got = [r.full_zc for r in sorted(read.collect(), key=lambda r: r.ord)]
+            assert got == [z for listed in zones for z in listed] and read.schema["ord"].dataType.simpleString() == "bigint"
+            features = files.read_features(spark, str(regions), lines=True)
+            assert files.region_attributes(features, 0, "NUTS_ID", "part").first().name == "0"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+
+
 def test_round_trip_of_tables(spark, tmp_path):
     df = spark.range(10).withColumn("text", F.lit("a,b"))
     paths = sinks.write_tables({"one": df, "two": df.filter("id > 4")}, str(tmp_path / "out"), "csv")
