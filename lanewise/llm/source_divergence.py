@@ -57,14 +57,14 @@ def filter_places(langs: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
     return ((langs ^ prefixes) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
-def words_of(texts: list[bytes]) -> tuple[pa.Array, pa.Array]:
-    """All words of some texts, and the number of each word's text."""
+def words_of(texts: list[bytes], parent: int = 0) -> tuple[pa.Array, pa.Array]:
+    """All words of some texts that are longer than ``parent``, and the number of each word's text."""
     folded = pa.array([t.translate(FOLDED) for t in texts], pa.binary())
     # Seen as strings, whatever their bytes, as only those can be split.
     split = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(folded), *folded.buffers()[1:]))
     words, owners = split.flatten().cast(pa.binary()), pc.list_parent_indices(split)
-    real = pc.greater(pc.binary_length(words), 0)
-    return words.filter(real), owners.filter(real)
+    longer = pc.greater(pc.binary_length(words), parent)
+    return words.filter(longer), owners.filter(longer)
 
 
 class Partial:
@@ -79,19 +79,18 @@ class Partial:
         self.size, self.full = 0, False
 
     def extended(self, words: pa.Array, langs: np.ndarray) -> pa.Array:
-        """Whether a word is longer than the level before, and its beginning may have been kept there."""
+        """Whether the beginning of a word that is longer than the level before may have been kept there."""
         before = pc.binary_slice(words, 0, self.parent).dictionary_encode()
         places = filter_places(langs, hashed(before.dictionary.to_pylist())[before.indices.to_numpy()])
-        kept = (self.bits[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
-        return pc.and_(pa.array(kept), pc.greater(pc.binary_length(words), self.parent))
+        return pa.array((self.bits[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool))
 
     def add(self, langs: list[str], sources: list[str], texts: list[bytes]) -> None:
         groups = np.array([self.groups.setdefault(pair, len(self.groups)) for pair in zip(langs, sources)], np.int64)
-        words, owners = words_of(texts)
+        words, owners = words_of(texts, self.parent)
         if self.parent:
             found = hashed([lang.encode("utf-8", "replace") for lang in langs])
-            longer = self.extended(words, found[owners.to_numpy()])
-            words, owners = words.filter(longer), owners.filter(longer)
+            kept = self.extended(words, found[owners.to_numpy()])
+            words, owners = words.filter(kept), owners.filter(kept)
         complete = pc.less_equal(pc.binary_length(words), self.length)
         table = pa.table({"owner": owners, "prefix": pc.binary_slice(words, 0, self.length), "complete": complete})
         once = table.group_by(["owner", "prefix", "complete"], use_threads=False).aggregate([([], "count_all")])

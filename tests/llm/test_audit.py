@@ -66,6 +66,18 @@ def test_prefixes_below_the_threshold_are_not_extended(spark):
     assert not any(lang == "xx" for lang, _ in second)
 
 
+def test_a_level_only_looks_up_words_longer_than_the_one_before(monkeypatch):
+    """Of three words one is longer than four bytes, and only its beginning meets the filter; texts without any are no trouble."""
+    looked_up, original = [], source_divergence.hashed
+    monkeypatch.setattr(source_divergence, "hashed", lambda texts: looked_up.extend(texts) or original(texts))
+    partial = source_divergence.Partial(8, 4, np.full(source_divergence.FILTER_BITS // 8, 255, np.uint8))
+    partial.add(["en", "en"], ["a", "a"], [b"one four lengthened, lengthened", b"one"])
+    partial.add(["en"], ["b"], [b"one four"])
+    (rows,) = (batch.to_pylist() for batch in partial.rows())
+    assert rows == [{"lang": "en", "source": "a", "prefix": b"lengthen", "complete": False, "docs": 1, "times": 2}]
+    assert [t for t in looked_up if t != b"en"] == [b"leng"]
+
+
 def test_empty_tables(spark):
     empty = odd_sources(spark).limit(0)
     assert source_divergence.divergence(empty).count() == 0
